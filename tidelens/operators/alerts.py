@@ -127,3 +127,21 @@ def enrich_reports(reports: DataFrame, beaches: DataFrame, zones: DataFrame, now
     b = b.select("beach_name", "latitude", "longitude", F.col("near.id").alias("zone_id"))
     stamp = F.when(F.col("observed_on") == D.local_day(now), now)
     return reports.join(b, "beach_name").withColumn("observed_at", stamp)
+
+
+def extended_of(latest_forecasts: DataFrame, lead_days: int | None = None) -> DataFrame:
+    """PRJ-16: extended forecasts, optionally of one lead; any other lead is an error."""
+    if lead_days is None:
+        return latest_forecasts
+    if lead_days not in S.LEADS:
+        raise ValueError(f"lead_days must be one of {S.LEADS}")
+    return latest_forecasts.where(F.col("lead_days") == lead_days)
+
+
+def largest_detections(detections: DataFrame, limit: int = 500) -> DataFrame:
+    """SRT-01: the largest detections of the latest run; a top-n sort, 1 to 2000 rows."""
+    from tidelens.operators.keyed import latest
+
+    if not 1 <= limit <= 2000:
+        raise ValueError("limit must be 1 to 2000")
+    return latest(detections, [], "run_at").orderBy(F.desc("area_km2"), "id").limit(limit)

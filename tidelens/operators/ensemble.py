@@ -72,7 +72,7 @@ def summarise(stops: DataFrame, keys: Sequence[str], members: int = S.MEMBERS,
     enough = F.col("_eta_n") / n >= bands.member_share
     hz = F.array(*[F.struct(F.lit(h).alias("horizon_hours"),
                             headline(share[h], bands.member_share).alias("risk_level"),
-                            F.round(F.col(f"sum_{h}") / n, 3).alias("area_km2"),
+                            F.round(F.round(F.col(f"sum_{h}") / n, 9), 3).alias("area_km2"),
                             R.ensure_map(*[F.round(s, 3) for s in share[h]]).alias("probs")) for h in horizons])
     p = [F.round(s, 3).alias(f"p_{lv}") for lv, s in zip(S.LEVELS, share[last])]
     return g.select(*keys, headline(share[last], bands.member_share).alias("risk_level"),

@@ -134,9 +134,17 @@ def nearest(points: DataFrame, places: DataFrame, place_id: str, place_pos: tupl
         return ref.withColumn(out, F.array_min(scored)).drop("_ref")
     if point_id is None:
         raise ValueError("point_id is needed for a large place table")
+    return nearest_by_rounds(points, places, place_id, place_pos, point_pos, keep, planar, first_km, out, point_id)
+
+
+def nearest_by_rounds(points: DataFrame, places: DataFrame, place_id: str, place_pos: tuple[str, str],
+                      point_pos: tuple[str, str] = ("lat", "lon"), keep: Sequence[str] = (), planar: bool = False,
+                      first_km: float = 50.0, out: str = "near", point_id: Sequence[str] = ("id",)) -> DataFrame:
+    """JON-03 for a place table of any size: radius joins whose radius grows until all points match."""
+    side = places.select(F.col(place_id).alias("_pid"), F.col(place_pos[0]).alias("p_lat"), F.col(place_pos[1]).alias("p_lon"),
+                         *[F.col(c) for c in keep])
     todo, done, km = points, None, first_km
     while km < 45_000:
-        side = refs.withColumnsRenamed({"la": "p_lat", "lo": "p_lon", "id": "_pid"})
         hit = radius_join(todo.select(*point_id, *point_pos), side, km, point_pos, ("p_lat", "p_lon"),
                           dist="_d", planar=planar, max_abs_lat=85.0)
         best = hit.groupBy(*point_id).agg(F.min(F.struct(

@@ -28,7 +28,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "tidelens", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", conf.pop("driver_memory", "12g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

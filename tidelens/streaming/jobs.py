@@ -104,7 +104,7 @@ def report_stream(reports: DataFrame, beaches: DataFrame, zones: DataFrame, now:
 def keep_current(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str):
     """STM-05: a current-state table (latest per key) kept by a stream, one upsert per batch.
 
-    The two newest versions alternate between two folders and a pointer row is written last, so a lost
+    The two newest versions alternate between two folders and a pointer row is appended last, so a lost
     executor or a repeated batch leaves the previous version readable.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -116,7 +116,7 @@ def keep_current(stream: DataFrame, path: str, keys: Sequence[str], order: Seque
         if old is None:
             fresh = upsert(batch.limit(0), batch, keys, order)
         fresh.write.mode("overwrite").parquet(f"{path}/v{batch_id % 2}")
-        spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(f"{path}/pointer")
+        spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("append").parquet(f"{path}/pointer")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -129,7 +129,7 @@ def _newer(old: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequenc
 
 def _pointer(spark, path: str) -> int | None:
     try:
-        return spark.read.parquet(f"{path}/pointer").first()["batch"]
+        return spark.read.parquet(f"{path}/pointer").agg(F.max("batch")).first()[0]
     except Exception as exc:
         if "PATH_NOT_FOUND" in str(exc):
             return None
