@@ -81,7 +81,8 @@ def first_of_cooldown(events: DataFrame, keys: list[str], ts: str, hours: float)
     kept = F.aggregate(F.array_sort(F.collect_list("_t")), F.array().cast("array<bigint>"),
                        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap),
                                              F.concat(acc, F.array(x))).otherwise(acc))
-    return t.groupBy(*keys, "_run").agg(kept.alias("k")).select(*keys, F.timestamp_micros(F.explode("k")).alias(ts))
+    return t.groupBy(*keys, "_run").agg(kept.alias("k")).select(*keys, F.explode("k").alias("_t")).select(
+        *keys, F.timestamp_micros("_t").alias(ts))
 
 
 def accepted_requests(requests: DataFrame, client: str, ts: str, order: str, window_s: int = S.LIMIT_WINDOW_S,

@@ -162,3 +162,10 @@ def rank_settings(scores: DataFrame) -> DataFrame:
     g = scores.groupBy("setting").agg(ref.alias("r")).select("setting", F.split("r.name", " @")[0].alias("primary"),
                                                             "r.n", "r.macro_f1", "r.mae", "r.pod", "r.far")
     return g.orderBy(F.desc_nulls_last("macro_f1"), F.asc_nulls_last("mae"), "setting")
+
+
+def in_score_window(forecasts: DataFrame, labels: DataFrame, days: int = 4) -> DataFrame:
+    """PRJ-27: forecasts from some days before the first labelled day; the bound is one scalar, so it
+    reaches the scan as a filter."""
+    first = labels.agg(F.min("day").cast("timestamp")).scalar()
+    return forecasts.where(F.col("run_at") >= first - F.expr(f"INTERVAL {days} DAYS"))

@@ -92,7 +92,7 @@ def thin_runs(runs: DataFrame, ts: str, every_hours: float) -> DataFrame:
         lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= every_hours * 3600 - 1),
                               F.concat(acc, F.array(t))).otherwise(acc))
     return (runs.select(ts).distinct().agg(kept.alias("k"))
-            .select(F.timestamp_seconds(F.explode("k")).alias(ts)))
+            .select(F.explode("k").alias("_t")).select(F.timestamp_seconds("_t").alias(ts)))
 
 
 def chunk_runs(runs: DataFrame, ts: str, days: float = 10.0) -> DataFrame:

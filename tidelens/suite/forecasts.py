@@ -371,7 +371,7 @@ def display_cap(v):
 
 
 @query("agg_20_day_summary", """
-    WITH b AS (SELECT CAST(user_id AS VARCHAR) AS beach_name, round(sum(value) / 3000, 4) AS a, count(*) AS n FROM events GROUP BY 1),
+    WITH b AS (SELECT CAST(user_id AS VARCHAR) AS beach_name, round(sum(value), 2) / 3000 AS a, count(*) AS n FROM events GROUP BY 1),
     c AS (SELECT beach_name, CASE WHEN a < 1.0 THEN 'none' WHEN a < 1.1 THEN 'low' ELSE 'medium' END AS lv, n % 5 = 0 AS possible, n % 2 = 0 AS season,
           CASE WHEN n % 7 = 0 THEN NULL ELSE round(a * 10, 3) END AS dist FROM b)
     SELECT count(*) FILTER (lv = 'none' AND NOT possible) AS clear, count(*) FILTER (lv <> 'none') AS at_risk,
@@ -379,7 +379,7 @@ def display_cap(v):
       (SELECT string_agg(beach_name, '|' ORDER BY rn) FROM (SELECT beach_name, row_number() OVER (ORDER BY season DESC, coalesce(dist, 1e6) DESC, beach_name) AS rn
         FROM c WHERE lv = 'none' AND NOT possible) WHERE rn <= 3) AS picks FROM c""")
 def day_summary(v):
-    b = v.events.groupBy(F.col("user_id").cast("string").alias("beach_name")).agg(F.round(F.sum("value") / 3000, 4).alias("a"), F.count("*").alias("n"))
+    b = v.events.groupBy(F.col("user_id").cast("string").alias("beach_name")).agg((F.round(F.sum("value"), 2) / 3000).alias("a"), F.count("*").alias("n"))
     c = b.select("beach_name", F.when(F.col("a") < 1.0, "none").when(F.col("a") < 1.1, "low").otherwise("medium").alias("risk_level"),
                  (F.col("n") % 5 == 0).alias("possible"), (F.col("n") % 2 == 0).alias("in_season"),
                  F.when(F.col("n") % 7 != 0, F.round(F.col("a") * 10, 3)).alias("dist_km"))

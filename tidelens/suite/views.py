@@ -112,7 +112,7 @@ SQL = {
                CASE WHEN n % 3 = 0 THEN NULL ELSE CAST(n % 72 AS INT) END AS eta_hours,
                CASE zone_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'v1' ELSE 'v2' END AS model_version
         FROM (SELECT date_trunc('day', ts) AS run_at, CAST(user_id % 25 + 1 AS INT) AS zone_id,
-                     round(sum(value) / 200, 4) AS area, count(*) AS n
+                     round(sum(value), 2) / 200 AS area, count(*) AS n
               FROM events GROUP BY 1, 2)"""),
     "horizons_v": ("forecasts_v", """
         SELECT id, run_at, zone_id, model_version, h AS horizon_hours, run_at + to_hours(CAST(h AS BIGINT)) AS valid_at,
@@ -122,7 +122,7 @@ SQL = {
         FROM forecasts_v, (SELECT unnest([0, 24, 48, 72]) AS h)"""),
     # one feature row per (6-hour run, zone)
     "features_v": ("", """
-        SELECT run_at, zone_id, round(sum(value) / 50, 4) AS eez_area_km2, round(sum(value) / 200, 4) AS zone_area_km2,
+        SELECT run_at, zone_id, round(sum(value), 2) / 50 AS eez_area_km2, round(sum(value), 2) / 200 AS zone_area_km2,
                round(min(value) * 10, 3) AS nearest_km, count(*) AS patch_count,
                CAST(count(*) % 4 AS INT) AS physics_risk,
                CASE WHEN zone_id % 3 = 0 THEN 'legacy' ELSE 'drift' END AS model_version
@@ -139,7 +139,7 @@ SQL = {
     "beach_forecasts_v": ("", """
         SELECT row_number() OVER (ORDER BY run_at, beach_name) AS id, run_at, beach_name, area,
                CASE WHEN area < 0.1 THEN 'none' WHEN area < 5 THEN 'low' WHEN area < 25 THEN 'medium' ELSE 'high' END AS risk_level
-        FROM (SELECT date_trunc('day', ts) AS run_at, CAST(user_id AS VARCHAR) AS beach_name, round(sum(value) / 150, 4) AS area
+        FROM (SELECT date_trunc('day', ts) AS run_at, CAST(user_id AS VARCHAR) AS beach_name, round(sum(value), 2) / 150 AS area
               FROM events GROUP BY 1, 2)"""),
     "messages_v": ("", """
         SELECT conv_id, turn, CASE turn % 7
@@ -309,7 +309,7 @@ class Views:
     @cached_property
     def _forecast_base(self) -> DataFrame:
         g = self.events.groupBy(F.date_trunc("day", "ts").alias("run_at"), (F.col("user_id") % 25 + 1).cast("int").alias("zone_id"))
-        return g.agg(F.round(F.sum("value") / 200, 4).alias("area"), F.count("*").alias("n"))
+        return g.agg((F.round(F.sum("value"), 2) / 200).alias("area"), F.count("*").alias("n"))
 
     @staticmethod
     def level(area, minimum=0.5):
@@ -332,7 +332,7 @@ class Views:
     def features(self) -> DataFrame:
         hour6 = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 21600) * 21600)
         g = self.events.groupBy(hour6.alias("run_at"), (F.col("user_id") % 25 + 1).cast("int").alias("zone_id"))
-        return g.agg(F.round(F.sum("value") / 50, 4).alias("eez_area_km2"), F.round(F.sum("value") / 200, 4).alias("zone_area_km2"),
+        return g.agg((F.round(F.sum("value"), 2) / 50).alias("eez_area_km2"), (F.round(F.sum("value"), 2) / 200).alias("zone_area_km2"),
                      F.round(F.min("value") * 10, 3).alias("nearest_km"), F.count("*").alias("patch_count"),
                      (F.count("*") % 4).cast("int").alias("physics_risk")).withColumn(
             "model_version", F.when(F.col("zone_id") % 3 == 0, "legacy").otherwise("drift"))
@@ -352,7 +352,7 @@ class Views:
         from tidelens.operators.keyed import dense_number
 
         g = self.events.groupBy(F.date_trunc("day", "ts").alias("run_at"), F.col("user_id").cast("string").alias("beach_name"))
-        b = dense_number(g.agg(F.round(F.sum("value") / 150, 4).alias("area")), [F.col("run_at"), F.col("beach_name")], "id")
+        b = dense_number(g.agg((F.round(F.sum("value"), 2) / 150).alias("area")), [F.col("run_at"), F.col("beach_name")], "id")
         hz = F.transform(F.array(*[F.lit(h) for h in S.HORIZONS]), lambda h: F.struct(
             h.alias("horizon_hours"), self.level(F.col("area") * (1 + h / 48.0), 0.1).alias("risk_level"),
             F.timestamp_add("HOUR", h, F.col("run_at")).alias("valid_at")))
