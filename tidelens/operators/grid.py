@@ -340,3 +340,30 @@ def agreement(patches: DataFrame, clusters: DataFrame, checkable: DataFrame, key
     cs = c.groupBy(*keys).agg(F.count("*").alias("clusters"), F.count("hit").alias("matched"))
     summary = ps.join(cs, list(keys), "full_outer").na.fill(0)
     return summary, c.where(F.col("hit").isNull()).drop("hit")
+
+
+def focal_median(cells: DataFrame, keys: Sequence[str], value: str, reach: int, out: str = "background") -> DataFrame:
+    """AGG-25: median of the cells that exist within ``reach``; cells without data are left out.
+
+    For small windows: each cell is repeated to the windows it belongs to, and a window holds at most
+    (2 reach + 1)^2 values. Wide windows use ``local_median``.
+    """
+    at = [*keys, "row", "col"]
+    near = neighbours(cells.select(*at, F.col(value).alias("_v")), offsets(reach))
+    return cells.select(*at).join(near, at).groupBy(*at).agg(F.median("_v").alias(out))
+
+
+def attach_time(pixels: DataFrame, images: DataFrame, key: str) -> DataFrame:
+    """PRJ-04: acquisition time of the image on each pixel that is left after masking."""
+    return pixels.join(images, key)
+
+
+def check_row(cells: DataFrame, latest: DataFrame, gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AGG-03: dates used, clear share, gap-fill count and area per run."""
+    k = list(keys)
+    days = cells.select(*k, "day").distinct().groupBy(*k).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("day")), lambda d: d.cast("string")), ",").alias("days"))
+    clear = latest.groupBy(*k).agg(F.round(F.avg(F.when(F.col("day_used").isNull(), 0.0).otherwise(1.0)), 4).alias("clear_frac"))
+    g = gaps.groupBy(*k).agg(F.count("*").alias("gap_filled"), F.round(F.sum("area_km2"), 4).alias("gap_area"))
+    return (days.join(clear, k).join(g, k, "left")
+            .select(*k, "days", "clear_frac", F.coalesce("gap_filled", F.lit(0)).alias("gap_filled"), F.coalesce("gap_area", F.lit(0.0)).alias("gap_area")))

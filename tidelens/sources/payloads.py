@@ -16,14 +16,15 @@ from tidelens.operators.keyed import pick_latest, pick_one
 GRID_SCHEMA = "table struct<columnNames:array<string>, rows:array<array<string>>>"
 
 
-def grid_payload(raw: DataFrame, text: str = "body", fields: tuple[str, ...] = ("time", "latitude", "longitude", "AFAI")) -> DataFrame:
+def grid_payload(raw: DataFrame, text: str = "body", fields: tuple[str, ...] = ("time", "latitude", "longitude", "AFAI"),
+                 keep: tuple[str, ...] = ()) -> DataFrame:
     """SRC-01: (day, lat, lon, value) of table payloads, columns found by name; null value = no view."""
     doc = F.from_json(F.col(text), GRID_SCHEMA)
     names = F.col("doc.table.columnNames")
     at = lambda row, name: F.get(row, (F.array_position(names, name) - 1).cast("int"))
-    rows = raw.select(doc.alias("doc")).select("doc", F.explode("doc.table.rows").alias("r"))
+    rows = raw.select(*keep, doc.alias("doc")).select(*keep, "doc", F.explode("doc.table.rows").alias("r"))
     t, la, lo, v = (at(F.col("r"), f) for f in fields)
-    return rows.select(F.to_date(parse_ts(t)).alias("day"), la.cast("double").alias("lat"),
+    return rows.select(*keep, F.to_date(parse_ts(t)).alias("day"), la.cast("double").alias("lat"),
                        lo.cast("double").alias("lon"), v.cast("double").alias("value"))
 
 
