@@ -107,54 +107,22 @@ def face_feet(swell: Column, p: Column, spread: float) -> Column:
     return F.coalesce(F.round(base * spread, 1), F.lit(0.0))
 
 
-def rate_spot(p: Column, c: Column) -> Column:
-    """SCL-10: rating of one profile under one condition.
-
-    struct<sport, score, rating, reason, relation, face_lo, face_hi, oversize, no_data>. Missing
-    direction, period or wind take neutral values; a missing essential field gives no data.
-    """
-    swell, period, swell_dir = c["swell_height_m"], c["swell_period_s"], c["swell_direction_deg"]
-    speed, wind_dir = c["wind_speed_kt"], c["wind_direction_deg"]
-    is_wind = p["sport"] == "wind"
-    relation = F.when(wind_dir.isNull(), "unknown").otherwise(wind_relation(wind_dir, p["shore_normal_deg"]))
-
-    v0 = F.coalesce(speed, F.lit(0.0))
-    size, big = size_score(swell, p), size_too_big(swell, p)
-    direction = F.when(swell_dir.isNull(), 0.7).otherwise(swell_direction_score(swell_dir, p))
-    per = period_score(period)
-    wind = F.when(wind_dir.isNull(), 0.8).otherwise(wind_score_surf(v0, wind_dir, p))
-    surf_raw = F.lit(10.0) * size * direction * per * wind
-    surf_rating = F.when(big & (surf_raw < S.RATING_BANDS[0][0]), "poor").otherwise(rating_of(surf_raw))
-    surf_reason = (F.when(big, "too_big").when(size <= 0, "too_small").when(direction < 0.35, "off_axis")
-                   .when((wind <= per) & (wind < 0.7),
-                         F.when(relation == "onshore", "onshore_wind")
-                         .when(relation == "offshore", "strong_offshore").otherwise("cross_wind"))
-                   .when(per < 0.7, "short_period").when(v0 < S.GLASSY_KT, "glassy")
-                   .when((per >= 0.9) & (wind >= 0.85), "clean").otherwise("ok"))
-
+def surf_reason(size: Column, big: Column, direction: Column, period: Column, wind: Column, relation: Column,
+                speed: Column) -> Column:
+    """SCL-10: the most decisive factor of a surf rating."""
+    windy = (F.when(relation == "onshore", "onshore_wind").when(relation == "offshore", "strong_offshore")
+             .otherwise("cross_wind"))
+    return (F.when(big, "too_big").when(size <= 0, "too_small").when(direction < 0.35, "off_axis")
+            .when((wind <= period) & (wind < 0.7), windy).when(period < 0.7, "short_period")
+            .when(speed < S.GLASSY_KT, "glassy").when((period >= 0.9) & (wind >= 0.85), "clean").otherwise("ok"))
+
+
+def wind_reason(strength: Column, direction: Column, speed: Column, p: Column, over: Column) -> Column:
+    """SCL-10: the most decisive factor of a wind-sport rating."""
     lo, hi = F.coalesce(p["wind_lo_kt"], F.lit(14.0)), F.coalesce(p["wind_hi_kt"], F.lit(25.0))
-    strength = wind_strength_score(speed, p)
-    wdir = F.when(wind_dir.isNull(), 0.85).otherwise(wind_direction_score(wind_dir, p))
-    over = F.coalesce(swell, F.lit(0.0)) > p["max_manageable_m"]
-    wind_raw = F.lit(10.0) * strength * wdir * F.when(over, 0.5).otherwise(1.0)
-    wind_rating = (F.when((wind_raw < S.RATING_BANDS[0][0]) & (strength > 0), "poor")
-                   .otherwise(rating_of(wind_raw)))
-    wind_reason = (F.when(strength <= 0, "no_wind").when(wdir <= 0.4, "offshore_unsafe")
-                   .when(speed > hi, "too_windy").when(speed < lo, "no_wind").when(over, "too_big")
-                   .when((wdir >= 1.0) & (strength >= 0.9), "side_shore").otherwise("ok"))
-
-    missing = F.when(is_wind, speed.isNull()).otherwise(swell.isNull())
-    pick = lambda w, s: F.when(is_wind, w).otherwise(s)
-    return F.struct(
-        p["sport"].alias("sport"),
-        F.when(missing, 0.0).otherwise(F.round(pick(wind_raw, surf_raw), 1)).alias("score"),
-        F.when(missing, "unknown").otherwise(pick(wind_rating, surf_rating)).alias("rating"),
-        F.when(missing, "no_data").otherwise(pick(wind_reason, surf_reason)).alias("reason"),
-        F.when(missing, "unknown").otherwise(relation).alias("relation"),
-        F.when(missing, 0.0).otherwise(face_feet(swell, p, 0.85)).alias("face_lo"),
-        F.when(missing, 0.0).otherwise(face_feet(swell, p, 1.15)).alias("face_hi"),
-        (~missing & pick(over, big)).alias("oversize"),
-        missing.alias("no_data"))
+    return (F.when(strength <= 0, "no_wind").when(direction <= 0.4, "offshore_unsafe").when(speed > hi, "too_windy")
+            .when(speed < lo, "no_wind").when(over, "too_big")
+            .when((direction >= 1.0) & (strength >= 0.9), "side_shore").otherwise("ok"))
 
 
 def is_sheltered(text: Column) -> Column:

@@ -160,7 +160,7 @@ def check_row(v):
 
 
 PIX = """
-    px AS (SELECT l_orderkey * 10 + l_linenumber AS pid, CAST(l_suppkey AS INT) AS scene, CAST(l_partkey % 12 AS INT) AS "row", CAST(l_orderkey % 12 AS INT) AS col, l_shipdate AS t,
+    px AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pid, CAST(l_suppkey AS INT) AS scene, CAST(l_partkey % 12 AS INT) AS "row", CAST(l_orderkey % 12 AS INT) AS col, l_shipdate AS t,
       500.0 + l_quantity * 10 AS red, 500.0 + l_quantity * 12 + l_discount * 5000 AS nir, 480.0 + l_tax * 1000 AS swir, CAST((l_orderkey + l_linenumber) % 12 AS INT) AS scl,
       CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE (l_orderkey % 100) / 100.0 END AS cs FROM lineitem),
     ix AS (SELECT *, nir / 10000 - (red / 10000 + (swir / 10000 - red / 10000) * ((842.0 - 665.0) / (1610.0 - 665.0))) AS fai, (nir / 10000 - red / 10000) / (nir / 10000 + red / 10000) AS ndvi FROM px),
@@ -170,7 +170,7 @@ PIX = """
 def pixels(v):
     o, p, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_linenumber"))
     q = F.col("l_quantity")
-    return v.lineitem.select((o * 10 + n).alias("pid"), F.col("l_suppkey").cast("int").alias("scene"), (p % 12).cast("int").alias("row"), (o % 12).cast("int").alias("col"),
+    return v.lineitem.select(((o * 10 + n) * 1000000 + p).alias("pid"), F.col("l_suppkey").cast("int").alias("scene"), (p % 12).cast("int").alias("row"), (o % 12).cast("int").alias("col"),
                              F.col("l_shipdate").alias("t"), (F.lit(500.0) + q * 10).alias("red"), (F.lit(500.0) + q * 12 + F.col("l_discount") * 5000).alias("nir"),
                              (F.lit(480.0) + F.col("l_tax") * 1000).alias("swir"), ((o + n) % 12).cast("int").alias("scl"),
                              F.when(p % 4 != 0, (o % 100) / 100.0).alias("cs"))
@@ -198,10 +198,11 @@ def usable_pixels(v):
 
 
 @query("prj_04_observation_time", f"""
-    WITH {PIX} SELECT pid, CAST(epoch_ms(t) AS BIGINT) AS obs_ms FROM ok""")
+    WITH {PIX} SELECT scene, CAST(epoch_ms(o_orderdate) AS BIGINT) AS obs_ms, count(*) AS n FROM (SELECT *, pid // 10000000 AS image FROM ok) JOIN orders ON o_orderkey = image GROUP BY 1, 2""")
 def observation_time(v):
-    images = v.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), F.unix_millis("l_shipdate").alias("obs_ms")).distinct()
-    return GR.attach_time(masked(pixels(v)), images, "pid").select("pid", "obs_ms")
+    images = v.table("orders").select(F.col("o_orderkey").alias("image"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("obs_ms"))
+    p = masked(pixels(v)).withColumn("image", F.floor(F.col("pid") / 10000000))
+    return GR.attach_time(p, images, "image").groupBy("scene", "obs_ms").agg(F.count("*").alias("n"))
 
 
 @query("udf_01_mapped_functions", f"""
@@ -227,7 +228,7 @@ def latest_pixel(v):
 
 MOSAIC = f"""
     {PIX}, mos AS (SELECT scene, "row", col, m.fai AS fai, m.ndvi AS ndvi, m.t AS t FROM (SELECT scene, "row", col, max(struct_pack(t := t, fai := fai, ndvi := ndvi)) AS m FROM ok GROUP BY 1, 2, 3)),
-    an AS (SELECT a.scene, a."row", a.col, a.fai, a.ndvi, a.t, a.fai - median(b.fai) AS anomaly FROM mos a JOIN mos b ON b.scene = a.scene AND abs(b."row" - a."row") <= 1 AND abs(b.col - a.col) <= 1 GROUP BY ALL),
+    an AS (SELECT a.scene, a."row", a.col, a.fai, a.ndvi, a.t, a.fai - median(b.fai) AS anomaly FROM mos a JOIN mos b ON b.scene = a.scene AND abs(b."row" - a."row") <= 1 AND abs(b.col - a.col) <= 1 GROUP BY a.scene, a."row", a.col, a.fai, a.ndvi, a.t),
     cand AS (SELECT *, (anomaly > 0.005 OR fai > 0.02) AND ndvi > 0.02 AS algae FROM an)"""
 
 
@@ -302,15 +303,15 @@ def combined_reducers(v):
 
 
 @query("prj_07_covered_area", """
-    SELECT id, CASE WHEN id % 8 = 0 THEN NULL ELSE round(area_km2 * least(1.0, greatest(0.0, (id % 120 - 10) / 1000.0 / 0.08)), 6) + 0.0 END AS covered FROM detections_v""", "detections_v")
+    SELECT id, CASE WHEN id % 8 = 0 THEN NULL ELSE round(area_km2 * least(1.0, greatest(0.0, (id % 120 - 10) / 1000.0 / 0.08)), 9) + 0.0 END AS covered FROM detections_v""", "detections_v")
 def covered(v):
     text = F.when(F.col("id") % 8 == 0, "bad").otherwise(((F.col("id") % 120 - 10) / 1000.0).cast("string"))
-    return v.detections.select("id", (F.round(GR.covered_area(F.col("area_km2"), text), 6) + F.lit(0.0)).alias("covered"))
+    return v.detections.select("id", (F.round(GR.covered_area(F.col("area_km2"), text), 9) + F.lit(0.0)).alias("covered"))
 
 
 @query("jon_15_seen_clear", """
     WITH clear AS (SELECT DISTINCT scene, "row" + a AS "row", col + b AS col FROM cells_v, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)
-      WHERE value IS NOT NULL AND value < 0.0005 AND abs(a) + abs(b) <= 1),
+      WHERE value IS NOT NULL AND value < 0.0008 AND abs(a) + abs(b) <= 1),
     p AS (SELECT id, CAST(id % (SELECT count(*) FROM supplier) AS INT) AS scene, lat, lon FROM detections_v),
     c AS (SELECT *, least(greatest(ceil(round((lat - 17.5) / 0.2, 6)), 0), 11) AS r, least(greatest(ceil(round((lon + 72.0) / 0.25, 6)), 0), 11) AS q FROM p
       WHERE lat BETWEEN 17.5 AND 17.5 + 11 * 0.2 AND lon BETWEEN -72.0 AND -72.0 + 11 * 0.25)
@@ -320,15 +321,15 @@ def seen_clear(v):
     pts = v.detections.select("id", (F.col("id") % n).cast("int").alias("scene"), "lat", "lon")
     axes = v.cells.select("scene").distinct().select("scene", F.lit(17.5).alias("lat0"), F.lit(0.2).alias("dlat"), F.lit(12).alias("n_lat"),
                                                      F.lit(-72.0).alias("lon0"), F.lit(0.25).alias("dlon"), F.lit(12).alias("n_lon"))
-    return GR.seen_clear(pts, v.cells.where("value < 0.0005"), axes, ["scene"], "id")
+    return GR.seen_clear(pts, v.cells.where("value < 0.0008"), axes, ["scene"], "id")
 
 
 @query("src_02_last_steps", """
-    SELECT scene, day, count(*) AS n FROM cells_v c WHERE "row" BETWEEN 2 AND 9 AND day IN (SELECT day FROM (SELECT DISTINCT scene, day FROM cells_v) x WHERE x.scene = c.scene ORDER BY day DESC LIMIT 2)
+    SELECT scene, day, count(*) AS n FROM cells_v c WHERE "row" BETWEEN 2 AND 6 AND day IN (SELECT day FROM (SELECT DISTINCT scene, day FROM cells_v) x WHERE x.scene = c.scene ORDER BY day DESC LIMIT 2)
     GROUP BY 1, 2""", "cells_v")
 def last_steps(v):
     c = v.cells.withColumn("lat", F.col("row").cast("double")).withColumn("lon", F.lit(0.0))
-    box = {"min_lat": 2, "max_lat": 9, "min_lon": 0, "max_lon": 0}
+    box = {"min_lat": 2, "max_lat": 6, "min_lon": 0, "max_lon": 0}
     return P.last_steps(c, "day", 2, box, ("scene",)).groupBy("scene", "day").agg(F.count("*").alias("n"))
 
 

@@ -52,8 +52,9 @@ def compare(spark, con, query, sf_dir):
     if cols != want_cols:
         return False, f"columns {cols} vs {want_cols}"
     if got != want:
-        only_a = [r for r in got if r not in set(want)][:3] if len(got) < 200000 else []
-        only_b = [r for r in want if r not in set(got)][:3] if len(got) < 200000 else []
+        have, need = set(got), set(want)
+        only_a = [r for r in got if r not in need][:3]
+        only_b = [r for r in want if r not in have][:3]
         return False, f"{len(got)} vs {len(want)} rows\n   spark {only_a}\n   sql   {only_b}"
     return True, f"{len(got)} rows, {took:.1f}s, sql {sql_took:.1f}s{'  EMPTY' if not got else ''}"
 
