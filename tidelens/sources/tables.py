@@ -92,10 +92,15 @@ def append(df: DataFrame, path: str, day_of: str | None = None, files: int | Non
         out.write.mode("append").parquet(path)
 
 
-def append_forecasts(df: DataFrame, zones: DataFrame, path: str, version: str) -> None:
+def named_rows(df: DataFrame, zones: DataFrame, version: str) -> DataFrame:
     """SNK-02: forecasts with the zone name resolved to its stored id; unknown names are dropped."""
     rows = df.join(zones.select("zone_id", F.col("name").alias("zone_name")), "zone_name")
-    append(rows.withColumn("model_version", F.lit(version)), path, "run_at")
+    return rows.withColumn("model_version", F.lit(version))
+
+
+def append_forecasts(df: DataFrame, zones: DataFrame, path: str, version: str) -> None:
+    """SNK-02: append of ``named_rows``, partitioned by run day."""
+    append(named_rows(df, zones, version), path, "run_at")
 
 
 def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str],

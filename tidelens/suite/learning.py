@@ -1 +1,66 @@
-"""Queries."""
+"""Model fitting, walk-forward scores, extended forecasts, tuning. Properties are tested, not numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidelens.operators import scoring as SC
+from tidelens.plans import features as FT
+from tidelens.plans import model as M
+from tidelens.plans import tuning as TU
+from tidelens.suite.registry import query
+from tidelens.suite.sqlbits import int_level, region, season_level
+
+TREES = 5  # rounds of boosting in these checks; the library's own default is larger
+
+
+def rows(v):
+    return FT.training_rows(v.features, v.zones)
+
+
+@query("mle_01_03_classifier_probabilities")
+def classifier(v):
+    data = rows(v)
+    clf = M.fit_classifier(data, calibrate=False, iterations=TREES)
+    return clf.predict(data).select("zone_id", "lead_days", F.col("run_ts").cast("string").alias("run_ts"), "pred", F.round("confidence", 4).alias("confidence"))
+
+
+@query("mle_02_calibrated_probabilities")
+def calibrated(v):
+    data = rows(v)
+    clf = M.fit_classifier(data, calibrate=True, iterations=2, folds=2)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return clf.predict(data).groupBy("lead_days").agg(F.count("*").alias("n"), F.round(F.avg(total), 4).alias("mass"))
+
+
+@query("mle_04_walk_forward_scores")
+def walk_forward(v):
+    return M.walk_forward(rows(v), n_folds=3, iterations=2, calibrate=False)["scores"]
+
+
+@query("mle_06_seasonal_forecast", f"""
+    SELECT CAST(run_at AS VARCHAR) AS run_at, zone_id, CAST(l AS INT) AS lead_days, {season_level("month(run_at + to_days(CAST(l AS INT)))", region('center_lat', 'center_lon'))} AS risk_level, 0.4 AS confidence, 'seasonal' AS method
+    FROM features_v JOIN zones_v USING (zone_id), (SELECT unnest([7, 14, 21]) AS l)""", "features_v zones_v")
+def seasonal_forecast(v):
+    return M.extended_forecast(v.features, v.zones, "seasonal").select(F.col("run_at").cast("string").alias("run_at"), "zone_id", "lead_days", "risk_level", "confidence", "method")
+
+
+@query("mle_06_persistence_forecast", f"""
+    SELECT CAST(run_at AS VARCHAR) AS run_at, zone_id, CAST(l AS INT) AS lead_days, {int_level('physics_risk')} AS risk_level, CASE l WHEN 7 THEN 0.7 WHEN 14 THEN 0.6 ELSE 0.5 END AS confidence, CAST(CAST(run_at AS DATE) + CAST(l AS INT) AS VARCHAR) AS valid_at
+    FROM features_v JOIN zones_v USING (zone_id), (SELECT unnest([7, 14, 21]) AS l)""", "features_v zones_v")
+def persistence_forecast(v):
+    return M.extended_forecast(v.features, v.zones, "persistence", accuracy={7: 0.7, 14: 0.6}).select(
+        F.col("run_at").cast("string").alias("run_at"), "zone_id", "lead_days", "risk_level", "confidence", F.col("valid_at").cast("string").alias("valid_at"))
+
+
+@query("mle_06_model_forecast")
+def model_forecast(v):
+    clf = M.fit_classifier(rows(v), calibrate=False, iterations=2)
+    return M.extended_forecast(v.features, v.zones, "ml", clf).groupBy("lead_days", "method", "risk_level").agg(F.count("*").alias("n"))
+
+
+@query("mle_08_agg_29_tuned_settings")
+def tuned(v):
+    stops = v.stops.withColumn("run_at", F.timestamp_add("DAY", (F.col("run") - 1995) * 4, F.lit("2024-01-01").cast("timestamp"))).withColumnRenamed("area", "outline")
+    labels = SC.report_labels(v.reports, "zone_id").select("ident", "day", "truth")
+    return TU.tune(stops, labels, ["outline", "covered"], [0.5, 1.0, 2.0])

@@ -90,10 +90,10 @@ def wind_scores(v):
 
 @query("scl_10_spot_rating", f"""
     WITH {FACTORS} SELECT id, sport, rating, reason, CASE WHEN missing THEN 'unknown' ELSE relation END AS relation, NOT missing AND (CASE WHEN sport = 'wind' THEN over_ ELSE big END) AS oversize, missing AS no_data,
-      round(CASE WHEN missing THEN 0.0 ELSE raw END, 8) AS raw FROM r""", CV)
+      round(CASE WHEN missing THEN 0.0 ELSE raw END, 11) AS raw FROM r""", CV)
 def spot_rating(v):
     j = OS.rate_spots(rated(v))
-    return j.select("id", "sport", "r.rating", "r.reason", "r.relation", "r.oversize", "r.no_data", F.round("r.raw", 8).alias("raw"))
+    return j.select("id", "sport", "r.rating", "r.reason", "r.relation", "r.oversize", "r.no_data", F.round("r.raw", 11).alias("raw"))
 
 
 @query("win_11_daily_outlook", f"""
