@@ -45,32 +45,35 @@ def gap_patch_times(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("observed_at", D.overpass_time(F.col("observed_on")))
 
 
+def run_tables(spark: SparkSession, inputs: RunInputs, run_at, method: str = "seasonal", version: str = "drift") -> dict[str, DataFrame]:
+    """The tables of one run: detections (given patches merged with gap-fill), forecasts, features,
+    alerts and the extended forecast."""
+    now = F.lit(run_at).cast("timestamp")
+    this_run = spark.range(1).select(now.alias("run_at"))
+    patches = merge_patches(inputs.patches, gap_patch_times(inputs.gap_patches)).withColumn("run_at", now)
+    zone_rows = E.with_valid_times(
+        E.with_all_targets(E.summarise(inputs.stops.withColumn("run_at", now), ["run_at", "zone_id"]),
+                           this_run, inputs.zones, "run_at", "zone_id"), "run_at")
+    zone_rows = zone_rows.withColumn("model_version", F.lit(version)).join(
+        inputs.zones.select("zone_id", F.col("name").alias("zone_name")), "zone_id")
+    dets = patches.select("run_at", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"), "area_km2")
+    feats = FT.zone_feature_rows(dets, inputs.zones, zone_rows, this_run)
+    return {"detections": T.detection_rows(patches, now), "forecasts": zone_rows,
+            "zone_features": feats.withColumn("model_version", F.lit(version)),
+            "alerts": A.alerts(zone_rows, inputs.subscribers, now).withColumn("run_at", now),
+            "ml_forecasts": M.extended_forecast(feats, inputs.zones, method)}
+
+
 def run_once(spark: SparkSession, inputs: RunInputs, run_at, out: str, method: str = "seasonal",
              version: str = "drift") -> dict[str, str]:
-    """Detect (given), merge, forecast, store, alert and extend. Every step writes its table; a failing
-    step is logged and the later ones still run where they can."""
-    now = F.lit(run_at).cast("timestamp")
+    """RAM-06: merge, forecast, store, alert and extend. Every step writes its table; a failing step is
+    logged and the later ones still run."""
     done: dict[str, str] = {}
-
-    def step(name, action):
+    for name, table in run_tables(spark, inputs, run_at, method, version).items():
         try:
-            action()
+            T.append(table, f"{out}/{name}", "run_at")
             done[name] = "ok"
         except Exception as exc:  # one failing stage must not stop the others
             log.warning("%s failed: %s", name, exc)
             done[name] = "failed"
-
-    patches = merge_patches(inputs.patches, gap_patch_times(inputs.gap_patches)).withColumn("run_at", now)
-    zone_rows = E.with_valid_times(
-        E.with_all_targets(E.summarise(inputs.stops.withColumn("run_at", now), ["run_at", "zone_id"]),
-                           spark.range(1).select(now.alias("run_at")), inputs.zones, "run_at", "zone_id"), "run_at")
-    zone_rows = zone_rows.withColumn("model_version", F.lit(version)).join(
-        inputs.zones.select("zone_id", F.col("name").alias("zone_name")), "zone_id")
-    step("detections", lambda: T.append(T.detection_rows(patches, now), f"{out}/detections", "run_at"))
-    step("forecasts", lambda: T.append(zone_rows, f"{out}/forecasts", "run_at"))
-    dets = patches.select("run_at", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"), "area_km2")
-    feats = FT.zone_feature_rows(dets, inputs.zones, zone_rows, spark.range(1).select(now.alias("run_at")))
-    step("zone_features", lambda: T.append(feats.withColumn("model_version", F.lit(version)), f"{out}/zone_features", "run_at"))
-    step("alerts", lambda: T.append(A.alerts(zone_rows, inputs.subscribers, now), f"{out}/alerts"))
-    step("ml_forecasts", lambda: T.append(M.extended_forecast(feats, inputs.zones, method), f"{out}/ml_forecasts", "run_at"))
     return done

@@ -9,7 +9,7 @@ from tidelens.plans import features as FT
 from tidelens.plans import model as M
 from tidelens.plans import tuning as TU
 from tidelens.suite.registry import query
-from tidelens.suite.sqlbits import int_level, region, season_level
+from tidelens.suite.sqlbits import int_level, region, score_cols, season_level
 
 TREES = 5  # rounds of boosting in these checks; the library's own default is larger
 
@@ -64,3 +64,46 @@ def tuned(v):
     stops = v.stops.withColumn("run_at", F.timestamp_add("DAY", (F.col("run") - 1995) * 4, F.lit("2024-01-01").cast("timestamp"))).withColumnRenamed("area", "outline")
     labels = SC.report_labels(v.reports, "zone_id").select("ident", "day", "truth")
     return TU.tune(stops, labels, ["outline", "covered"], [0.5, 1.0, 2.0])
+
+
+def run_inputs(v):
+    from tidelens.plans.scheduled import RunInputs
+
+    d = v.detections.select(F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"), "area_km2", "source", "observed_at")
+    gaps = d.where("source = 'view'").select("centroid_lat", "centroid_lon", "area_km2", "source", F.to_date("observed_at").alias("observed_on"))
+    stops = v.stops.select(F.col("zone").alias("zone_id"), "member", "hour", "area")
+    return RunInputs(d.where("source <> 'view'"), gaps, stops, v.zones, v.subscribers)
+
+
+@query("ram_06_scheduled_run")
+def scheduled_run(v):
+    from tidelens.plans.scheduled import run_tables
+
+    tables = run_tables(v.spark, run_inputs(v), "2024-02-01")
+    counts = [t.agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(n)) for n, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+RANKED = f"""
+    p AS (SELECT doc_id % 5 AS s, quality AS truth, toxic AS pred FROM labels), sc AS (SELECT s, {score_cols()} FROM p GROUP BY s)"""
+
+
+@query("srt_05_ranked_settings", f"""
+    WITH {RANKED} SELECT 'set' || s AS setting, n, macro_f1, mae FROM sc ORDER BY macro_f1 DESC NULLS LAST, mae, 1""")
+def ranked_settings(v):
+    p = v.table("labels").select(F.concat(F.lit("set"), (F.col("doc_id") % 5).cast("string")).alias("setting"), F.col("quality").alias("truth"), F.col("toxic").alias("pred"))
+    p = p.withColumn("name", F.concat(F.lit("beach_24h @"), F.col("setting")))
+    return SC.rank_settings(SC.score(p, ["setting", "name"])).select("setting", "n", "macro_f1", "mae")
+
+
+@query("scl_02_nearby_level", """
+    SELECT id, CASE WHEN w < 0.3 THEN 'none' WHEN w >= 3.0 AND km <= 8 THEN 'high' WHEN w >= 12 THEN 'high' WHEN w >= 3.0 THEN 'medium' ELSE 'low' END AS level FROM (
+      SELECT id, area_km2 * 4 AS w, CASE WHEN id % 3 <> 0 THEN id % 25 * 1.0 END AS km FROM detections_v)""", "detections_v")
+def nearby_levels(v):
+    from tidelens.functions.risk import nearby_level
+
+    km = F.when(F.col("id") % 3 != 0, F.col("id") % 25 * 1.0)
+    return v.detections.select("id", nearby_level(F.col("area_km2") * 4, km).alias("level"))

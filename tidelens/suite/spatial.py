@@ -14,7 +14,8 @@ from tidelens.sources import payloads as P
 from tidelens.suite.registry import query
 from tidelens.suite.sqlbits import current, hav, planar, zone_level
 
-BEACH_SIDE = ["beach_id", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon")]
+def beach_side(v):
+    return v.beaches.select("beach_id", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
 
 
 @query("agg_01_zone_state", f"""
@@ -90,7 +91,7 @@ def patch_centroid(v):
     SELECT id, beach_id, round(d, 4) AS km FROM (SELECT id, beach_id, {hav('lat', 'lon', 'latitude', 'longitude')} AS d
     FROM detections_v, beaches_v) WHERE d <= 25""", "detections_v beaches_v")
 def pair_distances(v):
-    return SP.pair_distances(v.detections.select("id", "lat", "lon"), v.beaches.select(*BEACH_SIDE), 25.0).select(
+    return SP.pair_distances(v.detections.select("id", "lat", "lon"), beach_side(v), 25.0).select(
         "id", "beach_id", F.round("dist", 4).alias("km"))
 
 
@@ -118,7 +119,7 @@ def nearest_beach(v):
     FROM (SELECT run_at, beach_id, {hav('lat', 'lon', 'latitude', 'longitude')} AS d FROM detections_v, beaches_v)
     WHERE d <= 15 GROUP BY 1, 2""", "detections_v beaches_v")
 def radius_counts(v):
-    j = SP.radius_join(v.detections.select("run_at", "lat", "lon"), v.beaches.select(*BEACH_SIDE), 15.0)
+    j = SP.radius_join(v.detections.select("run_at", "lat", "lon"), beach_side(v), 15.0)
     return j.groupBy(F.col("run_at").cast("string").alias("run_at"), "beach_id").agg(
         F.count("*").alias("masses"), F.round(F.min("dist"), 4).alias("nearest"))
 
@@ -233,7 +234,7 @@ def beach_state(v):
 def significant_distance(v):
     from tidelens.operators.quantiles import first_crossing
 
-    j = SP.radius_join(v.detections.select("lat", "lon", "area_km2"), v.beaches.select(*BEACH_SIDE), 40.0)
+    j = SP.radius_join(v.detections.select("lat", "lon", "area_km2"), beach_side(v), 40.0)
     return first_crossing(j, ["beach_id"], "dist", "area_km2", 10.0, "km", bin_width=0.5).select("beach_id", F.round("km", 4).alias("km"))
 
 
@@ -270,7 +271,7 @@ def effective_drift(v):
     SELECT id, beach_id, round(s, 6) AS speed, CAST(CASE WHEN s > 0.005 THEN ceil((d - 12) / (s * 3.6)) END AS BIGINT) AS hours FROM q""",
        "detections_v beaches_v")
 def approach(v):
-    j = SP.radius_join(v.detections.select("id", "lat", "lon"), v.beaches.select(*BEACH_SIDE), 20.0).where("dist > 0")
+    j = SP.radius_join(v.detections.select("id", "lat", "lon"), beach_side(v), 20.0).where("dist > 0")
     zero = F.lit(0.0)
     a = R.approach(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), R.effective_drift(F.col("lat"), F.col("lon"), zero, zero))
     return j.select("id", "beach_id", F.round(a["speed"], 6).alias("speed"), a["hours"].cast("bigint").alias("hours"))

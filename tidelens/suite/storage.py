@@ -125,11 +125,11 @@ def current_state(v):
 
 
 @query("set_07_parameter_grid", """
-    SELECT area_field, scale, count(*) AS stops FROM stops_v, (SELECT unnest(['area', 'covered']) AS area_field), (SELECT unnest([0.5, 1.0, 2.0]) AS scale) WHERE area > scale GROUP BY 1, 2""", "stops_v")
+    SELECT area_field, scale, count(*) AS stops FROM stops_v, (SELECT unnest(['area', 'covered']) AS area_field), (SELECT unnest([0.02, 0.05, 0.1]) AS scale) WHERE area > scale GROUP BY 1, 2""", "stops_v")
 def parameter_grid(v):
     from tidelens.plans.tuning import settings_grid
 
-    grid = settings_grid(v.spark, {"area_field": ["area", "covered"], "scale": [0.5, 1.0, 2.0]})
+    grid = settings_grid(v.spark, {"area_field": ["area", "covered"], "scale": [0.02, 0.05, 0.1]})
     from tidelens.operators.spatial import carry
 
     s = carry(v.stops.select("area"), grid, ["area_field", "scale"], "_g").withColumn("_g", F.explode("_g"))
