@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,16 +89,17 @@ def mask_ocean(cells: DataFrame, land: DataFrame, keys: Sequence[str], radius_ce
 
 
 def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, value: str = "filled",
-                 out: str = "background", tile: int = TILE) -> DataFrame:
+                 out: str = "background", tile: int = TILE, extent_of: DataFrame | None = None) -> DataFrame:
     """AGG-24 / AGG-25: median over a square window, edges reflected with the edge cell repeated.
 
     Grids are cut into tiles with a halo of half a window, so a cell is shuffled about once instead
     of once per window it belongs to, and the medians of a tile are taken in one NumPy call. A
     group is one tile, whatever the size of the grid. ``value`` must be set on every cell.
+    ``extent_of`` may name a cheaper frame with the same cells, to read the grids' extents from.
     """
     rad = window // 2
     keys = list(keys)
-    ext = cells.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
+    ext = (cells if extent_of is None else extent_of).groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
                                    F.min("col").alias("c0"), F.max("col").alias("c1"))
     c = cells.select(*keys, "row", "col", F.col(value).alias("v")).join(ext, keys)
     tiles = lambda x: F.sequence(F.floor((x - rad) / tile), F.floor((x + rad) / tile))
@@ -107,46 +108,49 @@ def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WIN
                 & (F.col("tx") >= F.floor(F.col("c0") / tile)) & (F.col("tx") <= F.floor(F.col("c1") / tile)))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in keys)
 
-    def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        ty, tx, r0, r1, c0, c1 = (int(head[k]) for k in ("ty", "tx", "r0", "r1", "c0", "c1"))
-        top, bottom = max(r0, ty * tile), min(r1, ty * tile + tile - 1)
-        left, right = max(c0, tx * tile), min(c1, tx * tile + tile - 1)
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+
+    def one_tile(table: pa.Table) -> pa.Table:
+        head = {k: int(table[k][0].as_py()) for k in ("ty", "tx", "r0", "r1", "c0", "c1")}
+        row, col = table["row"].to_numpy(), table["col"].to_numpy()
+        top, bottom = max(head["r0"], head["ty"] * tile), min(head["r1"], head["ty"] * tile + tile - 1)
+        left, right = max(head["c0"], head["tx"] * tile), min(head["c1"], head["tx"] * tile + tile - 1)
 
         def reflected(lo, hi, first, last):
             idx, size = np.arange(lo - rad, hi + rad + 1) - first, last - first + 1
             idx = np.mod(idx, 2 * size)
             return np.where(idx >= size, 2 * size - 1 - idx, idx) + first
 
-        rows, cols = reflected(top, bottom, r0, r1), reflected(left, right, c0, c1)
-        oy, ox = int(pdf["row"].min()), int(pdf["col"].min())
-        board = np.full((int(pdf["row"].max()) - oy + 1, int(pdf["col"].max()) - ox + 1), np.nan)
-        board[pdf["row"].to_numpy() - oy, pdf["col"].to_numpy() - ox] = pdf["v"].to_numpy()
+        rows = reflected(top, bottom, head["r0"], head["r1"])
+        cols = reflected(left, right, head["c0"], head["c1"])
+        oy, ox = int(row.min()), int(col.min())
+        board = np.full((int(row.max()) - oy + 1, int(col.max()) - ox + 1), np.nan)
+        board[row - oy, col - ox] = table["v"].to_numpy()
         padded = board[np.ix_(rows - oy, cols - ox)]
         med = np.median(np.lib.stride_tricks.sliding_window_view(padded, (window, window)), axis=(2, 3))
-        inner = pdf[pdf["row"].between(top, bottom) & pdf["col"].between(left, right)]
-        res = inner[[*keys, "row", "col"]].copy()
-        res[out] = med[inner["row"].to_numpy() - top, inner["col"].to_numpy() - left]
-        return res
+        inner = (row >= top) & (row <= bottom) & (col >= left) & (col <= right)
+        kept = table.select([*keys, "row", "col"]).filter(pa.array(inner))
+        return kept.append_column(out, pa.array(med[row[inner] - top, col[inner] - left]))
 
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     schema = f"{names}, row {kinds['row']}, col {kinds['col']}, {out} double"
-    return c.groupBy(*keys, "ty", "tx").applyInPandas(one_tile, schema)
+    return c.groupBy(*keys, "ty", "tx").applyInArrow(one_tile, schema)
 
 
 def flag_cells(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, bin_width: float = 0.0005,
                edge: int = S.GRID_EDGE_CELLS) -> DataFrame:
     """PRJ-08: (keys, row, col, value, anomaly, clear, flagged) of full daily grids.
 
-    ``cells`` must hold every cell, null where there was no view.
+    ``cells`` must hold every cell, null where there was no view. It is read four times (median,
+    cloud edge, extents, values), so it is written once to a durable checkpoint instead of being
+    derived again for each.
     """
     keys = list(keys)
     at = [*keys, "row", "col"]
     value = F.nanvl(F.col("value"), F.lit(None).cast("double"))
-    cells = cells.select(*at, value.alias("value"))
+    cells = durable_checkpoint(cells.select(*at, value.alias("value")))
     mid = group_median(cells, keys, "value", "_mid", bin_width=bin_width)
     filled = cells.join(mid, keys).withColumn("filled", F.coalesce("value", "_mid")).drop("_mid")
-    background = local_median(filled, keys, window)
+    background = local_median(filled, keys, window, extent_of=cells)
     cloudy = dilate(cells.where(F.col("value").isNull()), keys, edge).withColumn("_edge", F.lit(True))
     f = filled.join(background, at).join(cloudy, at, "left")
     clear = F.col("value").isNotNull() & F.col("_edge").isNull() & ~(F.col("value") >= S.GRID_SATURATED)
@@ -194,28 +198,25 @@ def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE, max_roun
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ty long", "tx long", "row long", "col long",
                         "lr long", "lc long"])
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = set(zip(pdf["row"].tolist(), pdf["col"].tolist()))
-        home = {}
+    def local(table: pa.Table) -> pa.Table:
+        cells_here = list(zip(table["row"].to_pylist(), table["col"].to_pylist()))
+        todo, home = set(cells_here), {}
         for start in sorted(todo):
             if start in home:
                 continue
             home[start], stack = start, [start]
             while stack:
                 r, q = stack.pop()
-                for a in (-1, 0, 1):
-                    for b in (-1, 0, 1):
-                        n = (r + a, q + b)
-                        if n in todo and n not in home:
-                            home[n] = start
-                            stack.append(n)
-        out = pdf[[*keys, "ty", "tx", "row", "col"]].copy()
-        marks = [home[p] for p in zip(pdf["row"].tolist(), pdf["col"].tolist())]
-        out["lr"], out["lc"] = [m[0] for m in marks], [m[1] for m in marks]
-        return out
+                for n in [(r + a, q + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                    if n in todo and n not in home:
+                        home[n] = start
+                        stack.append(n)
+        out = table.select([*keys, "ty", "tx", "row", "col"])
+        out = out.append_column("lr", pa.array([home[c][0] for c in cells_here], pa.int64()))
+        return out.append_column("lc", pa.array([home[c][1] for c in cells_here], pa.int64()))
 
     name = lambda r, q: F.concat_ws(":", *[F.col(k).cast("string") for k in keys], r.cast("string"), q.cast("string"))
-    labelled = c.groupBy(*keys, "ty", "tx").applyInPandas(local, schema)
+    labelled = c.groupBy(*keys, "ty", "tx").applyInArrow(local, schema)
     labelled = durable_checkpoint(labelled.withColumn("label", name(F.col("lr"), F.col("lc"))).drop("lr", "lc"))
     rim = labelled.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
     step = neighbours(rim.select(*keys, "row", "col", F.col("label").alias("a"), F.col("ty").alias("ay"),

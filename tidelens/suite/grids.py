@@ -51,7 +51,7 @@ def local_median(v):
     full = v.full_cells
     mid = group_median(full, ["scene", "day"], "value", "_mid", bin_width=0.0005)
     filled = full.join(mid, ["scene", "day"]).withColumn("filled", F.coalesce("value", "_mid"))
-    return GR.local_median(filled, ["scene", "day"], WINDOW).withColumn("background", F.round("background", 7))
+    return GR.local_median(filled, ["scene", "day"], WINDOW, extent_of=full).withColumn("background", F.round("background", 7))
 
 
 @query("agg_24_field_median", """
