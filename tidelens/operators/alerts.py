@@ -66,51 +66,75 @@ def sliding_requests(requests: DataFrame, client: str, ts: str, window_s: int =
     return counted.where(F.floor(F.col("_t") / span) == F.col("_blk")).drop("_t", "_blk")
 
 
-def first_of_cooldown(events: DataFrame, keys: list[str], ts: str, hours: float) -> DataFrame:
-    """STM-01 batch twin: the events that alert when each silences its key for some hours.
+def _stretches(events: DataFrame, keys: list[str], gap_us: int, touching: bool) -> DataFrame:
+    """``events`` (keys.., us) with the number of the busy stretch each falls in.
+
+    A stretch ends where two neighbours are a whole gap apart (with ``touching``, exactly a gap still
+    joins them). Times inside one gap-wide bucket are closer than that, so the breaks can be read from
+    the first and last time per bucket: the window runs on those few rows, not on the events.
+    """
+    e = events.withColumn("_b", F.floor(F.col("us") / gap_us))
+    ends = e.groupBy(*keys, "_b").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"))
+    w = W.partitionBy(*keys).orderBy("_b")
+    quiet = F.col("_lo") - F.lag("_hi").over(w)
+    joined = quiet <= gap_us if touching else quiet < gap_us
+    ends = ends.withColumn("_new", F.when(joined, 0).otherwise(1))
+    ends = ends.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).select(*keys, "_b", "_run")
+    return e.join(ends, [*keys, "_b"]).drop("_b")
+
 
-    The rule looks only at the last alert, and a run of events ends where two neighbours are a whole
-    cool-down apart. Such quiet gaps restart the rule, so each key falls into independent stretches;
-    the fold runs per stretch on its distinct times.
+def _walk(events: DataFrame, keys: list[str], order: list[str], accept) -> DataFrame:
+    """Rows for which ``accept(state, us)`` holds, walked in order inside each stretch.
+
+    Stretches are spread over the cluster and sorted there; a task streams its rows in Arrow batches
+    and keeps only the state of the current stretch, so a busy key is never held in memory.
     """
+    group = [*keys, "_run"]
+    spread = events.repartition(*group).sortWithinPartitions(*group, *order)
+
+    def walk(batches):
+        current, state = None, []
+        for pdf in batches:
+            keep = []
+            for key, us in zip(zip(*(pdf[c] for c in group)), pdf["us"]):
+                if key != current:
+                    current, state = key, []
+                keep.append(accept(state, us))
+            yield pdf[keep]
+
+    return spread.mapInPandas(walk, spread.schema)
+
+
+def first_of_cooldown(events: DataFrame, keys: list[str], ts: str, hours: float) -> DataFrame:
+    """STM-01 batch twin: the events that alert when each silences its key for some hours."""
     gap = int(hours * 3600 * 1_000_000)
-    t = events.select(*keys, F.unix_micros(ts).alias("_t")).distinct()
-    w = W.partitionBy(*keys).orderBy("_t")
-    t = t.withColumn("_new", F.when(F.col("_t") - F.lag("_t").over(w) < gap, 0).otherwise(1))
-    t = t.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    kept = F.aggregate(F.array_sort(F.collect_list("_t")), F.array().cast("array<bigint>"),
-                       lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap),
-                                             F.concat(acc, F.array(x))).otherwise(acc))
-    return t.groupBy(*keys, "_run").agg(kept.alias("k")).select(*keys, F.explode("k").alias("_t")).select(
-        *keys, F.timestamp_micros("_t").alias(ts))
+
+    def accept(state, us):
+        if state and us - state[0] < gap:
+            return False
+        state[:] = [us]
+        return True
+
+    times = events.select(*keys, F.unix_micros(ts).alias("us")).distinct()
+    kept = _walk(_stretches(times, keys, gap, False), keys, ["us"], accept)
+    return kept.select(*keys, F.timestamp_micros("us").alias(ts))
 
 
 def accepted_requests(requests: DataFrame, client: str, ts: str, order: str, window_s: int = S.LIMIT_WINDOW_S,
                       limit: int = S.LIMIT_REQUESTS) -> DataFrame:
-    """STM-02 batch twin: exact limiter in which only accepted requests count.
+    """STM-02 batch twin: exact limiter in which only accepted requests count. Its state is at most
+    ``limit`` times."""
+    span = window_s * 1_000_000
 
-    A pause of a whole window empties the limiter, so each client falls into independent stretches and
-    the fold runs per stretch. Its state is at most ``limit`` times. It reads the stretch in batches, so
-    a long stretch is streamed, not held.
-    """
-    w = W.partitionBy(client).orderBy(ts, order)
-    us = F.unix_micros(ts)
-    r = requests.select(client, ts, order).withColumn("_us", us)
-    r = r.withColumn("_new", F.when(F.col("_us") - F.lag("_us").over(w) <= window_s * 1_000_000, 0).otherwise(1))
-    r = r.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    item = F.struct("_us", F.col(order))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast(f"array<bigint>").alias("ok")),
-        lambda acc, x: _limit_step(acc, x, order, window_s, limit))
-    return r.groupBy(client, "_run").agg(fold["ok"].alias("ok")).select(client, F.explode("ok").alias(order))
-
-
-def _limit_step(acc, x, order, window_s, limit):
-    live = F.filter(acc["live"], lambda t: x["_us"] - t <= window_s * 1_000_000)
-    room = F.size(live) < limit
-    return F.struct(F.when(room, F.concat(live, F.array(x["_us"]))).otherwise(live).alias("live"),
-                    F.when(room, F.concat(acc["ok"], F.array(x[order]))).otherwise(acc["ok"]).alias("ok"))
+    def accept(state, us):
+        state[:] = [t for t in state if us - t <= span]
+        if len(state) >= limit:
+            return False
+        state.append(us)
+        return True
+
+    r = requests.select(client, order, F.unix_micros(ts).alias("us"))
+    return _walk(_stretches(r, [client], span, True), [client], ["us", order], accept).select(client, order)
 
 
 def clamp_arrivals(stops: DataFrame, hours: str, present: int = S.PRESENT_HOURS) -> DataFrame:

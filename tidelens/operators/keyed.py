@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelens.session import durable_checkpoint
+
 
 def latest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """WIN-01: every row whose time equals its key's maximum, ties kept.
@@ -75,9 +77,10 @@ def dense_number(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     """1-based number in a global order without a single-task window.
 
     Rows are range-partitioned, numbered inside their partition, and shifted by the row counts of
-    the earlier partitions (one small row per partition).
+    the earlier partitions (one small row per partition). The partition numbers are pinned by a
+    durable checkpoint, because the range bounds come from a sample and would differ if read twice.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    ranged = durable_checkpoint(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_pid").orderBy(*order)))
     sizes = ranged.groupBy("_pid").count()
     offsets = sizes.withColumn("_off", F.coalesce(

@@ -74,12 +74,12 @@ def dilation(v):
 
 
 @query("jon_27_neighbour_mean", """
-    SELECT c.scene, c.day, c."row", c.col, count(n.value) AS n, round(avg(n.value), 7) AS mean FROM cells_v c JOIN cells_v n ON n.scene = c.scene AND n.day = c.day
+    SELECT c.scene, c.day, c."row", c.col, count(n.value) AS n, round(avg(n.value), 10) AS mean FROM cells_v c JOIN cells_v n ON n.scene = c.scene AND n.day = c.day
     AND abs(n."row" - c."row") <= 1 AND abs(n.col - c.col) <= 1 AND (n."row" <> c."row" OR n.col <> c.col) GROUP BY ALL""", "cells_v")
 def neighbour_mean(v):
     near = GR.neighbours(v.cells, GR.offsets(1, centre=False))
     at = ["scene", "day", "row", "col"]
-    return v.cells.select(*at).join(near, at).groupBy(*at).agg(F.count("value").alias("n"), F.round(F.avg("value"), 7).alias("mean"))
+    return v.cells.select(*at).join(near, at).groupBy(*at).agg(F.count("value").alias("n"), F.round(F.avg("value"), 10).alias("mean"))
 
 
 @query("win_03_latest_clear", f"""

@@ -78,13 +78,13 @@ def point_view(v):
 
 
 @query("geo_08_patch_centroid", """
-    SELECT CAST(run_at AS VARCHAR) AS run_at, source, round(avg(lon), 5) AS centroid_lon,
-           round(degrees(2 * atan(exp(avg(ln(tan(radians(lat) / 2 + pi() / 4))))) - pi() / 2), 5) AS centroid_lat
+    SELECT CAST(run_at AS VARCHAR) AS run_at, source, round(avg(lon), 10) AS centroid_lon,
+           round(degrees(2 * atan(exp(avg(ln(tan(radians(lat) / 2 + pi() / 4))))) - pi() / 2), 8) AS centroid_lat
     FROM detections_v GROUP BY 1, 2""", "detections_v")
 def patch_centroid(v):
     y = F.avg(G.mercator_y(F.col("lat")))
     return v.detections.groupBy(F.col("run_at").cast("string").alias("run_at"), "source").agg(
-        F.round(F.avg("lon"), 5).alias("centroid_lon"), F.round(G.mercator_lat(y), 5).alias("centroid_lat"))
+        F.round(F.avg("lon"), 10).alias("centroid_lon"), F.round(G.mercator_lat(y), 8).alias("centroid_lat"))
 
 
 @query("jon_02_pair_distances", f"""

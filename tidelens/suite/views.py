@@ -108,7 +108,7 @@ SQL = {
         FROM customer"""),
     # zone forecasts: one row per (day, zone) from the day's event values
     "forecasts_v": ("", """
-        SELECT row_number() OVER (ORDER BY run_at, zone_id) AS id, run_at, zone_id, area, n,
+        SELECT CAST(epoch(run_at) AS BIGINT) // 86400 * 100 + zone_id AS id, run_at, zone_id, area, n,
                CASE WHEN area < 0.5 THEN 'none' WHEN area < 5 THEN 'low' WHEN area < 25 THEN 'medium' ELSE 'high' END AS risk_level,
                CASE WHEN n % 3 = 0 THEN NULL ELSE CAST(n % 72 AS INT) END AS eta_hours,
                CASE zone_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'v1' ELSE 'v2' END AS model_version
@@ -138,7 +138,7 @@ SQL = {
         FROM forecasts_v, (SELECT unnest([7, 14, 21]) AS lead_days)"""),
     # beach forecasts and zone map of the beaches
     "beach_forecasts_v": ("", """
-        SELECT row_number() OVER (ORDER BY run_at, beach_name) AS id, run_at, beach_name, area,
+        SELECT CAST(epoch(run_at) AS BIGINT) // 86400 * 10000000 + CAST(beach_name AS BIGINT) AS id, run_at, beach_name, area,
                CASE WHEN area < 0.1 THEN 'none' WHEN area < 5 THEN 'low' WHEN area < 25 THEN 'medium' ELSE 'high' END AS risk_level
         FROM (SELECT date_trunc('day', ts) AS run_at, CAST(user_id AS VARCHAR) AS beach_name, round(sum(value), 2) / 150 AS area
               FROM events GROUP BY 1, 2)"""),
@@ -321,13 +321,11 @@ class Views:
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        from tidelens.operators.keyed import dense_number
-
         n, z = F.col("n"), F.col("zone_id")
         hz = F.transform(F.array(*[F.lit(h) for h in S.HORIZONS]), lambda h: F.struct(
             h.alias("horizon_hours"), self.level(F.col("area") * (1 + h / 48.0)).alias("risk_level"),
             (F.col("area") * (1 + h / 48.0)).alias("area_km2"), F.timestamp_add("HOUR", h, F.col("run_at")).alias("valid_at")))
-        f = dense_number(self._forecast_base, [F.col("run_at"), z], "id")
+        f = self._forecast_base.withColumn("id", F.floor(F.unix_seconds("run_at") / 86400) * 100 + z)
         return f.select("id", "run_at", "zone_id", "area", "n", self.level(F.col("area")).alias("risk_level"),
                         F.when(n % 3 != 0, (n % 72).cast("int")).alias("eta_hours"),
                         F.when(z % 3 == 1, "v1").when(z % 3 == 2, "v2").alias("model_version"), hz.alias("horizons"))
@@ -353,10 +351,9 @@ class Views:
 
     @cached_property
     def beach_forecasts(self) -> DataFrame:
-        from tidelens.operators.keyed import dense_number
-
         g = self.events.groupBy(F.date_trunc("day", "ts").alias("run_at"), F.col("user_id").cast("string").alias("beach_name"))
-        b = dense_number(g.agg((F.round(F.sum("value"), 2) / 150).alias("area")), [F.col("run_at"), F.col("beach_name")], "id")
+        b = g.agg((F.round(F.sum("value"), 2) / 150).alias("area")).withColumn(
+            "id", F.floor(F.unix_seconds("run_at") / 86400) * 10000000 + F.col("beach_name").cast("bigint"))
         hz = F.transform(F.array(*[F.lit(h) for h in S.HORIZONS]), lambda h: F.struct(
             h.alias("horizon_hours"), self.level(F.col("area") * (1 + h / 48.0), 0.1).alias("risk_level"),
             F.timestamp_add("HOUR", h, F.col("run_at")).alias("valid_at")))
