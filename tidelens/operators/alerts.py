@@ -54,16 +54,17 @@ def accept_reports(reports: DataFrame, beaches: DataFrame, today: Column) -> tup
 def sliding_requests(requests: DataFrame, client: str, ts: str, window_s: int = S.LIMIT_WINDOW_S) -> DataFrame:
     """WIN-17: requests of the client in the last minute, this one included.
 
-    Partitioned by client and two-window time block (each row also serves the next block), so a busy
-    client is many groups, not one.
+    Requests are counted per (client, time) first, and the running count is partitioned by client and
+    two-window time block (each time also serves the next block), so a busy client is many small
+    groups, not one.
     """
-    micros = F.unix_micros(F.col(ts))
     span = window_s * 1_000_000
-    block = F.floor(micros / span)
-    r = requests.withColumn("_t", micros).withColumn("_blk", F.explode(F.array(block, block + 1)))
-    counted = r.withColumn("requests", F.count("*").over(
-        W.partitionBy(client, "_blk").orderBy("_t").rangeBetween(-span, 0)))
-    return counted.where(F.floor(F.col("_t") / span) == F.col("_blk")).drop("_t", "_blk")
+    r = requests.withColumn("_t", F.unix_micros(F.col(ts)))
+    block = F.floor(F.col("_t") / span)
+    times = r.groupBy(client, "_t").agg(F.count("*").alias("_n")).withColumn("_blk", F.explode(F.array(block, block + 1)))
+    w = W.partitionBy(client, "_blk").orderBy("_t").rangeBetween(-span, 0)
+    counts = times.withColumn("requests", F.sum("_n").over(w)).where(block == F.col("_blk"))
+    return r.join(counts.select(client, "_t", "requests"), [client, "_t"]).drop("_t")
 
 
 def _stretches(events: DataFrame, keys: list[str], gap_us: int, touching: bool) -> DataFrame:
