@@ -136,10 +136,10 @@ CLUSTERS = """
 
 @query("agg_04_clusters", f"""
     WITH RECURSIVE {FULL}, {BG}, {FLAGS}, {LATEST}, {COMP}, {CLUSTERS.replace('SELECT scene, k,', 'SELECT scene, comp.k AS k,')}
-    SELECT scene, round(clat, 5) AS centroid_lat, round(clon, 5) AS centroid_lon, round(area, 6) AS area_km2, n_cells, last_day FROM cl""", "cells_v")
+    SELECT scene, round(clat, 10) AS centroid_lat, round(clon, 10) AS centroid_lon, round(area, 6) AS area_km2, n_cells, last_day FROM cl""", "cells_v")
 def clusters(v):
     c = GR.cluster_stats(cluster_cells(v), ["scene"])
-    return c.select("scene", F.round("centroid_lat", 5).alias("centroid_lat"), F.round("centroid_lon", 5).alias("centroid_lon"),
+    return c.select("scene", F.round("centroid_lat", 10).alias("centroid_lat"), F.round("centroid_lon", 10).alias("centroid_lon"),
                     F.round("area_km2", 6).alias("area_km2"), "n_cells", "last_day")
 
 
@@ -288,12 +288,12 @@ def patches(v, min_km2=0.006):
 
 
 @query("agg_05_prj_06_patches", f"""
-    WITH RECURSIVE {PATCH} SELECT scene, CAST(obs_ms AS BIGINT) AS obs_ms, round(mean_anomaly, 6) + 0.0 AS mean_anomaly, round(area, 6) AS area_km2, round(clat, 5) AS centroid_lat,
-      round(clon, 5) AS centroid_lon, n_cells, round(area * least(1.0, greatest(0.0, mean_anomaly / 0.08)), 7) + 0.0 AS covered_km2 FROM patch WHERE area >= 0.006""")
+    WITH RECURSIVE {PATCH} SELECT scene, CAST(obs_ms AS BIGINT) AS obs_ms, round(mean_anomaly, 6) + 0.0 AS mean_anomaly, round(area, 6) AS area_km2, round(clat, 8) AS centroid_lat,
+      round(clon, 10) AS centroid_lon, n_cells, round(area * least(1.0, greatest(0.0, mean_anomaly / 0.08)), 7) + 0.0 AS covered_km2 FROM patch WHERE area >= 0.006""")
 def patch_reduce(v):
     p = patches(v)
-    return p.select("scene", "obs_ms", (F.round("mean_anomaly", 6) + F.lit(0.0)).alias("mean_anomaly"), F.round("area_km2", 6).alias("area_km2"), F.round("centroid_lat", 5).alias("centroid_lat"),
-                    F.round("centroid_lon", 5).alias("centroid_lon"), "n_cells", (F.round("covered_km2", 7) + F.lit(0.0)).alias("covered_km2"))
+    return p.select("scene", "obs_ms", (F.round("mean_anomaly", 6) + F.lit(0.0)).alias("mean_anomaly"), F.round("area_km2", 6).alias("area_km2"), F.round("centroid_lat", 8).alias("centroid_lat"),
+                    F.round("centroid_lon", 10).alias("centroid_lon"), "n_cells", (F.round("covered_km2", 7) + F.lit(0.0)).alias("covered_km2"))
 
 
 @query("udf_02_combined_reducers", f"""
