@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelens.llm import chat, fingerprint, pieces, token_count, url_rules
+from tidelens.llm import chat, decontaminate, fingerprint, language, near_dup, pieces, quality, token_count, url_rules
 from tidelens.llm.common import held_out
 
 
@@ -32,6 +32,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    net = quality.train(docs, labels.where(~held_out()))
+    scored = quality.score_quality(docs, net).withColumn("held_out", held_out())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of turns is a tree whose messages each answer the one before."""
     said = "</s>[INST] ok [/INST]"
@@ -43,16 +50,32 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_trees(messages, tree="conv_id"), tree="conv_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(~held_out()))
+    found = language.detect(docs.select("doc_id", "text"), model).withColumn("held_out", held_out())
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op4_chat_format, op6_token_counts, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_quality, op4_chat_format, op5_decontamination,
+                                     op6_token_counts, op7_language, op9_near_duplicates, op10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
