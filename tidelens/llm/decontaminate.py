@@ -211,3 +211,21 @@ def _scan(docs, items, width, similarity, doc_id, text, item_id, benchmark):
                 names=[doc_id, item_id, "similarity", "first_word", "n_words"])
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text",
+                         item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which ``contaminated`` finds no item. No shuffle; a null text stays."""
+    spark, out = docs.sparkSession, docs
+    for block in _item_blocks(benchmark, item_id, item_text):
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = Benchmark(held.value, width, similarity)
+            for batch in batches:
+                clean = [not (t and known.matches(t)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        at = docs.columns.index(text)
+        out = out.mapInArrow(run, docs.schema)
+    return out

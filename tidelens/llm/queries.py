@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelens.llm import chat, decontaminate, fingerprint, language, near_dup, pieces, quality, token_count, url_rules
+from tidelens.llm import chat, decontaminate, fingerprint, language, near_dup, pieces, quality, suffixes, token_count, url_rules
 from tidelens.llm.common import held_out
 
 
@@ -67,6 +67,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
@@ -77,5 +82,6 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_quality, op4_chat_format, op5_decontamination,
-                                     op6_token_counts, op7_language, op9_near_duplicates, op10_pieces)}
+                                     op6_token_counts, op7_language, op8_repeated_strings, op9_near_duplicates,
+                                     op10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
