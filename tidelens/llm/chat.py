@@ -62,14 +62,15 @@ def paths(messages: DataFrame, keep: int = 1, tree: str = "tree_id", msg: str =
     Self-joins that double their reach give every message its distance and summed score from the
     root; leaves are ranked in their tree by mean score of the path, ties by the smaller leaf id;
     the stored reaches then enumerate the ancestors of the chosen leaves only, again doubling. The
-    number of joins is the logarithm of the depth, and ids alone move. A parent that does not exist
+    number of joins is the logarithm of the depth, and ids alone move. Files of ids are far smaller
+    than their rows, so the joins are told not to be broadcast on the files' size. A parent that does not exist
     makes a root; messages on a cycle of parents are on no path; a null score is 0. Message ids are
     unique in a tree; rows without one are on no path.
     """
     nodes = messages.select(_tree_key(tree).alias("_tree"), F.col(msg).alias("msg"), F.col(parent).alias("up"),
                             F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("sum")).where(F.col("msg").isNotNull())
     known = nodes.select("_tree", F.col("msg").alias("up"), F.lit(True).alias("_there"))
-    reach = nodes.join(known, ["_tree", "up"], "left").select(
+    reach = nodes.join(known.hint("merge"), ["_tree", "up"], "left").select(
         "_tree", "msg", F.when(F.col("_there"), F.col("up")).alias("up"), "sum", F.lit(1).cast("long").alias("n"))
     reaches, most = [], None
     while True:
@@ -80,17 +81,17 @@ def paths(messages: DataFrame, keep: int = 1, tree: str = "tree_id", msg: str =
         if not open_ or len(reaches) > most:
             break
         far = reach.select("_tree", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("n").alias("_n"))
-        reach = reach.join(far, ["_tree", "up"], "left").select(
+        reach = reach.join(far.hint("merge"), ["_tree", "up"], "left").select(
             "_tree", "msg", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
             (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
     rooted = reach.where(F.col("up").isNull())
     parents = reaches[0].select("_tree", F.col("up").alias("msg")).distinct()
-    leaves = rooted.join(parents, ["_tree", "msg"], "left_anti")
+    leaves = rooted.join(parents.hint("merge"), ["_tree", "msg"], "left_anti")
     order = W.partitionBy("_tree").orderBy(F.desc(F.col("sum") / F.col("n")), "msg")
     walk = (leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
             .select("_tree", "branch", F.col("n").alias("seq"), "msg"))
     for k, up in enumerate(reaches):
-        higher = walk.join(up, ["_tree", "msg"]).select("_tree", "branch", (F.col("seq") - 2**k).alias("seq"), F.col("up").alias("msg"))
+        higher = walk.join(up.hint("merge"), ["_tree", "msg"]).select("_tree", "branch", (F.col("seq") - 2**k).alias("seq"), F.col("up").alias("msg"))
         walk = walk.unionByName(higher)
     return walk
 
@@ -105,7 +106,7 @@ def format_trees(messages: DataFrame, keep: int = 1, tree: str = "tree_id", msg:
     """
     said = messages.select(_tree_key(tree).alias("_tree"), F.col(tree).alias("_id"), F.col(msg).alias("msg"),
                            F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    turns = (paths(messages, keep, tree, msg, parent, score).join(said, ["_tree", "msg"])
+    turns = (paths(messages, keep, tree, msg, parent, score).join(said.hint("merge"), ["_tree", "msg"])
              .groupBy("_tree", "branch").agg(F.first("_id").alias(tree), F.sort_array(F.collect_list(
                  F.struct("seq", "_role", "_text"))).alias("turns")).select(tree, "branch", "turns"))
     schema = turns.select(tree, "branch", F.lit("").alias("formatted"), F.array(F.lit(0).cast("long")).alias("loss_spans")).schema

@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
 def _with_sets(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     """Rows (doc_id, set) of the documents in the pairs; of repeated ids one text stands for all."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).join(ids, "doc_id", "left_semi")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).join(ids.hint("merge"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +101,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
                 keep.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -111,7 +111,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps: every id links its larger neighbours, then all others, to the
     smallest it knows, until no link changes. Minima are aggregated before they are joined back, so
-    a hub is never gathered.
+    a hub is never gathered. Files of ids are far smaller than their rows, so joins here and below
+    are told not to be broadcast on the files' size.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
@@ -122,9 +123,9 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = (both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (large.join(down.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         edges = stored(small)
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
@@ -149,7 +150,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         "s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"))
     member = classes.select("rep", "n", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(member.join(buckets, "key").select("key", "rep", "n", "lead", "lead_n", "size"))
+    shared = stored(member.join(buckets.hint("merge"), "key").select("key", "rep", "n", "lead", "lead_n", "size"))
 
     def alike(n: Column, m: Column) -> Column:  # sizes too far apart rule the similarity out
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -161,11 +162,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     groups = stored(components(links))
     first = 2
     while True:
-        named = (shared.where("size > 2").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+        named = (shared.where("size > 2").join(groups.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
                  .withColumn("group", F.coalesce("component", "rep")))
         mixed = named.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.max("size").alias("s")).where(
             (F.col("x") != F.col("y")) & (F.col("s") > first)).select("key")
-        rows = stored(named.join(mixed, "key").select(
+        rows = stored(named.join(mixed.hint("merge"), "key").select(
             "key", "rep", "n", "group", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("nth")))
         if rows.isEmpty():
             break
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
             F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("group").alias("bg"), F.col("nth").alias("bnth"))
         fresh = (rows.join(lead, (F.col("key") == F.col("k")) & (F.col("nth") > F.col("bnth")) & (F.col("group") != F.col("bg"))
                            & alike(F.col("n"), F.col("bn"))).select(F.col("rep").alias("a"), "b").distinct()
-                 .join(done, ["a", "b"], "left_anti"))
+                 .join(done.hint("merge"), ["a", "b"], "left_anti"))
         fresh = stored(fresh)
         if not fresh.isEmpty():
             more = stored(verified(fresh, docs, width, percent, doc_id, text))
@@ -182,10 +183,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
                 links = stored(links.unionByName(more))
                 groups = stored(components(links))
         first *= 2
-    rep = classes.select("s1", "s2", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
+    rep = classes.select("s1", "s2", "rep").join(groups.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component"))
     empty = F.col("n_shingles") == 0
-    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep, ["s1", "s2"], "left")
+    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.hint("merge"), ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull() | empty, F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
