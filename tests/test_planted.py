@@ -122,27 +122,48 @@ def test_hull_of_a_block(spark):
 
 # ---- distances -------------------------------------------------------------
 
-def test_radius_join_with_a_hot_bucket_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(SP, "HOT_BUCKET_ROWS", 20)
+def test_radius_join_equals_brute_force_everywhere(spark):
     rng = random.Random(2)
-    pts = [(i, 18.5, -69.9) if i % 3 == 0 else (i, rng.uniform(17.5, 20), rng.uniform(-72, -68)) for i in range(300)]
-    pls = [(j, rng.uniform(17.5, 20), rng.uniform(-72, -68)) for j in range(40)] + [(99, 18.51, -69.9)]
+    around = [(0, 0), (45, 10), (60, 179.9), (-60, -179.9), (89.9, 0), (-89.95, 120), (18.5, -69.9)]
+    near = lambda: (lambda c: (max(-90.0, min(90.0, c[0] + rng.uniform(-0.4, 0.4))), (c[1] + rng.uniform(-0.9, 0.9) + 180) % 360 - 180))(rng.choice(around))
+    pts = [(i, 18.5, -69.9) if i % 3 == 0 else (i, *near()) for i in range(400)] + [(900, None, 1.0), (901, 60.0, None)]
+    pls = [(j, *near()) for j in range(120)] + [(990, 18.51, -69.9), (991, 90.0, 5.0), (992, 0.0, 180.0)]
     a = spark.createDataFrame(pts, "id int, lat double, lon double")
     b = spark.createDataFrame(pls, "pid int, p_lat double, p_lon double")
-    joined = SP.salted_join(a.withColumn("k", (F.col("id") % 3 == 0).cast("int")), b.withColumn("k", (F.col("pid") > 50).cast("int")), ["k"], rows=20)
-    assert joined.count() == 100 * 1 + 200 * 40
-    got = sorted((r["id"], r["pid"]) for r in SP.radius_join(a, b, 25.0).collect())
-    want = sorted((i, j) for i, la, lo in pts for j, pa, po in pls if hav(la, lo, pa, po) <= 25)
-    assert got == want and len(got) > 100
+    for km in (25.0, 300.0, 9000.0, 21000.0):
+        got = sorted((r["id"], r["pid"]) for r in SP.radius_join(a, b, km).collect())
+        want = sorted((i, j) for i, la, lo in pts if la is not None and lo is not None for j, pa, po in pls if hav(la, lo, pa, po) <= km)
+        assert got == want and len(got) > 100
 
 
-def test_both_nearest_forms_agree_and_ties_take_the_lowest_id(spark):
+def test_nearest_equals_brute_force_and_ties_take_the_lowest_id(spark):
     rng = random.Random(4)
-    a = spark.createDataFrame([(i, rng.uniform(10, 30), rng.uniform(-90, -50)) for i in range(60)] + [(100, 18.0, -70.0)], "id int, lat double, lon double")
-    z = spark.createDataFrame([(1, 18.0, -69.0), (2, 18.0, -71.0), (3, 25.0, -60.0), (0, 18.0, -71.0)], "zid int, zlat double, zlon double")
-    x = {r["id"]: r["near"]["id"] for r in SP.nearest(a, z, "zid", ("zlat", "zlon")).collect()}
-    y = {r["id"]: r["near"]["id"] for r in SP.nearest_by_rounds(a, z, "zid", ("zlat", "zlon")).collect()}
-    assert x == y and x[100] == 0
+    spot = lambda: (rng.uniform(-90, 90), rng.uniform(-180, 180))
+    pts = [(i, *spot()) for i in range(200)] + [(i, 18 + rng.random(), -70 + rng.random()) for i in range(200, 300)] + [(500, -40.0, 100.0), (501, 90.0, 180.0)]
+    pls = [(1, -40.0, 101.0), (0, -40.0, 99.0), (2, -40.0, 99.0)] + [(j, *spot()) for j in range(10, 40)] + [(j, 18.5, -70 + j / 1000) for j in range(100, 3100)]
+    a = spark.createDataFrame(pts + [(600, None, None)], "id int, lat double, lon double")
+    z = spark.createDataFrame(pls, "zid int, zlat double, zlon double")
+    got = {r["id"]: r["near"] for r in SP.nearest(a, z, "zid", ("zlat", "zlon")).collect()}
+    assert got.pop(600) is None and len(got) == len(pts)
+    for i, la, lo in pts:
+        best = min((hav(la, lo, pa, po), j) for j, pa, po in pls)
+        assert abs(got[i]["dist"] - best[0]) < 1e-6 and (i != 500 or got[i]["id"] == 0)
+
+
+def test_zone_state_of_many_zones_equals_brute_force(spark):
+    rng = random.Random(5)
+    dets = [(f"2026-01-0{1 + i % 2} 00:00:00", 18 + rng.random() * 4, -72 + rng.random() * 6, rng.random()) for i in range(150)]
+    zones = [(j, rng.uniform(10, 30), rng.uniform(-80, -55)) for j in range(2100)]
+    d = spark.createDataFrame(dets, "run_at string, lat double, lon double, area_km2 double")
+    z = spark.createDataFrame(zones, "zone_id int, center_lat double, center_lon double")
+    got = {(r["run_at"], r["zone_id"]): r for r in SP.zone_state(d, z).collect()}
+    assert len(got) == 4200
+    for j, la, lo in zones[::20]:
+        for run in {r for r, *_ in dets}:
+            own = [(hav(a, b, la, lo), area) for r, a, b, area in dets if r == run]
+            row = got[run, j]
+            assert abs(row["nearest_km"] - min(own)[0]) < 1e-6 and row["patch_count"] == len(own)
+            assert abs(row["zone_area_km2"] - sum(a for k, a in own if k <= 200)) < 1e-9
 
 
 def test_match_within_radius_both_ways(spark):

@@ -149,7 +149,7 @@ def enrich_reports(reports: DataFrame, beaches: DataFrame, zones: DataFrame, now
     from tidelens.operators.spatial import nearest
 
     b = nearest(beaches.select("beach_name", "latitude", "longitude"), zones, "zone_id", ("center_lat", "center_lon"),
-                ("latitude", "longitude"), point_id=["beach_name"])
+                ("latitude", "longitude"))
     b = b.select("beach_name", "latitude", "longitude", F.col("near.id").alias("zone_id"))
     stamp = F.when(F.col("observed_on") == D.local_day(now), now)
     return reports.join(b, "beach_name").withColumn("observed_at", stamp)

@@ -114,41 +114,59 @@ def translate_array(column: str, vocabulary: dict[str, str]) -> Column:
     return F.when(F.size(F.coalesce(F.col(column), F.array())) == 0, "N/A").otherwise(text)
 
 
+def _grams(text: Column) -> Column:
+    """Distinct pieces of one, two and three letters of a text."""
+    start = F.sequence(F.lit(1), F.length(text))
+    pieces = F.flatten(F.transform(start, lambda i: F.array(*[F.substr(text, i, F.lit(n)) for n in (1, 2, 3)])))
+    return F.when(F.length(text) > 0, F.array_distinct(pieces))
+
+
+def _containing(needles: DataFrame, needle: str, names: DataFrame, folded: str) -> DataFrame:
+    """Pairs of a needle and a row of ``names`` whose folded text holds it.
+
+    A text that holds a needle holds the needle's first letters; needles and names meet on those
+    (three, or as many as the needle has), and only such pairs are compared.
+    """
+    own = needles.withColumn("_gram", F.substring(needle, 1, 3)).where(F.length(needle) > 0)
+    index = names.withColumn("_gram", F.explode(_grams(F.col(folded))))
+    return own.join(index, "_gram").where(F.col(folded).contains(F.col(needle))).drop("_gram")
+
+
 def match_names(queries: DataFrame, query: str, names: DataFrame, name: str, limit: int = 8) -> DataFrame:
     """STR-07 / SRT-06: distinct query text to (status, match, candidates).
 
     Exact match on the folded name with or without its leading "playa "; else a unique substring;
-    else ambiguous, with the first names in order. Query texts are reduced to distinct ones, and the
-    catalogue (a closed list, size checked) is searched inside each row, so no pair table is built.
+    else ambiguous, with the first names in order. Query texts are reduced to distinct ones and
+    meet the names through an index of short letter pieces; of each query's matches only a count
+    and the first names are kept.
     """
-    from tidelens.operators.spatial import carry
-
     folded = X.fold(F.col(name))
     cat = names.select(F.col(name).alias("n"), folded.alias("f"), F.regexp_replace(folded, "^playa ", "").alias("g"))
     q = queries.select(query).distinct().withColumn(
         "_q", F.trim(F.regexp_replace(X.fold(F.col(query)), "^playa ", "")))
-    q = carry(q, cat, ["n", "f", "g"], "_cat")
-    exact = F.transform(F.filter("_cat", lambda c: (c["f"] == F.col("_q")) | (c["g"] == F.col("_q"))), lambda c: c["n"])
-    partial = F.transform(F.filter("_cat", lambda c: c["f"].contains(F.col("_q"))), lambda c: c["n"])
-    q = q.withColumn("_e", exact).withColumn("_p", partial).drop("_cat")
-    empty = F.col("_q") == ""
-    status = (F.when(empty, "empty").when(F.size("_e") == 1, "exact").when(F.size("_p") == 1, "partial")
-              .when((F.size("_e") > 0) | (F.size("_p") > 0), "ambiguous").otherwise("unknown"))
-    options = F.when(F.size("_e") > 0, F.col("_e")).otherwise(F.col("_p"))
-    return q.withColumn("status", status).select(
+    found = _containing(q.select("_q").distinct(), "_q", cat, "f").withColumn("_e", (F.col("f") == F.col("_q")) | (F.col("g") == F.col("_q")))
+    first = (found.withColumn("_r", F.row_number().over(W.partitionBy("_q", "_e").orderBy("n"))).where(F.col("_r") <= limit)
+             .groupBy("_q", "_e").agg(F.array_sort(F.collect_list("n")).alias("some")))
+    counted = found.groupBy("_q", "_e").agg(F.count("*").alias("k")).join(first, ["_q", "_e"])
+    pick = lambda c, e: F.first(F.when(F.col("_e") == e, F.col(c)), ignorenulls=True)
+    per = counted.groupBy("_q").agg(pick("k", True).alias("ne"), pick("some", True).alias("se"), F.sum("k").alias("np"),
+                                    F.flatten(F.collect_list("some")).alias("sp"))
+    status = (F.when(F.col("_q") == "", "empty").when(F.col("ne") == 1, "exact").when(F.col("np") == 1, "partial")
+              .when(F.col("np") > 0, "ambiguous").otherwise("unknown"))
+    q = q.join(per, "_q", "left").withColumn("status", status)
+    options = F.when(F.col("ne") > 0, F.col("se")).otherwise(F.col("sp"))
+    return q.select(
         query, "status",
-        F.when(F.col("status") == "exact", F.get("_e", F.lit(0))).when(F.col("status") == "partial", F.get("_p", F.lit(0))).alias("match"),
+        F.when(F.col("status") == "exact", F.get("se", F.lit(0))).when(F.col("status") == "partial", F.get("sp", F.lit(0))).alias("match"),
         F.when(F.col("status") == "ambiguous", F.slice(F.array_sort(options), 1, limit)).otherwise(F.array().cast("array<string>")).alias("candidates"))
 
 
 def resolve_zone_names(messages: DataFrame, text: str, zones: DataFrame) -> DataFrame:
     """JON-23: lowest zone id whose name contains the typed text, ignoring case; null when none does."""
-    from tidelens.operators.spatial import carry
-
-    z = zones.select("zone_id", F.lower("name").alias("n"))
-    m = carry(messages, z, ["zone_id", "n"], "_z")
-    ids = F.transform(F.filter("_z", lambda r: r["n"].contains(F.lower(F.trim(F.col(text))))), lambda r: r["zone_id"])
-    return m.withColumn("zone_id", F.when(F.trim(F.col(text)) != "", F.array_min(ids))).drop("_z")
+    typed = F.lower(F.trim(F.col(text)))
+    found = _containing(messages.select(typed.alias("_t")).distinct(), "_t", zones.select(F.col("zone_id"), F.lower("name").alias("_n")), "_n")
+    best = found.groupBy("_t").agg(F.min("zone_id").alias("zone_id"))
+    return messages.join(best, typed == F.col("_t"), "left").drop("_t")
 
 
 def day_summary(beaches: DataFrame, picks: int = 3) -> DataFrame:

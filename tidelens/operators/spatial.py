@@ -1,7 +1,6 @@
 """Distance, nearest, radius and polygon joins as bucketed equi-joins.
 
-No operator here builds a cross product of two tables. Point tables meet through grid buckets,
-and a side is only carried to every row after its size has been checked.
+Point tables meet through grid cells; nothing depends on a table being short.
 """
 
 from __future__ import annotations
@@ -13,149 +12,153 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelens import settings as S
 from tidelens.functions.geo import KM_X, KM_Y, haversine_km, planar_distance
 
-MAX_CARRIED = 2000        # rows of a reference table that may ride along with every row
-HOT_BUCKET_ROWS = 200_000  # rows of one bucket that one task should handle
-_KM_PER_LAT = 111.0       # a little under a degree's length, so buckets are never too small
-
-
-def fits(df: DataFrame, limit: int = MAX_CARRIED) -> bool:
-    """Is a reference table small enough to be carried with every row? Reads at most limit+1 rows."""
-    return df.limit(limit + 1).count() <= limit
+_KM_PER_LAT = math.pi * S.EARTH_KM / 180.0
 
 
 def carry(df: DataFrame, small: DataFrame, columns: Sequence[str], out: str = "_ref") -> DataFrame:
-    """Attach a checked small table as one array column (a constant, evaluated once).
+    """Attach a short list as one array column (a constant, evaluated once).
 
-    Used where every row must be compared with every reference place (a few dozen zones): the
-    rows are not shuffled and the result is reduced map-side.
+    For results that are a full grid of rows and list entries (every run and every target, every
+    setting), whose size is that product anyway. Searches and joins go through buckets instead.
     """
-    if not fits(small):
-        raise ValueError("reference table is too large to carry; use the bucketed form")
     arr = small.select(F.struct(*columns).alias("_s")).agg(F.sort_array(F.collect_list("_s")).alias("a")).scalar()
     return df.withColumn(out, arr)
 
 
-def _cells(lat: Column, lon: Column, km: float, max_abs_lat: float) -> tuple[Column, Column]:
-    step = km / _KM_PER_LAT
-    lon_step = step / max(math.cos(math.radians(min(89.0, max_abs_lat))), 0.02)
-    return F.floor(lat / step), F.floor(lon / lon_step)
-
-
-MAX_HOT_KEYS = 5000
+def _lon_reach(lat: Column, km: float) -> Column:
+    """Degrees of longitude that ``km`` can span from a latitude; 180 where the circle holds a pole."""
+    r = km / S.EARTH_KM
+    if r >= math.pi / 2:
+        return F.lit(180.0)
+    inside = F.sin(F.lit(r)) / F.cos(F.radians(lat))
+    return F.when(F.abs(lat) + math.degrees(r) >= 90.0, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), inside))) + 1e-9)
 
 
-def _salts(large: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """(keys, salts) of the hottest buckets; empty on even data, never more than MAX_HOT_KEYS rows."""
-    n = large.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = n.where(F.col("_n") > rows).orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
-    return hot.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
+def _bands(km: float) -> float:
+    return min(180.0, km / _KM_PER_LAT * (1 + 1e-9))
 
 
-def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], rows: int = HOT_BUCKET_ROWS) -> DataFrame:
-    """Inner equi-join that splits hot keys of ``large`` and repeats only their partners.
-
-    Keys above ``rows`` are spread over ceil(n / rows) salts by a hash of the row (repeatable, so a
-    re-run task sends its rows to the same place); every other key has one salt. The list of hot
-    keys is bounded, so it is broadcast; hot keys beyond it are left to AQE's skew split. Catalyst
-    may still broadcast ``small`` when its own size check allows.
-    """
-    salts = F.broadcast(_salts(large, keys, rows))
-    row_hash = F.xxhash64(*[F.col(c) for c in large.columns])
-    spread = (large.join(salts, list(keys), "left")
-              .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
-                          .otherwise(F.pmod(row_hash, F.col("_salts")).cast("int"))).drop("_salts"))
-    copies = (small.join(salts, list(keys), "left")
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-              .drop("_salts"))
-    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+def _columns_of(band: Column, step: float, km: float) -> Column:
+    """How many equal longitude cells a latitude band has: each at least as wide as ``km`` at the band's highest latitude."""
+    top = F.greatest(F.abs(band * step), F.abs((band + 1) * step))
+    return F.greatest(F.lit(1), F.floor(360.0 / _lon_reach(F.least(top, F.lit(90.0)), km))).cast("long")
 
 
 def radius_join(points: DataFrame, places: DataFrame, km: float, point_pos: tuple[str, str] = ("lat", "lon"),
                 place_pos: tuple[str, str] = ("p_lat", "p_lon"), on: Sequence[str] = (), dist: str = "dist",
-                planar: bool = False, max_abs_lat: float = 40.0) -> DataFrame:
+                planar: bool = False) -> DataFrame:
     """JON-04: pairs within ``km``; columns of both sides plus the distance.
 
-    Both sides fall into square buckets a radius wide; the places are repeated into the nine
-    surrounding buckets, so every pair meets exactly once. Hot buckets of ``points`` are salted.
-    The places are the side that is repeated: pass the smaller one there.
+    Points fall into latitude bands a radius high, cut into longitude cells a radius wide at the
+    band's own highest latitude; cells close around 180 degrees and a band at a pole is one cell.
+    A place is repeated into the cells its circle can touch (nine at most, but near a pole), so
+    every pair meets exactly once. Skewed cells are left to AQE, which splits their partitions.
+    The places are the side that is repeated: pass the smaller one there. On the local plane
+    (``planar``) cells are squares.
     """
-    cy, cx = _cells(F.col(point_pos[0]), F.col(point_pos[1]), km, max_abs_lat)
-    left = points.where(F.col(point_pos[0]).isNotNull() & F.col(point_pos[1]).isNotNull())
-    left = left.withColumn("_cy", cy).withColumn("_cx", cx)
-    py, px = _cells(F.col(place_pos[0]), F.col(place_pos[1]), km, max_abs_lat)
-    ring = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    right = (places.withColumn("_o", F.explode(ring)).withColumn("_cy", py + F.col("_o.y"))
-             .withColumn("_cx", px + F.col("_o.x")).drop("_o"))
-    pairs = salted_join(left, right, [*on, "_cy", "_cx"]).drop("_cy", "_cx")
+    lat, lon, plat, plon = (F.col(c) for c in (*point_pos, *place_pos))
+    left = points.where(lat.isNotNull() & lon.isNotNull())
+    right = places.where(plat.isNotNull() & plon.isNotNull())
+    if planar:
+        sy, sx = km / KM_Y, km / KM_X
+        near = lambda c: F.sequence(c - 1, c + 1)
+        left = left.withColumn("_cy", F.floor(lat / sy)).withColumn("_cx", F.floor(lon / sx))
+        right = right.withColumn("_cy", F.explode(near(F.floor(plat / sy)))).withColumn("_cx", F.explode(near(F.floor(plon / sx))))
+    else:
+        step = _bands(km)
+        turn = lambda c: F.pmod(c + 180.0, F.lit(360.0))
+        n = _columns_of(F.col("_cy"), step, km)
+        left = left.withColumn("_cy", F.floor(lat / step)).withColumn("_cx", F.least(n - 1, F.floor(turn(lon) * n / 360.0)))
+        reach = _lon_reach(plat, km)
+        first, last = (F.floor((turn(plon) + sign * reach) * n / 360.0) for sign in (-1, 1))
+        cells = F.when(last - first + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
+            F.array_distinct(F.transform(F.sequence(first, last), lambda c: F.pmod(c, n))))
+        band = F.floor(plat / step)
+        right = right.withColumn("_cy", F.explode(F.sequence(band - 1, band + 1))).withColumn("_cx", F.explode(cells))
+    pairs = left.join(right, [*on, "_cy", "_cx"]).drop("_cy", "_cx")
     measure = planar_distance if planar else haversine_km
-    d = measure(F.col(point_pos[0]), F.col(point_pos[1]), F.col(place_pos[0]), F.col(place_pos[1]))
-    return pairs.withColumn(dist, d).where(F.col(dist) <= km)
+    return pairs.withColumn(dist, measure(lat, lon, plat, plon)).where(F.col(dist) <= km)
 
 
-def within(points: DataFrame, others: DataFrame, km: float, key: str, on: Sequence[str] = (),
-           max_abs_lat: float = 40.0) -> DataFrame:
+def within(points: DataFrame, others: DataFrame, km: float, key: str, on: Sequence[str] = ()) -> DataFrame:
     """JON-13: distinct ``key`` of the points that have any other point within ``km``.
 
-    Both sides are (on.., lat, lon). Points that share a fine bucket whose diagonal is under the
-    radius match by bucket alone, with no pairs at all; only the rest is measured, against each
+    Both sides are (on.., lat, lon). Points that share a fine square whose diagonal is under the
+    radius match by square alone, with no pairs at all; only the rest is measured, against each
     other side's distinct positions.
     """
-    fine = km / 1.5
-    fy, fx = _cells(F.col("lat"), F.col("lon"), fine, 0.0)
+    step = km / 1.5 / _KM_PER_LAT  # a degree of longitude is nowhere longer than one of latitude
+    fy, fx = F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)
     left = points.withColumn("_fy", fy).withColumn("_fx", fx)
     filled = others.withColumn("_fy", fy).withColumn("_fx", fx).select(*on, "_fy", "_fx").distinct()
     same = left.join(filled, [*on, "_fy", "_fx"], "left_semi").select(*on, key)
     rest = left.join(filled, [*on, "_fy", "_fx"], "left_anti").drop("_fy", "_fx")
     spots = others.select(*on, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct()
-    near = radius_join(rest, spots, km, on=on, max_abs_lat=max_abs_lat).select(*on, key)
+    near = radius_join(rest, spots, km, on=on).select(*on, key)
     return same.unionByName(near).distinct()
 
 
+_SIZES = (45.0, 9.0, 1.8, 0.36)  # degrees of the nested cells in which the nearest place is sought
+
+
+def _half_diagonal(size: float, planar: bool) -> float:
+    """No point of a cell is farther from its centre, in km."""
+    side = math.hypot(KM_X, KM_Y) if planar else math.hypot(_KM_PER_LAT, _KM_PER_LAT)
+    return 0.5 * size * side + 1e-6
+
+
+def _fine_cell(lat: Column, lon: Column, planar: bool) -> tuple[Column, Column]:
+    turned = lon + 180.0 if planar else F.pmod(lon + 180.0, F.lit(360.0))
+    return F.floor((lat + 90.0) / _SIZES[-1]), F.floor(turned / _SIZES[-1])
+
+
+def _centre(cell: Column, size: float, base: float) -> Column:
+    return (cell + 0.5) * size - base
+
+
 def nearest(points: DataFrame, places: DataFrame, place_id: str, place_pos: tuple[str, str],
             point_pos: tuple[str, str] = ("lat", "lon"), keep: Sequence[str] = (), planar: bool = False,
-            first_km: float = 50.0, out: str = "near", point_id: Sequence[str] | None = None) -> DataFrame:
+            out: str = "near") -> DataFrame:
     """JON-03: struct ``near`` <dist, id, keep..> of the nearest place; ties go to the lowest id.
 
-    A small catalogue (size checked) rides with each row as a constant array: no shuffle, no row
-    growth. A large one is met by radius joins whose radius doubles until every point has a match;
-    each round only carries the points still unmatched, identified by ``point_id``.
+    One plan for tables of any size. The distinct positions fall into nested cells. Going down
+    from the coarsest, a cell inherits its parent's candidates and keeps those whose distance from
+    its centre is within one cell's diagonal of the smallest: whatever is nearest to any of its
+    points is among them. Positions then meet the few candidates of their finest cell. Points
+    without a position have no ``near``. On the local plane longitudes are within 180 degrees.
     """
     measure = planar_distance if planar else haversine_km
-    cols = [F.col(place_id).alias("id"), F.col(place_pos[0]).alias("la"), F.col(place_pos[1]).alias("lo"),
-            *[F.col(c) for c in keep]]
-    refs = places.select(*cols)
     lat, lon = F.col(point_pos[0]), F.col(point_pos[1])
-    if fits(refs):
-        ref = carry(points, refs, refs.columns)
-        scored = F.transform("_ref", lambda r: F.struct(measure(lat, lon, r["la"], r["lo"]).alias("dist"),
-                                                       r["id"].alias("id"), *[r[c].alias(c) for c in keep]))
-        return ref.withColumn(out, F.array_min(scored)).drop("_ref")
-    if point_id is None:
-        raise ValueError("point_id is needed for a large place table")
-    return nearest_by_rounds(points, places, place_id, place_pos, point_pos, keep, planar, first_km, out, point_id)
-
-
-def nearest_by_rounds(points: DataFrame, places: DataFrame, place_id: str, place_pos: tuple[str, str],
-                      point_pos: tuple[str, str] = ("lat", "lon"), keep: Sequence[str] = (), planar: bool = False,
-                      first_km: float = 50.0, out: str = "near", point_id: Sequence[str] = ("id",)) -> DataFrame:
-    """JON-03 for a place table of any size: radius joins whose radius grows until all points match."""
-    side = places.select(F.col(place_id).alias("_pid"), F.col(place_pos[0]).alias("p_lat"), F.col(place_pos[1]).alias("p_lon"),
-                         *[F.col(c) for c in keep])
-    todo, done, km = points, None, first_km
-    while km < 45_000:
-        hit = radius_join(todo.select(*point_id, *point_pos), side, km, point_pos, ("p_lat", "p_lon"),
-                          dist="_d", planar=planar, max_abs_lat=85.0)
-        best = hit.groupBy(*point_id).agg(F.min(F.struct(
-            F.col("_d").alias("dist"), F.col("_pid").alias("id"), *[F.col(c) for c in keep])).alias(out))
-        found = todo.join(best, list(point_id))
-        done = found if done is None else done.unionByName(found)
-        todo = todo.join(best.select(*point_id), list(point_id), "left_anti")
-        if todo.isEmpty():
-            return done
-        km *= 4
-    return done.unionByName(todo, allowMissingColumns=True)
+    spots = points.where(lat.isNotNull() & lon.isNotNull()).select(lat.alias("_la"), lon.alias("_lo")).distinct()
+    cy, cx = _fine_cell(F.col("_la"), F.col("_lo"), planar)
+    spots = spots.withColumn("_y", cy).withColumn("_x", cx)
+    cells = [spots.select("_y", "_x").distinct()]
+    ratio = round(_SIZES[0] / _SIZES[1])
+    for _ in _SIZES[1:]:
+        cells.append(cells[-1].select(F.floor(F.col("_y") / ratio).alias("_y"), F.floor(F.col("_x") / ratio).alias("_x")).distinct())
+    cells = cells[::-1]
+    refs = places.where(F.col(place_pos[0]).isNotNull() & F.col(place_pos[1]).isNotNull()).select(
+        F.col(place_id).alias("_id"), F.col(place_pos[0]).alias("_pla"), F.col(place_pos[1]).alias("_plo"), *[F.col(c).alias(f"_k_{c}") for c in keep])
+    rows, cols = int(180 // _SIZES[0]), int(360 // _SIZES[0])
+    every = F.array(*[F.struct(F.lit(y).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for y in range(rows + 1) for x in range(cols + 1)])
+    found = refs.withColumn("_c", F.explode(every)).withColumn("_y", F.col("_c.y")).withColumn("_x", F.col("_c.x")).drop("_c").join(
+        cells[0], ["_y", "_x"], "left_semi")
+    for level, size in enumerate(_SIZES):
+        if level:
+            own = cells[level].withColumn("_py", F.floor(F.col("_y") / ratio)).withColumn("_px", F.floor(F.col("_x") / ratio))
+            found = own.join(found.withColumnsRenamed({"_y": "_py", "_x": "_px"}), ["_py", "_px"]).drop("_py", "_px")
+        d = measure(_centre(F.col("_y"), size, 90.0), _centre(F.col("_x"), size, 180.0), F.col("_pla"), F.col("_plo"))
+        least = F.min("_d").over(W.partitionBy("_y", "_x"))
+        found = found.withColumn("_d", d).withColumn("_m", least).where(
+            F.col("_d") <= F.col("_m") + 2 * _half_diagonal(size, planar)).drop("_d", "_m")
+    met = spots.join(found, ["_y", "_x"])
+    row = F.struct(measure(F.col("_la"), F.col("_lo"), F.col("_pla"), F.col("_plo")).alias("dist"), F.col("_id").alias("id"),
+                   *[F.col(f"_k_{c}").alias(c) for c in keep])
+    best = met.groupBy("_la", "_lo").agg(F.min(row).alias(out))
+    return points.join(best, (lat == F.col("_la")) & (lon == F.col("_lo")), "left").drop("_la", "_lo")
 
 
 def pair_distances(a: DataFrame, b: DataFrame, km: float, on: Sequence[str] = ()) -> DataFrame:
@@ -171,28 +174,29 @@ def zone_state(dets: DataFrame, zones: DataFrame, runs: DataFrame | None = None,
                run: str = "run_at", area: str = "area_km2") -> DataFrame:
     """AGG-01: per (run, zone): total area, area in radius, nearest distance, patch count.
 
-    Zones are a short closed list, so they ride along as a checked constant; every detection row
-    is reduced map-side to one row per (run, zone) and nothing else is shuffled. ``runs`` adds runs
-    that saw nothing: their nearest distance is 999.
+    Total and count need no zone: one aggregate per run. The area in the radius is a radius join.
+    For the nearest distance the zones are first compared with the run's occupied cells; only
+    detections of cells that can hold the nearest are measured. ``runs`` adds runs that saw
+    nothing: their nearest distance is 999. Detections without a position count nowhere.
     """
-    z = zones.select("zone_id", "center_lat", "center_lon")
-    a = F.coalesce(F.col(area), F.lit(0.0))
-    per = (carry(dets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), z, z.columns)
-           .withColumn("_z", F.explode("_ref"))
-           .select(run, F.col("_z.zone_id").alias("zone_id"), a.alias("_a"),
-                   haversine_km(F.col("lat"), F.col("lon"), F.col("_z.center_lat"), F.col("_z.center_lon")).alias("_d")))
-    state = per.groupBy(run, "zone_id").agg(
-        F.sum("_a").alias("eez_area_km2"),
-        F.sum(F.when(F.col("_d") <= radius_km, F.col("_a")).otherwise(0.0)).alias("zone_area_km2"),
-        F.min("_d").alias("nearest_km"), F.count("*").alias("patch_count"))
-    if runs is None:
-        return state
-    every = carry(runs.select(run).distinct(), z, z.columns).select(run, F.explode("_ref.zone_id").alias("zone_id"))
-    return (every.join(state, [run, "zone_id"], "left")
-            .select(run, "zone_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-                                      for c in ("eez_area_km2", "zone_area_km2")],
-                    F.coalesce("nearest_km", F.lit(999.0)).alias("nearest_km"),
-                    F.coalesce("patch_count", F.lit(0)).alias("patch_count")))
+    z = zones.select("zone_id", F.col("center_lat").alias("p_lat"), F.col("center_lon").alias("p_lon"))
+    cy, cx = _fine_cell(F.col("lat"), F.col("lon"), False)
+    d = (dets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+         .select(run, "lat", "lon", F.coalesce(F.col(area), F.lit(0.0)).alias("_a")).withColumn("_y", cy).withColumn("_x", cx))
+    total = d.groupBy(run).agg(F.sum("_a").alias("eez_area_km2"), F.count("*").alias("patch_count"))
+    close = radius_join(d.select(run, "lat", "lon", "_a"), z, radius_km).groupBy(run, "zone_id").agg(F.sum("_a").alias("zone_area_km2"))
+    occupied = carry(d.select(run, "_y", "_x").distinct(), z, z.columns).withColumn("_z", F.explode("_ref")).select(run, "_y", "_x", "_z.*")
+    size = _SIZES[-1]
+    occupied = occupied.withColumn("_d", haversine_km(_centre(F.col("_y"), size, 90.0), _centre(F.col("_x"), size, 180.0), F.col("p_lat"), F.col("p_lon")))
+    hopeful = occupied.withColumn("_m", F.min("_d").over(W.partitionBy(run, "zone_id"))).where(
+        F.col("_d") <= F.col("_m") + 2 * _half_diagonal(size, False)).select(run, "zone_id", "p_lat", "p_lon", "_y", "_x")
+    near = d.join(hopeful, [run, "_y", "_x"]).groupBy(run, "zone_id").agg(
+        F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).alias("nearest_km"))
+    seen = total.select(run) if runs is None else runs.select(run).distinct()
+    every = carry(seen, z.select("zone_id"), ["zone_id"]).select(run, F.explode("_ref.zone_id").alias("zone_id"))
+    state = every.join(total, run, "left").join(close, [run, "zone_id"], "left").join(near, [run, "zone_id"], "left")
+    return state.select(run, "zone_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("eez_area_km2", "zone_area_km2")],
+                        F.coalesce("nearest_km", F.lit(999.0)).alias("nearest_km"), F.coalesce("patch_count", F.lit(0)).alias("patch_count"))
 
 
 def ring_edges(vertices: DataFrame, ring: Sequence[str], order: str) -> DataFrame:
@@ -215,7 +219,7 @@ def points_in_polygon(points: DataFrame, edges: DataFrame, shape: str, band_deg:
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     spread = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(band(lo), band(hi))))
     p = points.withColumn("_band", band(F.col("lat")))
-    hit = salted_join(p, spread, ["_band"]).where(
+    hit = p.join(spread, "_band").where(
         (F.least("y1", "y2") <= F.col("lat")) & (F.col("lat") < F.greatest("y1", "y2")))
     x_at = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     return (hit.where(x_at > F.col("lon")).groupBy(*keys, shape).agg(F.count("*").alias("_n"))
@@ -288,5 +292,3 @@ def hull_area_points(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     return thin.groupBy(*keys).applyInPandas(hull, f"{schema}, geom_wkt string, vertices int")
 
-
-KM_PER_X, KM_PER_Y = KM_X, KM_Y

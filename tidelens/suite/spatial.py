@@ -109,8 +109,8 @@ def nearest_zone(v):
     FROM (SELECT id, beach_id, {hav('lat', 'lon', 'latitude', 'longitude')} AS d FROM detections_v, beaches_v)) WHERE rn = 1""",
        "detections_v beaches_v")
 def nearest_beach(v):
-    """The form for a place table of any size: radius joins that double until every point has a match."""
-    n = SP.nearest_by_rounds(v.detections.select("id", "lat", "lon"), v.beaches, "beach_id", ("latitude", "longitude"))
+    """A place table as long as the points'."""
+    n = SP.nearest(v.detections.select("id", "lat", "lon"), v.beaches, "beach_id", ("latitude", "longitude"))
     return n.select("id", F.col("near.id").alias("beach_id"), F.round("near.dist", 4).alias("km"))
 
 
