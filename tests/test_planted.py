@@ -407,3 +407,10 @@ def test_period_score_rises_and_every_condition_rates(spark):
     df = spark.range(0, 20).select((F.col("id") * 0.8 + 2).alias("p"))
     vals = [r["s"] for r in df.orderBy("p").select(U.period_score(F.col("p")).alias("s")).collect()]
     assert vals == sorted(vals) and vals[0] == 0.4 and vals[-1] == 1.0
+
+
+def test_accents_of_any_letter_fold(spark):
+    from tidelens.functions import text as X
+
+    df = spark.createDataFrame([("Cafe\u0301  B\u00e1varo",), ("\u0160ibenik \u0100gia",), (None,), ("",), ("Pla\u0303ya \u1e0c\u0323",)], "t string")
+    assert [r[0] for r in df.select(X.fold(F.col("t"))).collect()] == ["cafe bavaro", "sibenik agia", None, "", "playa d"]

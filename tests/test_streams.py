@@ -66,3 +66,24 @@ def test_report_enrichment_stream(spark, views, tmp_path):
     now = F.lit("2024-01-15 12:00:00").cast("timestamp")
     got = run(J.report_stream(stream_of(spark, rep, str(tmp_path / "in")), b, views.zones, now), str(tmp_path))
     assert got.count() == rep.count() > 0 and got.where("zone_id is null").count() == 0
+
+
+def test_rows_of_a_batch_are_ordered_over_all_chunks(spark, tmp_path):
+    """One client with more rows than an Arrow chunk holds, written newest first."""
+    t0 = dt.datetime(2026, 6, 1)
+    rows = [(1, i, t0 + dt.timedelta(seconds=10 * i)) for i in range(60)][::-1]
+    df = spark.createDataFrame(rows, "client bigint, request_id bigint, ts timestamp")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = run(J.limiter_stream(stream_of(spark, df, str(tmp_path / "in")), 60, 2), str(tmp_path))
+        ids = {r["request_id"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    live, want = [], set()
+    for _, i, t in rows[::-1]:
+        live = [x for x in live if (t - x).total_seconds() <= 60]
+        if len(live) < 2:
+            live.append(t)
+            want.add(i)
+    assert ids == want and len(want) < 60

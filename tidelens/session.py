@@ -42,12 +42,14 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 def durable_checkpoint(df, eager: bool = True):
     """Cut the lineage of an iterative job with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in a local test, a scratch folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local session, which has
+    no other machines, may go without and then gets a scratch folder; a cluster may not.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelens-ckpt-"))
     return df.checkpoint(eager=eager)

@@ -120,26 +120,28 @@ def beach_species(v):
 
 
 @query("jon_25_dangling_references", """
-    SELECT DISTINCT l_partkey AS taxon_id, 'dangling reference' AS problem FROM lineitem WHERE l_partkey % 11 = 0
-    UNION ALL SELECT p_partkey, 'not referenced' FROM part WHERE p_partkey % 11 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)  AND FALSE""")
+    WITH r AS (SELECT DISTINCT l_partkey * 2 AS k FROM lineitem), s AS (SELECT p_partkey * 3 AS k FROM part)
+    SELECT k AS taxon_id, 'dangling reference' AS problem FROM r WHERE k NOT IN (SELECT k FROM s)
+    UNION ALL SELECT k, 'not referenced' FROM s WHERE k NOT IN (SELECT k FROM r)""")
 def dangling(v):
-    refs = v.table("lineitem").select(F.col("l_partkey").alias("taxon_id"))
-    stored = v.table("part").where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("taxon_id"))
-    return K.dangling(refs, stored, "taxon_id").where("problem = 'dangling reference'")
+    """Keys times two against keys times three, so that either side has some the other lacks."""
+    refs = v.table("lineitem").select((F.col("l_partkey") * 2).alias("taxon_id"))
+    stored = v.table("part").select((F.col("p_partkey") * 3).alias("taxon_id"))
+    return K.dangling(refs, stored, "taxon_id")
 
 
 @query("set_04_key_difference", """
-    SELECT p_partkey AS taxon_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)""")
+    SELECT p_partkey AS taxon_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey * 2 FROM lineitem)""")
 def key_difference(v):
-    refs = v.table("lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("taxon_id"))
+    refs = v.table("lineitem").select((F.col("l_partkey") * 2).alias("taxon_id"))
     stored = v.table("part").select(F.col("p_partkey").alias("taxon_id"))
     return K.dangling(refs, stored, "taxon_id").where("problem = 'not referenced'").select("taxon_id")
 
 
 @query("set_02_union_of_keys", """
-    SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0 UNION SELECT s_nationkey FROM supplier UNION SELECT o_custkey % 60 FROM orders""")
+    SELECT DISTINCT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT o_custkey % 60 FROM orders""")
 def union_of_keys(v):
-    return K.union_keys(v.table("customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").cast("bigint").alias("k")), v.table("supplier").select(F.col("s_nationkey").cast("bigint").alias("k")),
+    return K.union_keys(v.table("customer").select(F.col("c_nationkey").cast("bigint").alias("k")), v.table("supplier").select(F.col("s_nationkey").cast("bigint").alias("k")),
                         v.table("orders").select((F.col("o_custkey") % 60).alias("k")))
 
 
@@ -151,17 +153,17 @@ def overlay(v):
 
 
 @query("set_08_orphan_files", """
-    SELECT 'f' || p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 47)""")
+    SELECT 'f' || p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT l_partkey * 3 FROM lineitem)""")
 def orphan_files(v):
-    used = v.table("lineitem").where("l_quantity > 47").select(F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("file"))
+    used = v.table("lineitem").select(F.concat(F.lit("f"), (F.col("l_partkey") * 3).cast("string")).alias("file"))
     return C.orphan_files(used, v.table("part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file")))
 
 
 @query("prj_24_fresh_beaches", """
     SELECT l_suppkey AS beach, bool_and(coalesce(p_partkey % 13 <> 0 AND date_diff('day', DATE '2024-01-01' + CAST(p_partkey % 20 AS INT), DATE '2024-02-05') <= 34, FALSE)) AS fresh
-    FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 49) l LEFT JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1""")
+    FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l LEFT JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1""")
 def fresh_beaches(v):
-    refs = v.table("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("beach"), F.col("l_partkey").alias("taxon_id")).distinct()
+    refs = v.table("lineitem").select(F.col("l_suppkey").alias("beach"), F.col("l_partkey").alias("taxon_id")).distinct()
     taxa = v.table("part").where("p_partkey % 13 <> 0").select(F.col("p_partkey").alias("taxon_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 20).cast("int")).cast("string").alias("fetched_at"))
     return C.fresh_beaches(refs, taxa, F.lit("2024-02-05").cast("date"), 34)
 

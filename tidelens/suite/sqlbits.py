@@ -52,9 +52,7 @@ def current(lat: str, lon: str, part: str) -> str:
 
 
 def unaccent(col: str) -> str:
-    from tidelens.functions.text import ACCENTED, PLAIN
-
-    return f"translate({col}, '{ACCENTED}', '{PLAIN}')"
+    return f"strip_accents({col})"
 
 
 def fold(col: str) -> str:

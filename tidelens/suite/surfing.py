@@ -73,19 +73,22 @@ def period(v):
 
 
 @query("scl_08_direction_score", f"""
-    WITH {FACTORS} SELECT id, round(dir, 5) AS dir FROM g WHERE swell_direction_deg IS NOT NULL""", CV)
+    WITH {FACTORS} SELECT id, round(CASE WHEN swell_direction_deg IS NOT NULL THEN dir END, 5) AS dir FROM g""", CV)
 def direction(v):
-    j = rated(v).where("swell_direction_deg is not null")
-    return j.select("id", F.round(U.swell_direction_score(F.col("swell_direction_deg"), F.col("p")), 5).alias("dir"))
+    j = rated(v)
+    score = U.swell_direction_score(F.col("swell_direction_deg"), F.col("p"))
+    return j.select("id", F.when(F.col("swell_direction_deg").isNotNull(), F.round(score, 5)).alias("dir"))
 
 
 @query("scl_09_wind_scores", f"""
-    WITH {FACTORS} SELECT id, round(wind, 5) AS wind, round(CASE WHEN sport = 'wind' THEN strength END, 5) AS strength, wdir FROM h WHERE wind_direction_deg IS NOT NULL AND wind_speed_kt IS NOT NULL""", CV)
+    WITH {FACTORS} SELECT id, CASE WHEN known THEN round(wind, 5) END AS wind, CASE WHEN known AND sport = 'wind' THEN round(strength, 5) END AS strength, CASE WHEN known THEN wdir END AS wdir
+    FROM (SELECT *, wind_direction_deg IS NOT NULL AND wind_speed_kt IS NOT NULL AS known FROM h)""", CV)
 def wind_scores(v):
-    j = rated(v).where("wind_direction_deg is not null and wind_speed_kt is not null")
+    j = rated(v)
     s, d, p = F.col("wind_speed_kt"), F.col("wind_direction_deg"), F.col("p")
-    return j.select("id", F.round(U.wind_score_surf(s, d, p), 5).alias("wind"), F.round(F.when(F.col("sport") == "wind", U.wind_strength_score(s, p)), 5).alias("strength"),
-                    U.wind_direction_score(d, p).alias("wdir"))
+    known = lambda score: F.when(s.isNotNull() & d.isNotNull(), score)
+    return j.select("id", known(F.round(U.wind_score_surf(s, d, p), 5)).alias("wind"), known(F.round(F.when(F.col("sport") == "wind", U.wind_strength_score(s, p)), 5)).alias("strength"),
+                    known(U.wind_direction_score(d, p)).alias("wdir"))
 
 
 @query("scl_10_spot_rating", f"""

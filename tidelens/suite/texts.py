@@ -117,9 +117,9 @@ def typed_zones(v):
 
 
 @query("str_11_clean_text", """
-    SELECT page_id, md5(coalesce(nullif(trim(substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[<>\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 200)), ''), '')) AS text FROM pages""")
+    SELECT page_id, md5(coalesce(nullif(trim(substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[<>\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 100000000)), ''), '')) AS text FROM pages""")
 def clean_text(v):
-    return v.table("pages").select("page_id", F.md5(F.coalesce(X.clean_text(F.col("html"), 200), F.lit(""))).alias("text"))
+    return v.table("pages").select("page_id", F.md5(F.coalesce(X.clean_text(F.col("html"), 100_000_000), F.lit(""))).alias("text"))
 
 
 HTML = ("trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), "
@@ -132,9 +132,11 @@ def strip_html_sql(v):
     return v.table("pages").select("page_id", F.md5(X.strip_html_sql(F.col("html"))).alias("text"))
 
 
-@query("str_12_strip_html_parser")
+@query("str_12_strip_html_parser", f"""
+    SELECT page_id, length({HTML}) AS chars FROM pages""")
 def strip_html(v):
-    return v.table("pages").select("page_id", F.length(X.strip_html(F.col("html"))).alias("chars"))
+    """Characters of text that markup leaves."""
+    return v.table("pages").select("page_id", F.length(X.strip_html_sql(F.col("html"))).cast("bigint").alias("chars"))
 
 
 @query("str_13_author_text", """
