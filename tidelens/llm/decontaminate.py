@@ -7,7 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +87,14 @@ class Benchmark:
         blocks = BITS // BLOCK_BITS
         flips = [sum(1 << b for b in bits) for n in range(self.radius // blocks + 1) for bits in combinations(range(BLOCK_BITS), n)]
         self.flips = np.array(flips, np.uint16)
-        self.order = [np.argsort(self.prints[:, b], kind="stable") for b in range(blocks)]
-        self.from_ = [np.searchsorted(self.prints[o, b], np.arange((1 << BLOCK_BITS) + 1)) for b, o in enumerate(self.order)]
+        order = [np.argsort(self.prints[:, b], kind="stable") for b in range(blocks)]
+        self.order = np.concatenate(order)
+        self.from_ = np.stack([np.searchsorted(self.prints[o, b], np.arange((1 << BLOCK_BITS) + 1)) + b * len(kept) for b, o in enumerate(order)])
+        #: Item sizes in which a shingle occurs: a window can only be like an item of its own size.
+        self.sizes: dict[int, set[int]] = {}
+        for size, c in zip(self.words.tolist(), own, strict=True):
+            for code in c.tolist():
+                self.sizes.setdefault(code, set()).add(size)
 
     def is_known(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -98,15 +104,15 @@ class Benchmark:
 
     def near(self, fingerprint: np.ndarray) -> np.ndarray:
         """All items whose fingerprints are within the radius."""
-        found = []
-        for b, value in enumerate(fingerprint):
-            keys = (self.flips ^ value).astype(np.int64)
-            first, last = self.from_[b][keys], self.from_[b][keys + 1]
-            for i in np.flatnonzero(last > first):
-                found.append(self.order[b][first[i]:last[i]])
-        if not found:
+        keys = (self.flips ^ fingerprint[:, None]).astype(np.int64)
+        block = np.arange(len(fingerprint))[:, None]
+        first, last = self.from_[block, keys], self.from_[block, keys + 1]
+        there = last > first
+        first, count = first[there], (last - first)[there]
+        if not len(first):
             return np.zeros(0, np.int64)
-        some = np.unique(np.concatenate(found))
+        ends = np.cumsum(count)
+        some = np.unique(self.order[np.repeat(first - (ends - count), count) + np.arange(ends[-1])])
         apart = np.bitwise_count(self.prints[some] ^ fingerprint).sum(axis=1)
         return some[apart <= self.radius]
 
@@ -115,20 +121,26 @@ class Benchmark:
         words = words_of(text)
         if not words or not self.ids:
             return {}
-        codes = shingle_codes(self.plain[np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))], self.width)
+        codes = shingle_codes(self.plain[np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))], self.width)
         hit = self.is_known(codes)
         if not hit.any():
             return {}
-        return self._windows(words, hit)
+        places: dict[int, list[int]] = {}
+        for at in np.flatnonzero(hit).tolist():
+            for size in self.sizes[int(codes[at])]:
+                places.setdefault(size, []).append(at)
+        return self._windows(words, places)
 
-    def _windows(self, words, hit):
+    def _windows(self, words, places):
         codes = shingle_codes(word_codes(words), self.width)
-        total = np.concatenate([[0], np.cumsum(hit)])
         best: dict[int, tuple[float, int, int]] = {}
-        for size in np.unique(self.words).tolist():
+        for size, hits in sorted(places.items()):
+            total = np.zeros(len(codes) + 1, np.int64)
+            total[np.array(hits) + 1] = 1
+            total = np.cumsum(total)
             n = min(max(1, size - self.width + 1), len(codes))
             full = max(1, size - self.width + 1)
-            # A window can reach the similarity only with so many shingles that some item has.
+            # A window can reach the similarity only with so many shingles that items of its size have.
             starts = np.flatnonzero(total[n:] - total[:-n] >= math.ceil(self.similarity * full - 1e-9))
             if not len(starts):
                 continue
@@ -167,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     document with so many words are fingerprinted from signed sums over their shingles; items
     within the radius are found through blocks of the fingerprint, and those whose weighted
     shingle similarity is at least ``similarity`` are returned with their best window (the first
-    of equals). Windows that hold too few shingles of the benchmark to reach it are not
+    of equals). Windows that hold too few shingles of items of their size to reach it are not
     fingerprinted. A document shorter than an item is one window. Null or wordless texts and items
     match nothing, repeated rows give repeated results, empty tables an empty result.
 
