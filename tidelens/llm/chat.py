@@ -90,9 +90,10 @@ def paths(messages: DataFrame, keep: int = 1, tree: str = "tree_id", msg: str =
     order = W.partitionBy("_tree").orderBy(F.desc(F.col("sum") / F.col("n")), "msg")
     walk = (leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
             .select("_tree", "branch", F.col("n").alias("seq"), "msg"))
-    for k, up in enumerate(reaches):
+    walk = stored(walk)
+    for k, up in enumerate(reaches[:-1]):  # the last holds no reach: all are at the root
         higher = walk.join(up.hint("merge"), ["_tree", "msg"]).select("_tree", "branch", (F.col("seq") - 2**k).alias("seq"), F.col("up").alias("msg"))
-        walk = walk.unionByName(higher)
+        walk = stored(walk.unionByName(higher))
     return walk
 
 
