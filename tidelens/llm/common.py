@@ -80,3 +80,29 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+FILTER_BYTES = 1 << 19
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``ids``: all that are, and few others while ids are few.
+
+    A bit map of fixed size goes to every task, so that rows without a partner are not shuffled for
+    the join that follows. With very many ids it lets more through and the join does the work.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(8 * FILTER_BYTES))
+    bits = ids.select((bit / 8).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int")).alias("b"))
+    held = bits.groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(FILTER_BYTES, np.uint8)
+    table[held["at"].to_numpy()] = held["b"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.select(columns).filter(pa.array(keep.astype(bool)))
+
+    return df.withColumn("_bit", F.coalesce(bit, F.lit(0))).mapInArrow(run, df.schema)

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import flat_bytes, mix64, stored
+from tidelens.llm.common import flat_bytes, maybe_in, mix64, stored
 from tidelens.llm.shingles import shingle_set
 
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band once in 300,000 times
+GROUP = 500  # members of one leader that meet its set in one place
 _SALTS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 _COORD = mix64(np.arange(501, 501 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -72,38 +72,54 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
         run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def _with_sets(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, set) of the documents in the pairs; of repeated ids one text stands for all."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).join(ids.hint("merge"), "doc_id", "left_semi")
+def compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (a, b, na, nb, same, rest) for pairs of a member a and a leader b: set sizes, size of the
+    full intersection, and the smallest hashes of what a has and b lacks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts of the ids in the pairs are turned into sets once and dealt out by leader. The members of
+    a large leader are spread over parts of GROUP rows, and its set goes to each part.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("k"))
+    member = pairs.join(parts, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("part"), F.lit(1).alias("role"))
+    leader = parts.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(0).alias("role"))
+    tickets = member.unionByName(leader).groupBy("doc_id").agg(F.collect_set(F.struct("b", "part", "role")).alias("tickets"))
+    own = maybe_in(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tickets, "doc_id")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_bytes(batch.column(1))
-            sets = [shingle_set(data[ends[i]:ends[i + 1]], width).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
-
-    return own.mapInArrow(run, "doc_id long, shingles binary")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    sets = stored(_with_sets(pairs, docs, width, doc_id, text))
+            rows = []
+            for i, (d, tickets) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = shingle_set(data[ends[i]:ends[i + 1]], width).tobytes()
+                rows += [(t["b"], t["part"], t["role"], d, own) for t in tickets]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                names=["b", "part", "role", "a", "shingles"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lead = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+            rows = []
+            for at, (b, part, role, a) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+                own = np.frombuffer(batch.column(4)[at].as_buffer(), np.uint64)
+                if role == 0:
+                    place, lead = (b, part), own.copy()
+                elif place == (b, part):
+                    there = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+                    lacks = own[lead[there] != own]
+                    rest = lacks[:len(own) * (100 - percent) // 100 + 1]
+                    rows.append((a, b, len(own), len(lead), len(own) - len(lacks), (rest >> np.uint64(33)).astype(np.int32)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
+            flat = np.concatenate(cols[5]) if rows else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(list(c), pa.int64()) for c in cols[:5]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["a", "b", "na", "nb", "same", "rest"])
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    dealt = own.join(tickets, "doc_id").select("doc_id", "text", "tickets").mapInArrow(deal, "b long, part int, role int, a long, shingles binary")
+    sorted_ = dealt.repartition("b", "part").sortWithinPartitions("b", "part", "role", "a")
+    return sorted_.mapInArrow(compare, "a long, b long, na long, nb long, same long, rest array<int>").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -131,62 +147,78 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, column: str, out: str) -> DataFrame:
+    return (rows.join(groups.select(F.col("id").alias(column), F.col("component").alias("_c")).hint("merge"), column, "left")
+            .withColumn(out, F.coalesce("_c", column)).drop("_c"))
+
+
+def _open_groups(seen: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, a) of smaller groups in which a link may still be hidden.
+
+    ``seen`` has (key, a, b, na, nb, same, rest): group, member, its leader and their comparison.
+    Two members of different components that are alike either have enough in common with the
+    leader, or share something the leader lacks. The former needs sizes small enough for what the
+    members share with the leader; the latter shows among the smallest hashes of ``rest`` of both,
+    since so much of ``rest`` would have to be shared. Groups of one component are done.
+    """
+    named = _with_groups(_with_groups(seen, groups, "a", "ga"), groups, "b", "gb")
+    state = named.groupBy("key").agg(F.min(F.least("ga", "gb")).alias("x"), F.max(F.greatest("ga", "gb")).alias("y"), F.min("na").alias("least"))
+    mixed = named.join(state.where("x <> y").select("key", "least").hint("merge"), "key")
+    bound = F.col("same") * ((100.0 + percent) / percent) - F.col("na")  # the largest partner that what is shared with b allows
+    sized = stored(mixed.withColumn("bound", bound))
+    by_rest = sized.select("key", "a", "ga", F.explode("rest").alias("h")).select(F.xxhash64("key", "h").alias("key"), "a", "ga")
+    far = sized.where((F.col("ga") != F.col("gb")) & (F.col("bound") >= F.col("least")))
+    reach = far.groupBy("key").agg(F.max("bound").alias("most"), F.min("na").alias("small"))
+    near = sized.join(reach.hint("merge"), "key").where((F.col("na") <= F.col("most")) & (F.col("bound") >= F.col("small")))
+    by_size = far.select("key", "a", "ga").unionByName(near.select("key", "a", "ga")).distinct().select(
+        F.xxhash64("key", F.lit("size")).alias("key"), "a", "ga")
+    both = by_rest.unionByName(by_size)
+    kept = both.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y")).where("x <> y").select("key")
+    return both.join(kept.hint("merge"), "key").select("key", "a").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of every document.
 
     Words are runs of bytes other than ASCII white space with A-Z in lower case; fewer words than
     ``width`` are one shingle; a null text or one without words has an empty set and no link. Equal
-    sets are one class, whose smallest id stands for it. Classes that share a band are compared
-    with the smallest of the band's bucket; a bucket whose members are then in several components
-    goes on with its next two, four, .. members as leaders until every pair left is in one
-    component, so no link within a bucket is lost and no bucket is capped. Links are confirmed on
-    full sets. ``kept`` marks the smallest id of a component. Rows without an id link with nothing,
-    have no component and are kept; repeated rows of one id stay. An empty table gives an empty
-    result; other columns are not read.
+    sets are one class, whose smallest id stands for it. Classes that share a band are compared,
+    on full sets, with the member of the bucket that shares most bands with others; so one
+    comparison a member links a family. Where a bucket's members are then in several components,
+    the pairs that can still be alike meet in smaller groups (see ``_open_groups``), each with a
+    leader of its own, until none is left: no link of a bucket is lost, no bucket is capped, and
+    never are all pairs of a group made. ``kept`` marks the smallest id of a component. Rows
+    without an id link with nothing, have no component and are kept; repeated rows of one id stay.
+    An empty table gives an empty result; other columns are not read.
     """
     own = stored(sketches(docs, width, doc_id, text))
     real = own.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = real.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select(
-        "s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"))
-    member = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(member.join(buckets.hint("merge"), "key").select("key", "rep", "n", "lead", "lead_n", "size"))
-
-    def alike(n: Column, m: Column) -> Column:  # sizes too far apart rule the similarity out
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    pairs = shared.where((F.col("rep") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(
-        F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    done = stored(pairs)
-    links = stored(verified(done, docs, width, percent, doc_id, text))
-    groups = stored(components(links))
-    first = 2
-    while True:
-        named = (shared.where("size > 2").join(groups.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-                 .withColumn("group", F.coalesce("component", "rep")))
-        mixed = named.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.max("size").alias("s")).where(
-            (F.col("x") != F.col("y")) & (F.col("s") > first)).select("key")
-        rows = stored(named.join(mixed.hint("merge"), "key").select(
-            "key", "rep", "n", "group", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("nth")))
-        if rows.isEmpty():
-            break
-        lead = rows.where(F.col("nth").between(first, 2 * first - 1)).select(
-            F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("group").alias("bg"), F.col("nth").alias("bnth"))
-        fresh = (rows.join(lead, (F.col("key") == F.col("k")) & (F.col("nth") > F.col("bnth")) & (F.col("group") != F.col("bg"))
-                           & alike(F.col("n"), F.col("bn"))).select(F.col("rep").alias("a"), "b").distinct()
-                 .join(done.hint("merge"), ["a", "b"], "left_anti"))
-        fresh = stored(fresh)
-        if not fresh.isEmpty():
-            more = stored(verified(fresh, docs, width, percent, doc_id, text))
-            done = stored(done.unionByName(fresh))
-            if not more.isEmpty():
-                links = stored(links.unionByName(more))
-                groups = stored(components(links))
-        first *= 2
-    rep = classes.select("s1", "s2", "rep").join(groups.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(
-        "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    empty = F.col("n_shingles") == 0
-    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.hint("merge"), ["s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNull() | empty, F.col("doc_id")).otherwise(F.col("component"))
+    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    bands = real.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2").hint("merge"), ["doc_id", "s1", "s2"], "left_semi")
+    member = bands.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(member.join(sizes.hint("merge"), "key").select("key", "rep", "size").distinct())
+    popular = stored(shared.groupBy("rep").agg(F.sum("size").alias("pop")))
+
+    def led(rows: DataFrame) -> DataFrame:
+        """(key, a, b): each member with its group's most popular one, the smallest id of equals."""
+        ranked = rows.join(popular.withColumnRenamed("rep", "a").hint("merge"), "a")
+        lead = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("a")).alias("back"))).alias("l"))
+        return ranked.join(lead.hint("merge"), "key").select("key", "a", (-F.col("l.back")).alias("b")).where("a <> b")
+
+    # In the first round all buckets with one leader are one group.
+    rows = stored(led(shared.select("key", F.col("rep").alias("a"))).select(F.col("b").alias("key"), "a", "b").distinct())
+    links = groups = None
+    while not rows.isEmpty():
+        found = stored(compared(rows.select("a", "b").distinct(), docs, width, percent, doc_id, text))
+        fresh = found.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
+        links = stored(fresh if links is None else links.unionByName(fresh))
+        groups = stored(components(links))
+        seen = rows.join(found.hint("merge"), ["a", "b"])
+        rows = stored(led(_open_groups(seen, groups, percent)))
+    rep = classes
+    rep = rep.withColumn("component", F.col("rep")) if groups is None else _with_groups(rep, groups, "rep", "component")
+    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.select("s1", "s2", "component").hint("merge"), ["s1", "s2"], "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import flat_bytes, mix64, stored
+from tidelens.llm.common import flat_bytes, maybe_in, mix64, stored
 from tidelens.llm.shingles import prefix_sums, stretch
 
 LEAST = 100
@@ -410,8 +410,8 @@ def repeated_stretches(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_i
     spread = F.when(F.col("contexts") < 0, F.xxhash64("doc_id", "lo")).otherwise(F.col("h"))
     sorted_ = seen.repartition(spread.alias("_to")).sortWithinPartitions("contexts", "h", "c", "doc_id", "p")
     rows = stored(sorted_.mapInArrow(_contested, _ROWS))
-    wanted = rows.where("contexts > 0").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "hi", "contexts")).alias("parts"))
-    parts = own.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(_cut_out(least, hot), "key long, doc_id long, lo int, body binary")
+    wanted = stored(rows.where("contexts > 0").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "hi", "contexts")).alias("parts")))
+    parts = maybe_in(own, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(_cut_out(least, hot), "key long, doc_id long, lo int, body binary")
     found = parts.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(_resolved(least, shard_bytes), "doc_id long, lo int, hi int")
     return rows.where("contexts < 0").select("doc_id", "lo", "hi").unionByName(found)
 
