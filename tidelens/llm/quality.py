@@ -46,7 +46,7 @@ def chunked(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not len(data):
         return np.full(at.shape, 256, np.int16), counts
     places = np.minimum(at + ends[:-1][text][:, None], len(data) - 1)
-    return np.where(inside, data[places], 256).astype(np.int16), counts
+    return np.where(inside, data[places].astype(np.int16), np.int16(256)), counts
 
 
 def responses(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def newer_letters() -> list[str]:
+    """Letters and numbers of a later Unicode version than the tokenizer library's: it takes them for other signs.
+
+    Only characters without a meaning in the interpreter's Unicode version can differ; each is put
+    behind a letter and a digit, and the library's own cut tells whether it joins either.
+    """
+    from tokenizers import pre_tokenizers
+
+    blank = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+    own = regex.findall(r"[\p{L}\p{N}]", blank)
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    cuts = [{a for _, (a, _) in level.pre_tokenize_str("".join(f"!{first}{c}" for c in own))} for first in "a1"]
+    return [c for i, c in enumerate(own) if all(3 * i + 2 in cut for cut in cuts)]
+
+
 class Vocabulary:
     """Merges, special strings and the proved whole tokens of a tokenizer file."""
 
@@ -47,6 +63,8 @@ class Vocabulary:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PRE_TOKENS)
+        newer = "".join(map(regex.escape, newer_letters()))
+        self.newer = regex.compile(f"[{newer}]") if newer else None
         self.whole = self._prove([t for t in ids if t not in special], letters)
         self.memo: dict[str, int] = {}
 
@@ -58,7 +76,7 @@ class Vocabulary:
                 words.append(bytes(letters[c] for c in t).decode())
             except (KeyError, UnicodeDecodeError):
                 continue
-        words = [w for w in words if w and self.pattern.findall(w) == [w]]
+        words = [w for w in words if w and self.cut(w) == [w]]
         return frozenset(w for w, n in zip(words, self.merged_counts(words), strict=True) if n == 1)
 
     def merged_counts(self, words: list[str]) -> list[int]:
@@ -70,15 +88,21 @@ class Vocabulary:
         _, counts = merge_rounds(self.first[np.frombuffer(b"".join(raw), np.uint8)], lengths, self.table)
         return counts.tolist()
 
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text."""
+        if self.newer is None or text.isascii() or not self.newer.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start():m.end()] for m in self.pattern.finditer(self.newer.sub("\u00a6", text))]  # any sign will do
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text."""
         cut, extra = [], []
         for t in texts:
             if self.special and (n := len(self.special.findall(t))):
-                cut.append([w for part in self.special.split(t) for w in self.pattern.findall(part)])
+                cut.append([w for part in self.special.split(t) for w in self.cut(part)])
             else:
                 n = 0
-                cut.append(self.pattern.findall(t))
+                cut.append(self.cut(t))
             extra.append(n)
         seen = set().union(*cut) if cut else set()
         if len(self.memo) > MEMO_WORDS:
