@@ -184,7 +184,7 @@ def grid_step(axis: DataFrame, keys: Sequence[str], coord: str, out: str) -> Dat
             .withColumn(out, F.coalesce(out, F.lit(S.GRID_DEFAULT_STEP))))
 
 
-def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE, max_rounds: int = 40) -> DataFrame:
+def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """WIN-16: (keys, row, col, label) of 8-connected groups; the label is stable and unique.
 
     Cells are first labelled inside tiles (one Arrow call per tile). Only groups that touch across
@@ -225,20 +225,20 @@ def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE, max_roun
              .where((F.col("ay") != F.col("ty")) | (F.col("ax") != F.col("tx")))
              .select("a", F.col("label").alias("b")).where("a <> b").distinct())
     edges = durable_checkpoint(edges)
-    root = connect(edges, max_rounds)
+    root = connect(edges)
     return (labelled.join(root, F.col("label") == F.col("node"), "left")
             .select(*keys, "row", "col", F.coalesce("root", "label").alias("label")))
 
 
-def connect(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph given as both directions (a, b): (node, root).
 
-    Min-label spreading with pointer jumping; fails loudly if it has not settled.
+    Min-label spreading with pointer jumping, until no label moves.
     """
     labels = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     if edges.isEmpty():
         return labels
-    for _ in range(max_rounds):
+    while True:
         near = (edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("_m")))
         low = (labels.join(near, F.col("node") == F.col("a"), "left")
                .select("node", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("_r")))
@@ -249,7 +249,6 @@ def connect(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         labels = nxt.drop("_old")
         if moved == 0:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def cluster_stats(cells: DataFrame, keys: Sequence[str], min_cells: int = S.GRID_MIN_CELLS) -> DataFrame:

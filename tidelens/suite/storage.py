@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelens.operators import keyed as K
 from tidelens.sources import tables as T
+from tidelens.session import shared_path
 from tidelens.suite.registry import query
 
 
@@ -91,7 +92,10 @@ def seed_rows(v):
 @query("snk_08_sorted_export", """
     SELECT taxon_id, beach, observation_count FROM taxa_v ORDER BY taxon_id, beach""", "taxa_v")
 def sorted_export(v):
-    return v.taxa.select("taxon_id", "beach", "observation_count").orderBy("taxon_id", "beach")
+    """Written by the exporter and read back."""
+    rows, path = v.taxa.select("taxon_id", "beach", "observation_count"), shared_path(v.spark, "export")
+    T.export_sorted(rows, path, ["taxon_id", "beach"])
+    return v.spark.read.schema(rows.schema).json(path).orderBy("taxon_id", "beach")
 
 
 @query("snk_10_known_columns", """
@@ -103,7 +107,10 @@ def known_columns(v):
 @query("snk_11_metric_rows", """
     SELECT model_version, CAST(count(*) AS BIGINT) AS n_rows, round(avg(physics_risk), 4) AS mean_risk FROM features_v GROUP BY 1""", "features_v")
 def metric_rows(v):
-    return v.features.groupBy("model_version").agg(F.count("*").alias("n_rows"), F.round(F.avg("physics_risk"), 4).alias("mean_risk"))
+    """Written as a metric table and read back."""
+    rows, path = v.features.groupBy("model_version").agg(F.count("*").alias("n_rows"), F.round(F.avg("physics_risk"), 4).alias("mean_risk")), shared_path(v.spark, "metrics")
+    T.write_metrics(rows, path)
+    return v.spark.read.schema(rows.schema).parquet(path)
 
 
 @query("stm_03_recent_reports", """
