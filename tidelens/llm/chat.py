@@ -72,26 +72,24 @@ def paths(messages: DataFrame, keep: int = 1, tree: str = "tree_id", msg: str =
     known = nodes.select("_tree", F.col("msg").alias("up"), F.lit(True).alias("_there"))
     reach = nodes.join(known.hint("merge"), ["_tree", "up"], "left").select(
         "_tree", "msg", F.when(F.col("_there"), F.col("up")).alias("up"), "sum", F.lit(1).cast("long").alias("n"))
-    reaches, most = [], None
-    while True:
-        reach = stored(reach)
-        reaches.append(reach.select("_tree", "msg", "up").where(F.col("up").isNotNull()))
-        open_, total = reach.agg(F.count("up"), F.count("*")).first()
-        most = total.bit_length() + 1 if most is None else most
-        if not open_ or len(reaches) > most:
-            break
-        far = reach.select("_tree", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("n").alias("_n"))
-        reach = reach.join(far.hint("merge"), ["_tree", "up"], "left").select(
-            "_tree", "msg", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-            (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-    rooted = reach.where(F.col("up").isNull())
+    first = stored(reach)
+    # Messages that have reached their root leave; the others look up where they stand.
+    closed, open_ = first.where(F.col("up").isNull()), first.where(F.col("up").isNotNull())
+    reaches, rounds = [open_.select("_tree", "msg", "up")], first.count().bit_length() + 1
+    while len(reaches) <= rounds and not open_.isEmpty():
+        far = closed.unionByName(open_).select("_tree", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("n").alias("_n"))
+        moved = stored(open_.join(far.hint("merge"), ["_tree", "up"]).select(
+            "_tree", "msg", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("n") + F.col("_n")).alias("n")))
+        closed, open_ = closed.unionByName(moved.where(F.col("up").isNull())), moved.where(F.col("up").isNotNull())
+        reaches.append(open_.select("_tree", "msg", "up"))
+    rooted = closed
     parents = reaches[0].select("_tree", F.col("up").alias("msg")).distinct()
     leaves = rooted.join(parents.hint("merge"), ["_tree", "msg"], "left_anti")
     order = W.partitionBy("_tree").orderBy(F.desc(F.col("sum") / F.col("n")), "msg")
     walk = (leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
             .select("_tree", "branch", F.col("n").alias("seq"), "msg"))
     walk = stored(walk)
-    for k, up in enumerate(reaches[:-1]):  # the last holds no reach: all are at the root
+    for k, up in enumerate(reaches[:-1]):  # the last is empty, or of cycles only
         higher = walk.join(up.hint("merge"), ["_tree", "msg"]).select("_tree", "branch", (F.col("seq") - 2**k).alias("seq"), F.col("up").alias("msg"))
         walk = stored(walk.unionByName(higher))
     return walk
