@@ -14,6 +14,8 @@ from tidelens.llm.shingles import shingle_set
 
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band once in 300,000 times
 GROUP = 500  # members of one leader that meet its set in one place
+NEAR = 0.4    # similarity to the leader from which members are told apart by what the leader lacks
+SMALL = 8     # members of a bucket, far from its leader, that are paired with each other
 _SALTS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 _COORD = mix64(np.arange(501, 501 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -177,6 +179,25 @@ def _open_groups(seen: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return both.join(kept.hint("merge"), "key").select("key", "a").distinct()
 
 
+def _far_groups(rows: DataFrame, groups: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), rows (key, a)) in which members far from their bucket's leader may be alike.
+
+    Up to SMALL members of a bucket are paired with each other; more are dealt out by their other
+    bands, since documents alike share several. Members of one component are done.
+    """
+    named = _with_groups(rows, groups, "a", "ga")
+    state = named.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y"), F.count("*").alias("n")).where("x <> y")
+    open_ = stored(named.join(state.select("key", "n").hint("merge"), "key"))
+    few = open_.where(F.col("n") <= SMALL)
+    other = few.select("key", F.col("a").alias("b"), F.col("ga").alias("gb"))
+    pairs = few.join(other.hint("merge"), "key").where((F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b").distinct()
+    bands = shared.select(F.col("rep").alias("a"), F.col("key").alias("band"))
+    dealt = (open_.where(F.col("n") > SMALL).join(bands.hint("merge"), "a").where(F.col("band") != F.col("key"))
+             .select(F.xxhash64("key", "band").alias("key"), "a", "ga"))
+    kept = dealt.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y")).where("x <> y").select("key")
+    return pairs, dealt.join(kept.hint("merge"), "key").select("key", "a").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of every document.
 
@@ -206,16 +227,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         lead = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("a")).alias("back"))).alias("l"))
         return ranked.join(lead.hint("merge"), "key").select("key", "a", (-F.col("l.back")).alias("b")).where("a <> b")
 
-    # In the first round all buckets with one leader are one group.
-    rows = stored(led(shared.select("key", F.col("rep").alias("a"))).select(F.col("b").alias("key"), "a", "b").distinct())
-    links = groups = None
+    rows = stored(led(shared.select("key", F.col("rep").alias("a"))))
+    final = links = groups = known = parts = None
     while not rows.isEmpty():
-        found = stored(compared(rows.select("a", "b").distinct(), docs, width, percent, doc_id, text))
+        pairs = rows.select("a", "b").distinct()
+        if final is not None:
+            pairs = pairs.unionByName(final).distinct()
+        if known is not None:  # a leader of many groups is compared with a member once
+            pairs = pairs.join(known.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        found = stored(compared(stored(pairs), docs, width, percent, doc_id, text))
+        known = found if known is None else known.unionByName(found)
         fresh = found.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
-        links = stored(fresh if links is None else links.unionByName(fresh))
-        groups = stored(components(links))
-        seen = rows.join(found.hint("merge"), ["a", "b"])
-        rows = stored(led(_open_groups(seen, groups, percent)))
+        if groups is None or not fresh.isEmpty():
+            links = stored(fresh if links is None else links.unionByName(fresh))
+            groups = stored(components(links))
+        before, parts = parts, groups.agg(F.count("*") - F.count_distinct("component")).first()[0]
+        if before == parts:  # the last search has joined no components
+            break
+        seen = rows.join(known.hint("merge"), ["a", "b"]).withColumn("j", F.col("same") / (F.col("na") + F.col("nb") - F.col("same")))
+        # Members alike differ by a fifth at most in their distance from the leader, so each pair is near or far.
+        near = seen.where(F.col("j") >= NEAR).drop("key", "j").distinct().withColumn("key", F.xxhash64("b"))
+        final, far = _far_groups(seen.where(F.col("j") < NEAR + (100 - percent) / 100).select("key", "a"), groups, shared)
+        final = stored(final)
+        rows = stored(led(_open_groups(near, groups, percent).unionByName(far)))
+        if rows.isEmpty() and not final.isEmpty():
+            rows = final.withColumn("key", F.lit(None).cast("long")).select("key", "a", "b")  # compare what is left
+            final = None
     rep = classes
     rep = rep.withColumn("component", F.col("rep")) if groups is None else _with_groups(rep, groups, "rep", "component")
     joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.select("s1", "s2", "component").hint("merge"), ["s1", "s2"], "left")
