@@ -8,6 +8,8 @@ from tidelens.suite import all_queries
 from tidelens.suite.run_check import TABLES, compare
 
 QUERIES = all_queries()
+#: Queries whose rule no row of the smallest tables meets.
+EMPTY = {"prj_18_alerting", "jon_21_alerts_due", "jon_13_has_match"}
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +24,7 @@ def con():
 def test_matches_sql(spark, con, name):
     ok, message = compare(spark, con, QUERIES[name], SMALL)
     assert ok, message
+    assert "EMPTY" not in message or name in EMPTY
 
 
 def test_entry_contract(spark):
