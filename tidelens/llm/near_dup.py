@@ -13,6 +13,7 @@ from tidelens.llm.common import flat_bytes, maybe_in, mix64, stored
 from tidelens.llm.shingles import shingle_set
 
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band once in 300,000 times
+DEAL_BYTES = 4_000_000  # sets that a task holds before it passes them on
 GROUP = 500  # members of one leader that meet its set in one place
 NEAR = 0.4    # similarity to the leader from which members are told apart by what the leader lacks
 SMALL = 8     # members of a bucket, far from its leader, that are paired with each other
@@ -87,17 +88,25 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
     tickets = member.unionByName(leader).groupBy("doc_id").agg(F.collect_set(F.struct("b", "part", "role")).alias("tickets"))
     own = maybe_in(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tickets, "doc_id")
 
+    def packed(rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+            names=["b", "part", "role", "a", "shingles"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_bytes(batch.column(1))
-            rows = []
+            rows, size = [], 0
             for i, (d, tickets) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 own = shingle_set(data[ends[i]:ends[i + 1]], width).tobytes()
-                rows += [(t["b"], t["part"], t["role"], d, own) for t in tickets]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
-                names=["b", "part", "role", "a", "shingles"])
+                for t in tickets:
+                    rows.append((t["b"], t["part"], t["role"], d, own))
+                    size += len(own)
+                    if size > DEAL_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+            yield packed(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, lead = None, None
@@ -129,8 +138,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps: every id links its larger neighbours, then all others, to the
     smallest it knows, until no link changes. Minima are aggregated before they are joined back, so
-    a hub is never gathered. Files of ids are far smaller than their rows, so joins here and below
-    are told not to be broadcast on the files' size.
+    a hub is never gathered.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
@@ -141,16 +149,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(down.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         edges = stored(small)
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, column: str, out: str) -> DataFrame:
-    return (rows.join(groups.select(F.col("id").alias(column), F.col("component").alias("_c")).hint("merge"), column, "left")
+    return (rows.join(groups.select(F.col("id").alias(column), F.col("component").alias("_c")), column, "left")
             .withColumn(out, F.coalesce("_c", column)).drop("_c"))
 
 
@@ -165,18 +173,18 @@ def _open_groups(seen: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """
     named = _with_groups(_with_groups(seen, groups, "a", "ga"), groups, "b", "gb")
     state = named.groupBy("key").agg(F.min(F.least("ga", "gb")).alias("x"), F.max(F.greatest("ga", "gb")).alias("y"), F.min("na").alias("least"))
-    mixed = named.join(state.where("x <> y").select("key", "least").hint("merge"), "key")
+    mixed = named.join(state.where("x <> y").select("key", "least"), "key")
     bound = F.col("same") * ((100.0 + percent) / percent) - F.col("na")  # the largest partner that what is shared with b allows
     sized = stored(mixed.withColumn("bound", bound))
     by_rest = sized.select("key", "a", "ga", F.explode("rest").alias("h")).select(F.xxhash64("key", "h").alias("key"), "a", "ga")
     far = sized.where((F.col("ga") != F.col("gb")) & (F.col("bound") >= F.col("least")))
     reach = far.groupBy("key").agg(F.max("bound").alias("most"), F.min("na").alias("small"))
-    near = sized.join(reach.hint("merge"), "key").where((F.col("na") <= F.col("most")) & (F.col("bound") >= F.col("small")))
+    near = sized.join(reach, "key").where((F.col("na") <= F.col("most")) & (F.col("bound") >= F.col("small")))
     by_size = far.select("key", "a", "ga").unionByName(near.select("key", "a", "ga")).distinct().select(
         F.xxhash64("key", F.lit("size")).alias("key"), "a", "ga")
     both = by_rest.unionByName(by_size)
     kept = both.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y")).where("x <> y").select("key")
-    return both.join(kept.hint("merge"), "key").select("key", "a").distinct()
+    return both.join(kept, "key").select("key", "a").distinct()
 
 
 def _far_groups(rows: DataFrame, groups: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,15 +195,15 @@ def _far_groups(rows: DataFrame, groups: DataFrame, shared: DataFrame) -> tuple[
     """
     named = _with_groups(rows, groups, "a", "ga")
     state = named.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y"), F.count("*").alias("n")).where("x <> y")
-    open_ = stored(named.join(state.select("key", "n").hint("merge"), "key"))
+    open_ = stored(named.join(state.select("key", "n"), "key"))
     few = open_.where(F.col("n") <= SMALL)
     other = few.select("key", F.col("a").alias("b"), F.col("ga").alias("gb"))
-    pairs = few.join(other.hint("merge"), "key").where((F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b").distinct()
+    pairs = few.join(other, "key").where((F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b").distinct()
     bands = shared.select(F.col("rep").alias("a"), F.col("key").alias("band"))
-    dealt = (open_.where(F.col("n") > SMALL).join(bands.hint("merge"), "a").where(F.col("band") != F.col("key"))
+    dealt = (open_.where(F.col("n") > SMALL).join(bands, "a").where(F.col("band") != F.col("key"))
              .select(F.xxhash64("key", "band").alias("key"), "a", "ga"))
     kept = dealt.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y")).where("x <> y").select("key")
-    return pairs, dealt.join(kept.hint("merge"), "key").select("key", "a").distinct()
+    return pairs, dealt.join(kept, "key").select("key", "a").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,17 +223,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     own = stored(sketches(docs, width, doc_id, text))
     real = own.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    bands = real.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2").hint("merge"), ["doc_id", "s1", "s2"], "left_semi")
+    bands = real.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     member = bands.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(member.join(sizes.hint("merge"), "key").select("key", "rep", "size").distinct())
+    shared = stored(member.join(sizes, "key").select("key", "rep", "size").distinct())
     popular = stored(shared.groupBy("rep").agg(F.sum("size").alias("pop")))
 
     def led(rows: DataFrame) -> DataFrame:
         """(key, a, b): each member with its group's most popular one, the smallest id of equals."""
-        ranked = rows.join(popular.withColumnRenamed("rep", "a").hint("merge"), "a")
+        ranked = rows.join(popular.withColumnRenamed("rep", "a"), "a")
         lead = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("a")).alias("back"))).alias("l"))
-        return ranked.join(lead.hint("merge"), "key").select("key", "a", (-F.col("l.back")).alias("b")).where("a <> b")
+        return ranked.join(lead, "key").select("key", "a", (-F.col("l.back")).alias("b")).where("a <> b")
 
     rows = stored(led(shared.select("key", F.col("rep").alias("a"))))
     final = links = groups = known = parts = None
@@ -234,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         if final is not None:
             pairs = pairs.unionByName(final).distinct()
         if known is not None:  # a leader of many groups is compared with a member once
-            pairs = pairs.join(known.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(compared(stored(pairs), docs, width, percent, doc_id, text))
         known = found if known is None else known.unionByName(found)
         fresh = found.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
@@ -244,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         before, parts = parts, groups.agg(F.count("*") - F.count_distinct("component")).first()[0]
         if before == parts:  # the last search has joined no components
             break
-        seen = rows.join(known.hint("merge"), ["a", "b"]).withColumn("j", F.col("same") / (F.col("na") + F.col("nb") - F.col("same")))
+        seen = rows.join(known, ["a", "b"]).withColumn("j", F.col("same") / (F.col("na") + F.col("nb") - F.col("same")))
         # Members alike differ by a fifth at most in their distance from the leader, so each pair is near or far.
         near = seen.where(F.col("j") >= NEAR).drop("key", "j").distinct().withColumn("key", F.xxhash64("b"))
         final, far = _far_groups(seen.where(F.col("j") < NEAR + (100 - percent) / 100).select("key", "a"), groups, shared)
@@ -255,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
             final = None
     rep = classes
     rep = rep.withColumn("component", F.col("rep")) if groups is None else _with_groups(rep, groups, "rep", "component")
-    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.select("s1", "s2", "component").hint("merge"), ["s1", "s2"], "left")
+    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.select("s1", "s2", "component"), ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
