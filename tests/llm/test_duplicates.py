@@ -75,6 +75,31 @@ def test_near_duplicates_of_the_test_documents(spark):
     assert {r["doc_id"]: r["component_id"] for r in QUERIES["op9_near_duplicates"](spark, SMALL).collect()} == want
 
 
+def in_one_bucket(monkeypatch):
+    """All documents share one band and no other, so that every pair alike must be found in that bucket."""
+    from pyspark.sql import functions as F
+
+    real = near_dup.sketches
+    monkeypatch.setattr(near_dup, "sketches", lambda *args: real(*args).withColumn("bands", F.array(F.lit(7).cast("long"))))
+
+
+def assert_all_pairs(spark, docs, width=5):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, width).collect()}
+    want = groups(docs, width)[0]
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_links_behind_many_leaders_are_found(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    rng = random.Random(3)
+    every = [f"w{i}" for i in range(100)]  # the first leader holds all, the next ones parts that are not alike
+    docs = {0: " ".join(every)} | {d: " ".join(rng.sample(every, 70)) for d in range(1, 21)}
+    part = rng.sample(every, 70)
+    docs |= {100: " ".join(part), 101: " ".join(part[:67])}
+    assert_all_pairs(spark, docs, 1)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())

@@ -16,7 +16,9 @@ BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band once in 300,000 t
 DEAL_BYTES = 4_000_000  # sets that a task holds before it passes them on
 GROUP = 500  # members of one leader that meet its set in one place
 NEAR = 0.4    # similarity to the leader from which members are told apart by what the leader lacks
-SMALL = 8     # members of a bucket, far from its leader, that are paired with each other
+SMALL = 8     # members of an open group that are paired with each other
+ROUNDS = 2    # searches by leaders before the groups still open are searched exactly
+COUNTER_BITS = 20  # counters by which shingles are ordered
 _SALTS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 _COORD = mix64(np.arange(501, 501 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -187,23 +189,69 @@ def _open_groups(seen: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return both.join(kept, "key").select("key", "a").distinct()
 
 
-def _far_groups(rows: DataFrame, groups: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), rows (key, a)) in which members far from their bucket's leader may be alike.
+def _rare_first(ids: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Rows (key, a, na, at): the shingles, rarest first, of which two sets alike must share one.
 
-    Up to SMALL members of a bucket are paired with each other; more are dealt out by their other
-    bands, since documents alike share several. Members of one component are done.
+    The order is by a count in a table of fixed size, then by hash. Counts that fall together
+    cost time only: any order that is the same for all sets gives every pair.
     """
-    named = _with_groups(rows, groups, "a", "ga")
-    state = named.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y"), F.count("*").alias("n")).where("x <> y")
-    open_ = stored(named.join(state.select("key", "n"), "key"))
-    few = open_.where(F.col("n") <= SMALL)
-    other = few.select("key", F.col("a").alias("b"), F.col("ga").alias("gb"))
-    pairs = few.join(other, "key").where((F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b").distinct()
-    bands = shared.select(F.col("rep").alias("a"), F.col("key").alias("band"))
-    dealt = (open_.where(F.col("n") > SMALL).join(bands, "a").where(F.col("band") != F.col("key"))
-             .select(F.xxhash64("key", "band").alias("key"), "a", "ga"))
-    kept = dealt.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y")).where("x <> y").select("key")
-    return pairs, dealt.join(kept, "key").select("key", "a").distinct()
+    own = stored(maybe_in(docs.select(F.col(doc_id).cast("long").alias("a"), F.col(text).alias("text")), ids, "a").join(ids, "a").select("a", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            data, ends = flat_bytes(batch.column(1))
+            for i in range(batch.num_rows):
+                np.add.at(table, shingle_set(data[ends[i]:ends[i + 1]], width) >> np.uint64(64 - COUNTER_BITS), 1)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["at", "n"])
+
+    held = own.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[held["at"].to_numpy()] = held["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = flat_bytes(batch.column(1))
+            for i, d in enumerate(batch.column(0).to_pylist()):
+                own = shingle_set(data[ends[i]:ends[i + 1]], width)
+                n = len(own)
+                own = own[np.lexsort((own, shared.value[own >> np.uint64(64 - COUNTER_BITS)]))][:n - (n * percent + 99) // 100 + 1]
+                k = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.view(np.int64)), pa.array(np.full(k, d, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.arange(k))],
+                    names=["key", "a", "na", "at"])
+
+    return own.mapInArrow(prefix, "key long, a long, na long, at long")
+
+
+def _exact_pairs(open_: DataFrame, groups: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Pairs (a, b) of different components, among the members of groups (key, a), that can be alike.
+
+    Up to SMALL members of a group are paired with each other. Members of larger groups meet in
+    the shingles of ``_rare_first``; a frequent one is dealt out in parts of GROUP members. Sizes,
+    and places of the first common shingle, must allow the similarity. No group is capped.
+    """
+    def mixed(rows: DataFrame) -> DataFrame:
+        named = stored(_with_groups(rows, groups, "a", "ga"))
+        state = named.groupBy("key").agg(F.min("ga").alias("x"), F.max("ga").alias("y"), F.count("*").alias("n")).where("x <> y")
+        return stored(named.join(state.select("key", "n"), "key"))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        k = F.ceil(F.col("n") / GROUP).cast("int")
+        left = rows.withColumn("part", F.pmod(F.xxhash64("a"), k).cast("int")).drop("n")
+        right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), k - 1))).select(
+            "key", "part", F.col("a").alias("b"), F.col("ga").alias("gb"), F.col("na").alias("nb"), F.col("at").alias("bt"))
+        able = (100 + percent) * F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("bt")) >= percent * (F.col("na") + F.col("nb"))
+        return left.join(right, ["key", "part"]).where((F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb")) & able).select("a", "b").distinct()
+
+    rows = mixed(open_.join(sizes, "a"))
+    pairs = paired(rows.where(F.col("n") <= SMALL).withColumn("at", F.lit(0).cast("long")))
+    many = stored(rows.where(F.col("n") > SMALL).select("a").distinct())
+    if many.isEmpty():
+        return pairs
+    return pairs.unionByName(paired(mixed(_rare_first(many, docs, width, percent, doc_id, text)))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,8 +263,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     on full sets, with the member of the bucket that shares most bands with others; so one
     comparison a member links a family. Where a bucket's members are then in several components,
     the pairs that can still be alike meet in smaller groups (see ``_open_groups``), each with a
-    leader of its own, until none is left: no link of a bucket is lost, no bucket is capped, and
-    never are all pairs of a group made. ``kept`` marks the smallest id of a component. Rows
+    leader of its own; members of groups still open after ROUNDS searches, and those far from a
+    leader, meet by the rare shingles they must share (see ``_exact_pairs``). So no link of a
+    bucket is lost and no bucket is capped. ``kept`` marks the smallest id of a component. Rows
     without an id link with nothing, have no component and are kept; repeated rows of one id stay.
     An empty table gives an empty result; other columns are not read.
     """
@@ -236,11 +285,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         return ranked.join(lead, "key").select("key", "a", (-F.col("l.back")).alias("b")).where("a <> b")
 
     rows = stored(led(shared.select("key", F.col("rep").alias("a"))))
-    final = links = groups = known = parts = None
-    while not rows.isEmpty():
-        pairs = rows.select("a", "b").distinct()
-        if final is not None:
-            pairs = pairs.unionByName(final).distinct()
+    links = groups = known = open_ = None
+
+    def search(pairs: DataFrame) -> None:
+        nonlocal links, groups, known
         if known is not None:  # a leader of many groups is compared with a member once
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(compared(stored(pairs), docs, width, percent, doc_id, text))
@@ -249,18 +297,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         if groups is None or not fresh.isEmpty():
             links = stored(fresh if links is None else links.unionByName(fresh))
             groups = stored(components(links))
-        before, parts = parts, groups.agg(F.count("*") - F.count_distinct("component")).first()[0]
-        if before == parts:  # the last search has joined no components
+
+    for last in [False] * (ROUNDS - 1) + [True]:
+        if rows.isEmpty():
             break
+        search(rows.select("a", "b").distinct())
         seen = rows.join(known, ["a", "b"]).withColumn("j", F.col("same") / (F.col("na") + F.col("nb") - F.col("same")))
         # Members alike differ by a fifth at most in their distance from the leader, so each pair is near or far.
         near = seen.where(F.col("j") >= NEAR).drop("key", "j").distinct().withColumn("key", F.xxhash64("b"))
-        final, far = _far_groups(seen.where(F.col("j") < NEAR + (100 - percent) / 100).select("key", "a"), groups, shared)
-        final = stored(final)
-        rows = stored(led(_open_groups(near, groups, percent).unionByName(far)))
-        if rows.isEmpty() and not final.isEmpty():
-            rows = final.withColumn("key", F.lit(None).cast("long")).select("key", "a", "b")  # compare what is left
-            final = None
+        far = seen.where(F.col("j") < NEAR + (100 - percent) / 100).select("key", "a")
+        still = _open_groups(near, groups, percent)
+        rest = stored(far.unionByName(still) if last else far)
+        open_ = rest if open_ is None else open_.unionByName(rest)
+        rows = rows.limit(0) if last else stored(led(still))
+    if open_ is not None and not open_.isEmpty():
+        set_sizes = real.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")).dropDuplicates(["a"])
+        search(_exact_pairs(open_.distinct(), groups, set_sizes, docs, width, percent, doc_id, text))
     rep = classes
     rep = rep.withColumn("component", F.col("rep")) if groups is None else _with_groups(rep, groups, "rep", "component")
     joined = own.select("doc_id", "n_shingles", "s1", "s2").join(rep.select("s1", "s2", "component"), ["s1", "s2"], "left")
