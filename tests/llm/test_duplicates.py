@@ -100,6 +100,13 @@ def test_links_behind_many_leaders_are_found(spark, monkeypatch):
     assert_all_pairs(spark, docs, 1)
 
 
+def test_links_far_from_the_leader_of_a_hot_bucket_are_found(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    docs = {d: " ".join(f"d{d}x{i}" for i in range(40)) for d in range(30)}
+    docs |= {100 + d: docs[d] + " y" for d in (3, 17, 29)}
+    assert_all_pairs(spark, docs)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
