@@ -97,6 +97,17 @@ def test_odd_addresses_and_mined_rules(spark):
     assert url_rules.mine_rules(spark.createDataFrame([], "url string, blocked boolean")).count() == 0
 
 
+def test_rules_are_mined_from_whole_addresses(spark):
+    keys = "&".join(f"k{i}={i}" for i in range(12))
+    seen = ([(f"http://h.example/?{keys}&t={i}", True) for i in range(80)] + [(f"http://h.example/?t={i}", False) for i in range(20)]
+            + [(f"http://h.example/?u={i}", False) for i in range(300)])
+    rules = url_rules.mine_rules(spark.createDataFrame(seen, "url string, blocked boolean"))
+    got = {tuple(r["tokens"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in rules.collect()}
+    assert got["key=t",] == (0.8, 0.2) and all(got[f"key=k{i}",] == (1.0, 0.2) for i in range(12))
+    pages = spark.createDataFrame([("http://new.org/?t=1",), ("http://new.org/?k7=1",), ("http://new.org/?u=1",)], "url string")
+    assert {r["url"][-3:-2]: r["verdict"] for r in url_rules.judge_urls(pages, [], rules).collect()} == {"t": "block", "7": "block", "u": "allow"}
+
+
 def test_quality_on_held_out_documents(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op3_quality"](spark, MIDDLE).collect()}
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").count()

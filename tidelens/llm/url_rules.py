@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidelens.llm.common import stored
 
 BLOCK = "label=block"
-MINED_TOKENS = 12  # tokens of one address that mining looks at, the most telling ones; matching uses all tokens
 
 
 def host_of(url: Column) -> Column:
@@ -52,10 +51,10 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
     """Rules (tokens array, confidence, support) that tell blocked addresses, from rows (url, blocked).
 
     Tokens rarer than the support cannot be in a rule and go first; what stays is at most the mean
-    number of tokens divided by ``min_support`` and may be listed on the driver. From each address
-    the MINED_TOKENS tokens whose blocked share differs most from the mean are mined, so an address
-    that fills the table yields a bounded number of token sets. Rules keep confidence and support
-    at the minimum or above. Null labels and addresses without tokens are passed over; without any
+    number of tokens divided by ``min_support`` and may be listed on the driver. Whole addresses
+    are mined. Tokens that are in the same rows stand as one while mining, so a repeated long
+    address does not yield all its token sets, and a rule then comes once for each choice of one
+    token of each such class. Rules keep confidence and support at the minimum or above. Null labels and addresses without tokens are passed over; without any
     labelled row there is no rule.
     """
     spark = labelled.sparkSession
@@ -66,17 +65,25 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
     if not total or not bad:
         return none
     least = min_support * total
-    frequent = (rows.select(F.explode("tokens").alias("t"), "y").groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("b"))
+    at = [F.xxhash64("tokens", F.lit(k)).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)]
+    frequent = (rows.select(F.explode("tokens").alias("t"), "y", *at).groupBy("t")
+                .agg(F.count("*").alias("n"), F.sum("y").alias("b"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
                 .where((F.col("n") >= least) & (F.col("b") >= least)).collect())
     if not frequent:
         return none
-    base = bad / total
-    telling = [r["t"] for r in sorted(frequent, key=lambda r: (-abs(r["b"] / r["n"] - base), r["t"]))]
-    chosen = F.slice(F.filter(F.lit(telling), lambda t: F.array_contains("tokens", t)), 1, MINED_TOKENS)
-    baskets = rows.select(F.concat(chosen, F.when(F.col("y") == 1, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    classes: dict[tuple, list[str]] = {}
+    for r in sorted(frequent, key=lambda r: r["t"]):
+        classes.setdefault((r["n"], r["b"], r["h1"], r["h2"]), []).append(r["t"])
+    stand_in = F.lit([c[0] for c in classes.values()])
+    baskets = rows.select(F.concat(F.array_intersect("tokens", stand_in), F.when(F.col("y") == 1, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets.where(F.size("items") > 0))
-    return (model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
-            .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    same = spark.createDataFrame([(c[0], c) for c in classes.values()], "token string, alike array<string>")
+    rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", "support")
+             .withColumn("token", F.explode("antecedent")).join(F.broadcast(same), "token")
+             .groupBy("antecedent").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.collect_list("alike").alias("alike")))
+    choices = F.aggregate("alike", F.array(F.array().cast("array<string>")),
+                          lambda acc, alike: F.flatten(F.transform(acc, lambda own: F.transform(alike, lambda t: F.concat(own, F.array(t))))))
+    return rules.select(F.explode(choices).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
