@@ -414,3 +414,16 @@ def test_accents_of_any_letter_fold(spark):
 
     df = spark.createDataFrame([("Cafe\u0301  B\u00e1varo",), ("\u0160ibenik \u0100gia",), (None,), ("",), ("Pla\u0303ya \u1e0c\u0323",)], "t string")
     assert [r[0] for r in df.select(X.fold(F.col("t"))).collect()] == ["cafe bavaro", "sibenik agia", None, "", "playa d"]
+
+
+def test_author_entities_decode_as_html_does(spark):
+    import html
+
+    from tidelens.functions import text as X
+
+    refs = ["Jos&eacute;", "&#233;t&#xE9;", "&copy; A &middot; B", "a &amp;copy; b", "&notit; &ampx &bogus; & &#;", "&#x1F30A;&#8217;&#128;&#0;&#1;", "&#99999999999999; &#xD800; &NotEqualTilde;", "&#013;&#x09x", None]
+    df = spark.createDataFrame(list(enumerate(refs)), "k int, t string")
+    assert {r["k"]: r["d"] for r in df.select("k", X.decode_entities("t").alias("d")).collect()} == {k: t and html.unescape(t) for k, t in enumerate(refs)}
+    cases = [("<b>Jos&eacute;</b> &#38; Co", "José & Co"), ("Ana<script>x", "Ana"), ("Ana<STYLE a='b'>x", "Ana"), ("Ana<script>x</script > B", "Ana B")]
+    got = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "k int, t string").select("k", X.parse_author(X.F.col("t")).alias("a")).collect()
+    assert {r["k"]: r["a"] for r in got} == {k: w for k, (_, w) in enumerate(cases)}
