@@ -248,6 +248,18 @@ def test_benchmark_passages_equal_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_items_shorter_than_a_shingle_equal_brute_force(spark):
+    rng = random.Random(5)
+    items = {n * 10 + k: " ".join(f"w{rng.randrange(6)}" for _ in range(n)) for n in range(1, 7) for k in range(4)}
+    docs = {d: " ".join(f"w{rng.randrange(8)}" for _ in range(rng.randint(5, 60))) for d in range(40)}
+    found = dc.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    want = brute_hits(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want.keys() and {i // 10 for _, i in want} >= {1, 2, 3, 4}
+    for r in found:
+        at, n = r["first_word"], r["n_words"]
+        assert r["item_id"] >= 50 or docs[r["doc_id"]].split()[at:at + n] == items[r["item_id"]].split()
+
+
 def test_passages_of_the_test_documents_and_odd_tables(spark):
     from tidelens.llm.queries import QUERIES
 

@@ -90,6 +90,11 @@ class Benchmark:
         order = [np.argsort(self.prints[:, b], kind="stable") for b in range(blocks)]
         self.order = np.concatenate(order)
         self.from_ = np.stack([np.searchsorted(self.prints[o, b], np.arange((1 << BLOCK_BITS) + 1)) + b * len(kept) for b, o in enumerate(order)])
+        #: Items with fewer words than a shingle: size -> code -> items. They are windows of one shingle of their own size.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for item, (size, c) in enumerate(zip(self.words.tolist(), own, strict=True)):
+            if size < width:
+                self.short.setdefault(size, {}).setdefault(int(c[0]), []).append(item)
         #: Item sizes in which a shingle occurs: a window can only be like an item of its own size.
         self.sizes: dict[int, set[int]] = {}
         for size, c in zip(self.words.tolist(), own, strict=True):
@@ -121,15 +126,28 @@ class Benchmark:
         words = words_of(text)
         if not words or not self.ids:
             return {}
-        codes = shingle_codes(self.plain[np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))], self.width)
+        own = self.plain[np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))]
+        best = self._short(own)
+        codes = shingle_codes(own, self.width)
         hit = self.is_known(codes)
         if not hit.any():
-            return {}
+            return best
         places: dict[int, list[int]] = {}
         for at in np.flatnonzero(hit).tolist():
             for size in self.sizes[int(codes[at])]:
                 places.setdefault(size, []).append(at)
-        return self._windows(words, places)
+        return best | self._windows(words, places)
+
+    def _short(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """First places of items with fewer words than a shingle."""
+        best: dict[int, tuple[float, int, int]] = {}
+        for size, known in self.short.items():
+            if size <= len(words):
+                codes = shingle_codes(words, size)
+                for at in np.flatnonzero(np.isin(codes, np.fromiter(known, np.uint64, len(known)))).tolist():
+                    for item in known[int(codes[at])]:
+                        best.setdefault(item, (1.0, at, size))
+        return best
 
     def _windows(self, words, places):
         codes = shingle_codes(word_codes(words), self.width)
