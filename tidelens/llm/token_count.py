@@ -43,6 +43,14 @@ def newer_letters() -> list[str]:
     return [c for i, c in enumerate(own) if all(3 * i + 2 in cut for cut in cuts)]
 
 
+def char_class(letters: list[str]) -> str:
+    """A pattern of any one of ``letters``, neighbours as ranges: a search costs by the range, not by the letter."""
+    points = np.unique([ord(c) for c in letters])
+    ends = np.flatnonzero(np.diff(points, append=points[-1] + 2) != 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(points[starts], points[ends], strict=True)) + "]"
+
+
 class Vocabulary:
     """Merges, special strings and the proved whole tokens of a tokenizer file."""
 
@@ -63,8 +71,9 @@ class Vocabulary:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PRE_TOKENS)
-        newer = "".join(map(regex.escape, newer_letters()))
-        self.newer = regex.compile(f"[{newer}]") if newer else None
+        newer = newer_letters()
+        self.newer = regex.compile(char_class(newer)) if newer else None
+        self.first_newer = min(newer, default="")
         self.whole = self._prove([t for t in ids if t not in special], letters)
         self.memo: dict[str, int] = {}
 
@@ -90,7 +99,7 @@ class Vocabulary:
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text."""
-        if self.newer is None or text.isascii() or not self.newer.search(text):
+        if self.newer is None or text.isascii() or max(text) < self.first_newer or not self.newer.search(text):
             return self.pattern.findall(text)
         return [text[m.start():m.end()] for m in self.pattern.finditer(self.newer.sub("\u00a6", text))]  # any sign will do
 
