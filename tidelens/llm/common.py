@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
@@ -44,6 +46,15 @@ def text_chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterat
     yield from byte_chunks(np.concatenate([[0], np.cumsum(sizes)]), limit)
 
 
+def release_memory() -> None:
+    """Hand memory that a task has freed back to the system: workers are used again, by other stages too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

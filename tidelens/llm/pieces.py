@@ -12,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import sha, text_chunks
+from tidelens.llm.common import release_memory, sha, text_chunks
 from tidelens.llm.merges import PairTable, merge_rounds
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _PAD = 0xFF  # a byte that UTF-8 never holds
 _NORMAL, _BYTE, _UNUSED = 1, 6, 5
-ENCODE_CHARS = 1 << 22
-MEMO_WORDS = 500_000  # encoded words a worker remembers; this only saves work
+ENCODE_CHARS = 1 << 19
+MEMO_BYTES = 48 << 20  # of encoded words that a task remembers; this only saves work
+_WORD_BYTES = 200      # about what a remembered word takes besides its letters
 
 
 class PieceModel:
@@ -145,10 +146,11 @@ class PieceModel:
         """(ids of all texts end to end, number of ids of each text); each distinct word is merged once."""
         words = [self.cut(t) for t in texts]
         flat = [w for ws in words for w in ws]
-        if len(self.slot) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self._forget()
         new = list(set(flat).difference(self.slot))
         if new:
+            self.held += sum(map(len, new)) + _WORD_BYTES * len(new)
             ids, counts = self.encode_words(new)
             first = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
             self.slot.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
@@ -162,9 +164,15 @@ class PieceModel:
         return ids, np.diff(np.concatenate([[0], ends])[words_before])
 
     def _forget(self) -> None:
+        self.held = 0
         self.slot: dict[str, int] = {}
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def rest(self) -> None:
+        """Between tasks nothing is remembered."""
+        self._forget()
+        release_memory()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: pieces end to end, byte pieces as bytes, without the dummy space."""
         odd = (ids == self.bytes[_PAD]).any()  # only ids that no text encodes to
@@ -205,6 +213,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", ids: str = "id
                     [*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                      pa.array([model.decode(flat[i:j]) for i, j in pairwise(ends.tolist())], pa.string())],
                     names=[*kept, ids, decoded])
+        model.rest()
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -228,5 +237,6 @@ def piece_digests(docs: DataFrame, path: str, text: str = "text", keys: tuple[st
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keys)], pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())],
                 names=[*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.rest()
 
     return docs.select(*keys, text).mapInArrow(run, schema)

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import flat_bytes, maybe_in, mix64, stored
+from tidelens.llm.common import flat_bytes, maybe_in, mix64, release_memory, stored
 from tidelens.llm.shingles import prefix_sums, stretch
 
 LEAST = 100
 ANCHOR = 36
 PIECE = 1 << 20             # places that one selection pass numbers; a longer text takes several
-FLUSH_ANCHORS = 400_000     # anchors a task groups by itself before it hands them on
+FLUSH_ANCHORS = 300_000     # anchors a task groups by itself before it hands them on
 SHARD_BYTES = 1 << 20       # text under one suffix array
 HOT_CONTEXTS = 10_000       # an anchor with more different segments is dealt out by single strings
 _VALUES = mix64(np.arange(5001, 5257, dtype=np.uint64))
@@ -136,6 +136,7 @@ def _segments(least: int):
                     parts, count = [], 0
         if parts:
             yield from flush(parts)
+        release_memory()
 
     return run
 
@@ -395,6 +396,7 @@ def _resolved(least: int, shard_bytes: int):
                 size += len(row[3])
         if part:
             yield out(part)
+        release_memory()
 
     return run
 
@@ -416,6 +418,27 @@ def repeated_stretches(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_i
     return rows.where("contexts < 0").select("doc_id", "lo", "hi").unionByName(found)
 
 
+def _left(raw: np.ndarray, stretches: list[dict] | None) -> tuple[int, int, bytes]:
+    """(bytes removed, maximal removed runs, bytes left) of one text."""
+    at, gone, runs, rest = 0, 0, 0, []
+    if stretches:
+        lo, hi = (np.array([s[k] for s in stretches], np.int64) for k in ("lo", "hi"))
+        _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, hi)
+        for a, b in zip(lo.tolist(), np.minimum(hi, len(raw)).tolist(), strict=True):
+            if a < b:
+                rest.append(raw[at:a].tobytes())
+                at, gone, runs = b, gone + b - a, runs + 1
+    rest.append(raw[at:].tobytes())
+    return gone, runs, b"".join(rest)
+
+
+def _with_stretches(docs: DataFrame, least: int, doc_id: str, text: str, shard_bytes: int, hot: int) -> DataFrame:
+    """``docs`` and, as a last column, the stretches to remove of each."""
+    spans = repeated_stretches(docs, least, doc_id, text, shard_bytes, hot).groupBy("doc_id").agg(
+        F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    return docs.join(spans, F.col(doc_id).cast("long") == F.col("_id"), "left").drop("_id")
+
+
 def without_repeats(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text",
                     shard_bytes: int = SHARD_BYTES, hot: int = HOT_CONTEXTS) -> DataFrame:
     """All columns of ``docs`` plus n_bytes, n_removed, n_spans and kept (binary: the bytes that stay).
@@ -429,33 +452,18 @@ def without_repeats(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept")
     kept = [c for c in docs.columns if c not in new]
-    spans = repeated_stretches(docs, least, doc_id, text, shard_bytes, hot).groupBy("doc_id").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.select(*kept).join(spans, F.col(doc_id).cast("long") == F.col("_id"), "left").drop("_id")
     schema = docs.select(*kept, *(F.lit(0).cast("long").alias(c) for c in new[:3]), F.lit(b"").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_bytes(batch.column(kept.index(text)))
-            cols: list[list] = [[], [], [], []]
-            for i, own in enumerate(batch.column(len(kept)).to_pylist()):
-                raw = data[ends[i]:ends[i + 1]]
-                at, gone, runs, rest = 0, 0, 0, []
-                if own:
-                    lo, hi = (np.array([s[k] for s in own], np.int64) for k in ("lo", "hi"))
-                    _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, hi)
-                    for a, b in zip(lo.tolist(), np.minimum(hi, len(raw)).tolist(), strict=True):
-                        if a < b:
-                            rest.append(raw[at:a].tobytes())
-                            at, gone, runs = b, gone + b - a, runs + 1
-                rest.append(raw[at:].tobytes())
-                for c, v in zip(cols, (len(raw), gone, runs, b"".join(rest)), strict=True):
-                    c.append(v)
+            cut = [_left(data[a:b], own) for a, b, own in zip(ends, ends[1:], batch.column(len(kept)).to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(kept)], *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))],
-                names=[*kept, *new])
+                [*batch.columns[:len(kept)], pa.array(np.diff(ends), pa.int64()), pa.array([c[0] for c in cut], pa.int64()),
+                 pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.binary())], names=[*kept, *new])
+        release_memory()
 
-    return joined.mapInArrow(run, schema)
+    return _with_stretches(docs.select(*kept), least, doc_id, text, shard_bytes, hot).mapInArrow(run, schema)
 
 
 def trimmed_texts(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -464,15 +472,18 @@ def trimmed_texts(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", t
     Where a removed stretch ends inside a character, the rest of that character goes too. Null
     texts stay null; no row is dropped.
     """
+    at = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [None if whole is None else kept.decode("utf-8", "ignore") for whole, kept in
-                    zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            column = batch.column(at)
+            data, ends = flat_bytes(column)
+            left = [_left(data[a:b], own)[2].decode("utf-8", "ignore") if given else None for a, b, own, given in
+                    zip(ends, ends[1:], batch.column(batch.num_columns - 1).to_pylist(), column.is_valid().to_pylist(), strict=False)]
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(left, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+        release_memory()
 
-    cut = without_repeats(docs, least, doc_id, text)
-    at = docs.columns.index(text)
-    rest = cut.select(*docs.columns, "kept").mapInArrow(run, docs.schema)
+    rest = _with_stretches(docs, least, doc_id, text, SHARD_BYTES, HOT_CONTEXTS).mapInArrow(run, docs.schema)
     return rest.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else rest
