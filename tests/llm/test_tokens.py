@@ -102,3 +102,19 @@ def test_queries_equal_the_libraries(spark):
     for r in QUERIES["op6_token_counts"](spark, SMALL).collect():
         n = len(tok.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 1024)
+
+
+def test_newer_letters_are_searched_as_ranges():
+    import time
+
+    voc = token_count.vocabulary(P.path("byte_bpe_50k.json"))
+    newer = set(token_count.newer_letters())
+    assert {c for c in map(chr, range(0x80, 0x40000)) if voc.newer.search(c)} == {c for c in newer if ord(c) < 0x40000}
+    text = "El niño comió una manzana en el jardín 中. " * 25_000
+
+    def seconds(f):
+        began = time.process_time()
+        f(text)
+        return time.process_time() - began
+
+    assert min(seconds(voc.cut) for _ in range(3)) < 3 * min(seconds(voc.pattern.findall) for _ in range(3))

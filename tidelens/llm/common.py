@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidelens.session import durable_checkpoint
 
+_WHITE_SPACE = re.compile(rb"[ \t-\r]")
 CHUNK_BYTES = 1 << 21  # bytes of text that one vectorised step takes; a longer text is a chunk of its own
 
 
@@ -46,6 +48,18 @@ def text_chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterat
     yield from byte_chunks(np.concatenate([[0], np.cumsum(sizes)]), limit)
 
 
+def word_slices(raw: bytes, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The bytes of a text in slices of about ``limit`` that no word crosses: each ends behind white space, or the text ends."""
+    a = 0
+    while a < len(raw):
+        b = a + limit
+        if b < len(raw):
+            gap = _WHITE_SPACE.search(raw, b)
+            b = gap.end() if gap else len(raw)
+        yield raw[a:b]
+        a = b
+
+
 def release_memory() -> None:
     """Hand memory that a task has freed back to the system: workers are used again, by other stages too."""
     gc.collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
@@ -65,6 +67,49 @@ class PairTable:
         return rank, merged
 
 
+class _Slots(dict):
+    """Number of each word, in the order in which they first come; ``new`` are those to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class WordMemo:
+    """Ids of words met before, as flat arrays. It only saves work, and forgets all once it holds ``limit`` bytes."""
+
+    WORD_BYTES = 200  # about what a remembered word takes besides its letters
+
+    def __init__(self, encode_words: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.encode_words, self.limit = encode_words, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.held, self.slot = 0, _Slots()
+        self.flat, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words end to end, number of ids of each); each new distinct word is encoded once."""
+        if self.held > self.limit:
+            self.forget()
+        at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        new, self.slot.new = self.slot.new, []
+        if new:
+            self.held += sum(map(len, new)) + self.WORD_BYTES * len(new)
+            ids, counts = self.encode_words(new)
+            first = len(self.flat) + np.cumsum(counts) - counts
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, counts])
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.flat[np.repeat(self.first[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)], count
+
+
 def merge_rounds(sym: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge all words at once; returns (symbols, length of each word).
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.llm.common import release_memory, sha, text_chunks
-from tidelens.llm.merges import PairTable, merge_rounds
+from tidelens.llm.merges import PairTable, WordMemo, merge_rounds
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -21,7 +21,6 @@ _PAD = 0xFF  # a byte that UTF-8 never holds
 _NORMAL, _BYTE, _UNUSED = 1, 6, 5
 ENCODE_CHARS = 1 << 19
 MEMO_BYTES = 48 << 20  # of encoded words that a task remembers; this only saves work
-_WORD_BYTES = 200      # about what a remembered word takes besides its letters
 
 
 class PieceModel:
@@ -91,7 +90,7 @@ class PieceModel:
         width = max(map(len, self.raw))
         self.rows = np.array([list(r.ljust(width, bytes([_PAD]))) for r in self.raw], np.uint8)
         self.decimals = np.frombuffer(b"".join(f"{i},".encode().ljust(8, b"\0") for i in range(self.size)), np.uint64)
-        self._forget()
+        self.memo = WordMemo(self.encode_words, MEMO_BYTES)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each word)."""
@@ -145,32 +144,13 @@ class PieceModel:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text); each distinct word is merged once."""
         words = [self.cut(t) for t in texts]
-        flat = [w for ws in words for w in ws]
-        if self.held > MEMO_BYTES:
-            self._forget()
-        new = list(set(flat).difference(self.slot))
-        if new:
-            self.held += sum(map(len, new)) + _WORD_BYTES * len(new)
-            ids, counts = self.encode_words(new)
-            first = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
-            self.slot.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, counts])
-        at = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
-        count = self.count[at]
-        ends = np.cumsum(count)
-        ids = self.ids[np.repeat(self.first[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, count = self.memo.ids([w for ws in words for w in ws])
         words_before = np.cumsum([0, *map(len, words)])
-        return ids, np.diff(np.concatenate([[0], ends])[words_before])
-
-    def _forget(self) -> None:
-        self.held = 0
-        self.slot: dict[str, int] = {}
-        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[words_before])
 
     def rest(self) -> None:
         """Between tasks nothing is remembered."""
-        self._forget()
+        self.memo.forget()
         release_memory()
 
     def decode(self, ids: np.ndarray) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelens.llm import chat, decontaminate, fingerprint, language, near_dup, pieces, quality, suffixes, token_count, url_rules
+from tidelens.llm import (chat, collocations, decontaminate, fingerprint, language, near_dup, packing, periodic, pieces, quality, suffixes,
+                          token_count, url_rules)
 from tidelens.llm.common import held_out
 
 
@@ -81,7 +82,50 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.repeated_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(docs).withColumn("best", periodic.longest_run())
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filter, op3_quality, op4_chat_format, op5_decontamination,
                                      op6_token_counts, op7_language, op8_repeated_strings, op9_near_duplicates,
-                                     op10_pieces)}
-ORACLE_SQL: dict[str, str] = {}
+                                     op10_pieces, op11_packing, op12_periodic_runs, op13_collocations)}
+
+_OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+l AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM l),
+u AS (SELECT lang, w[i] AS phrase, '' AS head, '' AS tail, 1 AS k, w[i] AS first, w[i] AS last FROM g
+      UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], w[i], w[i + 1], 2, w[i], w[i + 1] FROM g WHERE i + 1 <= len(w)
+      UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], w[i] || ' ' || w[i + 1], w[i + 1] || ' ' || w[i + 2], 3, w[i], w[i + 2]
+      FROM g WHERE i + 2 <= len(w)),
+f AS (SELECT lang, phrase, k, head, tail, first, last, count(*) AS f FROM u GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.phrase, c.k, c.f AS a, x.cut, x.l, x.r, (1000000::HUGEINT * c.f * c.f) // (x.l::HUGEINT * x.r) AS score FROM c JOIN (
+      SELECT c.lang, c.phrase, 1 AS cut, a.f AS l, b.f AS r FROM c JOIN f a ON a.lang = c.lang AND a.phrase = c.first AND a.k = 1
+        JOIN f b ON b.lang = c.lang AND b.phrase = c.tail AND b.k = c.k - 1
+      UNION ALL SELECT c.lang, c.phrase, 2, a.f, b.f FROM c JOIN f a ON a.lang = c.lang AND a.phrase = c.head AND a.k = 2
+        JOIN f b ON b.lang = c.lang AND b.phrase = c.last AND b.k = 1 WHERE c.k = 3) x ON x.lang = c.lang AND x.phrase = c.phrase),
+weak AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM weak w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = 3 AND w.k = 2 AND c.lang = w.lang
+      AND (c.head = w.phrase OR c.tail = w.phrase) AND 100 * c.f >= 50 * w.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score::BIGINT AS score FROM ranked r JOIN n USING (lang) WHERE r.rank <= 2000
+"""
+ORACLE_SQL: dict[str, str] = {"op13_collocations": _OP13_SQL}
