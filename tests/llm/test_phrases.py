@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidelens.llm import collocations, periodic
@@ -115,6 +117,8 @@ def test_runs_of_odd_tables(spark, tmp_path):
         assert r["n_words"] == len(words) and [tuple(x) for x in r["runs"]] == runs
         assert r["collapsed"] == " ".join(w for i, w in enumerate(words) if i not in gone)
     assert out.count() == len(rows) and periodic.periodic_runs(df.limit(0)).count() == 0
+    whole = spark.range(1).select(F.lit(next(i for i in range(99) if zlib.crc32(b"%d" % i) % 10 == 0)).cast("long").alias("doc_id"), F.lit("ab " * 30_000).alias("text"))
+    assert periodic.repeated_tails(whole).select(F.length("text")).first()[0] == 3 * 30_000 - 1
     df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(QUERIES["op12_periodic_runs"](spark, str(tmp_path)).collect(), key=str)
     # A null id has no checksum: its text stays as it is.
@@ -183,23 +187,19 @@ def test_tries_burst_spill_and_start_anew(monkeypatch):
         for piece in re.split(r"[.\n]", t):
             w = piece.split()
             want.update(("en", *w[i:i + k], *[""] * (3 - k)) for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    for words, entries, burst in ((10**6, 10**6, 10**6), (20, 10**6, 3), (10**6, 50, 4), (5, 30, 1)):
+    for words, entries, burst, parts in ((10**6, 10**6, 10**6, 1), (20, 10**6, 3, 9), (10**6, 50, 4, 4), (5, 30, 1, 50)):
         monkeypatch.setattr(collocations, "MAX_WORDS", words)
         monkeypatch.setattr(collocations, "MAX_ENTRIES", entries)
-        monkeypatch.setattr(collocations.HatTrie.__init__, "__defaults__", (burst,))
-        counter = collocations._Counter()
-        parts = [b for i in range(0, 60, 7) for b in counter.chunk(["en"] * len(texts[i:i + 7]), [t.encode() for t in texts[i:i + 7]])]
-        parts += counter.spill(0)
-        merge = collocations._merge(1)
-        rows = sorted((tuple(r.values()) for b in parts for r in b.to_pylist()))
+        monkeypatch.setattr(collocations.HatTrie.__init__, "__defaults__", (burst, 3))
+        counter = collocations._Counter(parts)
+        runs = [b for i in range(0, 60, 7) for b in counter.chunk(["en"] * len(texts[i:i + 7]), [t.encode() for t in texts[i:i + 7]])]
+        table = pa.Table.from_batches([*runs, *counter.spill(0)]).sort_by([("part", "ascending"), ("lang", "ascending")])
+        assert not counter.tries["en"].entries and (burst > 99 or len(counter.tries["en"].own) == 0) and len(set(table.column("part").to_pylist())) > parts // 2
         total = Counter()
-        import pyarrow as pa
-        cut = [rows[i:i + 37] for i in range(0, len(rows), 37)]
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["lang", "w1", "w2", "w3", "n"]) for part in cut]
-        for b in merge(iter(batches)):
+        for b in collocations._merge(1)(iter(table.to_batches(3))):
             for r in b.to_pylist():
-                assert (key := (r["lang"], r["w1"], r["w2"], r["w3"])) not in total
+                w = (*r["head"].split(" "), "", "")[:2]
+                assert (key := (r["lang"], *w, r["third"])) not in total
                 total[key] = r["n"]
         assert total.pop(("en", "", "", "")) == sum(n for k, n in want.items() if not k[2])
         assert total == want
-        assert all(sum(1 for _ in g) == 1 for _, g in groupby(sorted(total)))

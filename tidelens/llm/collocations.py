@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,85 +14,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import byte_chunks, flat_bytes, release_memory, stored, word_slices
+from tidelens.llm.common import byte_chunks, flat_bytes, mix64, release_memory, stored, word_slices
 
 LEAST = 10              # occurrences of a candidate
 TOP = 2000              # phrases reported for a language
 _BITS = 21              # a word's number in a task; three of them are a key
 _MASK = (1 << _BITS) - 1
-MAX_WORDS = 200_000     # words a task numbers before it hands everything on and starts anew
-MAX_ENTRIES = 400_000   # entries of a task's tries; beyond, subtrees are spilled
-BURST = 4096            # entries of a container that becomes a node
+MAX_WORDS = 400_000     # words a task numbers before it hands everything on and starts anew
+MAX_ENTRIES = 800_000   # entries of a task's tries; beyond, subtrees are spilled
+BURST = 4096            # entries of a shared container that parts with its largest subtree
+SHARED = 4096           # containers shared by all first words
+PART_BYTES = 8 << 20    # text whose phrases one prefix partition merges
+CHUNK = 1 << 22         # bytes of text that are counted in one step
+TASK_PARTS = 4          # prefix partitions that a task merges, one after the other
 _MARK = b"\xff"         # between pieces; a byte that UTF-8 never holds
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-_LEAVES = "lang string, w1 string, w2 string, w3 string, n long"
+_RUNS = "part int, lang string, size int, run binary"
+_SUMS = "lang string, head string, third string, n long"
+_CODEC = pa.Codec("zstd", 1)
 
 
 class HatTrie:
-    """Counts of word triples: a trie of word numbers, at most two deep, over hash containers.
+    """Counts of word triples: a shallow trie of word numbers over hash containers.
 
-    A triple's key is its three numbers in one. The root leads from the first word to a container
-    of its triples; a container that outgrows BURST becomes a node, which leads from the second
-    word to containers of its own.
+    A triple's key is its three numbers in one. Containers are shared by many first words until one
+    outgrows BURST: then the first word with most entries gets a container of its own, and the trie
+    leads to it by its number.
     """
 
-    def __init__(self, burst: int = BURST):
+    def __init__(self, burst: int = BURST, shared: int = SHARED):
         self.burst, self.entries = burst, 0
-        self.root: dict[int, dict[int, int]] = {}
-        self.nodes: dict[int, dict[int, dict[int, int]]] = {}
+        self.shared: list[dict[int, int]] = [{} for _ in range(shared)]
+        self.own: dict[int, dict[int, int]] = {}
 
     def add(self, keys: list[int], counts: list[int]) -> None:
-        root, nodes = self.root, self.nodes
+        own, shared, n_shared, shift = self.own, self.shared, len(self.shared), 2 * _BITS
         for key, n in zip(keys, counts, strict=True):
-            first = key >> 2 * _BITS
-            if first in nodes:
-                box = nodes[first].setdefault(key >> _BITS & _MASK, {})
+            first = key >> shift
+            box = own.get(first)
+            if box is None:
+                box = shared[first % n_shared]
+                if len(box) > self.burst:
+                    self._burst(box)
+                    box = own.get(first, box)
+            if key in box:
+                box[key] += n
             else:
-                box = root.setdefault(first, {})
-            held = box.get(key)
-            if held is not None:
-                box[key] = held + n
-                continue
-            box[key] = n
-            self.entries += 1
-            if len(box) > self.burst and first not in nodes:
-                self._burst(first)
+                box[key] = n
+                self.entries += 1
 
-    def _burst(self, first: int) -> None:
-        node = self.nodes[first] = {}
-        for key, n in self.root.pop(first).items():
-            node.setdefault(key >> _BITS & _MASK, {})[key] = n
+    def _burst(self, box: dict[int, int]) -> None:
+        first, _ = Counter(key >> 2 * _BITS for key in box).most_common(1)[0]
+        self.own[first] = {key: box.pop(key) for key in [k for k in box if k >> 2 * _BITS == first]}
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whole subtrees, largest first, until at most ``keep`` entries are left: a run (keys, counts) sorted by key."""
-        sizes = {w: len(c) for w, c in self.root.items()} | {w: sum(map(len, c.values())) for w, c in self.nodes.items()}
+        """Whole subtrees, those that save least by counting first, until at most ``keep`` entries are left: (keys, counts)."""
+        boxes = [c for c in (*self.shared, *self.own.values()) if c]
+        if keep:
+            boxes.sort(key=lambda c: sum(c.values()) / len(c))
         keys: list[int] = []
         counts: list[int] = []
-        for w in sorted(sizes, key=lambda w: (-sizes[w], w)):
+        for box in boxes:
             if self.entries <= keep:
                 break
-            for box in self.nodes.pop(w).values() if w in self.nodes else (self.root.pop(w),):
-                keys += box.keys()
-                counts += box.values()
-            self.entries -= sizes[w]
-        run = np.array(keys, np.int64)
-        order = np.argsort(run)
-        return run[order], np.array(counts, np.int64)[order]
+            keys += box.keys()
+            counts += box.values()
+            self.entries -= len(box)
+            box.clear()
+        self.own = {w: c for w, c in self.own.items() if c}
+        return np.array(keys, np.int64), np.array(counts, np.int64)
 
 
 class _Numbers(dict):
-    """Number of each word of a task; the mark between pieces is 0."""
+    """Number of each word of a task, and a code that is the same in every task; the mark between pieces is 0."""
+
+    def __init__(self):
+        super().__init__({_MARK: 0})
+        self.codes = [0]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.codes.append(zlib.crc32(word))
         return n
 
 
 class _Counter:
     """The tries of a task, one a language, over common word numbers."""
 
-    def __init__(self):
-        self.numbers, self.tries = _Numbers({_MARK: 0}), {}
+    def __init__(self, parts: int):
+        self.parts, self.numbers, self.tries = parts, _Numbers(), {}
 
     def _read(self, lang: str, ids: np.ndarray) -> None:
         """Count the triple that begins at each place but the last two; nothing reaches over a mark."""
@@ -115,105 +128,147 @@ class _Counter:
                     wanted = set(tail.tolist())
                     back = {n: w for w, n in self.numbers.items() if n in wanted}
                     yield from self.spill(0)
-                    self.numbers = _Numbers({_MARK: 0})
+                    self.numbers = _Numbers()
                     tail = np.array([self.numbers[back[n]] for n in tail.tolist()], np.int64)
         if sum(t.entries for t in self.tries.values()) > MAX_ENTRIES:
             yield from self.spill(MAX_ENTRIES // 2)
 
     def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Runs of spilled subtrees as rows: triples, pairs that end a piece, words, and the number of all words."""
+        """Spilled subtrees as sorted runs, one for each language and prefix partition.
+
+        Runs are in the order of the task's word numbers. A run holds triples and pairs that end a piece under their first two words, the sum of each
+        first word under itself, and the number of all words under the empty text.
+        """
         total = max(1, sum(t.entries for t in self.tries.values()))
-        words = pa.array([b"", *list(self.numbers)[1:]], pa.binary()).cast(pa.string())
+        words = pa.array([b"", *list(self.numbers)[1:]], pa.binary())
+        code = mix64(np.array(self.numbers.codes, np.uint64))
         for lang, trie in self.tries.items():
             keys, counts = trie.spill(keep * trie.entries // total)
             if not len(keys):
                 continue
-            first = keys >> 2 * _BITS
-            head = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-            pairs = np.flatnonzero(keys >> _BITS & _MASK)
-            single = np.add.reduceat(counts, head)
-            w = [np.concatenate([x[pairs], y, [0]]) for x, y in ((first, first[head]), (keys >> _BITS & _MASK, 0 * head), (keys & _MASK, 0 * head))]
-            n = np.concatenate([counts[pairs], single, [single.sum()]])
-            for a in range(0, len(n), 1 << 16):
-                part = [words.take(pa.array(x[a:a + (1 << 16)])) for x in w]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part, pa.array(n[a:a + (1 << 16)])],
-                                                 names=["lang", "w1", "w2", "w3", "n"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task over (lang, text): leaves of the tries, spilled in sorted runs."""
-    counter = _Counter()
-    for batch in batches:
-        langs = batch.column(0).to_pylist()
-        data, ends = flat_bytes(batch.column(1))
-        for a, b in byte_chunks(ends):
-            yield from counter.chunk(langs[a:b], [data[ends[i]:ends[i + 1]].tobytes() for i in range(a, b)])
-    yield from counter.spill(0)
-    release_memory()
-
-
-def _sums(keys: list[pa.Array], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row, sum) of each stretch of equal keys."""
-    new = np.zeros(len(n), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False)
+            first, single = _ordered(keys >> 2 * _BITS, counts)
+            several = (keys >> _BITS & _MASK) > 0
+            keys = np.concatenate([keys[several], first << 2 * _BITS, [0]])
+            counts = np.concatenate([counts[several], single, [single.sum()]])
+            w = [keys >> 2 * _BITS, keys >> _BITS & _MASK]
+            part = ((code[w[0]] * np.uint64(3) + code[w[1]] + np.uint64(zlib.crc32(lang.encode()))) % np.uint64(self.parts)).astype(np.int64)
+            inner = np.lexsort((keys, part))
+            yield _pack(lang, words, part[inner], keys[inner], counts[inner])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sum of each."""
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[head], np.add.reduceat(n, head)
+
+
+def _pack(lang: str, words: pa.Array, part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Runs of the partitions. A run is its heads, the third words of each, and their counts, compressed."""
+    pair = keys >> _BITS
+    new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])])
     head = np.flatnonzero(new)
-    return head, np.add.reduceat(n, head)
+    given = pc.if_else(pa.array((pair[head] & _MASK) > 0), words.take(pa.array(pair[head] & _MASK)), None)
+    heads = pc.binary_join_element_wise(words.take(pa.array(pair[head] >> _BITS)), given, pa.scalar(b" ", pa.binary()), null_handling="skip")
+    head_data, head_ends = flat_bytes(heads)
+    third_data, third_ends = flat_bytes(words.take(pa.array(keys & _MASK)))
+    thirds = np.append(head, len(keys))
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    sizes, runs = [], []
+    for a, b in pairwise(cuts.tolist()):
+        i, j = np.searchsorted(head, (a, b))
+        raw = b"".join([np.array([j - i, b - a], "<u4").tobytes(), *(np.diff(x).astype("<u4").tobytes() for x in (
+            head_ends[i:j + 1], thirds[i:j + 1], third_ends[a:b + 1])), counts[a:b].astype("<u4").tobytes(),
+            head_data[head_ends[i]:head_ends[j]].tobytes(), third_data[third_ends[a]:third_ends[b]].tobytes()])
+        sizes.append(len(raw))
+        runs.append(_CODEC.compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([lang] * len(runs), pa.string()), pa.array(sizes, pa.int32()), pa.array(runs, pa.binary())],
+        names=["part", "lang", "size", "run"])
+
+
+def _strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpack(size: int, run: bytes) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """(heads, third words of each head, third words, counts) of a run."""
+    raw = np.frombuffer(_CODEC.decompress(run, size), np.uint8)
+    n_heads, n = raw[:8].view("<u4").tolist()
+    at = 8 + 4 * np.cumsum([0, n_heads, n_heads, n, n])
+    head_len, thirds, third_len, counts = (raw[a:b].view("<u4").astype(np.int64) for a, b in pairwise(at.tolist()))
+    split = int(at[-1] + head_len.sum())
+    return _strings(head_len, raw[at[-1]:split]), thirds, _strings(third_len, raw[split:]), counts
+
+
+def _count(parts: int):
+    """Task over (lang, text): the runs of its tries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(parts)
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            data, ends = flat_bytes(batch.column(1))
+            for a, b in byte_chunks(ends, CHUNK):
+                yield from counter.chunk(langs[a:b], [data[ends[i]:ends[i + 1]].tobytes() for i in range(a, b)])
+        yield from counter.spill(0)
+        release_memory()
 
+    return run
 
-def _merge(least: int):
-    """Task over leaves sorted by prefix: the sums of triples and of pairs that reach ``least``, of words, and of all words.
 
-    Rows of an unfinished triple or pair are held as one row.
-    """
-    def level(depth: int):
-        held: tuple[list[pa.Array], np.ndarray] | None = None
-
-        def take(cols: list[pa.Array], n: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if held is not None:
-                cols, n = [pa.concat_arrays([h, c]) for h, c in zip(held[0], cols, strict=True)], np.concatenate([held[1], n])
-                held = None
-            if not len(n):
-                return
-            head, total = _sums(cols, n)
-            if not last:
-                held = [c.slice(int(head[-1]), 1) for c in cols], total[-1:]
-                head, total = head[:-1], total[:-1]
-            enough = (total >= least) | np.equal(pc.binary_length(cols[1]).to_numpy(zero_copy_only=False)[head], 0)
-            rows = pa.array(head[enough])
-            empty = pa.array([""] * len(rows), pa.string())
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in cols] + [empty] * (4 - depth) + [pa.array(total[enough])],
-                                             names=["lang", "w1", "w2", "w3", "n"])
-
-        return take
+def _merged(lang: str, runs: list[tuple[int, bytes]], least: int) -> pa.RecordBatch:
+    """Sums of one language in one prefix partition that reach ``least``; heads that are the number of all words always."""
+    heads, thirds, third, counts = zip(*(_unpack(*r) for r in runs), strict=True)
+    coded = pc.dictionary_encode(pa.concat_arrays(heads))
+    head = np.repeat(coded.indices.to_numpy().astype(np.int64), np.concatenate(thirds))
+    n = np.concatenate(counts)
+    of_head = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(of_head, head, n)
+    every = pc.dictionary_encode(pa.concat_arrays(third))
+    key, of_key = _ordered(head << 32 | every.indices.to_numpy(), n)
+    some = np.flatnonzero((of_head >= least) | (pc.binary_length(coded.dictionary).to_numpy() == 0))
+    often = (of_key >= least) & (pc.binary_length(every.dictionary).to_numpy()[key & 0xFFFFFFFF] > 0)
+    key, of_key = key[often], of_key[often]
+    columns = [pa.concat_arrays([coded.dictionary.take(pa.array(some)), coded.dictionary.take(pa.array(key >> 32))]).cast(pa.string()),
+               pa.concat_arrays([pa.array([""] * len(some), pa.large_string()), every.dictionary.take(pa.array(key & 0xFFFFFFFF))]).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns, pa.array(np.concatenate([of_head[some], of_key]))],
+                                      names=["lang", "head", "third", "n"])
+
 
+def _ordered(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return _summed(keys[order], n[order])
+
+
+def _merge(least: int):
+    """Task over runs sorted by partition and language: only the runs of one of each are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        triple, pair = level(4), level(3)
-        none = [pa.array([], pa.string())] * 4
+        key, held = None, []
         for batch in batches:
-            cols, n = [batch.column(i) for i in range(4)], batch.column(4).to_numpy()
-            long = pc.greater(pc.binary_length(cols[3]), 0)
-            yield from triple([c.filter(long) for c in cols], n[long.to_numpy(zero_copy_only=False)])
-            yield from pair(cols[:3], n)
-        yield from triple(none, np.zeros(0, np.int64), True)
-        yield from pair(none[:3], np.zeros(0, np.int64), True)
+            for part, lang, size, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (part, lang) != key:
+                    if held:
+                        yield _merged(key[1], held, least)
+                    key, held = (part, lang), []
+                held.append((size, own))
+        if held:
+            yield _merged(key[1], held, least)
         release_memory()
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3, n): occurrences of words, pairs and triples that occur ``least`` times; missing words are empty.
+    """(lang, head, third, n): occurrences of words, pairs and triples that occur ``least`` times.
 
-    One row a language without any word holds the number of all its words.
+    The head is one word or two, one space apart; the third word is empty but for triples. One row
+    a language with an empty head holds the number of all its words. The number of prefix
+    partitions follows the bytes of all texts, so that what a task merges does not grow with them.
     """
     own = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    leaves = own.mapInArrow(_count, _LEAVES)
-    prefix = F.xxhash64("lang", "w1", "w2")
-    ordered = leaves.withColumn("_h", prefix).repartition("_h").sortWithinPartitions("_h", "lang", "w1", "w2", "w3")
-    return ordered.select("lang", "w1", "w2", "w3", "n").mapInArrow(_merge(least), _LEAVES)
+    parts = 1 + (own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES
+    runs = own.mapInArrow(_count(parts), _RUNS).repartition(-(-parts // TASK_PARTS), "part").sortWithinPartitions("part", "lang")
+    return runs.mapInArrow(_merge(least), _SUMS)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -237,10 +292,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     result. Other columns are not carried. Very long texts are counted slice by slice.
     """
     counts = stored(phrase_counts(docs, least, text, lang))
-    words = counts.where("w1 <> '' and w2 = ''").select("lang", "w1", F.col("n").alias("f"))
-    pairs = counts.where("w2 <> '' and w3 = ''").select("lang", "w1", "w2", F.col("n").alias("f"))
-    triples = counts.where("w3 <> ''").withColumnRenamed("n", "a")
-    n = counts.where("w1 = ''").select("lang", "n")
+    head = F.split("head", " ")
+    heads = counts.where("third = ''").withColumn("w1", head[0]).withColumn("w2", F.get(head, F.lit(1)))
+    words = heads.where("head <> '' and w2 is null").select("lang", "w1", F.col("n").alias("f"))
+    pairs = heads.where("w2 is not null").select("lang", "w1", "w2", F.col("n").alias("f"))
+    triples = counts.where("third <> ''").select("lang", head[0].alias("w1"), F.get(head, F.lit(1)).alias("w2"), F.col("third").alias("w3"), F.col("n").alias("a"))
+    n = heads.where("head = ''").select("lang", "n")
 
     def word(name: str, out: str) -> DataFrame:
         return words.select("lang", F.col("w1").alias(name), F.col("f").alias(out))

@@ -195,9 +195,16 @@ def repeated_tails(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     a + (i - a) mod p, p = 1 + (n - a) div (3 + g mod 8). Other texts stay as they are.
     """
     h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(words, a + i % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " "))
+
     words = F.filter(F.split(F.col(text), r"[ \t-\r]+"), lambda w: w != "")
-    n, g = F.size(words), F.floor(h / 10)
-    a = (g % F.greatest(n, F.lit(1))).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(words, a + i % p))
-    return docs.withColumn(text, F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col(text)))
+    # As the variable of a function over one element the words are cut once, not for each place.
+    made = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    return docs.withColumn(text, F.when(h % 10 == 0, F.coalesce(made, F.col(text))).otherwise(F.col(text)))
