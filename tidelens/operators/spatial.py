@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelens import settings as S
 from tidelens.functions.geo import KM_X, KM_Y, haversine_km, planar_distance
+from tidelens.session import durable_checkpoint
 
 _KM_PER_LAT = math.pi * S.EARTH_KM / 180.0
 
@@ -101,7 +102,8 @@ def within(points: DataFrame, others: DataFrame, km: float, key: str, on: Sequen
     return same.unionByName(near).distinct()
 
 
-_SIZES = (45.0, 9.0, 1.8, 0.36)  # degrees of the nested cells in which the nearest place is sought
+_SIZES = (9.0, 1.8, 0.36, 0.072)  # degrees of the nested cells in which the nearest place is sought
+_RATIO = 5
 
 
 def _half_diagonal(size: float, planar: bool) -> float:
@@ -119,46 +121,74 @@ def _centre(cell: Column, size: float, base: float) -> Column:
     return (cell + 0.5) * size - base
 
 
+def _nested(rows: DataFrame, on: Sequence[str], y: str, x: str) -> list[DataFrame]:
+    """The distinct cells of ``rows`` from the coarsest size to the finest, each with its parent (py, px).
+
+    One aggregate gives the cells of all sizes; it is stored, as every level reads it.
+    """
+    n = len(_SIZES)
+    at = lambda c, k: F.floor(F.col(c) / _RATIO ** k)
+    sizes = F.array(*[F.struct(F.lit(i).alias("i"), at(y, n - 1 - i).alias("y"), at(x, n - 1 - i).alias("x")) for i in range(n)])
+    cells = durable_checkpoint(rows.select(*on, y, x).distinct().select(*on, F.explode(sizes).alias("_s")).distinct())
+    own = cells.select(*on, F.col("_s.i").alias("_i"), F.col("_s.y").alias(y), F.col("_s.x").alias(x))
+    return [own.where(F.col("_i") == i).drop("_i").withColumn(f"_p{y}", at(y, 1)).withColumn(f"_p{x}", at(x, 1)) for i in range(n)]
+
+
+def _close(cells: Column, slack: float) -> Column:
+    """The entries of an array of structs whose ``d`` is within ``slack`` of the smallest."""
+    both = F.struct(F.array_min(F.transform(cells, lambda c: c["d"])).alias("least"), cells.alias("cells"))
+    # As the variable of a function over one element the minimum is taken once, not for each entry.
+    return F.get(F.transform(F.array(both), lambda b: F.filter(b["cells"], lambda c: c["d"] <= b["least"] + slack)), F.lit(0))
+
+
 def nearest(points: DataFrame, places: DataFrame, place_id: str, place_pos: tuple[str, str],
             point_pos: tuple[str, str] = ("lat", "lon"), keep: Sequence[str] = (), planar: bool = False,
-            out: str = "near") -> DataFrame:
+            out: str = "near", on: Sequence[str] = ()) -> DataFrame:
     """JON-03: struct ``near`` <dist, id, keep..> of the nearest place; ties go to the lowest id.
 
-    One plan for tables of any size. The distinct positions fall into nested cells. Going down
-    from the coarsest, a cell inherits its parent's candidates and keeps those whose distance from
-    its centre is within one cell's diagonal of the smallest: whatever is nearest to any of its
-    points is among them. Positions then meet the few candidates of their finest cell. Points
-    without a position have no ``near``. On the local plane longitudes are within 180 degrees.
+    One plan for tables of any size; with ``on`` the place is sought among those of equal keys.
+    Both sides fall into nested cells, and only the occupied cells are handed down: a cell of
+    points meets the cells of places inside those its parent kept, and keeps the ones that can hold
+    the nearest place of any of its points (their centre is no farther than the nearest centre and
+    two diagonals). So rows of the search are cells, whose number near a cell is a matter of
+    geometry, not of the tables; places are read once, at the end, where each position meets those
+    cells of the finest size that its own distance to the centres leaves. Points without a position
+    have no ``near``. On the local plane longitudes are within 180 degrees.
     """
+    on = list(on)
     measure = planar_distance if planar else haversine_km
     lat, lon = F.col(point_pos[0]), F.col(point_pos[1])
-    spots = points.where(lat.isNotNull() & lon.isNotNull()).select(lat.alias("_la"), lon.alias("_lo")).distinct()
     cy, cx = _fine_cell(F.col("_la"), F.col("_lo"), planar)
-    spots = spots.withColumn("_y", cy).withColumn("_x", cx)
-    cells = [spots.select("_y", "_x").distinct()]
-    ratio = round(_SIZES[0] / _SIZES[1])
-    for _ in _SIZES[1:]:
-        cells.append(cells[-1].select(F.floor(F.col("_y") / ratio).alias("_y"), F.floor(F.col("_x") / ratio).alias("_x")).distinct())
-    cells = cells[::-1]
-    refs = places.where(F.col(place_pos[0]).isNotNull() & F.col(place_pos[1]).isNotNull()).select(
-        F.col(place_id).alias("_id"), F.col(place_pos[0]).alias("_pla"), F.col(place_pos[1]).alias("_plo"), *[F.col(c).alias(f"_k_{c}") for c in keep])
-    rows, cols = int(180 // _SIZES[0]), int(360 // _SIZES[0])
-    every = F.array(*[F.struct(F.lit(y).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for y in range(rows + 1) for x in range(cols + 1)])
-    found = refs.withColumn("_c", F.explode(every)).withColumn("_y", F.col("_c.y")).withColumn("_x", F.col("_c.x")).drop("_c").join(
-        cells[0], ["_y", "_x"], "left_semi")
-    for level, size in enumerate(_SIZES):
-        if level:
-            own = cells[level].withColumn("_py", F.floor(F.col("_y") / ratio)).withColumn("_px", F.floor(F.col("_x") / ratio))
-            found = own.join(found.withColumnsRenamed({"_y": "_py", "_x": "_px"}), ["_py", "_px"]).drop("_py", "_px")
-        d = measure(_centre(F.col("_y"), size, 90.0), _centre(F.col("_x"), size, 180.0), F.col("_pla"), F.col("_plo"))
-        least = F.min("_d").over(W.partitionBy("_y", "_x"))
-        found = found.withColumn("_d", d).withColumn("_m", least).where(
-            F.col("_d") <= F.col("_m") + 2 * _half_diagonal(size, planar)).drop("_d", "_m")
-    met = spots.join(found, ["_y", "_x"])
-    row = F.struct(measure(F.col("_la"), F.col("_lo"), F.col("_pla"), F.col("_plo")).alias("dist"), F.col("_id").alias("id"),
-                   *[F.col(f"_k_{c}").alias(c) for c in keep])
-    best = met.groupBy("_la", "_lo").agg(F.min(row).alias(out))
-    return points.join(best, (lat == F.col("_la")) & (lon == F.col("_lo")), "left").drop("_la", "_lo")
+    spots = (points.where(lat.isNotNull() & lon.isNotNull()).select(*on, lat.alias("_la"), lon.alias("_lo")).distinct()
+             .withColumn("_y", cy).withColumn("_x", cx))
+    plat, plon = (F.col(c) for c in place_pos)
+    ry, rx = _fine_cell(plat, plon, planar)
+    refs = places.where(plat.isNotNull() & plon.isNotNull()).select(
+        *on, F.struct(F.col(place_id).alias("id"), plat.alias("la"), plon.alias("lo"), *[F.col(c) for c in keep]).alias("_place"), ry.alias("_v"), rx.alias("_u"))
+    searching, holding = _nested(spots, on, "_y", "_x"), _nested(refs, on, "_v", "_u")
+    kept: DataFrame | None = None
+    for size, own, there in zip(_SIZES, searching, holding, strict=True):
+        if kept is None:
+            pairs = own.withColumn("_all", F.lit(0)).join(there.withColumn("_all", F.lit(0)), [*on, "_all"])  # at most 800 cells a side
+        else:
+            up = kept.select(*on, F.col("_y").alias("_p_y"), F.col("_x").alias("_p_x"), F.explode("_c").alias("_e")).select(
+                *on, "_p_y", "_p_x", F.col("_e.v").alias("_p_v"), F.col("_e.u").alias("_p_u"))
+            pairs = up.join(there, [*on, "_p_v", "_p_u"]).join(own, [*on, "_p_y", "_p_x"])
+        d = measure(_centre(F.col("_y"), size, 90.0), _centre(F.col("_x"), size, 180.0), _centre(F.col("_v"), size, 90.0), _centre(F.col("_u"), size, 180.0))
+        met = pairs.groupBy(*on, "_y", "_x").agg(F.collect_list(F.struct(d.alias("d"), F.col("_v").alias("v"), F.col("_u").alias("u"))).alias("_c"))
+        kept = met.withColumn("_c", _close(F.col("_c"), 4 * _half_diagonal(size, planar)))
+    size = _SIZES[-1]
+    own_d = lambda c: F.struct(measure(F.col("_la"), F.col("_lo"), _centre(c["v"], size, 90.0), _centre(c["u"], size, 180.0)).alias("d"), c["v"].alias("v"), c["u"].alias("u"))
+    cells = spots.join(kept, [*on, "_y", "_x"]).select(
+        *on, "_la", "_lo", F.explode(_close(F.transform("_c", own_d), 2 * _half_diagonal(size, planar))).alias("_e"))
+    met = cells.select(*on, "_la", "_lo", F.col("_e.v").alias("_v"), F.col("_e.u").alias("_u")).join(refs, [*on, "_v", "_u"])
+    row = F.struct(measure(F.col("_la"), F.col("_lo"), F.col("_place.la"), F.col("_place.lo")).alias("dist"), F.col("_place.id").alias("id"),
+                   *[F.col(f"_place.{c}").alias(c) for c in keep])
+    best = met.groupBy(*on, "_la", "_lo").agg(F.min(row).alias(out)).withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = (lat == F.col("_la")) & (lon == F.col("_lo"))
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return points.join(best, same, "left").drop("_la", "_lo", *[f"_on_{c}" for c in on])
 
 
 def pair_distances(a: DataFrame, b: DataFrame, km: float, on: Sequence[str] = ()) -> DataFrame:
@@ -174,121 +204,25 @@ def zone_state(dets: DataFrame, zones: DataFrame, runs: DataFrame | None = None,
                run: str = "run_at", area: str = "area_km2") -> DataFrame:
     """AGG-01: per (run, zone): total area, area in radius, nearest distance, patch count.
 
-    Total and count need no zone: one aggregate per run. The area in the radius is a radius join.
-    For the nearest distance the zones are first compared with the run's occupied cells; only
-    detections of cells that can hold the nearest are measured. ``runs`` adds runs that saw
-    nothing: their nearest distance is 999. Detections without a position count nowhere.
+    Total and count need no zone: one aggregate per run. The area in the radius and the nearest
+    distance inside it come from one radius join; only zones that see nothing so near are searched
+    for among the cells that the run's detections occupy. Only the result's own grid of runs and
+    zones pairs the two lists. ``runs`` adds runs that saw nothing: their nearest distance is 999.
+    Detections without a position count nowhere.
     """
     z = zones.select("zone_id", F.col("center_lat").alias("p_lat"), F.col("center_lon").alias("p_lon"))
-    cy, cx = _fine_cell(F.col("lat"), F.col("lon"), False)
     d = (dets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-         .select(run, "lat", "lon", F.coalesce(F.col(area), F.lit(0.0)).alias("_a")).withColumn("_y", cy).withColumn("_x", cx))
+         .select(run, "lat", "lon", F.coalesce(F.col(area), F.lit(0.0)).alias("_a"), F.lit(0).alias("_id")))
     total = d.groupBy(run).agg(F.sum("_a").alias("eez_area_km2"), F.count("*").alias("patch_count"))
-    close = radius_join(d.select(run, "lat", "lon", "_a"), z, radius_km).groupBy(run, "zone_id").agg(F.sum("_a").alias("zone_area_km2"))
-    occupied = carry(d.select(run, "_y", "_x").distinct(), z, z.columns).withColumn("_z", F.explode("_ref")).select(run, "_y", "_x", "_z.*")
-    size = _SIZES[-1]
-    occupied = occupied.withColumn("_d", haversine_km(_centre(F.col("_y"), size, 90.0), _centre(F.col("_x"), size, 180.0), F.col("p_lat"), F.col("p_lon")))
-    hopeful = occupied.withColumn("_m", F.min("_d").over(W.partitionBy(run, "zone_id"))).where(
-        F.col("_d") <= F.col("_m") + 2 * _half_diagonal(size, False)).select(run, "zone_id", "p_lat", "p_lon", "_y", "_x")
-    near = d.join(hopeful, [run, "_y", "_x"]).groupBy(run, "zone_id").agg(
-        F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).alias("nearest_km"))
+    close = radius_join(d.drop("_id"), z, radius_km).groupBy(run, "zone_id").agg(F.sum("_a").alias("zone_area_km2"), F.min("dist").alias("_near"))
     seen = total.select(run) if runs is None else runs.select(run).distinct()
-    every = carry(seen, z.select("zone_id"), ["zone_id"]).select(run, F.explode("_ref.zone_id").alias("zone_id"))
-    state = every.join(total, run, "left").join(close, [run, "zone_id"], "left").join(near, [run, "zone_id"], "left")
+    every = carry(seen, z, z.columns).select(run, F.explode("_ref").alias("_z")).select(run, "_z.*")
+    state = durable_checkpoint(every.join(total, run, "left").join(close, [run, "zone_id"], "left"))
+    far = state.where("_near is null and patch_count > 0").select(run, "zone_id", "p_lat", "p_lon")
+    if far.isEmpty():
+        state = state.withColumn("_far", F.lit(None).cast("double"))
+    else:
+        found = nearest(far, d.join(far.select(run).distinct(), run, "left_semi"), "_id", ("lat", "lon"), ("p_lat", "p_lon"), on=[run])
+        state = state.join(found.select(run, "zone_id", F.col("near.dist").alias("_far")), [run, "zone_id"], "left")
     return state.select(run, "zone_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("eez_area_km2", "zone_area_km2")],
-                        F.coalesce("nearest_km", F.lit(999.0)).alias("nearest_km"), F.coalesce("patch_count", F.lit(0)).alias("patch_count"))
-
-
-def ring_edges(vertices: DataFrame, ring: Sequence[str], order: str) -> DataFrame:
-    """SRC-09 helper: edges (x1, y1, x2, y2) of closed rings from ordered vertices."""
-    w = W.partitionBy(*ring).orderBy(order)
-    nxt = lambda c: F.lead(c).over(w)
-    return (vertices.withColumn("x2", nxt("lon")).withColumn("y2", nxt("lat"))
-            .where(F.col("x2").isNotNull())
-            .select(*ring, order, F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2"))
-
-
-def points_in_polygon(points: DataFrame, edges: DataFrame, shape: str, band_deg: float = 0.05,
-                      keys: Sequence[str] = ("id",)) -> DataFrame:
-    """JON-11: (keys, shape) of the points inside a shape, by counting edges crossed to the east.
-
-    Edges are repeated into the latitude bands they span and meet the points of the same band, so
-    a point is only tested against edges at its own latitude. Crossings are counted map-side.
-    """
-    band = lambda y: F.floor(y / band_deg)
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spread = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(band(lo), band(hi))))
-    p = points.withColumn("_band", band(F.col("lat")))
-    hit = p.join(spread, "_band").where(
-        (F.least("y1", "y2") <= F.col("lat")) & (F.col("lat") < F.greatest("y1", "y2")))
-    x_at = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    return (hit.where(x_at > F.col("lon")).groupBy(*keys, shape).agg(F.count("*").alias("_n"))
-            .where(F.col("_n") % 2 == 1).drop("_n"))
-
-
-def densify(edges: DataFrame, ring: Sequence[str], order: str, step_deg: float = 0.005) -> DataFrame:
-    """GEO-06: ring points at most ``step_deg`` apart; (ring, order, part, lat, lon)."""
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    n = F.greatest(F.lit(1), F.ceil(F.round(length / step_deg, 9))).cast("int")
-    out = edges.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    f = F.col("part") / F.col("_n")
-    return out.select(*ring, order, "part", (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("lat"),
-                      (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("lon"))
-
-
-def owner_runs(points: DataFrame, ring: Sequence[str], order: Sequence[str], owner: str = "owner") -> DataFrame:
-    """WIN-13: runs of consecutive points with one owner as line text; runs of one point and
-    ownerless points are dropped. One ring of coast is one window."""
-    w = W.partitionBy(*ring).orderBy(*order)
-    known = F.coalesce(F.col(owner), F.lit(-1))
-    flagged = points.withColumn("_o", known).withColumn(
-        "_new", F.when(F.lag("_o").over(w) == F.col("_o"), 0).otherwise(1))
-    runs = flagged.withColumn("run_no", F.sum("_new").over(w))
-    pts = F.transform(F.array_sort(F.collect_list(F.struct(
-        *order, F.format_string("%.4f %.4f", F.col("lon"), F.col("lat")).alias("xy")))), lambda s: s["xy"])
-    return (runs.where(F.col("_o") >= 0).groupBy(*ring, "run_no", F.col("_o").alias(owner))
-            .agg(F.count("*").alias("n_points"), pts.alias("_pts")).where(F.col("n_points") > 1)
-            .select(*ring, owner, "n_points",
-                    F.concat(F.lit("LINESTRING("), F.array_join("_pts", ", "), F.lit(")")).alias("line")))
-
-
-def map_buckets(points: DataFrame, size_deg: float, rank: Column) -> DataFrame:
-    """AGG-27: member count and worst level per map bucket."""
-    return (points.groupBy(F.floor(F.col("lat") / size_deg).alias("bucket_y"),
-                           F.floor(F.col("lon") / size_deg).alias("bucket_x"))
-            .agg(F.count("*").alias("members"), F.max(rank).alias("worst")))
-
-
-def hull_area_points(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """GEO-05: convex hull text of cell corners per group.
-
-    Corners are thinned map-side to the lowest and highest longitude per latitude line, which keeps
-    every hull vertex, so the per-group Arrow function sees two points per grid row at most.
-    """
-    corners = F.array(*[F.struct((F.col("lat") + F.lit(sy * 0.5) * F.col("dlat")).alias("y"),
-                                 (F.col("lon") + F.lit(sx * 0.5) * F.col("dlon")).alias("x"))
-                        for sx in (-1, 1) for sy in (-1, 1)])
-    pts = (cells.select(*keys, F.explode(corners).alias("c"))
-           .select(*keys, F.round("c.y", 6).alias("y"), F.round("c.x", 6).alias("x")))
-    thin = pts.groupBy(*keys, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in thin.schema if f.name in keys)
-
-    def hull(pdf):
-        rows = sorted({(a, y) for y, x0, x1 in zip(pdf["y"], pdf["x0"], pdf["x1"]) for a in (x0, x1)})
-        half = []
-        for seq in (rows, rows[::-1]):
-            chain = []
-            for p in seq:
-                while len(chain) > 1 and ((chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1])
-                                          - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])) <= 0:
-                    chain.pop()
-                chain.append(p)
-            half.extend(chain[:-1])
-        ring = half + half[:1]
-        text = "POLYGON((" + ", ".join(f"{x:g} {y:g}" for x, y in ring) + "))"
-        out = pdf[list(keys)].iloc[:1].copy()
-        out["geom_wkt"], out["vertices"] = text, len(half)
-        return out
-
-    return thin.groupBy(*keys).applyInPandas(hull, f"{schema}, geom_wkt string, vertices int")
-
+                        F.coalesce("_near", "_far", F.lit(999.0)).alias("nearest_km"), F.coalesce("patch_count", F.lit(0)).alias("patch_count"))
