@@ -7,7 +7,7 @@ import gc
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidelens.session import durable_checkpoint
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _WHITE_SPACE = re.compile(rb"[ \t-\r]")
 CHUNK_BYTES = 1 << 21  # bytes of text that one vectorised step takes; a longer text is a chunk of its own
 
@@ -69,6 +70,15 @@ def release_memory() -> None:
         trim(0)
 
 
+def released(task: Task) -> Task:
+    """A task that ends with ``release_memory``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        release_memory()
+
+    return run
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -130,4 +140,4 @@ def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             yield batch.select(columns).filter(pa.array(keep.astype(bool)))
 
-    return df.withColumn("_bit", F.coalesce(bit, F.lit(0))).mapInArrow(run, df.schema)
+    return df.withColumn("_bit", F.coalesce(bit, F.lit(0))).mapInArrow(released(run), df.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import mix64
+from tidelens.llm.common import mix64, released
 
 WORD = re.compile(r"[^\W_]+")
 BITS, BLOCK_BITS = 128, 16
@@ -240,7 +240,7 @@ def _scan(docs, items, width, similarity, doc_id, text, item_id, benchmark):
                  pa.array(list(cols[3]), pa.int64()), pa.array(list(cols[4]), pa.int64())],
                 names=[doc_id, item_id, "similarity", "first_word", "n_words"])
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(released(run), schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text",
@@ -257,5 +257,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5,
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         at = docs.columns.index(text)
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(released(run), docs.schema)
     return out

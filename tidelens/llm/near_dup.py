@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import flat_bytes, maybe_in, mix64, stored
+from tidelens.llm.common import flat_bytes, maybe_in, mix64, released, stored
 from tidelens.llm.shingles import shingle_set
 
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band once in 300,000 times
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
                 names=["doc_id", "n_shingles", "s1", "s2", "bands"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(
-        run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+        released(run), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,9 +130,9 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
                 [*(pa.array(list(c), pa.int64()) for c in cols[:5]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["a", "b", "na", "nb", "same", "rest"])
 
-    dealt = own.join(tickets, "doc_id").select("doc_id", "text", "tickets").mapInArrow(deal, "b long, part int, role int, a long, shingles binary")
+    dealt = own.join(tickets, "doc_id").select("doc_id", "text", "tickets").mapInArrow(released(deal), "b long, part int, role int, a long, shingles binary")
     sorted_ = dealt.repartition("b", "part").sortWithinPartitions("b", "part", "role", "a")
-    return sorted_.mapInArrow(compare, "a long, b long, na long, nb long, same long, rest array<int>").dropDuplicates(["a", "b"])
+    return sorted_.mapInArrow(released(compare), "a long, b long, na long, nb long, same long, rest array<int>").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def _rare_first(ids: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["at", "n"])
 
-    held = own.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    held = own.mapInArrow(released(count), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
     counts[held["at"].to_numpy()] = held["n"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -223,7 +223,7 @@ def _rare_first(ids: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
                     [pa.array(own.view(np.int64)), pa.array(np.full(k, d, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.arange(k))],
                     names=["key", "a", "na", "at"])
 
-    return own.mapInArrow(prefix, "key long, a long, na long, at long")
+    return own.mapInArrow(released(prefix), "key long, a long, na long, at long")
 
 
 def _exact_pairs(open_: DataFrame, groups: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import byte_chunks, flat_bytes
+from tidelens.llm.common import byte_chunks, flat_bytes, released
 
 CHUNK, STEP = 512, 448   # bytes of a chunk and from one chunk to the next; 64 bytes overlap
 BLOCK = 4                # a filter spans two blocks and moves one block at a time
@@ -158,4 +158,4 @@ def score_quality(docs: DataFrame, net: Network, text: str = "text", out: str =
             values = np.concatenate(own).astype(np.float64) if own else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
+    return docs.select(*kept).mapInArrow(released(run), docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
