@@ -109,10 +109,12 @@ def marine_override(v):
 
 @query("jon_24_beach_species", """
     SELECT t.beach, t.taxon_id, CASE WHEN p_partkey % 50 = 0 THEN p_partkey % 100 = 0 ELSE p_size % 3 = 0 END AS marine, CASE WHEN (t.beach + t.taxon_id) % 7 = 0 THEN 'note ' || t.taxon_id END AS blurb
-    FROM taxa_v t JOIN part ON p_partkey = t.taxon_id WHERE p_partkey % 11 <> 0""", "taxa_v")
+    FROM taxa_v t JOIN part ON p_partkey + CASE WHEN p_partkey % 11 = 0 THEN 1000000000 ELSE 0 END = t.taxon_id""", "taxa_v")
 def beach_species(v):
-    part = v.table("part").where("p_partkey % 11 <> 0")
-    taxa = part.select(F.col("p_partkey").alias("taxon_id"), (F.col("p_size") % 3 == 0).alias("marine"))
+    """Every eleventh taxon stands under an id that no beach refers to."""
+    part = v.table("part")
+    moved = F.col("p_partkey") + F.when(F.col("p_partkey") % 11 == 0, 1_000_000_000).otherwise(0)
+    taxa = part.select(moved.alias("taxon_id"), (F.col("p_size") % 3 == 0).alias("marine"))
     over = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("taxon_id"), (F.col("p_partkey") % 100 == 0).alias("marine"))
     refs = v.taxa.select("beach", "taxon_id")
     notes = refs.where("(beach + taxon_id) % 7 = 0").select("beach", "taxon_id", F.concat(F.lit("note "), F.col("taxon_id").cast("string")).alias("blurb"))

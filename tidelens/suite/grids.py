@@ -13,20 +13,21 @@ from tidelens.plans import scheduled as SCH
 from tidelens.sources import payloads as P
 from tidelens.suite.registry import query
 
-WINDOW = 5
+WINDOW = S.GRID_WINDOW
+REACH = WINDOW // 2
 FULL = """
     ext AS (SELECT scene, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM cells_v GROUP BY 1),
     grid AS (SELECT scene, day, CAST(unnest(range(r0, r1 + 1)) AS INT) AS "row", c0, c1 FROM ext JOIN (SELECT DISTINCT scene, day FROM cells_v) USING (scene)),
     full_ AS (SELECT g.scene, g.day, g."row", g.col, c.value FROM (SELECT scene, day, "row", CAST(unnest(range(c0, c1 + 1)) AS INT) AS col FROM grid) g
       LEFT JOIN cells_v c ON c.scene = g.scene AND c.day = g.day AND c."row" = g."row" AND c.col = g.col),
     filled AS (SELECT f.*, coalesce(value, mid) AS v FROM full_ f JOIN (SELECT scene, day, median(value) AS mid FROM full_ GROUP BY 1, 2) USING (scene, day))"""
-# reflected neighbour: index below the first cell folds to itself, above the last likewise
+# reflected neighbour: the places repeat every two lengths, the second length backwards
 BG = f"""
-    off AS (SELECT a, b FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS b)),
-    nb AS (SELECT f.scene, f.day, f."row", f.col,
-        CASE WHEN "row" + a < r0 THEN 2 * r0 - 1 - "row" - a WHEN "row" + a > r1 THEN 2 * r1 + 1 - "row" - a ELSE "row" + a END AS nr,
-        CASE WHEN col + b < c0 THEN 2 * c0 - 1 - col - b WHEN col + b > c1 THEN 2 * c1 + 1 - col - b ELSE col + b END AS nc
+    off AS (SELECT a, b FROM (SELECT unnest(range(-{REACH}, {REACH + 1})) AS a), (SELECT unnest(range(-{REACH}, {REACH + 1})) AS b)),
+    turn AS (SELECT f.scene, f.day, f."row", f.col, r0, c0, r1 - r0 + 1 AS nr, c1 - c0 + 1 AS nc,
+        ((f."row" - r0 + a) % (2 * (r1 - r0 + 1)) + 2 * (r1 - r0 + 1)) % (2 * (r1 - r0 + 1)) AS y, ((f.col - c0 + b) % (2 * (c1 - c0 + 1)) + 2 * (c1 - c0 + 1)) % (2 * (c1 - c0 + 1)) AS x
       FROM filled f JOIN ext USING (scene), off),
+    nb AS (SELECT scene, day, "row", col, r0 + CASE WHEN y >= nr THEN 2 * nr - 1 - y ELSE y END AS nr, c0 + CASE WHEN x >= nc THEN 2 * nc - 1 - x ELSE x END AS nc FROM turn),
     bg AS (SELECT nb.scene, nb.day, nb."row", nb.col, median(x.v) AS background FROM nb JOIN filled x
       ON x.scene = nb.scene AND x.day = nb.day AND x."row" = nb.nr AND x.col = nb.nc GROUP BY ALL)"""
 FLAGS = """

@@ -185,22 +185,23 @@ def label_source(v):
 
 @query("jon_09_paired_runs", """
     WITH f AS (SELECT DISTINCT date_trunc('minute', ts) AS run_at FROM events WHERE event_type = 'view'),
-    d AS (SELECT DISTINCT ts AS det_run FROM events WHERE event_type = 'signup' AND value > 60),
+    d AS (SELECT DISTINCT ts AS det_run FROM events WHERE event_type = 'signup'),
     c AS (SELECT run_at, det_run, row_number() OVER (PARTITION BY run_at ORDER BY abs(epoch_us(det_run) - epoch_us(run_at)), det_run) AS rn
       FROM f LEFT JOIN d ON det_run BETWEEN run_at - INTERVAL 2 HOUR AND run_at + INTERVAL 2 HOUR)
     SELECT CAST(run_at AS VARCHAR) AS run_at, CAST(epoch_us(det_run) AS BIGINT) AS det_us FROM c WHERE rn = 1""")
 def paired_runs(v):
     f = v.events.where("event_type = 'view'").select(F.date_trunc("minute", "ts").alias("run_at"))
-    d = v.events.where("event_type = 'signup' AND value > 60").select(F.col("ts").alias("run_at"))
+    d = v.events.where("event_type = 'signup'").select(F.col("ts").alias("run_at"))
     p = FT.pair_runs(f, d)
     return p.select(F.col("run_at").cast("string").alias("run_at"), F.unix_micros("det_run").alias("det_us"))
 
 
 @query("jon_29_history_features", f"""
     WITH f AS (SELECT run_at + INTERVAL 1 HOUR AS run_at, zone_id, risk_level FROM forecasts_v),
-    runs AS (SELECT DISTINCT run_at FROM f), d AS (SELECT DISTINCT run_at AS det_run FROM detections_v WHERE day(run_at) % 5 <> 0),
+    runs AS (SELECT DISTINCT run_at FROM f), t AS (SELECT * REPLACE (run_at + CASE WHEN day(run_at) % 5 = 0 THEN INTERVAL 210 MINUTE ELSE INTERVAL 0 MINUTE END AS run_at) FROM detections_v),
+    d AS (SELECT DISTINCT run_at AS det_run FROM t),
     p AS (SELECT run_at, det_run FROM runs LEFT JOIN d ON det_run BETWEEN run_at - INTERVAL 2 HOUR AND run_at + INTERVAL 2 HOUR),
-    x AS (SELECT p.run_at, zone_id, area_km2, {hav('center_lat', 'center_lon', 'lat', 'lon')} AS km FROM p JOIN detections_v t ON t.run_at = p.det_run, zones_v),
+    x AS (SELECT p.run_at, zone_id, area_km2, {hav('center_lat', 'center_lon', 'lat', 'lon')} AS km FROM p JOIN t ON t.run_at = p.det_run, zones_v),
     s AS (SELECT run_at, zone_id, sum(area_km2) AS eez, sum(CASE WHEN km <= 200 THEN area_km2 ELSE 0 END) AS zn, min(km) AS nr, count(*) AS n FROM x GROUP BY 1, 2)
     SELECT CAST(r.run_at AS VARCHAR) AS run_at, z.zone_id, round(coalesce(eez, 0.0), 6) AS eez_area_km2, round(coalesce(zn, 0.0), 6) AS zone_area_km2,
       round(coalesce(nr, 999.0), 3) AS nearest_km, coalesce(n, 0) AS patch_count, coalesce({level_int('f.risk_level')}, 0) AS physics_risk
@@ -208,7 +209,8 @@ def paired_runs(v):
        "forecasts_v detections_v zones_v")
 def history_features(v):
     f = v.forecasts.select((F.col("run_at") + F.expr("INTERVAL 1 HOUR")).alias("run_at"), "zone_id", "risk_level")
-    d = v.detections.where(F.dayofmonth("run_at") % 5 != 0)
+    late = F.when(F.dayofmonth("run_at") % 5 == 0, F.expr("INTERVAL 210 MINUTE")).otherwise(F.expr("INTERVAL 0 MINUTE"))
+    d = v.detections.withColumn("run_at", F.col("run_at") + late)  # some runs come too late to pair
     return FT.history_features(f, d, v.zones).withColumn("run_at", F.col("run_at").cast("string"))
 
 
@@ -387,10 +389,16 @@ def cooldown_twin(v):
     return A.first_of_cooldown(v.events.select("user_id", "ts"), ["user_id"], "ts", 6).select("user_id", F.unix_micros("ts").alias("us"))
 
 
-@query("stm_02_limiter_batch_twin")
+@query("stm_02_limiter_batch_twin", """
+    WITH RECURSIVE r AS (SELECT user_id % 20 AS client, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
+    k AS (SELECT client, n, event_id, [us] AS held, TRUE AS ok FROM r WHERE n = 1 UNION ALL
+      SELECT client, n, event_id, CASE WHEN len(f) < 10 THEN list_append(f, us) ELSE f END, len(f) < 10 FROM (
+        SELECT r.client, r.n, r.event_id, r.us, list_filter(k.held, lambda t: r.us - t <= 86400000000) AS f FROM k JOIN r ON r.client = k.client AND r.n = k.n + 1))
+    SELECT client, event_id FROM k WHERE ok""")
 def limiter_twin(v):
+    """Ten accepted requests a client and day; the events are too sparse for a minute to matter."""
     r = v.events.select((F.col("user_id") % 20).alias("client"), "ts", "event_id")
-    return A.accepted_requests(r, "client", "ts", "event_id", window_s=3600, limit=1)
+    return A.accepted_requests(r, "client", "ts", "event_id", window_s=86_400).select("client", "event_id")
 
 
 @query("stm_04_clamped_arrivals", """

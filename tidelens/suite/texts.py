@@ -132,11 +132,20 @@ def strip_html_sql(v):
     return v.table("pages").select("page_id", F.md5(X.strip_html_sql(F.col("html"))).alias("text"))
 
 
+# Written apart from the expression: markup out step by step, then the entities that the pages hold, "&" last.
+BARE = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b[^>]*>.*?(</script\\s*>|\\z)', ' ', 'gis'), '<style\\b[^>]*>.*?(</style\\s*>|\\z)', ' ', 'gis'), "
+        "'<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')")
+for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0")):
+    BARE = f"regexp_replace({BARE}, '&{name};', '{char}', 'g')"
+
+
 @query("str_12_strip_html_parser", f"""
-    SELECT page_id, length({HTML}) AS chars FROM pages""")
+    SELECT page_id, length(t) AS chars, md5(t) AS text FROM (
+      SELECT page_id, trim(regexp_replace(regexp_replace({BARE}, '&amp;?', '&', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g')) AS t FROM pages)""")
 def strip_html(v):
-    """Characters of text that markup leaves."""
-    return v.table("pages").select("page_id", F.length(X.strip_html_sql(F.col("html"))).cast("bigint").alias("chars"))
+    """The text that markup leaves, every entity decoded."""
+    bare = v.table("pages").select("page_id", X.strip_html(F.col("html")).alias("t"))
+    return bare.select("page_id", F.length("t").cast("bigint").alias("chars"), F.md5("t").alias("text"))
 
 
 @query("str_13_author_text", """
