@@ -5,9 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,101 +14,90 @@ from tidelens import settings as S
 from tidelens.functions import risk as R
 from tidelens.operators import scoring as SC
 from tidelens.operators.timejoin import purged_split, time_blocks
+from tidelens.plans import boost as B
 from tidelens.plans.features import FEATURES, feature_columns
 
 # Tree settings.
 TREES, DEPTH, STEP, SUBSAMPLE, LEAF, SEED = 150, 3, 0.08, 0.8, 4, 42
+FIT_ROWS = 200_000  # labelled rows that a model is fitted on, in order of a hash
 
 
 @dataclass
 class Classifier:
-    """Per calibration fold, per class: a boosted model and (optionally) its sigmoid."""
+    """One softmax model a calibration fold, each with (optionally) the sigmoid of every class."""
 
     classes: list[int]
-    folds: list[dict] = field(default_factory=list)
+    folds: list[tuple[B.Boosted, list[tuple[float, float]] | None]] = field(default_factory=list)
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """MLE-03: rows with probs (four slots, zeros for unseen classes), pred and confidence."""
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """(rows, four levels): the mean of the folds; zeros for classes that were not learnt."""
+        out = np.zeros((len(x), 4))
         if len(self.classes) == 1:
-            one = self.classes[0]
-            out = rows.withColumn("probs", F.array(*[F.lit(1.0 if k == one else 0.0) for k in range(4)]))
-        else:
-            df, fold_probs = _assemble(rows), []
-            for i, fold in enumerate(self.folds):
-                raw = {}
-                for k, (tree, sigmoid) in fold.items():
-                    name = f"_m{i}_{k}"
-                    df = _margin(df, tree, name)
-                    if sigmoid is None:
-                        raw[k] = 1.0 / (1.0 + F.exp(-2.0 * F.col(name)))
-                    else:
-                        raw[k] = 1.0 / (1.0 + F.exp(-(F.lit(float(sigmoid[0])) * F.col(name) + F.lit(float(sigmoid[1])))))
-                total = sum(raw.values(), F.lit(0.0))
-                fold_probs.append([F.try_divide(raw[k], total) if k in raw else F.lit(0.0) for k in range(4)])
-            n = float(len(fold_probs))
-            probs = [sum((fp[k] for fp in fold_probs), F.lit(0.0)) / n for k in range(4)]
-            out = df.withColumn("probs", F.array(*probs)).select(*rows.columns, "probs")
-        best = F.array_max("probs")
-        return out.withColumn("pred", (F.array_position("probs", best) - 1).cast("int")).withColumn("confidence", best)
-
+            out[:, self.classes[0]] = 1.0
+            return out
+        for model, sigmoids in self.folds:
+            p = model.margins(x)
+            if sigmoids is None:
+                p = B.softmax(p)
+            else:
+                p = 1 / (1 + np.exp(-np.clip(np.stack([a * p[:, k] + b for k, (a, b) in enumerate(sigmoids)], axis=1), -30, 30)))
+                p /= p.sum(axis=1, keepdims=True)
+            out[:, self.classes] += p / len(self.folds)
+        return out
 
-def _assemble(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="features").transform(rows)
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """MLE-03: rows with probs (four slots, zeros for unseen classes), pred and confidence."""
+        own = self
 
+        @F.pandas_udf("array<double>")
+        def probs(features: pd.Series) -> pd.Series:
+            x = np.array(features.tolist(), np.float64).reshape(len(features), len(FEATURES))
+            return pd.Series(list(own.probabilities(np.nan_to_num(x))))
 
-def _margin(df: DataFrame, tree, name: str) -> DataFrame:
-    """Raw margin of one binary model as a column."""
-    tree.setPredictionCol("_p").setProbabilityCol("_q").setRawPredictionCol("_r")
-    return tree.transform(df).withColumn(name, vector_to_array("_r")[1]).drop("_p", "_q", "_r")
+        out = rows.withColumn("probs", probs(F.array(*[F.col(f"f_{n}").cast("double") for n in FEATURES])))
+        best = F.array_max("probs")
+        return out.withColumn("pred", (F.array_position("probs", best) - 1).cast("int")).withColumn("confidence", best)
 
 
-def _trees(data: DataFrame, cls: int, iterations: int):
-    gbt = GBTClassifier(labelCol="_y", featuresCol="features", maxIter=iterations, maxDepth=DEPTH, stepSize=STEP,
-                        subsamplingRate=SUBSAMPLE, minInstancesPerNode=LEAF, seed=SEED)
-    return gbt.fit(data.withColumn("_y", (F.col("risk_int") == cls).cast("double")).select("features", "_y"))
+def _fit(x: np.ndarray, y: np.ndarray, classes: list[int], iterations: int) -> B.Boosted:
+    return B.fit(x, np.searchsorted(classes, y), len(classes), iterations, DEPTH, STEP, SUBSAMPLE, LEAF, SEED)
 
 
 def fit_classifier(rows: DataFrame, calibrate: bool = True, iterations: int = TREES, folds: int = 3) -> Classifier:
-    """MLE-01 / MLE-02: one boosted model per class, calibrated by a sigmoid on later-in-time folds.
+    """MLE-01 / MLE-02: one boosted softmax model over all classes, calibrated by sigmoids on later-in-time folds.
 
-    A single class gives a constant classifier. Spark's boosted trees are binary, so each class has
-    its own model and the probabilities are normalised. Falls back to no calibration when a fold
-    lacks a class.
+    It is fitted in memory on at most FIT_ROWS of the labelled rows, in order of a hash (all of
+    them where there are fewer), and applied to any number. A single class gives a constant
+    classifier. Falls back to no calibration when a fold lacks a class.
     """
-    classes = sorted(r[0] for r in rows.select("risk_int").distinct().collect())
+    names = [f"f_{n}" for n in FEATURES]
+    sample = (rows.where("risk_int is not null").select(F.unix_micros("run_ts").alias("t"), "risk_int", *[F.col(n).cast("double") for n in names])
+              .orderBy(F.xxhash64("t", *names), "t", *names, "risk_int").limit(FIT_ROWS).toPandas())
+    sample = sample.sort_values(["t", *names, "risk_int"], kind="stable")
+    x, y, t = np.nan_to_num(sample[names].to_numpy(np.float64)), sample["risk_int"].to_numpy(np.int64), sample["t"].to_numpy(np.int64)
+    classes = np.unique(y).tolist()
     if len(classes) <= 1:
         return Classifier(classes or [0])
-    data = _assemble(rows).select("run_ts", "features", "risk_int").persist()
-    try:
-        if calibrate and data.limit(4 * S.MIN_TRAIN_ROWS).count() >= 4 * S.MIN_TRAIN_ROWS:
-            fitted = _calibrated(data, classes, iterations, folds)
-            if fitted:
-                return Classifier(classes, fitted)
-        return Classifier(classes, [{k: (_trees(data, k, iterations), None) for k in classes}])
-    finally:
-        data.unpersist()
-
-
-def _calibrated(data: DataFrame, classes: list[int], iterations: int, folds: int) -> list[dict] | None:
-    blocks = time_blocks(data, "run_ts", folds + 1).orderBy("block").collect()
-    if len(blocks) < folds + 1:
+    if calibrate and len(y) >= 4 * S.MIN_TRAIN_ROWS:
+        fitted = _calibrated(x, y, t, classes, iterations, folds)
+        if fitted:
+            return Classifier(classes, fitted)
+    return Classifier(classes, [(_fit(x, y, classes, iterations), None)])
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, t: np.ndarray, classes: list[int], iterations: int, folds: int):
+    """A model on the rows before each later block of times, and the sigmoids of that block."""
+    times = np.unique(t)
+    if len(times) < folds + 1:
         return None
     out = []
-    for b in blocks[1:]:
-        train = data.where(F.col("run_ts") < F.lit(b["start"]))
-        later = data.where(F.col("run_ts").between(F.lit(b["start"]), F.lit(b["end"])))
-        seen = {r[0] for r in train.select("risk_int").distinct().collect()}
-        held = {r[0] for r in later.select("risk_int").distinct().collect()}
-        if set(classes) - seen or set(classes) - held:
+    for block in np.array_split(times, folds + 1)[1:]:
+        train, later = t < block[0], (t >= block[0]) & (t <= block[-1])
+        if set(classes) - set(y[train].tolist()) or set(classes) - set(y[later].tolist()):
             return None
-        fold = {}
-        for k in classes:
-            tree = _trees(train, k, iterations)
-            scored = _margin(later, tree, "_z").withColumn("_y", (F.col("risk_int") == k).cast("double"))
-            vec = VectorAssembler(inputCols=["_z"], outputCol="_zv").transform(scored)
-            fit = LogisticRegression(featuresCol="_zv", labelCol="_y", maxIter=50).fit(vec.select("_zv", "_y"))
-            fold[k] = (tree, (fit.coefficients[0], fit.intercept))
-        out.append(fold)
+        model = _fit(x[train], y[train], classes, iterations)
+        z = model.margins(x[later])
+        out.append((model, [B.fit_sigmoid(z[:, k], (y[later] == c).astype(float)) for k, c in enumerate(classes)]))
     return out
 
 

@@ -9,38 +9,33 @@ from tidelens.plans import features as FT
 from tidelens.plans import model as M
 from tidelens.plans import tuning as TU
 from tidelens.suite.registry import query
-from tidelens.suite.reports import TRAIN
 from tidelens.suite.sqlbits import int_level, region, score_cols, season_level
 
-TREES = 5  # rounds of boosting in these checks; the library's own default is larger
-
-
 def rows(v):
     return FT.training_rows(v.features, v.zones)
 
 
-@query("mle_01_03_classifier_probabilities", f"""
-    WITH {TRAIN} SELECT CAST(zone_id AS INT) AS zone_id, CAST(lead_days AS INT) AS lead_days, CAST(run_at AS VARCHAR) AS run_ts, TRUE AS level_known, TRUE AS in_range FROM train""", "features_v zones_v")
+@query("mle_01_03_classifier_probabilities")
 def classifier(v):
-    """Every training row gets one of the four levels and a probability; the numbers are the model's own."""
+    """Level, confidence and probabilities of every training row, by the model at its own settings."""
     data = rows(v)
-    clf = M.fit_classifier(data, calibrate=False, iterations=TREES)
-    return clf.predict(data).select(F.col("zone_id").cast("int").alias("zone_id"), F.col("lead_days").cast("int").alias("lead_days"), F.col("run_ts").cast("string").alias("run_ts"),
-                                    F.col("pred").cast("int").between(0, 3).alias("level_known"), F.col("confidence").between(0.0, 1.0).alias("in_range"))
+    out = M.fit_classifier(data, calibrate=False).predict(data)
+    return out.select(F.col("zone_id").cast("int").alias("zone_id"), F.col("lead_days").cast("int").alias("lead_days"), F.col("run_ts").cast("string").alias("run_ts"),
+                      F.col("risk_int").cast("int").alias("truth"), "pred", F.round("confidence", 4).alias("confidence"), F.transform("probs", lambda p: F.round(p, 4)).alias("probs"))
 
 
-@query("mle_02_calibrated_probabilities", f"""
-    WITH {TRAIN} SELECT CAST(lead_days AS INT) AS lead_days, count(*) AS n, 1.0 AS mass FROM train GROUP BY 1""", "features_v zones_v")
+@query("mle_02_calibrated_probabilities")
 def calibrated(v):
+    """The same with sigmoids on three later-in-time folds."""
     data = rows(v)
-    clf = M.fit_classifier(data, calibrate=True, iterations=2, folds=2)
-    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
-    return clf.predict(data).groupBy(F.col("lead_days").cast("int").alias("lead_days")).agg(F.count("*").alias("n"), F.round(F.avg(total), 4).alias("mass"))
+    out = M.fit_classifier(data).predict(data)
+    return out.select(F.col("zone_id").cast("int").alias("zone_id"), F.col("lead_days").cast("int").alias("lead_days"), F.col("run_ts").cast("string").alias("run_ts"),
+                      F.col("risk_int").cast("int").alias("truth"), "pred", F.round("confidence", 4).alias("confidence"))
 
 
 @query("mle_04_walk_forward_scores")
 def walk_forward(v):
-    return M.walk_forward(rows(v), n_folds=3, iterations=2, calibrate=False)["scores"]
+    return M.walk_forward(rows(v), n_folds=3)["scores"]
 
 
 @query("mle_06_seasonal_forecast", f"""
@@ -58,13 +53,10 @@ def persistence_forecast(v):
         F.col("run_at").cast("string").alias("run_at"), "zone_id", "lead_days", "risk_level", "confidence", F.col("valid_at").cast("string").alias("valid_at"))
 
 
-@query("mle_06_model_forecast", """
-    SELECT CAST(l AS INT) AS lead_days, 'ml' AS method, count(*) AS n, TRUE AS levels_known
-    FROM features_v JOIN zones_v USING (zone_id), (SELECT unnest([7, 14, 21]) AS l) GROUP BY 1""", "features_v zones_v")
+@query("mle_06_model_forecast")
 def model_forecast(v):
-    clf = M.fit_classifier(rows(v), calibrate=False, iterations=2)
-    return M.extended_forecast(v.features, v.zones, "ml", clf).groupBy(F.col("lead_days").cast("int").alias("lead_days"), "method").agg(
-        F.count("*").alias("n"), F.bool_and(F.col("risk_level").isin("none", "low", "medium", "high")).alias("levels_known"))
+    out = M.extended_forecast(v.features, v.zones, "ml", M.fit_classifier(rows(v)))
+    return out.select(F.col("run_at").cast("string").alias("run_at"), "zone_id", "lead_days", "risk_level", "confidence", "method")
 
 
 @query("mle_08_agg_29_tuned_settings")
