@@ -28,7 +28,7 @@ from tidelens.llm.shingles import prefix_sums, stretch
 LEAST = 100
 ANCHOR = 36
 PIECE = 1 << 20             # places that one selection pass numbers; a longer text takes several
-FLUSH_ANCHORS = 300_000     # anchors a task groups by itself before it hands them on
+FLUSH_ANCHORS = 200_000     # anchors a task groups by itself before it hands them on
 SHARD_BYTES = 1 << 20       # text under one suffix array
 HOT_CONTEXTS = 10_000       # an anchor with more different segments is dealt out by single strings
 _VALUES = mix64(np.arange(5001, 5257, dtype=np.uint64))
