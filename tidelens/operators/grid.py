@@ -16,6 +16,7 @@ from tidelens.operators.quantiles import group_median
 from tidelens.session import durable_checkpoint
 
 TILE = 128
+MEDIAN_VALUES = 1 << 20  # values of windows that are laid out at a time
 
 
 def index_pixels(red: Column, nir: Column, swir: Column) -> tuple[Column, Column]:
@@ -88,76 +89,141 @@ def mask_ocean(cells: DataFrame, land: DataFrame, keys: Sequence[str], radius_ce
     return cells.join(dilate(land, keys, 0, circle(radius_cells)), [*keys, "row", "col"], "left_anti")
 
 
-def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, value: str = "filled",
-                 out: str = "background", tile: int = TILE, extent_of: DataFrame | None = None) -> DataFrame:
-    """AGG-24 / AGG-25: median over a square window, edges reflected with the edge cell repeated.
+def _in_tiles(cells: DataFrame, extent_of: DataFrame, keys: list[str], halo: int, tile: int) -> DataFrame:
+    """Cells with the tile (ty, tx) they are read by, their own or one whose halo they lie in, and the grid's extent."""
+    ext = extent_of.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
+                                       F.min("col").alias("c0"), F.max("col").alias("c1"))
+    tiles = lambda x, lo, hi: F.explode(F.sequence(
+        F.greatest(F.floor((x - halo) / tile), F.floor(lo / tile)), F.least(F.floor((x + halo) / tile), F.floor(hi / tile))))
+    return _spread(cells.join(ext, keys).withColumn("ty", tiles(F.col("row"), F.col("r0"), F.col("r1")))
+                   .withColumn("tx", tiles(F.col("col"), F.col("c0"), F.col("c1"))), keys)
 
-    Grids are cut into tiles with a halo of half a window, so a cell is shuffled about once instead
-    of once per window it belongs to, and the medians of a tile are taken in one NumPy call. A
-    group is one tile, whatever the size of the grid. ``value`` must be set on every cell.
-    ``extent_of`` may name a cheaper frame with the same cells, to read the grids' extents from.
-    """
-    rad = window // 2
-    keys = list(keys)
-    ext = (cells if extent_of is None else extent_of).groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
-                                   F.min("col").alias("c0"), F.max("col").alias("c1"))
-    c = cells.select(*keys, "row", "col", F.col(value).alias("v")).join(ext, keys)
-    tiles = lambda x: F.sequence(F.floor((x - rad) / tile), F.floor((x + rad) / tile))
-    c = c.withColumn("ty", F.explode(tiles(F.col("row")))).withColumn("tx", F.explode(tiles(F.col("col"))))
-    c = c.where((F.col("ty") >= F.floor(F.col("r0") / tile)) & (F.col("ty") <= F.floor(F.col("r1") / tile))
-                & (F.col("tx") >= F.floor(F.col("c0") / tile)) & (F.col("tx") <= F.floor(F.col("c1") / tile)))
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in keys)
 
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+def _spread(tiled: DataFrame, keys: list[str]) -> DataFrame:
+    """Tiles dealt over the session's shuffle partitions: they are light in bytes and heavy in work, so
+    that partitions joined by size would leave most cores idle."""
+    n = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiled.repartition(n, *keys, "ty", "tx")
 
-    def one_tile(table: pa.Table) -> pa.Table:
+
+class _Tile:
+    """One tile with its halo as arrays. ``inner`` marks the rows of the table that belong to the tile itself."""
+
+    def __init__(self, table: pa.Table, tile: int):
         head = {k: int(table[k][0].as_py()) for k in ("ty", "tx", "r0", "r1", "c0", "c1")}
-        row, col = table["row"].to_numpy(), table["col"].to_numpy()
-        top, bottom = max(head["r0"], head["ty"] * tile), min(head["r1"], head["ty"] * tile + tile - 1)
-        left, right = max(head["c0"], head["tx"] * tile), min(head["c1"], head["tx"] * tile + tile - 1)
+        self.row, self.col = table["row"].to_numpy(), table["col"].to_numpy()
+        self.extent = (head["r0"], head["r1"]), (head["c0"], head["c1"])
+        self.top, self.bottom = max(head["r0"], head["ty"] * tile), min(head["r1"], head["ty"] * tile + tile - 1)
+        self.left, self.right = max(head["c0"], head["tx"] * tile), min(head["c1"], head["tx"] * tile + tile - 1)
+        self.inner = ((self.row >= self.top) & (self.row <= self.bottom)
+                      & (self.col >= self.left) & (self.col <= self.right))
+
+    def at_inner(self, board: np.ndarray) -> np.ndarray:
+        """Values of a board of the tile, in the order of the inner rows."""
+        return board[self.row[self.inner] - self.top, self.col[self.inner] - self.left]
+
+    def median(self, values: np.ndarray, window: int) -> np.ndarray:
+        """Median of the window around each cell; beyond the grid its edge cells are repeated in mirror order."""
+        rad = window // 2
 
         def reflected(lo, hi, first, last):
             idx, size = np.arange(lo - rad, hi + rad + 1) - first, last - first + 1
             idx = np.mod(idx, 2 * size)
             return np.where(idx >= size, 2 * size - 1 - idx, idx) + first
 
-        rows = reflected(top, bottom, head["r0"], head["r1"])
-        cols = reflected(left, right, head["c0"], head["c1"])
-        oy, ox = int(row.min()), int(col.min())
-        board = np.full((int(row.max()) - oy + 1, int(col.max()) - ox + 1), np.nan)
-        board[row - oy, col - ox] = table["v"].to_numpy()
+        rows = reflected(self.top, self.bottom, *self.extent[0])
+        cols = reflected(self.left, self.right, *self.extent[1])
+        oy, ox = int(self.row.min()), int(self.col.min())
+        board = np.full((int(self.row.max()) - oy + 1, int(self.col.max()) - ox + 1), np.nan)
+        board[self.row - oy, self.col - ox] = values
         padded = board[np.ix_(rows - oy, cols - ox)]
-        med = np.median(np.lib.stride_tricks.sliding_window_view(padded, (window, window)), axis=(2, 3))
-        inner = (row >= top) & (row <= bottom) & (col >= left) & (col <= right)
-        kept = table.select([*keys, "row", "col"]).filter(pa.array(inner))
-        return kept.append_column(out, pa.array(med[row[inner] - top, col[inner] - left]))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, (window, window))
+        size, width = window * window, windows.shape[1]
+        lines = max(1, MEDIAN_VALUES // (size * width))
+        medians = [self._middle(windows[i:i + lines].reshape(-1, size)) for i in range(0, len(windows), lines)]
+        return np.concatenate(medians).reshape(-1, width)
+
+    @staticmethod
+    def _middle(values: np.ndarray) -> np.ndarray:
+        """Median of each row, none of which holds NaN; np.median takes five times as long to look for them."""
+        half = values.shape[1] // 2
+        if values.shape[1] % 2:
+            return np.partition(values, half, axis=1)[:, half]
+        both = np.partition(values, [half - 1, half], axis=1)
+        return (both[:, half - 1] + both[:, half]) / 2
+
+    def near(self, marked: np.ndarray, reach: int) -> np.ndarray:
+        """Cells of the tile within ``reach`` 4-neighbour steps of a marked cell of tile or halo."""
+        height, width = self.bottom - self.top + 1, self.right - self.left + 1
+        y, x = self.row[marked] - self.top + reach, self.col[marked] - self.left + reach
+        seen = (y >= 0) & (y < height + 2 * reach) & (x >= 0) & (x < width + 2 * reach)
+        board = np.zeros((height + 2 * reach, width + 2 * reach), bool)
+        board[y[seen], x[seen]] = True
+        for _ in range(reach):
+            grown = board.copy()
+            grown[1:] |= board[:-1]
+            grown[:-1] |= board[1:]
+            grown[:, 1:] |= board[:, :-1]
+            grown[:, :-1] |= board[:, 1:]
+            board = grown
+        return board[reach:reach + height, reach:reach + width]
+
+
+def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, value: str = "filled",
+                 out: str = "background", tile: int = TILE, extent_of: DataFrame | None = None) -> DataFrame:
+    """AGG-24 / AGG-25: median over a square window, edges reflected with the edge cell repeated.
+
+    Grids are cut into tiles with a halo of half a window, so a cell is shuffled about once instead
+    of once per window it belongs to, and the medians of a tile are taken in NumPy. A group is one
+    tile, whatever the size of the grid. ``value`` must be set on every cell.
+    ``extent_of`` may name a cheaper frame with the same cells, to read the grids' extents from.
+    """
+    keys = list(keys)
+    c = _in_tiles(cells.select(*keys, "row", "col", F.col(value).alias("v")),
+                  cells if extent_of is None else extent_of, keys, window // 2, tile)
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
 
-    schema = f"{names}, row {kinds['row']}, col {kinds['col']}, {out} double"
+    def one_tile(table: pa.Table) -> pa.Table:
+        t = _Tile(table, tile)
+        kept = table.select([*keys, "row", "col"]).filter(pa.array(t.inner))
+        return kept.append_column(out, pa.array(t.at_inner(t.median(table["v"].to_numpy(), window))))
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "row", "col"]) + f", {out} double"
     return c.groupBy(*keys, "ty", "tx").applyInArrow(one_tile, schema)
 
 
 def flag_cells(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, bin_width: float = 0.0005,
-               edge: int = S.GRID_EDGE_CELLS) -> DataFrame:
+               edge: int = S.GRID_EDGE_CELLS, tile: int = TILE) -> DataFrame:
     """PRJ-08: (keys, row, col, value, anomaly, clear, flagged) of full daily grids.
 
-    ``cells`` must hold every cell, null where there was no view. It is read four times (median,
-    cloud edge, extents, values), so it is written once to a durable checkpoint instead of being
-    derived again for each.
+    ``cells`` must hold every cell, null (or NaN) where there was no view. Median, cloud edge and
+    flags come from one pass over tiles with a halo, so cells are shuffled once and joined to nothing
+    but their grid's median and extent. Those two are read from a durable checkpoint of the cells.
     """
     keys = list(keys)
     at = [*keys, "row", "col"]
     value = F.nanvl(F.col("value"), F.lit(None).cast("double"))
     cells = durable_checkpoint(cells.select(*at, value.alias("value")))
     mid = group_median(cells, keys, "value", "_mid", bin_width=bin_width)
-    filled = cells.join(mid, keys).withColumn("filled", F.coalesce("value", "_mid")).drop("_mid")
-    background = local_median(filled, keys, window, extent_of=cells)
-    cloudy = dilate(cells.where(F.col("value").isNull()), keys, edge).withColumn("_edge", F.lit(True))
-    f = filled.join(background, at).join(cloudy, at, "left")
-    clear = F.col("value").isNotNull() & F.col("_edge").isNull() & ~(F.col("value") >= S.GRID_SATURATED)
-    anomaly = F.when(F.col("value").isNull(), 0.0).otherwise(F.col("value") - F.col("background"))
-    return (f.withColumn("clear", F.coalesce(clear, F.lit(False))).withColumn("anomaly", anomaly)
-            .withColumn("flagged", F.col("clear") & (F.col("anomaly") > S.GRID_ANOMALY_MIN))
-            .select(*at, "value", "anomaly", "clear", "flagged"))
+    c = _in_tiles(cells.join(mid, keys), cells, keys, max(window // 2, edge), tile)
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+
+    def one_tile(table: pa.Table) -> pa.Table:
+        t = _Tile(table, tile)
+        value = table["value"].to_numpy()  # NaN where null
+        unseen = np.isnan(value)
+        background = t.at_inner(t.median(np.where(unseen, table["_mid"].to_numpy(), value), window))
+        edges = t.at_inner(t.near(unseen, edge))
+        kept = table.select([*at, "value"]).filter(pa.array(t.inner))
+        value, unseen = value[t.inner], unseen[t.inner]
+        anomaly = np.where(unseen, 0.0, value - background)
+        clear = ~edges & ~unseen & ~(value >= S.GRID_SATURATED)
+        for name, column in (("anomaly", anomaly), ("clear", clear), ("flagged", clear & (anomaly > S.GRID_ANOMALY_MIN))):
+            kept = kept.append_column(name, pa.array(column))
+        return kept
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in at) + ", value double, anomaly double, clear boolean, flagged boolean"
+    return c.groupBy(*keys, "ty", "tx").applyInArrow(one_tile, schema)
 
 
 def latest_clear(flags: DataFrame, grid: Sequence[str], day: str) -> DataFrame:
@@ -184,12 +250,48 @@ def grid_step(axis: DataFrame, keys: Sequence[str], coord: str, out: str) -> Dat
             .withColumn(out, F.coalesce(out, F.lit(S.GRID_DEFAULT_STEP))))
 
 
+def group_numbers(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First cell (row, col) of the 8-connected group of each cell, the smallest in row order.
+
+    Cells of a row that follow each other are one run. Runs of neighbouring rows that touch are found
+    by binary search and united by array minima, so the work depends on runs, not on steps.
+    """
+    order = np.lexsort((col, row))
+    r, c = row[order].astype(np.int64), col[order].astype(np.int64)
+    fresh = np.ones(len(r), bool)
+    fresh[1:] = (r[1:] != r[:-1]) | (c[1:] - c[:-1] > 1)
+    run = np.cumsum(fresh) - 1
+    first, last = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(r)) - 1
+    left = c.min()
+    width = int(c.max() - left) + 4  # so that a column beside the last one is still in its row
+    begin, end = r[first] * width + c[first] - left + 1, r[last] * width + c[last] - left + 1
+    lo = np.searchsorted(end, begin + width - 1, "left")
+    hi = np.searchsorted(begin, end + width + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    upper = np.repeat(np.arange(len(first)), n)
+    lower = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    root = np.arange(len(first))
+    while True:
+        a, b = root[upper], root[lower]
+        apart = a != b
+        if not apart.any():
+            break
+        low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    start = first[root[run]]
+    out_r, out_c = np.empty(len(r), np.int64), np.empty(len(r), np.int64)
+    out_r[order], out_c[order] = r[start], c[start]
+    return out_r, out_c
+
+
 def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """WIN-16: (keys, row, col, label) of 8-connected groups; the label is stable and unique.
 
-    Cells are first labelled inside tiles (one Arrow call per tile). Only groups that touch across
-    a tile border then form a graph, whose labels are lowered round by round: the smallest label of
-    any neighbour, then the label of that label. Each round is cut by a durable checkpoint.
+    Cells are first labelled inside tiles (one Arrow call per tile, runs instead of cells). Only
+    groups that touch across a tile border then form a graph, which ``connect`` contracts. The label
+    names the first cell of one of the group's tiles.
     """
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
@@ -199,56 +301,49 @@ def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataF
                         "lr long", "lc long"])
 
     def local(table: pa.Table) -> pa.Table:
-        cells_here = list(zip(table["row"].to_pylist(), table["col"].to_pylist()))
-        todo, home = set(cells_here), {}
-        for start in sorted(todo):
-            if start in home:
-                continue
-            home[start], stack = start, [start]
-            while stack:
-                r, q = stack.pop()
-                for n in [(r + a, q + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
-                    if n in todo and n not in home:
-                        home[n] = start
-                        stack.append(n)
+        lr, lc = group_numbers(table["row"].to_numpy(), table["col"].to_numpy())
         out = table.select([*keys, "ty", "tx", "row", "col"])
-        out = out.append_column("lr", pa.array([home[c][0] for c in cells_here], pa.int64()))
-        return out.append_column("lc", pa.array([home[c][1] for c in cells_here], pa.int64()))
+        return out.append_column("lr", pa.array(lr)).append_column("lc", pa.array(lc))
 
-    name = lambda r, q: F.concat_ws(":", *[F.col(k).cast("string") for k in keys], r.cast("string"), q.cast("string"))
-    labelled = c.groupBy(*keys, "ty", "tx").applyInArrow(local, schema)
-    labelled = durable_checkpoint(labelled.withColumn("label", name(F.col("lr"), F.col("lc"))).drop("lr", "lc"))
+    labelled = durable_checkpoint(_spread(c, keys).groupBy(*keys, "ty", "tx").applyInArrow(local, schema))
+    group = F.struct(*keys, "lr", "lc")
     rim = labelled.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
-    step = neighbours(rim.select(*keys, "row", "col", F.col("label").alias("a"), F.col("ty").alias("ay"),
-                                 F.col("tx").alias("ax")), offsets(1, centre=False))
-    edges = (step.join(rim.select(*keys, "row", "col", "label", "ty", "tx"), [*keys, "row", "col"])
-             .where((F.col("ay") != F.col("ty")) | (F.col("ax") != F.col("tx")))
-             .select("a", F.col("label").alias("b")).where("a <> b").distinct())
-    edges = durable_checkpoint(edges)
-    root = connect(edges)
-    return (labelled.join(root, F.col("label") == F.col("node"), "left")
-            .select(*keys, "row", "col", F.coalesce("root", "label").alias("label")))
+    half = [(0, 1), (1, -1), (1, 0), (1, 1)]  # the other four are the same meetings seen from the other cell
+    step = neighbours(rim.select(*keys, "row", "col", group.alias("a"), F.col("ty").alias("ay"), F.col("tx").alias("ax")), half)
+    edges = (step.join(rim.select(*keys, "row", "col", group.alias("b"), "ty", "tx"), [*keys, "row", "col"])
+             .where((F.col("ay") != F.col("ty")) | (F.col("ax") != F.col("tx"))).select("a", "b").distinct())
+    whole = labelled.withColumn("node", group).join(connect(edges), "node", "left")
+    top = F.coalesce("root", "node")
+    name = F.concat_ws(":", *[top[k].cast("string") for k in [*keys, "lr", "lc"]])
+    return whole.select(*keys, "row", "col", name.alias("label"))
 
 
 def connect(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph given as both directions (a, b): (node, root).
+    """Connected components of an undirected graph of edges (a, b): (node, root), root the smallest node.
 
-    Min-label spreading with pointer jumping, until no label moves.
+    Large-star and small-star steps rewrite the edges: each node hands its larger neighbours, then its
+    smaller ones, to the smallest it sees. Distances to the root at least halve along a chain, so rounds grow with
+    the logarithm of a component's diameter. Minima are combined map-side; a round is cut by a durable
+    checkpoint, and the last one changes no edge.
     """
-    labels = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    if edges.isEmpty():
-        return labels
-    while True:
-        near = (edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("_m")))
-        low = (labels.join(near, F.col("node") == F.col("a"), "left")
-               .select("node", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("_r")))
-        jump = low.select(F.col("node").alias("_r"), F.col("_r").alias("_rr"))
-        nxt = durable_checkpoint(low.join(jump, "_r", "left")
-                                 .select("node", "_old", F.least("_r", F.coalesce("_rr", "_r")).alias("root")))
-        moved = nxt.where(F.col("root") != F.col("_old")).limit(1).count()
-        labels = nxt.drop("_old")
-        if moved == 0:
-            return labels
+    now = durable_checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(now)
+    while before[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("_m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "_m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("_m"))
+        small = large.join(low, "a")
+        pairs = F.explode(F.array(F.struct("b", "_m"), F.struct(F.col("a").alias("b"), "_m")))
+        now = durable_checkpoint(small.select(pairs.alias("e")).select(F.col("e.b").alias("a"), F.col("e._m").alias("b"))
+                                 .where("a <> b").distinct())
+        after = state(now)
+        if after == before:
+            break
+        before = after
+    return (now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def cluster_stats(cells: DataFrame, keys: Sequence[str], min_cells: int = S.GRID_MIN_CELLS) -> DataFrame:
@@ -290,11 +385,11 @@ def seen_clear(points: DataFrame, clear: DataFrame, axes: DataFrame, keys: Seque
 
 def interpolate(points: DataFrame, field: DataFrame, axes: dict, keys: Sequence[str], clamp: bool,
                 values: Sequence[str] = ("u", "v")) -> DataFrame:
-    """JON-28 / AGG-26: field values at (t, lat, lon) from the 8 surrounding nodes of a regular grid.
+    """JON-28 / AGG-26: (keys, values) of a field at (t, lat, lon) from the 8 surrounding nodes of a regular grid.
 
     ``axes`` gives (first, step, count) of t, lat and lon. Time is clamped; places outside the grid
-    are clamped too (winds) or give 0 (currents). Points are repeated to their 8 corners and meet
-    the grid in one equi-join on the node; the weighted sum is combined map-side.
+    are clamped too (winds) or give 0 (currents); missing nodes count as 0. The field, the small side,
+    is turned into cells that hold their 8 corners, so that a point meets one row and is never repeated.
     """
     def cell(name, clamped):
         first, step, count = axes[name]
@@ -303,23 +398,30 @@ def interpolate(points: DataFrame, field: DataFrame, axes: dict, keys: Sequence[
         base = F.least(F.floor(x), F.lit(max(count - 2, 0)))
         return base, x - base
 
+    corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(i).alias("i"))
+                                 for i, (a, b, c) in enumerate(corners)]))
+    node = [F.nanvl(F.col(v).cast("double"), F.lit(0.0)).alias(f"_n{j}") for j, v in enumerate(values)]
+    spread = field.select("t_idx", "row", "col", *node, corner.alias("_k"))
+    boxes = (spread.groupBy((F.col("t_idx") - F.col("_k.a")).cast("long").alias("_bt"), (F.col("row") - F.col("_k.b")).cast("long").alias("_by"),
+                            (F.col("col") - F.col("_k.c")).cast("long").alias("_bx"))
+             .agg(*[F.sum(F.when(F.col("_k.i") == i, F.col(f"_n{j}"))).alias(f"_n{j}_{i}")
+                    for j in range(len(values)) for i in range(len(corners))]))
     (bt, ft), (by, fy), (bx, fx) = cell("t", True), cell("lat", clamp), cell("lon", clamp)
-    p = (points.withColumn("_bt", bt).withColumn("_ft", ft).withColumn("_by", by).withColumn("_fy", fy)
-         .withColumn("_bx", bx).withColumn("_fx", fx))
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
-                        for a in (0, 1) for b in (0, 1) for c in (0, 1)])
-    w = lambda f, on: F.when(on == 1, f).otherwise(1 - f)
-    near = (p.withColumn("_k", F.explode(corners))
-            .withColumn("t_idx", F.col("_bt") + F.col("_k.a")).withColumn("row", F.col("_by") + F.col("_k.b"))
-            .withColumn("col", F.col("_bx") + F.col("_k.c"))
-            .withColumn("_w", w(F.col("_ft"), F.col("_k.a")) * w(F.col("_fy"), F.col("_k.b")) * w(F.col("_fx"), F.col("_k.c"))))
+    p = points.select(*keys, bt.cast("long").alias("_bt"), ft.alias("_ft"), by.cast("long").alias("_by"), fy.alias("_fy"),
+                      bx.cast("long").alias("_bx"), fx.alias("_fx"))
     outside = (F.lit(False) if clamp else
                ((F.col("_fy") < 0) | (F.col("_fy") > 1) | (F.col("_fx") < 0) | (F.col("_fx") > 1)
                 | (F.col("_by") < 0) | (F.col("_bx") < 0)))
-    hit = near.withColumn("_w", F.when(outside, 0.0).otherwise(F.col("_w"))).join(
-        field.select("t_idx", "row", "col", *values), ["t_idx", "row", "col"], "left")
-    return hit.groupBy(*keys).agg(*[F.sum(F.col("_w") * F.coalesce(F.nanvl(F.col(v), F.lit(0.0)), F.lit(0.0))).alias(v)
-                                    for v in values])
+    share = lambda f, on: F.col(f) if on else 1 - F.col(f)
+
+    def mixed(j):
+        total = F.lit(0.0)
+        for i, (a, b, c) in enumerate(corners):
+            total = total + share("_ft", a) * share("_fy", b) * share("_fx", c) * F.coalesce(F.col(f"_n{j}_{i}"), F.lit(0.0))
+        return F.when(outside, 0.0).otherwise(total)
+
+    return p.join(boxes, ["_bt", "_by", "_bx"], "left").select(*keys, *[mixed(j).alias(v) for j, v in enumerate(values)])
 
 
 def agreement(patches: DataFrame, clusters: DataFrame, checkable: DataFrame, keys: Sequence[str],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from tidelens import settings as S
 from tidelens.functions.dates import local_day, local_day_end
 from tidelens.functions.risk import level_to_int
+from tidelens.operators.keyed import dense_number
+from tidelens.session import durable_checkpoint
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
@@ -80,45 +83,89 @@ def issued_in_time(rows: DataFrame, ident: str, order: str) -> DataFrame:
             .agg(F.max_by(level_to_int(F.col("h.risk_level")), rank).alias("pred")))
 
 
-def thin_runs(runs: DataFrame, ts: str, every_hours: float) -> DataFrame:
-    """WIN-07: run times kept when at least ``every_hours`` (1 s slack) after the last kept one.
+def next_times(times: DataFrame, keys: Sequence[str], wait: int) -> DataFrame:
+    """(keys.., t, nxt): for each distinct integer time the first time of its key at least ``wait`` later, or null.
 
-    The rule is sequential and its state is one time, so it folds over the distinct run times (a
-    few a day, whatever the number of rows).
+    Times and the times they look for (t + wait) are ranged together by (keys, time), and each partition is read once
+    backwards. What a partition cannot answer is the first time of the next partition that holds
+    any: one row per partition. So a key of any size is spread over all tasks, without buckets.
+    """
+    keys = list(keys)
+    own = times.select(*keys, F.col("t").alias("at"), F.lit(1).alias("_is"), F.col("t"))
+    sought = times.select(*keys, (F.col("t") + wait).alias("at"), F.lit(0).alias("_is"), F.col("t"))
+    both = own.unionByName(sought).repartitionByRange(*keys, "at").withColumn("_pid", F.spark_partition_id())
+    both = durable_checkpoint(both)  # the bounds come from a sample: read twice, they could differ
+    found = F.struct(*keys, "t")
+    back = W.partitionBy("_pid").orderBy(*[F.col(c).desc() for c in [*keys, "at", "_is"]])
+    here = F.last(F.when(F.col("_is") == 1, found), True).over(back.rowsBetween(W.unboundedPreceding, 0))
+    heads = both.groupBy("_pid").agg(F.min(F.when(F.col("_is") == 1, found)).alias("_head"))
+    later = F.last("_head", True).over(W.orderBy(F.desc("_pid")).rowsBetween(W.unboundedPreceding, -1))
+    heads = heads.select("_pid", later.alias("_later"))
+    seen = both.withColumn("_here", here).where("_is = 0").join(heads, "_pid").withColumn("_f", F.coalesce("_here", "_later"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_f.{k}").eqNullSafe(F.col(k))
+    return seen.select(*keys, "t", F.when(same, F.col("_f.t")).alias("nxt"))
+
+
+def chain(times: DataFrame, keys: Sequence[str], wait: int) -> DataFrame:
+    """(keys.., t) of the times kept when, after a kept time, the next one is the first at least ``wait`` later.
+
+    Each key's first time is kept. Pointers to the next allowed time are doubled round by round: after n rounds the
+    first 2^n kept times of every key are marked, so rounds grow with the logarithm of the longest
+    chain. Each round is cut by a durable checkpoint.
     """
-    secs = F.array_sort(F.collect_set(F.unix_seconds(F.col(ts))))
-    kept = F.aggregate(
-        secs, F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= every_hours * 3600 - 1),
-                              F.concat(acc, F.array(t))).otherwise(acc))
-    return (runs.select(ts).distinct().agg(kept.alias("k"))
-            .select(F.explode("k").alias("_t")).select(F.timestamp_seconds("_t").alias(ts)))
+    keys = list(keys)
+    times = durable_checkpoint(times.select(*keys, "t").distinct())
+    jump = durable_checkpoint(next_times(times, keys, wait).where("nxt is not null"))
+    kept = times.groupBy(*keys).agg(F.min("t").alias("t")).where("t is not null")
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    while True:
+        more = (kept.alias("a").join(jump.alias("b"), [*same("a", "b"), F.col("a.t") == F.col("b.t")])
+                .select(*[F.col(f"a.{k}") for k in keys], F.col("b.nxt").alias("t"), F.lit(True).alias("_new")))
+        kept = durable_checkpoint(kept.withColumn("_new", F.lit(False)).unionByName(more))
+        if kept.where("_new").isEmpty():
+            return kept.drop("_new")
+        kept = kept.drop("_new")
+        jump = durable_checkpoint(jump.alias("a").join(jump.alias("b"), [*same("a", "b"), F.col("a.nxt") == F.col("b.t")])
+                                  .select(*[F.col(f"a.{k}") for k in keys], F.col("a.t"), F.col("b.nxt")))
 
 
-def chunk_runs(runs: DataFrame, ts: str, days: float = 10.0) -> DataFrame:
-    """WIN-08: (run time, group number): a group spans at most ``days`` from its first run."""
-    secs = F.array_sort(F.collect_set(F.unix_seconds(F.col(ts))))
-    item = lambda t, g, s: F.struct(t.alias("t"), g.alias("g"), s.alias("s"))
+def thin_runs(runs: DataFrame, ts: str, every_hours: float) -> DataFrame:
+    """WIN-07: run times (whole seconds) kept when at least ``every_hours`` (1 s slack) after the last kept one."""
+    times = runs.select(F.unix_seconds(F.col(ts)).alias("t")).where("t is not null")
+    return chain(times, [], math.ceil(every_hours * 3600 - 1)).select(F.timestamp_seconds("t").alias(ts))
+
 
-    def step(acc, t):
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (t - last["s"] > days * 86400)
-        group = F.when(F.size(acc) == 0, 1).when(fresh, last["g"] + 1).otherwise(last["g"])
-        return F.concat(acc, F.array(item(t, group, F.when(fresh, t).otherwise(last["s"]))))
+def chunk_runs(runs: DataFrame, ts: str, days: float = 10.0) -> DataFrame:
+    """WIN-08: (run time in whole seconds, group number): a group spans at most ``days`` from its first run.
 
-    out = F.aggregate(secs, F.array().cast("array<struct<t:bigint,g:int,s:bigint>>"), step)
-    return (runs.select(ts).distinct().agg(out.alias("k")).select(F.explode("k").alias("e"))
-            .select(F.timestamp_seconds("e.t").alias(ts), F.col("e.g").alias("group_no")))
+    A group starts at the first run more than ``days`` after the start of the one before. The runs of a group
+    meet its start in buckets one span wide, of which a group touches at most two.
+    """
+    span = math.floor(days * 86400)
+    times = runs.select(F.unix_seconds(F.col(ts)).alias("t")).where("t is not null").distinct()
+    starts = dense_number(chain(times, [], span + 1).withColumnRenamed("t", "_s"), [F.col("_s")], "group_no")
+    bucket = F.floor(F.col("_s") / (span + 1))
+    starts = starts.withColumn("_b", F.explode(F.array(bucket, bucket + 1)))
+    runs_of = times.withColumn("_b", F.floor(F.col("t") / (span + 1))).join(starts, "_b")
+    runs_of = runs_of.where(F.col("t").between(F.col("_s"), F.col("_s") + span))
+    return runs_of.select(F.timestamp_seconds("t").alias(ts), F.col("group_no").cast("int").alias("group_no"))
 
 
 def time_blocks(rows: DataFrame, ts: str, n: int) -> DataFrame:
     """WIN-12: equal consecutive blocks of the distinct run times; (block, start, end, runs).
 
-    The only window without a key in the library: it numbers distinct run times, never raw rows.
+    Run times are numbered by ranges and their counts; earlier blocks take what does not divide evenly.
     """
-    times = rows.select(ts).distinct().withColumn("block", F.ntile(n).over(W.orderBy(ts)))
-    return times.groupBy("block").agg(F.min(ts).alias("start"), F.max(ts).alias("end"),
-                                      F.count("*").alias("runs"))
+    numbered = dense_number(rows.select(ts).where(F.col(ts).isNotNull()).distinct(), [F.col(ts)], "_no")
+    total = numbered.agg(F.count("*")).scalar()
+    size, extra = F.floor(total / n), total % n
+    wide = extra * (size + 1)
+    block = F.when(F.col("_no") <= wide, F.ceil(F.col("_no") / (size + 1))).otherwise(
+        extra + F.ceil((F.col("_no") - wide) / F.greatest(size, F.lit(1))))
+    return (numbered.groupBy(block.cast("int").alias("block"))
+            .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("runs")))
 
 
 def purged_split(rows: DataFrame, blocks: DataFrame) -> DataFrame:
