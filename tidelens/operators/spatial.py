@@ -237,24 +237,6 @@ def ring_edges(vertices: DataFrame, ring: Sequence[str], order: str) -> DataFram
             .select(*ring, order, F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2"))
 
 
-def points_in_polygon(points: DataFrame, edges: DataFrame, shape: str, band_deg: float = 0.05,
-                      keys: Sequence[str] = ("id",)) -> DataFrame:
-    """JON-11: (keys, shape) of the points inside a shape, by counting edges crossed to the east.
-
-    Edges are repeated into the latitude bands they span and meet the points of the same band, so
-    a point is only tested against edges at its own latitude. Crossings are counted map-side.
-    """
-    band = lambda y: F.floor(y / band_deg)
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spread = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(band(lo), band(hi))))
-    p = points.withColumn("_band", band(F.col("lat")))
-    hit = p.join(spread, "_band").where(
-        (F.least("y1", "y2") <= F.col("lat")) & (F.col("lat") < F.greatest("y1", "y2")))
-    x_at = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    return (hit.where(x_at > F.col("lon")).groupBy(*keys, shape).agg(F.count("*").alias("_n"))
-            .where(F.col("_n") % 2 == 1).drop("_n"))
-
-
 def densify(edges: DataFrame, ring: Sequence[str], order: str, step_deg: float = 0.005) -> DataFrame:
     """GEO-06: ring points at most ``step_deg`` apart; (ring, order, part, lat, lon)."""
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))

@@ -9,6 +9,7 @@ from tidelens.functions import risk as R
 from tidelens.operators import ensemble as E
 from tidelens.operators import grid as GR
 from tidelens.operators import spatial as SP
+from tidelens.operators.cover import points_in_polygon
 from tidelens.operators.keyed import latest
 from tidelens.sources import payloads as P
 from tidelens.suite.registry import query
@@ -156,7 +157,7 @@ def shape_edges(v):
     WHERE y1 <> y2 AND least(y1, y2) <= lat AND lat < greatest(y1, y2) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon
     GROUP BY id, shape HAVING count(*) % 2 = 1""", "detections_v beaches_v")
 def point_in_polygon(v):
-    return SP.points_in_polygon(v.detections.select("id", "lat", "lon"), shape_edges(v), "shape").select("id", "shape")
+    return points_in_polygon(v.detections.select("id", "lat", "lon"), shape_edges(v), "shape")
 
 
 @query("jon_12_nearest_coast_point", f"""
