@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_planted import request_rows, wanted_requests
 from tidelens.operators import alerts as A
 from tidelens.streaming import jobs as J
+from tidelens.streaming.state_table import StateTable
 
 
 def stream_of(spark, df, folder, files=1):
@@ -51,6 +53,67 @@ def test_current_state_survives_repeated_and_late_batches(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in J.read_current(spark, path).collect()} == {(1, "c"), (2, "b"), (3, "d")}
 
 
+def folders(path):
+    """Bytes of every bucket of a state table, by (version, bucket)."""
+    found = {}
+    for f in (path / "data").glob("*/*/*.parquet"):
+        key = tuple(int(p.name.split("=")[1]) for p in (f.parent.parent, f.parent))
+        found[key] = found.get(key, 0) + f.stat().st_size
+    return found
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    t0 = dt.datetime(2026, 6, 1)
+    for name, keys in (("small", 2_000), ("large", 40_000)):
+        rows = spark.range(keys).select("id", F.lit(t0).alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        table = StateTable(spark, str(tmp_path / name), ["id"], ["at"], buckets=keys // 500)
+        table.apply(rows, 0)
+        table.apply(rows.where("id = 7").withColumn("v", F.lit("new")), 1)
+        written = {k: n for k, n in folders(tmp_path / name).items() if k[0] == 1}
+        assert len(written) == 1 and sum(written.values()) < 100_000  # one bucket of about 500 rows, whatever the table holds
+        got = {r["id"]: r["v"] for r in table.read().collect()}
+        assert len(got) == keys and got[7] == "new" and got[8] == rows.where("id = 8").first()["v"]
+
+
+def test_a_batch_killed_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    t0 = dt.datetime(2026, 6, 1)
+    src, path = str(tmp_path / "in"), str(tmp_path / "state")
+    df = lambda rows: spark.createDataFrame(rows, "k int, run_at timestamp, v string")
+    df([(i, t0, "a") for i in range(50)]).write.parquet(src)
+    stream = spark.readStream.schema("k int, run_at timestamp, v string").parquet(src)
+
+    def go():
+        J.keep_current(stream, path, ["k"], ["run_at"], str(tmp_path / "cp"), 8).trigger(availableNow=True).start().awaitTermination(120)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    go()
+    df([(i, t0 + dt.timedelta(hours=1), "b") for i in range(0, 50, 10)]).write.mode("append").parquet(src)
+    with monkeypatch.context() as m:
+        m.setattr(StateTable, "_commit", dies)
+        with pytest.raises(Exception, match="lost"):
+            go()
+    assert {v for _, v in folders(tmp_path / "state").items()} and any(v == 1 for v, _ in folders(tmp_path / "state"))
+    assert {r["v"] for r in J.read_current(spark, path).collect()} == {"a"}
+    go()
+    got = {r["k"]: r["v"] for r in J.read_current(spark, path).collect()}
+    assert got == {i: "b" if i % 10 == 0 else "a" for i in range(50)}
+
+
+def test_versions_that_no_recent_commit_names_are_deleted(spark, tmp_path):
+    t0 = dt.datetime(2026, 6, 1)
+    table = StateTable(spark, str(tmp_path), ["k"], ["at"], buckets=2)
+    batch = lambda i: spark.createDataFrame([(k, t0 + dt.timedelta(hours=i), i) for k in range(6)] + [(None, t0, i)], "k int, at timestamp, v int")
+    for i in range(5):
+        table.apply(batch(i), i)
+        table.apply(batch(9), i)  # repeated: passed over
+    table.apply(batch(5).limit(0), 5)  # nothing to do
+    assert {v for v, _ in folders(tmp_path)} == {3, 4} and sorted(p.name for p in (tmp_path / "commits").iterdir()) == ["3", "4"]
+    assert sorted((r["k"] is None, r["k"], r["v"]) for r in table.read().where("k is not null").collect()) == [(False, k, 4) for k in range(6)]
+    assert [r["v"] for r in table.read().where("k is null").collect()] == [4]
+
+
 def test_report_and_arrival_streams(spark, views, tmp_path):
     r = views.reports.select("id", "created_at", F.timestamp_add("HOUR", -(F.col("id") % 72).cast("int"), F.col("created_at")).alias("observed"))
     got = run(J.recent_reports(stream_of(spark, r, str(tmp_path / "r")), "observed", "created_at"), str(tmp_path / "a"))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelens import settings as S
 from tidelens.operators.alerts import enrich_reports
-from tidelens.operators.keyed import upsert
+from tidelens.streaming.state_table import BUCKETS, StateTable
 
 
 LATE = "10 minutes"  # how late a row may come before a stream drops it
@@ -139,42 +139,17 @@ def report_stream(reports: DataFrame, beaches: DataFrame, zones: DataFrame, now:
     return enrich_reports(reports, beaches, zones, now)
 
 
-def keep_current(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str):
-    """STM-05: a current-state table (latest per key) kept by a stream, one upsert per batch.
+def keep_current(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, buckets: int = BUCKETS):
+    """STM-05: a current-state table (latest per key) kept by a stream, one merge per batch.
 
-    The two newest versions alternate between two folders and a pointer row is appended last, so a lost
-    executor or a repeated batch leaves the previous version readable.
+    A batch reads and writes the hash buckets of its own keys only; see ``StateTable``.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if (last := _pointer(spark, path)) is not None and last >= batch_id:
-            return  # this batch was applied before the restart
-        old = read_current(spark, path)
-        fresh = batch if old is None else upsert(old, _newer(old, batch, keys, order), keys, order)
-        if old is None:
-            fresh = upsert(batch.limit(0), batch, keys, order)
-        fresh.write.mode("overwrite").parquet(f"{path}/v{batch_id % 2}")
-        spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("append").parquet(f"{path}/pointer")
+        StateTable(batch.sparkSession, path, keys, order, buckets).apply(batch, batch_id)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def _newer(old: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of the batch that are not older than what is stored."""
-    o = old.select(*keys, F.struct(*order).alias("_old"))
-    return batch.join(o, list(keys), "left").where(F.col("_old").isNull() | (F.struct(*order) >= F.col("_old"))).drop("_old")
-
-
-def _pointer(spark, path: str) -> int | None:
-    try:
-        return spark.read.parquet(f"{path}/pointer").agg(F.max("batch")).first()[0]
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return None
-        raise
-
-
 def read_current(spark, path: str) -> DataFrame | None:
-    """The newest complete version of a current-state table, or nothing yet."""
-    last = _pointer(spark, path)
-    return None if last is None else spark.read.parquet(f"{path}/v{last % 2}")
+    """The newest committed version of a current-state table, or nothing yet."""
+    return StateTable(spark, path, (), ()).read()

@@ -125,10 +125,15 @@ def recent_reports(v):
 @query("stm_05_current_state", """
     SELECT beach_name, id, risk_level FROM (SELECT *, row_number() OVER (PARTITION BY beach_name ORDER BY run_at DESC, id DESC) AS rn FROM beach_forecasts_v) WHERE rn = 1""", "beach_forecasts_v")
 def current_state(v):
+    """Two batches through the bucketed table that the stream keeps."""
+    from tidelens.streaming.state_table import StateTable
+
     b = v.beach_forecasts.select("beach_name", "id", "run_at", "risk_level")
-    first, second = b.where(F.dayofmonth("run_at") <= 15), b.where(F.dayofmonth("run_at") > 15)
-    state = K.upsert(b.limit(0), first, ["beach_name"], ["run_at", "id"])
-    return K.upsert(state, second, ["beach_name"], ["run_at", "id"]).select("beach_name", "id", "risk_level")
+    table = StateTable(v.spark, shared_path(v.spark, "state"), ["beach_name"], ["run_at", "id"])
+    for version, half in enumerate((b.where(F.dayofmonth("run_at") > 15), b.where(F.dayofmonth("run_at") <= 15))):
+        table.apply(half, version)
+    state = table.read()
+    return (b.limit(0) if state is None else state).select("beach_name", "id", "risk_level")
 
 
 @query("set_07_parameter_grid", """
