@@ -9,7 +9,8 @@ from tidelens.plans import features as FT
 from tidelens.plans import model as M
 from tidelens.plans import tuning as TU
 from tidelens.suite.registry import query
-from tidelens.suite.sqlbits import int_level, region, score_cols, season_level
+from tidelens.suite.reports import LABELS
+from tidelens.suite.sqlbits import int_level, region, score_cols, score_tail, season_level, zone_level
 
 def rows(v):
     return FT.training_rows(v.features, v.zones)
@@ -59,7 +60,23 @@ def model_forecast(v):
     return out.select(F.col("run_at").cast("string").alias("run_at"), "zone_id", "lead_days", "risk_level", "confidence", "method")
 
 
-@query("mle_08_agg_29_tuned_settings")
+@query("mle_08_agg_29_tuned_settings", f"""
+    WITH {LABELS}, s AS (SELECT TIMESTAMP '2024-01-01' + to_days((run - 1995) * 4) AS run_at, zone, member, hour AS hr,
+        unnest(['outline', 'covered']) AS field, unnest([area, covered]) AS area FROM stops_v),
+    hourly AS (SELECT run_at, zone, member, field, hr, sum(area) AS area FROM s WHERE hr <= 72 GROUP BY ALL),
+    cum AS (SELECT *, sum(area) OVER (PARTITION BY run_at, zone, member, field ORDER BY hr) AS c FROM hourly),
+    per AS (SELECT run_at, zone, member, field, scale, h, sum(CASE WHEN hr <= h THEN area ELSE 0 END) AS a, min(CASE WHEN c >= 5.0 * scale AND hr <= h THEN hr END) AS eta
+            FROM cum, (SELECT unnest([0, 24, 48, 72]) AS h), (SELECT unnest([0.5::DOUBLE, 1.0, 2.0]) AS scale) GROUP BY ALL),
+    lev AS (SELECT *, {zone_level('a', 'eta', '0.5 * scale', '5.0 * scale', '25.0 * scale')} AS lv FROM per),
+    sh AS (SELECT run_at, zone, field, scale, h, count(*) FILTER (lv = 'low') / 24.0 AS p1, count(*) FILTER (lv = 'medium') / 24.0 AS p2, count(*) FILTER (lv = 'high') / 24.0 AS p3
+           FROM lev GROUP BY ALL),
+    hd AS (SELECT *, CASE WHEN p3 >= 0.5 THEN 3 WHEN p3 + p2 >= 0.5 THEN 2 WHEN p3 + p2 + p1 >= 0.5 THEN 1 ELSE 0 END AS pred,
+                  CAST(run_at + to_hours(h) - INTERVAL 4 HOUR AS DATE) AS day FROM sh),
+    iss AS (SELECT *, row_number() OVER (PARTITION BY zone, day, h, field, scale ORDER BY run_at DESC) AS rn FROM hd
+            WHERE run_at <= CAST(day + 1 AS TIMESTAMP) + INTERVAL 4 HOUR),
+    p AS (SELECT field || ' | thr x' || CAST(scale AS VARCHAR) AS setting, truth, pred FROM labels JOIN iss ON ident = zone AND labels.day = iss.day WHERE rn = 1 AND h = 24),
+    sc AS (SELECT setting, {score_cols()}, {score_tail()} FROM p GROUP BY setting)
+    SELECT setting, 'physics_24h' AS "primary", n, macro_f1, mae, pod, far FROM sc""", "reports_v stops_v")
 def tuned(v):
     stops = v.stops.withColumn("run_at", F.timestamp_add("DAY", (F.col("run") - 1995) * 4, F.lit("2024-01-01").cast("timestamp"))).withColumnRenamed("area", "outline")
     labels = SC.report_labels(v.reports, "zone_id").select("ident", "day", "truth")
