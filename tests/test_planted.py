@@ -394,15 +394,6 @@ def test_tolerant_read_and_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e")).count() == spark.read.json(str(tmp_path / "m")).count() == 2
 
 
-def test_scheduled_run_writes_every_table(spark, views, tmp_path):
-    from tidelens.plans.scheduled import run_once
-    from tidelens.suite.learning import run_inputs
-
-    done = run_once(spark, run_inputs(views), "2024-02-01 00:00:00", str(tmp_path))
-    assert set(done.values()) == {"ok"} and len(done) == 5
-    assert spark.read.parquet(str(tmp_path / "forecasts")).count() == 25
-
-
 def test_period_score_rises_and_every_condition_rates(spark):
     df = spark.range(0, 20).select((F.col("id") * 0.8 + 2).alias("p"))
     vals = [r["s"] for r in df.orderBy("p").select(U.period_score(F.col("p")).alias("s")).collect()]

@@ -47,6 +47,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list:
+    """Paths that match a pattern in whatever file system it names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [s.getPath() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []]
+
+
 def durable_checkpoint(df, eager: bool = True):
     """Cut the lineage of an iterative job with a reliable checkpoint.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelens.operators.keyed import pick_latest
-from tidelens.session import durable_checkpoint
+from tidelens.session import durable_checkpoint, list_paths
 
 BUCKETS = 64  # default; a bucket should fit a task, so size it by the table (about 128 MB each)
 KEPT = 2  # commits whose buckets stay readable, for readers that started before the newest one
@@ -71,20 +71,16 @@ class StateTable:
         """Version by bucket; the number of buckets stands at -1."""
         return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.path}/commits/{version}").collect()}
 
-    def _list(self, pattern: str) -> list:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        return [s.getPath() for s in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root) or []]
-
     def _commits(self) -> list[int]:
-        return sorted(int(p.getParent().getName()) for p in self._list("commits/*/_SUCCESS"))
+        return sorted(int(p.getParent().getName()) for p in list_paths(self.spark, f"{self.path}/commits/*/_SUCCESS"))
 
     def _clean(self) -> None:
         """Delete commits before the newest two, and bucket folders that neither of these names."""
         newest = self._commits()[-KEPT:]
         used = {(v, b) for c in newest for b, v in self._manifest(c).items() if b >= 0}
-        numbers = {(int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1])): p for p in self._list("data/*/state_bucket=*")}
+        numbers = {(int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1])): p for p in list_paths(self.spark, f"{self.path}/data/*/state_bucket=*")}
         gone = [p for n, p in numbers.items() if n not in used]
-        gone += [p for p in self._list("data/*") if int(p.getName().split("=")[1]) not in {v for v, _ in used}]
-        gone += [p for p in self._list("commits/*") if int(p.getName()) not in newest]
+        gone += [p for p in list_paths(self.spark, f"{self.path}/data/*") if int(p.getName().split("=")[1]) not in {v for v, _ in used}]
+        gone += [p for p in list_paths(self.spark, f"{self.path}/commits/*") if int(p.getName()) not in newest]
         for p in gone:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -20,21 +20,22 @@ HOURS = "(SELECT unnest([0, 24, 48, 72]) AS h)"
 
 # member levels per horizon, with the members that bring nothing filled in by hand
 MEMBER_SQL = f"""
-    hourly AS (SELECT KEYS, member, hour AS hr, sum(area) AS area FROM SRC WHERE hour <= 72 GROUP BY ALL),
-    cum AS (SELECT *, sum(area) OVER (PARTITION BY KEYS, member ORDER BY hr) AS c FROM hourly),
-    per AS (SELECT KEYS, member, h, sum(CASE WHEN hr <= h THEN area ELSE 0 END) AS a,
-                   min(CASE WHEN c >= 5.0 AND hr <= h THEN hr END) AS eta FROM cum, {HOURS} GROUP BY ALL),
-    lev AS (SELECT *, {zone_level('a', 'eta', 'MINBAR')} AS lv FROM per),
-    sh AS (SELECT KEYS, h, count(*) FILTER (lv = 'low') / 24.0 AS p1, count(*) FILTER (lv = 'medium') / 24.0 AS p2,
-                  count(*) FILTER (lv = 'high') / 24.0 AS p3, sum(a) / 24.0 AS area FROM lev GROUP BY ALL),
-    hd AS (SELECT *, 1 - p1 - p2 - p3 AS p0, CASE WHEN p3 >= 0.5 THEN 'high' WHEN p3 + p2 >= 0.5 THEN 'medium'
-                  WHEN p3 + p2 + p1 >= 0.5 THEN 'low' ELSE 'none' END AS risk_level FROM sh),
-    first AS (SELECT KEYS, member, min(CASE WHEN c >= MINBAR THEN hr END) AS f FROM cum GROUP BY ALL),
-    eta AS (SELECT KEYS, CASE WHEN count(f) / 24.0 >= 0.5 THEN CAST(trunc(median(f)) AS INT) END AS eta_hours FROM first GROUP BY ALL)"""
-
-
-def member_sql(keys: str, src: str, bar: str = "0.5") -> str:
-    return MEMBER_SQL.replace("KEYS", keys).replace("SRC", src).replace("MINBAR", bar)
+    TAGhourly AS (SELECT KEYS, member, hour AS hr, sum(area) AS area FROM SRC WHERE hour <= 72 GROUP BY ALL),
+    TAGcum AS (SELECT *, sum(area) OVER (PARTITION BY KEYS, member ORDER BY hr) AS c FROM TAGhourly),
+    TAGper AS (SELECT KEYS, member, h, sum(CASE WHEN hr <= h THEN area ELSE 0 END) AS a,
+                   min(CASE WHEN c >= 5.0 AND hr <= h THEN hr END) AS eta FROM TAGcum, {HOURS} GROUP BY ALL),
+    TAGlev AS (SELECT *, {zone_level('a', 'eta', 'MINBAR')} AS lv FROM TAGper),
+    TAGsh AS (SELECT KEYS, h, count(*) FILTER (lv = 'low') / 24.0 AS p1, count(*) FILTER (lv = 'medium') / 24.0 AS p2,
+                  count(*) FILTER (lv = 'high') / 24.0 AS p3, sum(a) / 24.0 AS area FROM TAGlev GROUP BY ALL),
+    TAGhd AS (SELECT *, 1 - p1 - p2 - p3 AS p0, CASE WHEN p3 >= 0.5 THEN 'high' WHEN p3 + p2 >= 0.5 THEN 'medium'
+                  WHEN p3 + p2 + p1 >= 0.5 THEN 'low' ELSE 'none' END AS risk_level FROM TAGsh),
+    TAGfirst AS (SELECT KEYS, member, min(CASE WHEN c >= MINBAR THEN hr END) AS f FROM TAGcum GROUP BY ALL),
+    TAGeta AS (SELECT KEYS, CASE WHEN count(f) / 24.0 >= 0.5 THEN CAST(trunc(median(f)) AS INT) END AS eta_hours FROM TAGfirst GROUP BY ALL)"""
+
+
+def member_sql(keys: str, src: str, bar: str = "0.5", tag: str = "") -> str:
+    """``tag`` is put before the names of the tables, for a second use in one statement."""
+    return MEMBER_SQL.replace("KEYS", keys).replace("SRC", src).replace("MINBAR", bar).replace("TAG", tag)
 
 
 @query("agg_06_member_area", f"""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.operators import scoring as SC
 from tidelens.plans import features as FT
 from tidelens.plans import model as M
 from tidelens.plans import tuning as TU
+from tidelens.session import shared_path
+from tidelens.suite.forecasts import NEAR_SQL, member_sql
 from tidelens.suite.registry import query
 from tidelens.suite.reports import LABELS
-from tidelens.suite.sqlbits import int_level, region, score_cols, score_tail, season_level, zone_level
+from tidelens.suite.sqlbits import hav, int_level, region, score_cols, score_tail, season_level, zone_level
 
 def rows(v):
     return FT.training_rows(v.features, v.zones)
@@ -86,23 +91,51 @@ def tuned(v):
 def run_inputs(v):
     from tidelens.plans.scheduled import RunInputs
 
-    d = v.detections.select(F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"), "area_km2", "source", "observed_at")
-    gaps = d.where("source = 'view'").select("centroid_lat", "centroid_lon", "area_km2", "source", F.to_date("observed_at").alias("observed_on"))
-    stops = v.stops.select(F.col("zone").alias("zone_id"), "member", "hour", "area")
-    return RunInputs(d.where("source <> 'view'"), gaps, stops, v.zones, v.subscribers)
-
-
-@query("ram_06_scheduled_run")
+    d = v.detections.select("id", F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"), "area_km2", "source", "observed_at")
+    clusters = d.where("source = 'view'").withColumn("observed_on", F.to_date("observed_at")).drop("observed_at")
+    stops = v.stops.select(F.col("zone").alias("zone_id"), "member", "hour", "area", "lat", "lon")
+    return RunInputs(d.where("source = 'click'"), clusters, d.where("source = 'click' and id % 2 = 0").select("id"), stops, v.zones, v.beaches, v.subscribers, v.features)
+
+
+NEAR_15 = hav("a.lat", "a.lon", "b.lat", "b.lon")
+LEVEL_ROWS = "SELECT '{0}' AS table_name, risk_level AS measure, CAST(count(*) AS DOUBLE) AS value FROM {1} GROUP BY risk_level"
+
+
+@query("ram_06_scheduled_run", f"""
+    WITH p AS (SELECT * FROM detections_v WHERE source = 'click'), c AS (SELECT * FROM detections_v WHERE source = 'view'),
+    ph AS (SELECT a.id, EXISTS (SELECT 1 FROM c b WHERE abs(b.lat - a.lat) < 0.2 AND {NEAR_15} <= 15) AS hit FROM p a),
+    ch AS (SELECT a.id, a.area_km2, a.lat, a.lon, EXISTS (SELECT 1 FROM p b WHERE abs(b.lat - a.lat) < 0.2 AND {NEAR_15} <= 15) AS hit FROM c a),
+    merged AS (SELECT lat, lon, area_km2 FROM p UNION ALL SELECT lat, lon, area_km2 FROM ch WHERE NOT hit),
+    {member_sql('zone', 'stops_v')}, zf AS (SELECT zone_id, name, coalesce(risk_level, 'none') AS risk_level FROM zones_v LEFT JOIN (SELECT * FROM hd WHERE h = 72) ON zone = zone_id),
+    {NEAR_SQL}, {member_sql('beach_id', 'near', '0.1', 'b_')},
+    al AS (SELECT s.id FROM subscribers_v s JOIN zf USING (zone_id) WHERE channel = 'telegram' AND (last_alerted IS NULL OR last_alerted <= TIMESTAMP '2024-01-31 18:00:00') AND risk_level IN ('medium', 'high')),
+    m AS (SELECT 'checks' AS t, unnest(['patches', 'checkable', 'confirmed']) AS k, unnest([count(*), count(*) FILTER (id % 2 = 0), count(*) FILTER (id % 2 = 0 AND hit)]) AS x FROM ph
+      UNION ALL SELECT 'checks', unnest(['clusters', 'matched', 'gap_filled', 'gap_filled_area_km2']),
+        unnest([count(*), count(*) FILTER (hit), count(*) FILTER (NOT hit), round(coalesce(sum(area_km2) FILTER (NOT hit), 0), 4)]) FROM ch
+      UNION ALL SELECT unnest(['patches', 'detections', 'patches']), unnest(['rows', 'rows', 'area_km2']), unnest([count(*), count(*), round(sum(area_km2), 3)]) FROM merged
+      UNION ALL SELECT 'alerts', unnest(['rows', 'ids']), unnest([count(*), coalesce(sum(id), 0)]) FROM al
+      UNION ALL SELECT unnest(['zone_features', 'ml_forecasts', 'evaluation']), 'rows', unnest([count(*), 3 * count(*), 1]) FROM zones_v)
+    SELECT t AS table_name, k AS measure, CAST(x AS DOUBLE) AS value FROM m
+    UNION ALL {LEVEL_ROWS.format('forecasts', 'zf')} UNION ALL {LEVEL_ROWS.format('beach_forecasts', '(SELECT * FROM b_hd WHERE h = 72)')}""",
+       "detections_v stops_v zones_v beaches_v subscribers_v")
 def scheduled_run(v):
-    from tidelens.plans.scheduled import run_tables
-
-    tables = run_tables(v.spark, run_inputs(v), "2024-02-01")
-    counts = [t.agg(F.count("*").alias("n_rows"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars")).withColumn("table_name", F.lit(n))
-              for n, t in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Counts and sums of every table that one run committed."""
+    from tidelens.plans.scheduled import committed, run_once
+
+    out = shared_path(v.spark, "run")
+    done = run_once(v.spark, run_inputs(v), "2024-02-01 00:00:00", out)
+    if set(done.values()) != {"ok"}:
+        raise RuntimeError(f"stages of the run: {done}")
+    t = lambda name: committed(v.spark, out, name)
+    line = lambda name, **m: t(name).agg(*[c.cast("double").alias(k) for k, c in m.items()]).unpivot([], list(m), "measure", "value").select(
+        F.lit(name).alias("table_name"), "measure", "value")
+    rows, area = F.count("*"), F.round(F.sum("area_km2"), 3)
+    counted = ("patches", "checkable", "confirmed", "clusters", "matched", "gap_filled", "gap_filled_area_km2")
+    parts = [line("checks", **{c: F.sum(c) for c in counted}), line("patches", rows=rows, area_km2=area), line("detections", rows=rows),
+             line("alerts", rows=rows, ids=F.coalesce(F.sum("id"), F.lit(0))), *[line(n, rows=rows) for n in ("zone_features", "ml_forecasts", "evaluation")]]
+    parts += [t(n).groupBy(F.col("risk_level").alias("measure")).agg(rows.cast("double").alias("value")).select(F.lit(n).alias("table_name"), "measure", "value")
+              for n in ("forecasts", "beach_forecasts")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 RANKED = f"""
