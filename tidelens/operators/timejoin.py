@@ -35,10 +35,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     lt = lt.withColumn("_b", bucket)
     rt = rt.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     both = lt.unionByName(rt)
-    w = W.partitionBy(*keys, "_b").orderBy("_t", "_side")
+    w = W.partitionBy(*keys, "_b")
     seen = F.when(F.col("_side") == 0, F.col("_t"))
-    before = F.last(seen, True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(seen, True).over(w.rowsBetween(0, W.unboundedFollowing))
+    # both run forward over their own order: a frame that reaches to the end is summed anew for every row
+    before = F.last(seen, True).over(w.orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0))
+    after = F.last(seen, True).over(w.orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0))
     found = both.withColumn("_p", before).withColumn("_q", after).where(F.col("_side") == 1)
     gap_p, gap_q = F.col("_t") - F.col("_p"), F.col("_q") - F.col("_t")
     pick = F.when(gap_q.isNull() | (gap_p <= gap_q), F.col("_p")).otherwise(F.col("_q"))
