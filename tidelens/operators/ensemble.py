@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidelens import settings as S
 from tidelens.functions import risk as R
-from tidelens.operators.quantiles import first_crossing, group_median
-from tidelens.operators.spatial import carry, radius_join
+from tidelens.functions.geo import haversine_km
+from tidelens.operators.quantiles import group_median
+from tidelens.operators.spatial import carry, crossing, radius_join, within
+from tidelens.session import durable_checkpoint
 
 
 def arrived_by_member(stops: DataFrame, keys: Sequence[str], horizons: Sequence[int] = S.HORIZONS,
@@ -168,50 +172,73 @@ def beach_state(masses: DataFrame, beaches: DataFrame, keys: Sequence[str], beac
                 bands: S.NearbyBands = S.NEARBY) -> DataFrame:
     """AGG-19 + WIN-06 + SCL-02: per (keys, beach): weighted area, nearest mass, level.
 
-    Beaches with no mass in the radius are absent (level none for the caller).
+    Beaches with no mass in the radius are absent (level none for the caller). The weighted area is
+    summed inside the join's own tasks; nearest mass and bar are looked for in the radius that must
+    hold them (``crossing``), so only the pairs in it are shuffled.
     """
     side = beaches.select(F.col(beach), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    near = radius_join(masses.select(*keys, mass_id, "lat", "lon", "area_km2"), side, bands.radius_km)
-    w = (near.withColumn("w", F.coalesce("area_km2", F.lit(0.0))
-                         * F.pow(F.greatest(F.lit(0.0), 1 - F.col("dist") / bands.radius_km), 2))
-         .select(*keys, beach, mass_id, "dist", "w"))
-    g = [*keys, beach]
-    base = w.groupBy(*g).agg(F.sum("w").alias("weighted_km2"),
-                             F.min(F.struct("dist", mass_id)).alias("_near"))
-    sig = first_crossing(w, g, "dist", "w", bands.low_max, "significant_km", bin_width=0.25)
-    return (base.join(sig, g, "left")
-            .select(*g, "weighted_km2", F.col("_near.dist").alias("nearest_km"),
-                    F.col(f"_near.{mass_id}").alias("nearest_id"), "significant_km",
-                    R.nearby_level(F.col("weighted_km2"), F.col("significant_km"), bands).alias("risk_level")))
+    seen = masses.select(*keys, mass_id, "lat", "lon", "area_km2")
+    g, r = [*keys, beach], bands.radius_km
+    rest = lambda d: F.greatest(F.lit(0.0), 1 - d / r)
+    share = lambda d: rest(d) * rest(d) if isinstance(d, Column) else max(0.0, 1 - d / r) ** 2
+    near = radius_join(seen.drop(mass_id), side, r)
+    base = durable_checkpoint(near.groupBy(*g).agg(F.sum(F.coalesce("area_km2", F.lit(0.0)) * share(F.col("dist"))).alias("weighted_km2")))
+    own = side.withColumnRenamed(beach, "_beach")
+    targets = base.select(*g).join(own, F.col(beach).eqNullSafe(F.col("_beach"))).drop("_beach")
+    got = crossing(seen, targets, beach, r, "area_km2", bands.low_max, mass_id, share, keys).withColumnsRenamed({c: f"_{i}" for i, c in enumerate(g)})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(g)])
+    known = reduce(and_, [F.col(c).isNotNull() for c in g])
+    out = base.join(got, same, "left").withColumn("significant_km", F.when(known, F.col("cross_km")))
+    return out.select(*g, "weighted_km2", F.col("near_km").alias("nearest_km"), F.col("near_id").alias("nearest_id"), "significant_km",
+                      R.nearby_level(F.col("weighted_km2"), F.col("significant_km"), bands).alias("risk_level"))
+
+
+_ETA_BLOCKS = (3, 12, 36)  # last hours of the blocks in which ``beach_eta`` moves the masses on
 
 
 def beach_eta(masses: DataFrame, beaches: DataFrame, keys: Sequence[str], beach: str, wind_u: Column, wind_v: Column,
               max_hours: int = 72, arrival_km: float = 12.0) -> DataFrame:
     """WIN-18: hours until an approaching mass drifts within ``arrival_km`` of each beach.
 
-    Radius, size, direction and analytic estimate cut the candidates; each survivor is walked hour
-    by hour in one higher-order fold (no shuffle), and the earliest hour is kept map-side.
+    The path of a mass does not depend on the beach, so each mass is walked once, hour by hour, in
+    blocks of hours. Beaches with a mass at hand (hour 0) are found by occupied squares; only beaches
+    that no earlier block reached are joined with the positions of the next. A mass counts for a beach
+    when radius, direction and analytic estimate, taken at its start, let it arrive in time.
     """
-    side = beaches.select(F.col(beach), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    big = masses.where(F.coalesce("area_km2", F.lit(0.0)) >= S.NEARBY.minimum).select(*keys, "lat", "lon")
-    near = radius_join(big, side, arrival_km + 1.2 * max_hours)
-    drift = R.effective_drift(F.col("lat"), F.col("lon"), wind_u, wind_v)
-    est = R.approach(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), drift, arrival_km)
-    cand = near.withColumn("_h", est["hours"]).where(
-        (F.col("dist") <= arrival_km) | (F.col("_h") <= max_hours))
-
-    def walk(acc, h):
-        here = R.haversine_km(F.col("p_lat"), F.col("p_lon"), acc["lat"], acc["lon"])
-        hit = acc["eta"].isNull() & (here <= arrival_km)
-        nxt = R.advect(acc["lat"], acc["lon"], 1, wind_u, wind_v)
-        return F.struct(nxt["lat"].alias("lat"), nxt["lon"].alias("lon"),
-                        F.when(hit, h).otherwise(acc["eta"]).alias("eta"))
-
-    start = F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon"), F.lit(None).cast("int").alias("eta"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(max_hours)), start, walk)["eta"]
-    eta = F.when(F.col("dist") <= arrival_km, F.lit(0)).otherwise(walked)
-    return (cand.withColumn("_eta", eta).where(F.col("_eta").isNotNull())
-            .groupBy(*keys, beach).agg(F.min("_eta").alias("eta_hours")))
+    group = lambda df: F.struct(*[F.col(c) for c in keys], F.lit(0).alias("_")).alias("_g")
+    big = masses.where(F.coalesce("area_km2", F.lit(0.0)) >= S.NEARBY.minimum).where("lat is not null and lon is not null")
+    big = big.select(group(big), F.col("lat").alias("_lat0"), F.col("lon").alias("_lon0"), "lat", "lon", wind_u.alias("_wu"), wind_v.alias("_wv"))
+    big = durable_checkpoint(big)
+    side = beaches.select(F.struct(beach).alias("_p"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    open_ = big.select("_g").distinct().crossJoin(side.where("lat is not null and lon is not null"))
+    found = durable_checkpoint(within(open_, big, arrival_km, "_p", on=["_g"]).withColumn("eta_hours", F.lit(0)))
+    open_ = durable_checkpoint(open_.join(found, ["_g", "_p"], "left_anti").withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"}))
+    parts, hour = [found], 0
+    for last in sorted({h for h in _ETA_BLOCKS if h < max_hours} | {max_hours}):
+        if last <= hour or open_.isEmpty():
+            break
+
+        def step(acc, h):
+            to = R.advect(acc["lat"], acc["lon"], 1, F.col("_wu"), F.col("_wv"))
+            at = F.struct(h.alias("h"), to["lat"].alias("lat"), to["lon"].alias("lon"))
+            return F.struct(to["lat"].alias("lat"), to["lon"].alias("lon"), F.concat(acc["path"], F.array(at)).alias("path"))
+
+        start = F.struct("lat", "lon", F.array().cast("array<struct<h:int,lat:double,lon:double>>").alias("path"))
+        moved = durable_checkpoint(big.withColumn("_m", F.aggregate(F.sequence(F.lit(hour + 1), F.lit(last)), start, step)))
+        at = moved.select("_g", "_lat0", "_lon0", "_wu", "_wv", F.explode("_m.path").alias("_s")).select(
+            "_g", "_lat0", "_lon0", "_wu", "_wv", F.col("_s.h").alias("h"), F.col("_s.lat").alias("lat"), F.col("_s.lon").alias("lon"))
+        met = radius_join(at, open_, arrival_km, on=["_g"])
+        first = haversine_km(F.col("_lat0"), F.col("_lon0"), F.col("p_lat"), F.col("p_lon"))
+        drift = R.effective_drift(F.col("_lat0"), F.col("_lon0"), F.col("_wu"), F.col("_wv"))
+        est = R.approach(F.col("p_lat"), F.col("p_lon"), F.col("_lat0"), F.col("_lon0"), drift, arrival_km)
+        hit = met.where((first <= arrival_km + 1.2 * max_hours) & ((first <= arrival_km) | (est["hours"] <= max_hours)))
+        hit = durable_checkpoint(hit.groupBy("_g", "_p").agg(F.min("h").alias("eta_hours")))
+        parts.append(hit)
+        open_ = durable_checkpoint(open_.join(hit, ["_g", "_p"], "left_anti"))
+        big = moved.withColumn("lat", F.col("_m.lat")).withColumn("lon", F.col("_m.lon")).drop("_m")
+        hour = last
+    every = reduce(DataFrame.unionByName, parts).groupBy("_g", "_p").agg(F.min("eta_hours").alias("eta_hours"))
+    return every.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col(f"_p.{beach}").alias(beach), "eta_hours")
 
 
 def resolve_beach_level(own: Column, own_horizons: Column, mass_level: Column, has_masses: Column,

@@ -6,7 +6,8 @@ Point tables meet through grid cells; nothing depends on a table being short.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,6 +49,12 @@ def _columns_of(band: Column, step: float, km: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 / _lon_reach(F.least(top, F.lit(90.0)), km))).cast("long")
 
 
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    """The point on the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
+
+
 def radius_join(points: DataFrame, places: DataFrame, km: float, point_pos: tuple[str, str] = ("lat", "lon"),
                 place_pos: tuple[str, str] = ("p_lat", "p_lon"), on: Sequence[str] = (), dist: str = "dist",
                 planar: bool = False) -> DataFrame:
@@ -57,12 +64,14 @@ def radius_join(points: DataFrame, places: DataFrame, km: float, point_pos: tupl
     band's own highest latitude; cells close around 180 degrees and a band at a pole is one cell.
     A place is repeated into the cells its circle can touch (nine at most, but near a pole), so
     every pair meets exactly once. Skewed cells are left to AQE, which splits their partitions.
-    The places are the side that is repeated: pass the smaller one there. On the local plane
-    (``planar``) cells are squares.
+    The places are the side that is repeated, and never broadcast: pass the smaller one there. On
+    the local plane (``planar``) cells are squares. On the sphere the chord between unit vectors,
+    a few products, spares most pairs too far the distance itself.
     """
     lat, lon, plat, plon = (F.col(c) for c in (*point_pos, *place_pos))
     left = points.where(lat.isNotNull() & lon.isNotNull())
     right = places.where(plat.isNotNull() & plon.isNotNull())
+    near_enough = F.lit(True)
     if planar:
         sy, sx = km / KM_Y, km / KM_X
         near = lambda c: F.sequence(c - 1, c + 1)
@@ -79,7 +88,13 @@ def radius_join(points: DataFrame, places: DataFrame, km: float, point_pos: tupl
             F.array_distinct(F.transform(F.sequence(first, last), lambda c: F.pmod(c, n))))
         band = F.floor(plat / step)
         right = right.withColumn("_cy", F.explode(F.sequence(band - 1, band + 1))).withColumn("_cx", F.explode(cells))
-    pairs = left.join(right, [*on, "_cy", "_cx"]).drop("_cy", "_cx")
+        left = left.select("*", *[u.alias(f"_a{i}") for i, u in enumerate(_unit(lat, lon))])
+        right = right.select("*", *[u.alias(f"_b{i}") for i, u in enumerate(_unit(plat, plon))])
+        chord = 2 * math.sin(min(km / S.EARTH_KM, math.pi) / 2)
+        apart = [F.col(f"_a{i}") - F.col(f"_b{i}") for i in range(3)]
+        near_enough = apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2] <= chord * chord * (1 + 1e-9) + 1e-15
+    pairs = left.join(right.hint("merge"), [*on, "_cy", "_cx"]).where(near_enough)
+    pairs = pairs.drop(*[f"_{s}{i}" for s in "ab" for i in range(3)], "_cy", "_cx")
     measure = planar_distance if planar else haversine_km
     return pairs.withColumn(dist, measure(lat, lon, plat, plon)).where(F.col(dist) <= km)
 
@@ -102,6 +117,58 @@ def within(points: DataFrame, others: DataFrame, km: float, key: str, on: Sequen
     return same.unionByName(near).distinct()
 
 
+_HALVINGS = 8  # radii tried by ``crossing``: the whole one, a half, a quarter, ...
+
+
+def _square(lat: Column, lon: Column, km: float) -> list[Column]:
+    """Indices of the finest squares of ``crossing``; any two points of one are within the finest radius."""
+    step = km / 2 ** _HALVINGS / 1.5 / _KM_PER_LAT  # a degree of longitude is nowhere longer than one of latitude
+    return [F.floor(lat / step).alias("_sy"), F.floor(lon / step).alias("_sx")]
+
+
+def _squares(rows: DataFrame) -> DataFrame:
+    """Each row once per halving, with the square of that size (_j, _y, _x) for its finest one."""
+    sizes = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.col("_sy") / 2 ** (_HALVINGS - j)).alias("y"),
+                               F.floor(F.col("_sx") / 2 ** (_HALVINGS - j)).alias("x")) for j in range(1, _HALVINGS + 1)])
+    return rows.withColumn("_q", F.explode(sizes)).select("*", F.col("_q.j").alias("_j"), F.col("_q.y").alias("_y"), F.col("_q.x").alias("_x")).drop("_q", "_sy", "_sx")
+
+
+def crossing(points: DataFrame, targets: DataFrame, place: str, km: float, weight: str, bar: float, point_id: str,
+             share: Callable = lambda d: 1.0, on: Sequence[str] = ()) -> DataFrame:
+    """WIN-06: per (on.., place) of ``targets`` (on.., place, p_lat, p_lon): the nearest point within ``km`` (``near_km``,
+    ``near_id``, the lowest of equals) and the distance ``cross_km`` at which the running weight reaches the bar (or null).
+
+    A point weighs ``weight`` times ``share(distance)``, which never grows with the distance; weights must not be
+    negative. The points of the place's own square alone bound the distance searched: the smallest
+    square whose weight reaches the bar has its answer within its diagonal, so pairs follow the
+    places and not the points in the radius; only places of no such square look through all of it.
+    Keys may be null; places without any point are absent.
+    """
+    on, key = list(on), F.struct(*[F.col(c) for c in on], F.lit(0).alias("_"))
+    held = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    held = held.select(key.alias("_g"), F.col(point_id).alias("_id"), "lat", "lon", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"))
+    held = durable_checkpoint(held.groupBy("_g", "lat", "lon").agg(F.sum("_w").alias("_w"), F.min("_id").alias("_id")))  # a heap of points is one
+    goal = targets.where("p_lat is not null and p_lon is not null").select(
+        F.struct(*[F.col(c) for c in on], F.lit(0).alias("_")).alias("_g"), F.struct(place).alias("_p"), "p_lat", "p_lon")
+    radius = [km / 2 ** j for j in range(_HALVINGS + 1)]
+    sure = F.element_at(F.array(*[F.lit(float(share(r))) for r in radius[1:]]), F.col("_j"))
+    fine = held.groupBy("_g", *_square(F.col("lat"), F.col("lon"), km)).agg(F.sum("_w").alias("_w"))
+    full = _squares(fine).groupBy("_g", "_j", "_y", "_x").agg(F.sum("_w").alias("_w")).where(F.col("_w") * sure >= bar * (1 + 1e-9)).drop("_w")
+    spots = _squares(goal.select("_p", *_square(F.col("p_lat"), F.col("p_lon"), km)).distinct())
+    level = spots.join(full.hint("merge"), ["_j", "_y", "_x"]).groupBy("_g", "_p").agg(F.max("_j").alias("_j"))
+    goal = durable_checkpoint(goal.join(level, ["_g", "_p"], "left").withColumn("_j", F.coalesce("_j", F.lit(0))))
+    out, by = [], ["_g", "_p"]
+    for j in sorted(r[0] for r in goal.select("_j").distinct().collect()):  # a few numbers
+        met = radius_join(held, goal.where(F.col("_j") == j).drop("_j"), radius[j], on=["_g"])
+        sums = met.groupBy(*by, "dist").agg(F.sum(F.col("_w") * share(F.col("dist"))).alias("_w"), F.min("_id").alias("_id"))
+        run = W.partitionBy(*by).orderBy("dist").rowsBetween(W.unboundedPreceding, 0)
+        out.append(sums.withColumn("_cum", F.sum("_w").over(run)).groupBy(*by).agg(
+            F.min("dist").alias("near_km"), F.min_by("_id", "dist").alias("near_id"), F.min(F.when(F.col("_cum") >= bar, F.col("dist"))).alias("cross_km"))
+            .select(*[F.col(f"_g.{c}").alias(c) for c in on], F.col(f"_p.{place}").alias(place), "near_km", "near_id", "cross_km"))
+    none = targets.limit(0).select(*on, place, F.lit(None).cast("double").alias("near_km"), F.lit(None).cast(points.schema[point_id].dataType).alias("near_id"), F.lit(None).cast("double").alias("cross_km"))
+    return reduce(DataFrame.unionByName, out) if out else none
+
+
 _SIZES = (9.0, 1.8, 0.36, 0.072)  # degrees of the nested cells in which the nearest place is sought
 _RATIO = 5
 

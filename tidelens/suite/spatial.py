@@ -233,10 +233,8 @@ def beach_state(v):
     cum AS (SELECT *, sum(area_km2) OVER (PARTITION BY beach_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS c FROM near WHERE d <= 40)
     SELECT beach_id, round(min(d), 4) AS km FROM cum WHERE c >= 10.0 GROUP BY beach_id""", "detections_v beaches_v")
 def significant_distance(v):
-    from tidelens.operators.quantiles import first_crossing
-
-    j = SP.radius_join(v.detections.select("lat", "lon", "area_km2"), beach_side(v), 40.0)
-    return first_crossing(j, ["beach_id"], "dist", "area_km2", 10.0, "km", bin_width=0.5).select("beach_id", F.round("km", 4).alias("km"))
+    c = SP.crossing(v.detections.select("id", "lat", "lon", "area_km2"), beach_side(v), "beach_id", 40.0, "area_km2", 10.0, "id")
+    return c.where("beach_id is not null and cross_km is not null").select("beach_id", F.round("cross_km", 4).alias("km"))
 
 
 @query("win_18_beach_eta", f"""
