@@ -146,11 +146,14 @@ COUNT_SCHEMA = ("count bigint, taxon struct<id:bigint, name:string, preferred_co
 
 def species_counts(raw: DataFrame, text: str = "body") -> DataFrame:
     """SRC-10: validated candidates of species-count rows (one row document each); malformed ones vanish."""
-    r = F.from_json(F.col(text), COUNT_SCHEMA, {"mode": "PERMISSIVE"})
     keep = [c for c in raw.columns if c != text]
-    d = raw.select(*keep, r.alias("r"))
-    name = X.clean_text(F.col("r.taxon.name"), 80)
-    return (d.where(F.col("r.taxon.id").isNotNull() & (F.col("r.count") >= 1) & name.isNotNull())
+    # The outer generator keeps each value as it is: a filter on it is not moved below, where it would be worked out again.
+    once = lambda value: F.explode_outer(F.array(value))
+    d = raw.select(*keep, once(F.from_json(F.col(text), COUNT_SCHEMA, {"mode": "PERMISSIVE"})).alias("r"))
+    d = d.where(F.col("r.taxon.id").isNotNull() & (F.col("r.count") >= 1))
+    d = d.select(*keep, "r", once(X.clean_text(F.col("r.taxon.name"), 80)).alias("_name"))
+    name = F.col("_name")
+    return (d.where(name.isNotNull())
             .select(*keep, F.col("r.taxon.id").alias("taxon_id"), name.alias("scientific_name"),
                     X.clean_name(F.col("r.taxon.preferred_common_name")).alias("name_es"),
                     X.clean_name(F.col("r.taxon.english_common_name")).alias("name_en"),
