@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,8 +96,8 @@ def _in_tiles(cells: DataFrame, extent_of: DataFrame, keys: list[str], halo: int
                                        F.min("col").alias("c0"), F.max("col").alias("c1"))
     tiles = lambda x, lo, hi: F.explode(F.sequence(
         F.greatest(F.floor((x - halo) / tile), F.floor(lo / tile)), F.least(F.floor((x + halo) / tile), F.floor(hi / tile))))
-    return _spread(cells.join(ext, keys).withColumn("ty", tiles(F.col("row"), F.col("r0"), F.col("r1")))
-                   .withColumn("tx", tiles(F.col("col"), F.col("c0"), F.col("c1"))), keys)
+    return (cells.join(ext, keys).withColumn("ty", tiles(F.col("row"), F.col("r0"), F.col("r1")))
+            .withColumn("tx", tiles(F.col("col"), F.col("c0"), F.col("c1"))))
 
 
 def _spread(tiled: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,42 +107,108 @@ def _spread(tiled: DataFrame, keys: list[str]) -> DataFrame:
     return tiled.repartition(n, *keys, "ty", "tx")
 
 
-class _Tile:
-    """One tile with its halo as arrays. ``inner`` marks the rows of the table that belong to the tile itself."""
-
-    def __init__(self, table: pa.Table, tile: int):
-        head = {k: int(table[k][0].as_py()) for k in ("ty", "tx", "r0", "r1", "c0", "c1")}
-        self.row, self.col = table["row"].to_numpy(), table["col"].to_numpy()
-        self.extent = (head["r0"], head["r1"]), (head["c0"], head["c1"])
-        self.top, self.bottom = max(head["r0"], head["ty"] * tile), min(head["r1"], head["ty"] * tile + tile - 1)
-        self.left, self.right = max(head["c0"], head["tx"] * tile), min(head["c1"], head["tx"] * tile + tile - 1)
-        self.inner = ((self.row >= self.top) & (self.row <= self.bottom)
-                      & (self.col >= self.left) & (self.col <= self.right))
-
-    def at_inner(self, board: np.ndarray) -> np.ndarray:
-        """Values of a board of the tile, in the order of the inner rows."""
-        return board[self.row[self.inner] - self.top, self.col[self.inner] - self.left]
+def _tile_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers at which the values of ``keys`` change; null equals null, NaN equals NaN."""
+    n = table.num_rows
+    changed = np.ones(n, bool)
+    changed[1:] = False
+    for k in keys:
+        column = table[k].combine_chunks()
+        a, b = column.slice(1), column.slice(0, n - 1)
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            changed[1:] |= np.fromiter((x != y for x, y in zip(values[1:], values[:-1])), bool, n - 1)
+            continue
+        other = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(column.type):
+            other = pc.and_not(other, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        changed[1:] |= pc.or_(other, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
+def _by_tiles(tiled: DataFrame, keys: Sequence[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """Rows of ``work(table, starts)`` over tables of whole tiles (keys.., ty, tx), each tile from its start on.
+
+    Sorted tiles follow each other in Arrow batches, so a call works on all small tiles of a batch at
+    once; only the last tile, which may go on in the next batch, is held back.
+    """
+    at = [*keys, "ty", "tx"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            starts = _tile_starts(table, at)
+            held = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield from work(table.slice(0, starts[-1]).combine_chunks(), starts[:-1]).to_batches()
+        if held is not None:
+            yield from work(held.combine_chunks(), np.zeros(1, np.int64)).to_batches()
+
+    return _spread(tiled, list(keys)).sortWithinPartitions(*at).mapInArrow(run, schema)
+
+
+class _Tiles:
+    """Tiles with their halo as arrays, those of one shape in one stack. ``inner`` marks the rows of the table that
+    belong to a tile itself."""
+
+    def __init__(self, table: pa.Table, starts: np.ndarray, tile: int, halo: int):
+        head = {k: table[k].to_numpy()[starts].astype(np.int64) for k in ("ty", "tx", "r0", "r1", "c0", "c1")}
+        self.row, self.col = (table[k].to_numpy().astype(np.int64) for k in ("row", "col"))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        edges = []  # per axis: first and last of the grid, of the cells at hand, and of the tile itself
+        for t, lo, hi in (("ty", "r0", "r1"), ("tx", "c0", "c1")):
+            first, last = head[t] * tile, head[t] * tile + tile - 1
+            edges.append([head[lo], head[hi], np.maximum(head[lo], first - halo), np.minimum(head[hi], last + halo),
+                          np.maximum(head[lo], first), np.minimum(head[hi], last)])
+        (top, bottom), (left, right) = (e[4:] for e in edges)
+        self.inner = (self.row >= top[of]) & (self.row <= bottom[of]) & (self.col >= left[of]) & (self.col <= right[of])
+        self.y, self.x = self.row - top[of], self.col - left[of]
+        shape = np.stack([e - axis[4] for axis in edges for e in axis], axis=1)
+        shapes, kind = np.unique(shape, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        number = np.empty(len(starts), np.int64)  # of a tile in its stack
+        order = np.argsort(kind[of], kind="stable")
+        rows = np.split(order, np.searchsorted(kind[of][order], np.arange(1, len(shapes))))
+        self.stacks = []
+        for i, s in enumerate(shapes):
+            alike = np.flatnonzero(kind == i)
+            number[alike] = np.arange(len(alike))
+            self.stacks.append((len(alike), s[:6], s[6:], rows[i], number[of[rows[i]]]))
+
+    def _at_inner(self, out: np.ndarray, rows: np.ndarray, number: np.ndarray, board: np.ndarray) -> None:
+        own = self.inner[rows]
+        r = rows[own]
+        out[r] = board[number[own], self.y[r], self.x[r]]
 
     def median(self, values: np.ndarray, window: int) -> np.ndarray:
-        """Median of the window around each cell; beyond the grid its edge cells are repeated in mirror order."""
-        rad = window // 2
+        """Median of the window around each inner row; beyond the grid its edge cells are repeated in mirror order."""
+        rad, out = window // 2, np.full(len(values), np.nan)
 
-        def reflected(lo, hi, first, last):
-            idx, size = np.arange(lo - rad, hi + rad + 1) - first, last - first + 1
+        def reflected(axis):
+            first, last, begin, _, _, end = axis
+            idx, size = np.arange(-rad, end + rad + 1) - first, last - first + 1
             idx = np.mod(idx, 2 * size)
-            return np.where(idx >= size, 2 * size - 1 - idx, idx) + first
-
-        rows = reflected(self.top, self.bottom, *self.extent[0])
-        cols = reflected(self.left, self.right, *self.extent[1])
-        oy, ox = int(self.row.min()), int(self.col.min())
-        board = np.full((int(self.row.max()) - oy + 1, int(self.col.max()) - ox + 1), np.nan)
-        board[self.row - oy, self.col - ox] = values
-        padded = board[np.ix_(rows - oy, cols - ox)]
-        windows = np.lib.stride_tricks.sliding_window_view(padded, (window, window))
-        size, width = window * window, windows.shape[1]
-        lines = max(1, MEDIAN_VALUES // (size * width))
-        medians = [self._middle(windows[i:i + lines].reshape(-1, size)) for i in range(0, len(windows), lines)]
-        return np.concatenate(medians).reshape(-1, width)
+            return np.where(idx >= size, 2 * size - 1 - idx, idx) + first - begin
+
+        for n, ys, xs, rows, number in self.stacks:
+            board = np.full((n, ys[3] - ys[2] + 1, xs[3] - xs[2] + 1), np.nan)
+            board[number, self.y[rows] - ys[2], self.x[rows] - xs[2]] = values[rows]
+            padded = board[:, reflected(ys)][:, :, reflected(xs)]
+            windows = np.lib.stride_tricks.sliding_window_view(padded, (window, window), axis=(1, 2))
+            size, (height, width) = window * window, windows.shape[1:3]
+            lines = max(1, MEDIAN_VALUES // (size * width))
+            deep = max(1, lines // height)  # tiles, or lines of one tile, that are laid out at a time
+            medians = np.empty((n, height, width))
+            for i in range(0, n, deep):
+                for j in range(0, height, lines):
+                    part = windows[i:i + deep, j:j + lines]
+                    medians[i:i + deep, j:j + lines] = self._middle(part.reshape(-1, size)).reshape(part.shape[:3])
+            self._at_inner(out, rows, number, medians)
+        return out
 
     @staticmethod
     def _middle(values: np.ndarray) -> np.ndarray:
@@ -153,20 +220,23 @@ class _Tile:
         return (both[:, half - 1] + both[:, half]) / 2
 
     def near(self, marked: np.ndarray, reach: int) -> np.ndarray:
-        """Cells of the tile within ``reach`` 4-neighbour steps of a marked cell of tile or halo."""
-        height, width = self.bottom - self.top + 1, self.right - self.left + 1
-        y, x = self.row[marked] - self.top + reach, self.col[marked] - self.left + reach
-        seen = (y >= 0) & (y < height + 2 * reach) & (x >= 0) & (x < width + 2 * reach)
-        board = np.zeros((height + 2 * reach, width + 2 * reach), bool)
-        board[y[seen], x[seen]] = True
-        for _ in range(reach):
-            grown = board.copy()
-            grown[1:] |= board[:-1]
-            grown[:-1] |= board[1:]
-            grown[:, 1:] |= board[:, :-1]
-            grown[:, :-1] |= board[:, 1:]
-            board = grown
-        return board[reach:reach + height, reach:reach + width]
+        """Inner rows within ``reach`` 4-neighbour steps of a marked cell of tile or halo."""
+        out = np.zeros(len(marked), bool)
+        for n, ys, xs, rows, number in self.stacks:
+            height, width = ys[5] + 1, xs[5] + 1
+            y, x = self.y[rows] + reach, self.x[rows] + reach
+            seen = marked[rows] & (y >= 0) & (y < height + 2 * reach) & (x >= 0) & (x < width + 2 * reach)
+            board = np.zeros((n, height + 2 * reach, width + 2 * reach), bool)
+            board[number[seen], y[seen], x[seen]] = True
+            for _ in range(reach):
+                grown = board.copy()
+                grown[:, 1:] |= board[:, :-1]
+                grown[:, :-1] |= board[:, 1:]
+                grown[:, :, 1:] |= board[:, :, :-1]
+                grown[:, :, :-1] |= board[:, :, 1:]
+                board = grown
+            self._at_inner(out, rows, number, board[:, reach:reach + height, reach:reach + width])
+        return out
 
 
 def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, value: str = "filled",
@@ -174,8 +244,8 @@ def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WIN
     """AGG-24 / AGG-25: median over a square window, edges reflected with the edge cell repeated.
 
     Grids are cut into tiles with a halo of half a window, so a cell is shuffled about once instead
-    of once per window it belongs to, and the medians of a tile are taken in NumPy. A group is one
-    tile, whatever the size of the grid. ``value`` must be set on every cell.
+    of once per window it belongs to, and the medians of tiles are taken in NumPy, whatever the size
+    of the grid. ``value`` must be set on every cell.
     ``extent_of`` may name a cheaper frame with the same cells, to read the grids' extents from.
     """
     keys = list(keys)
@@ -183,13 +253,13 @@ def local_median(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WIN
                   cells if extent_of is None else extent_of, keys, window // 2, tile)
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
 
-    def one_tile(table: pa.Table) -> pa.Table:
-        t = _Tile(table, tile)
+    def some_tiles(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t = _Tiles(table, starts, tile, window // 2)
         kept = table.select([*keys, "row", "col"]).filter(pa.array(t.inner))
-        return kept.append_column(out, pa.array(t.at_inner(t.median(table["v"].to_numpy(), window))))
+        return kept.append_column(out, pa.array(t.median(table["v"].to_numpy(), window)[t.inner]))
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "row", "col"]) + f", {out} double"
-    return c.groupBy(*keys, "ty", "tx").applyInArrow(one_tile, schema)
+    return _by_tiles(c, keys, some_tiles, schema)
 
 
 def flag_cells(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDOW, bin_width: float = 0.0005,
@@ -205,15 +275,16 @@ def flag_cells(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDO
     value = F.nanvl(F.col("value"), F.lit(None).cast("double"))
     cells = durable_checkpoint(cells.select(*at, value.alias("value")))
     mid = group_median(cells, keys, "value", "_mid", bin_width=bin_width)
-    c = _in_tiles(cells.join(mid, keys), cells, keys, max(window // 2, edge), tile)
+    halo = max(window // 2, edge)
+    c = _in_tiles(cells.join(mid, keys), cells, keys, halo, tile)
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
 
-    def one_tile(table: pa.Table) -> pa.Table:
-        t = _Tile(table, tile)
+    def some_tiles(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t = _Tiles(table, starts, tile, halo)
         value = table["value"].to_numpy()  # NaN where null
         unseen = np.isnan(value)
-        background = t.at_inner(t.median(np.where(unseen, table["_mid"].to_numpy(), value), window))
-        edges = t.at_inner(t.near(unseen, edge))
+        background = t.median(np.where(unseen, table["_mid"].to_numpy(), value), window)[t.inner]
+        edges = t.near(unseen, edge)[t.inner]
         kept = table.select([*at, "value"]).filter(pa.array(t.inner))
         value, unseen = value[t.inner], unseen[t.inner]
         anomaly = np.where(unseen, 0.0, value - background)
@@ -223,7 +294,7 @@ def flag_cells(cells: DataFrame, keys: Sequence[str], window: int = S.GRID_WINDO
         return kept
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in at) + ", value double, anomaly double, clear boolean, flagged boolean"
-    return c.groupBy(*keys, "ty", "tx").applyInArrow(one_tile, schema)
+    return _by_tiles(c, keys, some_tiles, schema)
 
 
 def latest_clear(flags: DataFrame, grid: Sequence[str], day: str) -> DataFrame:
@@ -289,7 +360,8 @@ def group_numbers(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndar
 def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """WIN-16: (keys, row, col, label) of 8-connected groups; the label is stable and unique.
 
-    Cells are first labelled inside tiles (one Arrow call per tile, runs instead of cells). Only
+    Cells are first labelled inside tiles (runs instead of cells, all small tiles of a batch at once: a
+    tile's rows stand apart from the next tile's by a row between them). Only
     groups that touch across a tile border then form a graph, which ``connect`` contracts. The label
     names the first cell of one of the group's tiles.
     """
@@ -300,12 +372,15 @@ def components(cells: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataF
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ty long", "tx long", "row long", "col long",
                         "lr long", "lc long"])
 
-    def local(table: pa.Table) -> pa.Table:
-        lr, lc = group_numbers(table["row"].to_numpy(), table["col"].to_numpy())
+    def local(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        row, col = (pc.fill_null(table[k], np.iinfo(np.int64).min).to_numpy() for k in ("row", "col"))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        top, left = np.minimum.reduceat(row, starts), np.minimum.reduceat(col, starts)
+        lr, lc = group_numbers(row - top[of] + of * (tile + 1), col - left[of])
         out = table.select([*keys, "ty", "tx", "row", "col"])
-        return out.append_column("lr", pa.array(lr)).append_column("lc", pa.array(lc))
+        return out.append_column("lr", pa.array(lr - of * (tile + 1) + top[of])).append_column("lc", pa.array(lc + left[of]))
 
-    labelled = durable_checkpoint(_spread(c, keys).groupBy(*keys, "ty", "tx").applyInArrow(local, schema))
+    labelled = durable_checkpoint(_by_tiles(c, keys, local, schema))
     group = F.struct(*keys, "lr", "lc")
     rim = labelled.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
     half = [(0, 1), (1, -1), (1, 0), (1, 1)]  # the other four are the same meetings seen from the other cell
@@ -447,12 +522,37 @@ def agreement(patches: DataFrame, clusters: DataFrame, checkable: DataFrame, key
 def focal_median(cells: DataFrame, keys: Sequence[str], value: str, reach: int, out: str = "background") -> DataFrame:
     """AGG-25: median of the cells that exist within ``reach``; cells without data are left out.
 
-    For small windows: each cell is repeated to the windows it belongs to, and a window holds at most
-    (2 reach + 1)^2 values. Wide windows use ``local_median``.
+    For small windows: inside a tile each cell is repeated to the windows it belongs to, (2 reach + 1)^2
+    at most. Wide windows use ``local_median``.
     """
-    at = [*keys, "row", "col"]
-    near = neighbours(cells.select(*at, F.col(value).alias("_v")), offsets(reach))
-    return cells.select(*at).join(near, at).groupBy(*at).agg(F.median("_v").alias(out))
+    at, moves = [*keys, "row", "col"], offsets(reach)
+    known = cells.where(" and ".join(f"`{c}` is not null" for c in at))
+    tiles = lambda x: F.explode(F.sequence(F.floor((x - reach) / TILE), F.floor((x + reach) / TILE)))
+    c = known.select(*at, F.col(value).cast("double").alias("v")).withColumn("ty", tiles(F.col("row"))).withColumn("tx", tiles(F.col("col")))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    side = TILE + 4 * reach  # a tile with its halo, and the halo's own windows
+
+    def some_tiles(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        y, x = (table[k].to_numpy().astype(np.int64) - table[t].to_numpy() * TILE for k, t in (("row", "ty"), ("col", "tx")))
+        place = (of * side + y + 2 * reach) * side + x + 2 * reach
+        own, first = np.unique(np.where((y >= 0) & (y < TILE) & (x >= 0) & (x < TILE), place, -1), return_index=True)
+        own, first = own[own >= 0], first[own >= 0]
+        seen = pc.is_valid(table["v"]).to_numpy()
+        values, to = table["v"].to_numpy()[seen], np.concatenate([place[seen] + a * side + b for a, b in moves])
+        cell = np.minimum(np.searchsorted(own, to), max(len(own) - 1, 0))
+        hit = own[cell] == to if len(own) else np.zeros(len(to), bool)
+        cell, values = cell[hit], np.tile(values, len(moves))[hit]
+        values = values[np.lexsort((values, cell))]  # NaN last, as Spark orders it
+        n = np.bincount(cell, minlength=len(own))
+        begin, some = np.cumsum(n) - n, n > 0
+        middle = np.full(len(own), np.nan)
+        lower, upper = values[(begin + (n - 1) // 2)[some]], values[(begin + n // 2)[some]]
+        middle[some] = np.where(n[some] % 2 == 1, lower, (lower + upper) / 2)
+        return table.select(at).take(pa.array(first)).append_column(out, pa.array(middle, mask=~some))
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in at) + f", {out} double"
+    return _by_tiles(c, keys, some_tiles, schema)
 
 
 def attach_time(pixels: DataFrame, images: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tidelens.operators import grid as GR
 from tidelens.operators import spatial as SP
 from tidelens.operators.quantiles import group_median
 from tidelens.plans import scheduled as SCH
+from tidelens.session import durable_checkpoint
 from tidelens.sources import payloads as P
 from tidelens.suite.registry import query
 
@@ -97,12 +98,13 @@ def grid_step(v):
     return GR.grid_step(axis, ["scene"], "lat", "step").withColumn("step", F.round("step", 6))
 
 
-def flagged(v):
-    return GR.latest_clear(flags(v), ["scene"], "day").where("flagged")
+def latest_views(v):
+    """Read by several jobs of a query, so it is kept."""
+    return durable_checkpoint(GR.latest_clear(flags(v), ["scene"], "day"))
 
 
-def groups(v, tile=5):
-    cells = flagged(v)
+def groups(latest, tile=5):
+    cells = latest.where("flagged")
     return cells, GR.components(cells.select("scene", "row", "col"), ["scene"], tile=tile)
 
 
@@ -117,13 +119,13 @@ COMP = f"""
 @query("win_16_connected_groups", f"""
     WITH RECURSIVE {FULL}, {BG}, {FLAGS}, {LATEST}, {COMP} SELECT scene, "row", col, k FROM comp""", "cells_v")
 def connected_groups(v):
-    _, lab = groups(v)
+    _, lab = groups(latest_views(v))
     first = lab.groupBy("scene", "label").agg(F.min(F.col("row") * 1000 + F.col("col")).alias("k"))
     return lab.join(first, ["scene", "label"]).select("scene", "row", "col", "k")
 
 
-def cluster_cells(v):
-    cells, lab = groups(v)
+def cluster_cells(latest):
+    cells, lab = groups(latest)
     both = cells.join(lab, ["scene", "row", "col"])
     return both.select("scene", "label", "anomaly", "day_used", "row", "col", (F.lit(17.5) + F.col("row") * 0.015).alias("lat"),
                        (F.lit(-72.0) + F.col("col") * 0.015).alias("lon"), F.lit(0.015).alias("dlat"), F.lit(0.015).alias("dlon"))
@@ -139,14 +141,14 @@ CLUSTERS = """
     WITH RECURSIVE {FULL}, {BG}, {FLAGS}, {LATEST}, {COMP}, {CLUSTERS.replace('SELECT scene, k,', 'SELECT scene, comp.k AS k,')}
     SELECT scene, round(clat, 10) AS centroid_lat, round(clon, 10) AS centroid_lon, round(area, 6) AS area_km2, n_cells, last_day FROM cl""", "cells_v")
 def clusters(v):
-    c = GR.cluster_stats(cluster_cells(v), ["scene"])
+    c = GR.cluster_stats(cluster_cells(latest_views(v)), ["scene"])
     return c.select("scene", F.round("centroid_lat", 10).alias("centroid_lat"), F.round("centroid_lon", 10).alias("centroid_lon"),
                     F.round("area_km2", 6).alias("area_km2"), "n_cells", "last_day")
 
 
 @query("geo_05_cluster_hull")
 def cluster_hull(v):
-    return SP.hull_area_points(cluster_cells(v), ["scene", "label"]).select("scene", "vertices", "geom_wkt")
+    return SP.hull_area_points(cluster_cells(latest_views(v)), ["scene", "label"]).select("scene", "vertices", "geom_wkt")
 
 
 @query("agg_03_check_row", f"""
@@ -156,8 +158,8 @@ def cluster_hull(v):
     g AS (SELECT scene, count(*) AS gap_filled, round(sum(area), 4) AS gap_area FROM cl GROUP BY 1)
     SELECT scene, days, clear_frac, coalesce(gap_filled, 0) AS gap_filled, coalesce(gap_area, 0.0) AS gap_area FROM d JOIN q USING (scene) LEFT JOIN g USING (scene)""", "cells_v")
 def check_row(v):
-    latest = GR.latest_clear(flags(v), ["scene"], "day")
-    return GR.check_row(v.cells, latest, GR.cluster_stats(cluster_cells(v), ["scene"]), ["scene"])
+    latest = latest_views(v)
+    return GR.check_row(v.cells, latest, GR.cluster_stats(cluster_cells(latest), ["scene"]), ["scene"])
 
 
 PIX = """
@@ -238,7 +240,7 @@ def mosaic(v):
 
 
 def anomalies(v):
-    m = mosaic(v)
+    m = durable_checkpoint(mosaic(v))
     at = ["scene", "row", "col"]
     return m.join(GR.focal_median(m, ["scene"], "fai", 1), at).withColumn("anomaly", F.col("fai") - F.col("background")).drop("background")
 
@@ -280,7 +282,7 @@ PATCH = f"""
 
 
 def patches(v, min_km2=0.006):
-    c = candidates(v)
+    c = durable_checkpoint(candidates(v))
     lab = GR.components(c.select("scene", "row", "col"), ["scene"], tile=5)
     lat = F.lit(17.5) + F.col("row") * 0.01
     cells = c.join(lab, ["scene", "row", "col"]).select("scene", "label", "anomaly", F.unix_millis("t").alias("obs_ms"), lat.alias("lat"),

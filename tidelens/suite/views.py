@@ -375,5 +375,6 @@ class Views:
     @cached_property
     def full_cells(self) -> DataFrame:
         from tidelens.operators.grid import full_grid
+        from tidelens.session import durable_checkpoint
 
-        return full_grid(self.cells, ["scene", "day"], ["scene"])
+        return full_grid(durable_checkpoint(self.cells), ["scene", "day"], ["scene"])  # the cells are read three times
