@@ -117,6 +117,81 @@ def within(points: DataFrame, others: DataFrame, km: float, key: str, on: Sequen
     return same.unionByName(near).distinct()
 
 
+_FINEST = 7  # halvings of the radius down to the smallest cubes of ``radius_totals``
+_LIGHT = 16  # rows that a cube of the size used holds on average
+
+
+def radius_totals(points: DataFrame, places: DataFrame, km: float, by: Sequence[str], weight: str, planar: bool = False) -> DataFrame:
+    """(p_lat, p_lon, by.., total) per distinct position of ``places`` and key of the points within ``km`` of it: the sum of
+    ``weight``.
+
+    Points of one position and key are one row, places of one position are one. On the sphere a circle
+    is a ball around a unit vector, so space is cut into cubes, nested by halves; on the plane they are
+    squares. A place is handed down the occupied cubes: those wholly inside its ball give their sums, and
+    only the points of the smallest cubes, which the ball's edge runs through, are measured. Their size
+    follows the density of the points, so the work at the edge does not grow in proportion to it.
+    """
+    lat, lon, plat, plon = (F.col(c) for c in ("lat", "lon", "p_lat", "p_lon"))
+    where = (lambda la, lo: [lo * KM_X, la * KM_Y]) if planar else _unit
+    reach = km if planar else 2 * math.sin(min(km / S.EARTH_KM, math.pi) / 2)
+    dims = range(2 if planar else 3)
+    cube, up = [f"_c{i}" for i in dims], [f"_u{i}" for i in dims]
+    seen = lambda df, *at: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in at))
+    held = seen(points, "lat", "lon").select(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("_g"), "lat", "lon", F.col(weight).alias("_w"))
+    held = held.groupBy("_g", "lat", "lon").agg(F.sum("_w").alias("_w"))
+    held = durable_checkpoint(held.select("*", *[F.floor(x / (reach / 2 ** _FINEST)).alias(c) for x, c in zip(where(lat, lon), cube)]))
+    halved = lambda n: [F.floor(F.col(c) / 2 ** n).alias(c) for c in cube]
+    size = held.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), *halved(_FINEST - n)) for n in range(_FINEST + 1)])).alias("q")).distinct()
+    filled = {r["n"]: r["count"] for r in size.groupBy("q.n").count().collect()}  # a number per size
+    rows = held.count()
+    finest = next((n for n in range(2, _FINEST) if rows <= _LIGHT * filled.get(n, 0)), _FINEST)
+    spots = seen(places, "p_lat", "p_lon").select("p_lat", "p_lon").distinct()
+    spots = spots.select("*", *[x.alias(f"_b{i}") for i, x in enumerate(where(plat, plon))])
+    near = spots
+    for i in dims:
+        at = F.floor(F.col(f"_b{i}") / reach)
+        near = near.withColumn(cube[i], F.explode(F.sequence(at - 1, at + 1)))
+    parts = []
+    for n in range(finest + 1):
+        side = reach / 2 ** n
+        sums = held.groupBy("_g", *halved(_FINEST - n)).agg(F.sum("_w").alias("_w"))
+        own = size.where(F.col("q.n") == n).select("q.*").drop("n")
+        if n == 0:
+            near = near.join(own.hint("merge"), cube)
+        else:
+            own = own.select("*", *[F.floor(F.col(c) / 2).alias(u) for c, u in zip(cube, up)])
+            near = near.withColumnsRenamed(dict(zip(cube, up))).join(own.hint("merge"), up).drop(*up)
+        least, most = F.lit(0.0), F.lit(0.0)
+        for i in dims:
+            before, after = F.col(f"_b{i}") - F.col(cube[i]) * side, (F.col(cube[i]) + 1) * side - F.col(f"_b{i}")
+            low, high = F.greatest(F.lit(0.0), -before, -after), F.greatest(before, after)
+            least, most = least + low * low, most + high * high
+        near = near.withColumn("_in", most <= reach * reach * (1 - 1e-9) - 1e-15).where(least <= reach * reach * (1 + 1e-9) + 1e-15)
+        near = durable_checkpoint(near)
+        parts.append(near.where("_in").join(sums.hint("merge"), cube).select("p_lat", "p_lon", "_g", "_w"))
+        near = near.where("not _in").drop("_in")
+    edge = near.join(held.select("_g", "lat", "lon", "_w", *halved(_FINEST - finest)).hint("merge"), cube)
+    if not planar:
+        gap = sum(((x - F.col(f"_b{i}")) * (x - F.col(f"_b{i}")) for i, x in enumerate(where(lat, lon))), F.lit(0.0))
+        edge = edge.where(gap <= reach * reach * (1 + 1e-9) + 1e-15)
+    measure = planar_distance if planar else haversine_km
+    parts.append(edge.where(measure(lat, lon, plat, plon) <= km).select("p_lat", "p_lon", "_g", "_w"))
+    total = reduce(DataFrame.unionByName, parts).groupBy("p_lat", "p_lon", "_g").agg(F.sum("_w").alias("total"))
+    return total.select("p_lat", "p_lon", *[F.col(f"_g.{c}").alias(c) for c in by], "total")
+
+
+def radius_counts(points: DataFrame, places: DataFrame, place: str, km: float, by: str) -> DataFrame:
+    """JON-04 counted: per (by, place) the points within ``km`` and the nearest distance; the pairs are never built."""
+    one = points.withColumn("_one", F.lit(1).cast("long")).withColumn("_pid", F.lit(0))
+    spot = F.struct("p_lat", "p_lon").alias("_spot")
+    n = durable_checkpoint(radius_totals(one, places, km, [by], "_one"))
+    best = crossing(one, n.select(by, spot, "p_lat", "p_lon"), "_spot", km, "_one", 1.0, "_pid", on=[by])
+    best = best.select(F.col(by).alias("_by"), F.col("_spot.p_lat").alias("_la"), F.col("_spot.p_lon").alias("_lo"), "near_km")
+    same = (F.col("p_lat") == F.col("_la")) & (F.col("p_lon") == F.col("_lo")) & F.col(by).eqNullSafe(F.col("_by"))
+    both = n.join(best, same).select(by, "p_lat", "p_lon", "total", "near_km")
+    return places.join(both, ["p_lat", "p_lon"]).groupBy(by, place).agg(F.sum("total").alias("n"), F.min("near_km").alias("near_km"))
+
+
 _HALVINGS = 8  # radii tried by ``crossing``: the whole one, a half, a quarter, ...
 
 

@@ -120,9 +120,8 @@ def nearest_beach(v):
     FROM (SELECT run_at, beach_id, {hav('lat', 'lon', 'latitude', 'longitude')} AS d FROM detections_v, beaches_v)
     WHERE d <= 15 GROUP BY 1, 2""", "detections_v beaches_v")
 def radius_counts(v):
-    j = SP.radius_join(v.detections.select("run_at", "lat", "lon"), beach_side(v), 15.0)
-    return j.groupBy(F.col("run_at").cast("string").alias("run_at"), "beach_id").agg(
-        F.count("*").alias("masses"), F.round(F.min("dist"), 4).alias("nearest"))
+    c = SP.radius_counts(v.detections.select("run_at", "lat", "lon"), beach_side(v), "beach_id", 15.0, "run_at")
+    return c.select(F.col("run_at").cast("string").alias("run_at"), "beach_id", F.col("n").alias("masses"), F.round("near_km", 4).alias("nearest"))
 
 
 @query("jon_05_owner_zone", f"""
