@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidelens import settings as S
 from tidelens.functions import risk as R
 from tidelens.functions.geo import haversine_km
+from tidelens.operators.discs import arrived_near
 from tidelens.operators.quantiles import group_median
-from tidelens.operators.spatial import carry, crossing, radius_join, within
+from tidelens.operators.spatial import carry, crossing, radius_join, radius_totals, within
 from tidelens.session import durable_checkpoint
 
 
@@ -55,8 +56,13 @@ def summarise(stops: DataFrame, keys: Sequence[str], members: int = S.MEMBERS,
     seen, so no member grid is built. ``bars`` may be columns of the key, to score many settings in
     one job. Result: shares per level and horizon, headline level, ETA and the horizon array.
     """
-    minimum, low_max, medium_max = bars or (F.lit(bands.minimum), F.lit(bands.low_max), F.lit(bands.medium_max))
-    per = arrived_by_member(stops, keys, horizons, minimum, low_max)
+    bars = bars or (F.lit(bands.minimum), F.lit(bands.low_max), F.lit(bands.medium_max))
+    return _forecast(arrived_by_member(stops, keys, horizons, *bars[:2]), keys, members, horizons, bands, bars)
+
+
+def _forecast(per: DataFrame, keys: Sequence[str], members: int, horizons: Sequence[int], bands: S.RiskBands, bars: tuple[Column, Column, Column]) -> DataFrame:
+    """Levels, shares and hours per key from what arrived by member."""
+    minimum, low_max, medium_max = bars
     for h in horizons:
         eta = F.when(F.col("eta_low") <= h, F.col("eta_low"))
         per = per.withColumn(f"lv_{h}", R.zone_level(F.col(f"area_{h}"), eta, minimum, low_max, medium_max,
@@ -117,10 +123,35 @@ def stops_near(stops: DataFrame, beaches: DataFrame, beach: str, km: float = S.B
     return radius_join(stops, side, km, planar=True).drop("p_lat", "p_lon")
 
 
-def majority_owner(near: DataFrame, keys: Sequence[str], owner: str = "zone") -> DataFrame:
-    """AGG-10: most frequent owner per key, lowest id on ties; counted before anything is ranked."""
-    n = near.where((F.col(owner) >= 0) & F.col("hour").isNotNull()).groupBy(*keys, owner).agg(F.count("*").alias("_n"))
-    return n.groupBy(*keys).agg(F.min_by(owner, F.struct(-F.col("_n"), F.col(owner))).alias(owner))
+def beach_summary(stops: DataFrame, beaches: DataFrame, beach: str, members: int = S.MEMBERS, horizons: Sequence[int] = S.HORIZONS,
+                  bands: S.RiskBands = S.BEACH_BANDS, km: float = S.BEACH_STOP_KM) -> DataFrame:
+    """RAM-03: forecast per beach of one run from the stops within ``km``; beaches without any are absent.
+
+    The sums around each position come from ``arrived_near``, so no stop is paired with a beach. A beach listed
+    several times at one position counts its stops as often; only one listed at several positions takes their pairs.
+    """
+    bars = tuple(F.lit(b) for b in (bands.minimum, bands.low_max, bands.medium_max))
+    spot = F.struct(F.col("latitude").cast("double").alias("p_lat"), F.col("longitude").cast("double").alias("p_lon"))
+    side = beaches.where("latitude is not null and longitude is not null").groupBy(beach).agg(
+        F.count("*").alias("times"), F.min(spot).alias("_s"), F.max(spot).alias("_t"))
+    single = side.where("_s = _t").select(beach, "times", "_s.*")
+    at = ["p_lat", "p_lon", "times"]
+    per = arrived_near(stops, single.select(*at).distinct(), km, horizons, bands.minimum, bands.low_max)
+    rows = single.join(_forecast(per, at, members, horizons, bands, bars), at).drop(*at)
+    several = side.where("_s != _t").select(F.col(beach).alias("_beach"))
+    if several.isEmpty():
+        return rows
+    split = beaches.join(several, F.col(beach).eqNullSafe(F.col("_beach")), "left_semi")
+    return rows.unionByName(summarise(stops_near(stops, split, beach, km), [beach], members, horizons, bands))
+
+
+def majority_owner(stops: DataFrame, beaches: DataFrame, beach: str, owner: str = "zone", km: float = S.BEACH_STOP_KM) -> DataFrame:
+    """AGG-10: most frequent owner of the stops within ``km`` per beach, lowest id on ties; counts come without pairs."""
+    known = stops.where((F.col(owner) >= 0) & F.col("hour").isNotNull()).withColumn("_one", F.lit(1).cast("long"))
+    side = beaches.select(beach, F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
+    n = side.join(radius_totals(known, side, km, [owner], "_one", planar=True), ["p_lat", "p_lon"])
+    n = n.groupBy(beach, owner).agg(F.sum("total").alias("_n"))
+    return n.groupBy(beach).agg(F.min_by(owner, F.struct(-F.col("_n"), F.col(owner))).alias(owner))
 
 
 def tracks(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:

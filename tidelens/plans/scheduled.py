@@ -125,9 +125,8 @@ def forecasts(run: Run) -> DataFrame:
 
 
 def beach_forecasts(run: Run) -> DataFrame:
-    near = E.stops_near(run.inputs.stops.withColumn("run_at", run.now), run.inputs.beaches, "beach_id")
-    rows = E.with_valid_times(E.summarise(near, ["run_at", "beach_id"], bands=S.BEACH_BANDS), "run_at")
-    return rows.withColumn("model_version", F.lit(run.version))
+    rows = E.beach_summary(run.inputs.stops, run.inputs.beaches, "beach_id").select(run.now.alias("run_at"), "*")
+    return E.with_valid_times(rows, "run_at").withColumn("model_version", F.lit(run.version))
 
 
 def zone_features(run: Run) -> DataFrame:

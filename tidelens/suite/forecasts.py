@@ -99,15 +99,14 @@ NEAR_SQL = f"""
     SELECT beach_id, risk_level, eta_hours, round(1 - round(p0, 3), 3) AS arrival_probability, round(p0, 3) AS p_none, round(p1, 3) AS p_low,
            round(p2, 3) AS p_medium, round(p3, 3) AS p_high FROM hd JOIN eta USING (beach_id) WHERE h = 72""", "stops_v beaches_v")
 def beach_forecast(v):
-    near = E.stops_near(v.stops, v.beaches, "beach_id")
-    return E.summarise(near, ["beach_id"], bands=S.BEACH_BANDS).drop("horizons")
+    return E.beach_summary(v.stops, v.beaches, "beach_id").drop("horizons")
 
 
 @query("agg_10_majority_owner", f"""
     WITH {NEAR_SQL} SELECT beach_id, zone FROM (SELECT beach_id, zone, row_number() OVER (PARTITION BY beach_id ORDER BY count(*) DESC, zone) AS rn
     FROM near GROUP BY 1, 2) WHERE rn = 1""", "stops_v beaches_v")
 def majority_owner(v):
-    return E.majority_owner(E.stops_near(v.stops, v.beaches, "beach_id"), ["beach_id"])
+    return E.majority_owner(v.stops, v.beaches, "beach_id")
 
 
 @query("agg_11_tracks", """
