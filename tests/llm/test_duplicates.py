@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -192,6 +193,21 @@ def test_shards_merge_by_binary_search():
         assert all((got[d] == want[d]).all() for d in docs), trial
 
 
+def test_a_full_shard_stays_small():
+    """An executor holds a shard per core beside its heap: 100 bytes for each of the shard's are the bound."""
+    rng = random.Random(3)
+    base, segments, size = [rng.randbytes(400) for _ in range(60)], [], 0
+    while size < suffixes.SHARD_BYTES:
+        at = rng.randrange(200)
+        segments.append((len(segments) // 7, len(segments), 0, rng.choice(base)[at:at + 150] + rng.randbytes(40)))
+        size += len(segments[-1][3])
+    tracemalloc.start()
+    found = suffixes.earlier(segments)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 100 * size
+
+
 def test_repeated_strings_of_odd_tables(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcd") for _ in range(160))

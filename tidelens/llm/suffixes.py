@@ -164,6 +164,8 @@ def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x[cut:] for x in rows]
     if held is not None:
         yield from _several(held)
+    del held
+    release_memory()
 
 
 def _several(rows) -> Iterator[pa.RecordBatch]:
@@ -187,29 +189,31 @@ class Shard:
         self.least = least
         self.text = np.frombuffer(b"".join(segments), np.uint8)
         m = len(self.text)
-        padded = np.concatenate([self.text, np.zeros(8 + least, np.uint8)]).astype(np.uint64)
-        word = np.zeros(m + least, np.uint64)
+        padded = np.concatenate([self.text, np.zeros(8 + least, np.uint8)])
+        word = np.empty((m + least, 8), np.uint8)
         for k in range(8):
-            word |= padded[k:k + m + least] << np.uint64(56 - 8 * k)
-        self.words = word  # the eight bytes from each place, comparable as a number
+            word[:, 7 - k] = padded[k:k + m + least]
+        self.words = word.reshape(-1).view("<u8")  # the eight bytes from each place, comparable as a number
         self.order = self._refined(m)
         same = self._common(m) >= least
         #: Run of each suffix in order: suffixes of a run share their first ``least`` bytes.
-        self.run = np.cumsum(~same) - 1
+        self.run = np.cumsum(~same, dtype=np.int32) - np.int32(1)
 
     def _refined(self, m: int) -> np.ndarray:
         """Larsson-Sadakane: order by eight bytes, then double the sorted depth inside groups that are still equal."""
         key = self.words[:m]
-        order = np.argsort(key, kind="stable")
-        rank = np.zeros(m + 1, np.int64)  # the place past the end comes first
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0)) + 1
+        order = np.argsort(key, kind="stable").astype(np.int32)  # a shard is far shorter than 2^31 bytes
+        rank = np.zeros(m + 1, np.int32)  # the place past the end comes first
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        del key
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(m, dtype=np.int32), np.int32(0))) + np.int32(1)
         depth = 8
         open_ = self._unsorted(new)
         while depth < self.least and len(open_):
             own = order[open_]
             group, beyond = rank[own], rank[np.minimum(own + depth, m)]
-            inner = np.argsort(group * (m + 2) + beyond, kind="stable")
+            inner = np.argsort(group.astype(np.int64) * (m + 2) + beyond, kind="stable")
             own, group, beyond = own[inner], group[inner], beyond[inner]
             order[open_] = own
             split = np.concatenate([[True], (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])])
@@ -231,11 +235,11 @@ class Shard:
         compared from its start, the others from what the lemma leaves. The lemma needs sorted
         suffixes, and those alike for ``least`` bytes need not be, so they are compared anew.
         """
-        before = np.full(m, -1, np.int64)
+        before = np.full(m, -1, np.int32)
         before[self.order[1:]] = self.order[:-1]
-        common = np.zeros(m, np.int64)
-        places = np.arange(m)
-        common[::16] = self._extend(places[::16], before[::16], np.zeros(len(places[::16]), np.int64))
+        common = np.zeros(m, np.int32)
+        places = np.arange(m, dtype=np.int32)
+        common[::16] = self._extend(places[::16], before[::16], np.zeros(len(places[::16]), np.int32))
         rest = places[places % 16 != 0]
         near = common[rest - rest % 16]
         common[rest] = self._extend(rest, before[rest], np.where(near < self.least, np.maximum(0, near - rest % 16), 0))
@@ -249,7 +253,7 @@ class Shard:
         while len(open_):
             i, j = a[open_] + known[open_], b[open_] + known[open_]
             differ = self.words[np.minimum(i, len(self.words) - 1)] ^ self.words[np.minimum(j, len(self.words) - 1)]
-            equal = np.zeros(len(open_), np.int64)
+            equal = np.zeros(len(open_), np.int32)
             for k in range(8):
                 equal += differ < np.uint64(1 << (56 - 8 * k))
             ended = differ != 0
@@ -310,7 +314,7 @@ def earlier(segments: list[tuple[int, int, int, bytes]], least: int = LEAST, sha
         run_of = np.empty(len(own.order), np.int64)
         run_of[own.order] = own.run
         built.append([own, place, doc, start, run_of[place], np.repeat(np.array([s[0] for s in part], np.int64), count)])
-    first = [_earliest(b[4], b[2], b[3], len(b[0].order)) for b in built]
+    first = [_earliest(b[4], b[2], b[3], int(b[0].run[-1]) + 1 if len(b[0].run) else 0) for b in built]
     best = [(d.copy(), s.copy()) for d, s in first]
     for y in range(1, len(built)):
         for x in range(y):
@@ -374,6 +378,8 @@ def _cut_out(least: int, hot: int):
                     body += [raw[s["lo"] + k:s["lo"] + k + least] for k in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(body, pa.binary())],
                                              names=["key", "doc_id", "lo", "body"])
+            del data, ends, key, doc, lo, body
+        release_memory()
 
     return run
 
