@@ -136,6 +136,29 @@ def test_radius_join_equals_brute_force_everywhere(spark):
         assert got == want and len(got) > 100
 
 
+def test_fine_cells_meet_the_same_pairs_and_far_fewer_in_vain(spark):
+    rng = random.Random(12)
+    pts = [(i, rng.choice([18.5, 59.9, 89.8, -0.1]) + rng.uniform(-0.2, 0.2), (rng.choice([-70.0, 179.9]) + rng.uniform(-0.5, 0.5) + 180) % 360 - 180) for i in range(400)]
+    pls = [(j, la, lo) for j, la, lo in pts[:120]] + [(990, 90.0, 5.0), (991, -90.0, 0.0), (992, 18.5, 180.0)]
+    a = spark.createDataFrame(pts + [(-1, None, 0.0)], "id int, lat double, lon double")
+    b = spark.createDataFrame(pls + [(-1, 0.0, None)], "pid int, p_lat double, p_lon double")
+    for fine, km in ((1, 25.0), (2, 25.0), (3, 25.0), (2, 9000.0), (3, 21000.0)):
+        got = sorted((r["id"], r["pid"], round(r["dist"], 6)) for r in SP.radius_join(a, b, km, fine=fine).collect())
+        assert got == sorted((i, j, round(d, 6)) for i, la, lo in pts for j, pa, po in pls if (d := hav(la, lo, pa, po)) <= km)
+    plan = SP.pair_distances(a, b, 25.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan  # cells are dealt out by plain expressions
+
+
+def test_rounded_is_round(spark):
+    rng = random.Random(13)
+    values = [rng.uniform(-30, 30) for _ in range(3000)] + [k / 2e4 for k in range(-400, 400)] + [k / 2e4 + e for k in range(1, 400, 2) for e in (-1e-12, 1e-12)]
+    values += [0.0, -0.0, -1e-9, 1e300, -1e300, 123456789.12345, 1e12 + 0.00005, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (4, 6):
+        rows = df.select("v", F.round("v", digits).alias("want"), G.rounded(F.col("v"), digits).alias("got")).collect()
+        assert all(repr(r["want"]) == repr(r["got"]) for r in rows)
+
+
 def test_nearest_equals_brute_force_and_ties_take_the_lowest_id(spark):
     rng = random.Random(4)
     spot = lambda: (rng.uniform(-90, 90), rng.uniform(-180, 180))
