@@ -7,6 +7,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SMALL
 from tidelens.llm import decontaminate as dc
@@ -208,6 +209,27 @@ def test_a_full_shard_stays_small():
     assert found and peak < 100 * size
 
 
+def test_a_task_of_repeated_strings_holds_little():
+    """A task over a megabyte of segments takes under 45 MB, the same stretches come of it, and rows leave a task in small batches."""
+    rng = random.Random(4)
+    base, segments, size = [rng.randbytes(400) for _ in range(60)], [], 0
+    while size < 1 << 20:
+        at, key = rng.randrange(200), len(segments) // 100 % 60
+        segments.append((key, len(segments), 0, base[key][at:at + 150] + rng.randbytes(40)))
+        size += len(segments[-1][3])
+    segments.sort()
+    cols = [pa.array([s[0] for s in segments], pa.int64()), pa.array([s[1] for s in segments], pa.int64()), pa.array([s[2] for s in segments], pa.int32()), pa.array([s[3] for s in segments])]
+    batch = pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "lo", "body"])
+    tracemalloc.start()
+    found = [tuple(r.values()) for b in suffixes._resolved(100, suffixes.SHARD_BYTES)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6 and sorted(found) == sorted(suffixes.earlier(segments, shard_bytes=1 << 21))
+    docs = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([rng.randbytes(3000).hex() for _ in range(300)])], names=["doc_id", "text"])
+    out = list(suffixes._segments(100)(iter([docs])))
+    assert sum(b.num_rows for b in out) > suffixes.BATCH_ROWS >= max(b.num_rows for b in out)
+
+
 def test_repeated_strings_of_odd_tables(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcd") for _ in range(160))

@@ -29,7 +29,8 @@ LEAST = 100
 ANCHOR = 36
 PIECE = 1 << 20             # places that one selection pass numbers; a longer text takes several
 FLUSH_ANCHORS = 200_000     # anchors a task groups by itself before it hands them on
-SHARD_BYTES = 1 << 20       # text under one suffix array
+SHARD_BYTES = 1 << 18       # text under one suffix array; a task holds about 80 bytes for each at its peak
+BATCH_ROWS = 1 << 14        # rows that a task hands to the JVM at once, where they lie outside its heap
 HOT_CONTEXTS = 10_000       # an anchor with more different segments is dealt out by single strings
 _VALUES = mix64(np.arange(5001, 5257, dtype=np.uint64))
 _OFFSETS = mix64(np.arange(6001, 6001 + 4096, dtype=np.uint64))
@@ -89,6 +90,11 @@ def _rows(h, c, doc, p, lo, hi, contexts) -> pa.RecordBatch:
         names=["h", "c", "doc_id", "p", "lo", "hi", "contexts"])
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, BATCH_ROWS):
+        yield batch.slice(a, BATCH_ROWS)
+
+
 def _stretches(doc, lo, hi) -> pa.RecordBatch:
     doc, lo, hi = _merged(doc, lo, hi)
     none = np.zeros(len(doc), np.uint64)
@@ -117,9 +123,9 @@ def _segments(least: int):
         order = np.lexsort((p, doc, c))
         rows = [x[order] for x in (h, c, doc, p, lo, hi)]
         first, later = _firsts(*rows)
-        yield _rows(*(x[first] for x in rows), np.zeros(int(first.sum())))
+        yield from _sliced(_rows(*(x[first] for x in rows), np.zeros(int(first.sum()))))
         if later.any():
-            yield _stretches(*(rows[i][later] for i in (2, 4, 5)))
+            yield from _sliced(_stretches(*(rows[i][later] for i in (2, 4, 5))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, count = [], 0
