@@ -149,6 +149,44 @@ def test_fine_cells_meet_the_same_pairs_and_far_fewer_in_vain(spark):
     assert "array_distinct" not in plan  # cells are dealt out by plain expressions
 
 
+def test_close_distances_are_the_haversine(spark):
+    rng = random.Random(14)
+    rows = [(rng.choice([0.0, 18.5, 59.9, 89.99, -90.0]), rng.choice([-70.0, 179.99, 0.0])) for _ in range(600)]
+    rows = [(la, lo, max(-90.0, min(90.0, la + rng.choice([0, 1e-12, 1e-7, 1e-3, 0.1, 2.2, 2.4, 50]) * rng.uniform(-1, 1))), lo + rng.choice([0, 1e-12, 1e-7, 1e-3, 0.1, 2.2, 2.4, 200, -359.99]) * rng.uniform(0, 1)) for la, lo in rows]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    at = [F.col(x) for x in "abcd"]
+    cosines = (F.cos(F.radians("a")), F.cos(F.radians("c")))
+    got = df.select(G.haversine_km(*at).alias("want"), G.close_km(*at, cosines).alias("got")).collect()
+    assert all(abs(r["got"] - r["want"]) <= 4e-15 * r["want"] and (r["got"] == 0) == (r["want"] == 0) for r in got)
+    assert sum(r["want"] == 0 for r in got) > 5 and sum(r["want"] > 1000 for r in got) > 50
+
+
+@pytest.mark.parametrize("km", [0.001, 25.0, 260.0])
+def test_pairs_at_the_edge_of_the_radius_are_measured(spark, km):
+    """Pairs a few parts in a thousand and in a million around the radius, also over the poles and at 180 degrees."""
+    rng = random.Random(15)
+    pts, pls = [], []
+    for i in range(300):
+        la, lo, turn = rng.choice([0.0, 18.5, -60.0, 85.0, 89.7, -89.9]), rng.choice([-70.0, 179.999, -179.999]), rng.uniform(0, 2 * math.pi)
+        d = math.degrees(km * (1 + rng.choice([0, 1e-3, 1e-4, 1e-6, 1e-10]) * rng.choice([-1, 1])) / S.EARTH_KM)
+        pts.append((i, la, lo))
+        pls.append((i, max(-90.0, min(90.0, la + d * math.sin(turn))), (lo + d * math.cos(turn) / math.cos(math.radians(la)) + 180) % 360 - 180))
+    a, b = spark.createDataFrame(pts, "id int, lat double, lon double"), spark.createDataFrame(pls, "pid int, p_lat double, p_lon double")
+    found = SP.pair_distances(a, b, km)
+    want = {(i, j) for i, la, lo in pts for j, pa, po in pls if hav(la, lo, pa, po) <= km + 1e-11}
+    sure = {(i, j) for i, la, lo in pts for j, pa, po in pls if hav(la, lo, pa, po) <= km - 1e-11}
+    got = [(r["id"], r["pid"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and sure <= set(got) <= want
+
+
+def test_pairs_carry_one_number_a_side_beside_the_cell(spark):
+    a, b = spark.createDataFrame([(1, 18.5, -70.0)], "id int, lat double, lon double"), spark.createDataFrame([(2, 18.5, -70.0)], "pid int, p_lat double, p_lon double")
+    plan = SP.pair_distances(a, b, 25.0)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert plan.left().output().size() <= 6 and plan.right().output().size() <= 6
+
+
 def test_rounded_is_round(spark):
     rng = random.Random(13)
     values = [rng.uniform(-30, 30) for _ in range(3000)] + [k / 2e4 for k in range(-400, 400)] + [k / 2e4 + e for k in range(1, 400, 2) for e in (-1e-12, 1e-12)]
