@@ -185,6 +185,8 @@ def test_pairs_carry_one_number_a_side_beside_the_cell(spark):
     while plan.nodeName() != "Join":
         plan = plan.children().head()
     assert plan.left().output().size() <= 6 and plan.right().output().size() <= 6
+    named = SP.radius_join(a.withColumn("_a", F.lit(7)), b.withColumn("_b", F.lit(8)), 25.0)
+    assert [(r["_a"], r["_b"], r["dist"]) for r in named.collect()] == [(7, 8, 0.0)]
 
 
 def test_rounded_is_round(spark):
